@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, tokens
+from . import html_text, packing, pii, quality, sharding, tokens
 from .common import table
 
 
@@ -21,8 +21,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op3_pii": pii.op3_pii,
         "op6_packing": op6_packing,
+        "op7_quality": quality.op7_quality,
         "op8_token_counts": op8_token_counts,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 
