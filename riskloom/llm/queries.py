@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, packing, pii, quality, sharding, tokens
+from . import html_text, neighbours, packing, pii, quality, sharding, tokens
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_pii": pii.op3_pii,
+        "op5_neighbours": neighbours.op5_neighbours,
         "op6_packing": op6_packing,
         "op7_quality": quality.op7_quality,
         "op8_token_counts": op8_token_counts,
