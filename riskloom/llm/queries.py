@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, neighbours, packing, pii, quality, sharding, tokens
+from . import html_text, near_duplicates, neighbours, packing, pii, quality, sharding, tokens
 from .common import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_quality": quality.op7_quality,
         "op8_token_counts": op8_token_counts,
+        "op9_near_duplicates": near_duplicates.op9_near_duplicates,
         "op10_html_text": html_text.op10_html_text,
     }
 
