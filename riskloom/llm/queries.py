@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, near_duplicates, neighbours, packing, pii, quality, sharding, tokens
+from . import decontamination, html_text, near_duplicates, neighbours, packing, pii, quality, sharding, tokens
 from .common import table
 
 
@@ -21,6 +21,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_decontamination": decontamination.op2_decontamination,
         "op3_pii": pii.op3_pii,
         "op5_neighbours": neighbours.op5_neighbours,
         "op6_packing": op6_packing,

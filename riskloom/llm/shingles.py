@@ -41,12 +41,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _chunk(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles in order, and the first position of each text (one more at the end)."""
+def hashed_words(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the first position of each text (one more at the end)."""
     joined = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(joined, np.uint8)
     power, inverse = _power_tables(len(raw))
-    space = _SPACE[raw]
+    space = space[raw]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
     starts = edge[0::2]
     ends = edge[1::2]
@@ -55,7 +55,12 @@ def _chunk(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_TABLE[raw] * power[: len(raw)], out=sums[1:])
     words = mixed((sums[ends] - sums[starts]) * inverse[starts])
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    first_word = np.searchsorted(starts, begins)
+    return words, np.searchsorted(starts, begins)
+
+
+def _chunk(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles in order, and the first position of each text (one more at the end)."""
+    words, first_word = hashed_words(texts)
     counts = np.diff(first_word)
     # one shingle less width - 1 for each text, one for a short one, none without words
     sizes = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
@@ -79,17 +84,23 @@ def _chunk(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def shingle_chunks(texts: list[str], width: int = 5):
-    """For chunks of the texts in order: all shingle hashes, and where each text's begin."""
+def byte_chunks(texts: list[str]):
+    """The texts in order, as lists of UTF-8 bytes of about ``CHUNK`` each."""
     part, size = [], 0
     for t in texts:
         raw = t.encode("utf-8", "surrogatepass")
         if part and size + len(raw) > CHUNK:
-            yield _chunk(part, width)
+            yield part
             part, size = [], 0
         part.append(raw)
         size += len(raw) + 1
     if part:
+        yield part
+
+
+def shingle_chunks(texts: list[str], width: int = 5):
+    """For chunks of the texts in order: all shingle hashes, and where each text's begin."""
+    for part in byte_chunks(texts):
         yield _chunk(part, width)
 
 
