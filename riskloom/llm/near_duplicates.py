@@ -5,9 +5,9 @@ into bands; within a bucket, signatures are compared batch by batch, and a pair
 as the posterior chance of its similarity reaching the threshold falls below the chosen miss
 probability. What survives is verified on the full sets, and verified links give the groups.
 
-A bucket of near copies is never expanded into all its pairs: the first round takes from each
-bucket only a spanning forest of its surviving pairs, strongest first, and the second only pairs
-whose ends the verified links have not joined yet. Large buckets are compared in blocks.
+A bucket of near copies is never expanded into all its pairs: one pass over the signatures names
+the members that have a surviving pair, and one over those members' full sets gives the bucket's
+verified links as a spanning forest. Large buckets are compared in blocks.
 
 Defined results: null, empty and white-space texts have no shingles and are linked with nothing;
 texts of fewer words than a shingle have their whole sequence as one; ties name a group by its
@@ -97,82 +97,97 @@ def _sign(batches):
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
 
-def _agreeing(sig: np.ndarray, one: int, others: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Those of ``others`` that no look has dropped, with their agreeing positions."""
-    count = np.zeros(len(others), np.int64)
-    for look, bound in enumerate(least):
-        span = slice(look * BATCH, (look + 1) * BATCH)
-        count = count + (sig[others, span] == sig[one, span]).sum(1)
-        alive = count >= bound
-        others, count = others[alive], count[alive]
+def _candidates(sig: np.ndarray, bands: np.ndarray, band: int, least: list[int]):
+    """Of each member of a bucket: the later members that no look has dropped.
+
+    A pair counts in the first band it shares, so each pair is looked at once over all buckets.
+    """
+    for one in range(len(sig) - 1):
+        others = np.arange(one + 1, len(sig))
+        if band:
+            others = others[~(bands[one + 1 :, :band] == bands[one, :band]).any(1)]
+        count = np.zeros(len(others), np.int64)
+        for look, bound in enumerate(least):
+            span = slice(look * BATCH, (look + 1) * BATCH)
+            count = count + (sig[others, span] == sig[one, span]).sum(1)
+            alive = count >= bound
+            others, count = others[alive], count[alive]
+            if not len(others):
+                break
+        if len(others):
+            yield one, others
+
+
+def surviving(group: dict[str, np.ndarray], least: list[int]) -> list[np.ndarray]:
+    """The members of a bucket that some pair needs for its verification."""
+    needed = np.zeros(len(group["node"]), bool)
+    for one, others in _candidates(group["sig"], group["bands"], group["band"][0], least):
+        needed[one] = True
+        needed[others] = True
+    return [group["node"][needed]]
+
+
+def linked(group: dict[str, np.ndarray], least: list[int], percent: int = PERCENT) -> list[np.ndarray]:
+    """Links of a bucket verified on the full sets, as a spanning forest: pairs already joined are passed over."""
+    node, sets = group["node"], group["shingles"]
+    sizes = np.array([len(x) for x in sets])
+    root = np.arange(len(node))
+    out: list[tuple[int, int]] = []
+    for one, others in _candidates(group["sig"], group["bands"], group["band"][0], least):
+        low, high = np.minimum(sizes[others], sizes[one]), np.maximum(sizes[others], sizes[one])
+        others = others[(root[others] != root[one]) & (100 * low >= percent * high)]
         if not len(others):
-            break
-    return others, count
-
-
-def forest(node: np.ndarray, sig: np.ndarray, least: list[int]):
-    """Strongest spanning forest over the surviving pairs of a bucket, by Prim's method."""
-    n = len(node)
-    best, mate, open_ = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.ones(n, bool)
-    for _ in range(n):
-        left = np.flatnonzero(open_)
-        now = left[np.argmax(best[left])]
-        if best[now] >= 0:
-            yield node[mate[now]], node[now], int(best[now])
-        open_[now] = False
-        rest = np.flatnonzero(open_)
-        if not len(rest):
-            return
-        near, count = _agreeing(sig, now, rest, least)
-        better = count > best[near]
-        best[near[better]], mate[near[better]] = count[better], now
-
-
-def across(node: np.ndarray, sig: np.ndarray, least: list[int], component: np.ndarray):
-    """Surviving pairs of a bucket whose ends lie in different components."""
-    names, inverse, sizes = np.unique(component, return_inverse=True, return_counts=True)
-    if len(names) == 1:
-        return
-    minor = inverse != sizes.argmax()
-    for one in np.flatnonzero(minor).tolist():
-        others = np.flatnonzero((inverse != inverse[one]) & (~minor | (np.arange(len(node)) > one)))
-        near, count = _agreeing(sig, one, others, least)
-        for o, c in zip(near.tolist(), count.tolist(), strict=True):
-            yield node[one], node[o], c
-
-
-def _by_bucket(use):
-    """Run ``use`` on each run of equal buckets in sorted partitions, whatever the batches."""
+            continue
+        flat = np.concatenate([sets[o] for o in others.tolist()])
+        at = np.searchsorted(sets[one], flat)
+        at[at == sizes[one]] = 0
+        first = np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
+        common = np.add.reduceat((sets[one][at] == flat).astype(np.int64), first)
+        for o in others[100 * common >= percent * (sizes[others] + sizes[one] - common)].tolist():
+            if root[o] != root[one]:
+                root[root == root[o]] = root[one]
+                out.append((node[one], node[o]))
+    return [np.array([p[i] for p in out], np.int64) for i in (0, 1)]
+
+
+def _by_bucket(use, names: list[str], keep: tuple[str, ...] = ()):
+    """Run ``use`` on each run of equal buckets in sorted partitions, whatever the batches.
+
+    ``names`` name what it returns; columns in ``keep`` are repeated beside it.
+    """
     least = least_matches()
 
+    def done(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        n = t.num_rows
+        full = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "band", "node")}
+        full["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(n, PERMUTATIONS)
+        full["bands"] = t.column("bands").chunk(0).flatten().to_numpy().reshape(n, BANDS)
+        if "shingles" in t.column_names:
+            full["shingles"] = np.empty(n, object)
+            full["shingles"][:] = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        key = np.stack([full[c] for c in ("key", "i", "j")], 1)
+        cuts = (np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()
+        out: list[list[np.ndarray]] = []
+        for a, b in zip([0, *cuts], [*cuts, n], strict=True):
+            if b - a > 1:
+                found = use({c: v[a:b] for c, v in full.items()}, least)
+                out.append([*(np.repeat(full[c][a], len(found[0])) for c in keep), *found])
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * (len(keep) + len(names))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*keep, *names])
+
     def run(batches):
         held: pa.Table | None = None
-
-        def done(t: pa.Table):
-            node = t.column("node").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), PERMUTATIONS)
-            component = t.column("component").to_numpy() if "component" in t.column_names else None
-            key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            out = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)], strict=True):
-                if b - a > 1:
-                    out += use(node[a:b], sig[a:b], least) if component is None else use(node[a:b], sig[a:b], least, component[a:b])
-            a, b, w = zip(*out, strict=True) if out else ((), (), ())
-            low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(w, pa.int64())], names=["a", "b", "agree"])
-
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]) if held is not None else t
             if not t.num_rows:
                 continue
-            last = [t.column(c)[-1] for c in ("key", "i", "j")]
-            same = np.logical_and.reduce([t.column(c).to_numpy() == v.as_py() for c, v in zip(("key", "i", "j"), last, strict=True)])
-            keep = int(np.argmax(same))  # where the last, maybe unfinished, bucket begins
-            if keep:
-                yield done(t.slice(0, keep))
-            held = t.slice(keep)
+            same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in ("key", "i", "j")])
+            ready = int(np.argmax(same))  # where the last, maybe unfinished, bucket begins
+            if ready:
+                yield done(t.slice(0, ready))
+            held = t.slice(ready)
         if held is not None and held.num_rows:
             yield done(held)
 
@@ -180,20 +195,33 @@ def _by_bucket(use):
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """``key, i, j, node`` of buckets with two classes or more; ``i, j`` are the blocks compared."""
-    bands = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
+    """``key, i, j, band, node`` of buckets with two classes or more; ``i, j`` are the blocks compared."""
+    bands = classes.select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     member = bands.join(written(shared, "buckets"), "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    return member.withColumn("_p", F.explode(pairs)).select("key", "_p.i", "_p.j", "node")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
+    return member.withColumn("_p", F.explode(pairs)).select("key", "_p.i", "_p.j", F.col("band").cast("long"), "node")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
+def marked(ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """A bitmap of hashed ids in rows of 32,768 bits: ``bits`` in all, whatever the number of ids."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(bits))
+    place = ids.select(F.floor(bit / 32768).alias("_part"), (bit % 32768).alias("_bit"))
+    return place.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
 
 
-def in_buckets(members: DataFrame, extra: DataFrame, use) -> DataFrame:
-    """Pairs that ``use`` finds in the buckets; ``extra`` brings the signatures by node."""
-    rows = members.join(extra, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return rows.mapInArrow(_by_bucket(use), "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+def maybe_in(rows: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows whose ``node`` may be among ``ids``; never loses one that is. The bitmap is 1 MB."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(bits))
+    with_map = rows.withColumn("_part", F.floor(bit / 32768)).join(F.broadcast(marked(ids, bits)), "_part")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor((bit % 32768) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return with_map.filter(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).drop("_part", "_map")
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -204,56 +232,20 @@ def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
             sets = shingle_sets(b.column("text").to_pylist(), WIDTH)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    texts = text_rows(docs).withColumnRenamed("doc_id", "node").join(ids, "node", "left_semi")
+    texts = maybe_in(text_rows(docs).withColumnRenamed("doc_id", "node"), ids).join(ids, "node", "left_semi")
     return texts.mapInArrow(build, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``src, dst`` of the pairs whose full sets reach the threshold."""
-
-    def exact(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            t = pa.Table.from_batches([batch]).select(["a", "b"]).rename_columns(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-            yield from t.to_batches()
-
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.mapInArrow(exact, "src long, dst long")
-
-
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends have not been joined."""
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     signed = written(text_rows(docs).mapInArrow(_sign, _SIGNED), "signed")
     classes = written(signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("s")).select("k1", "k2", "rep", "s.*"), "classes")
-    members = written(bucket_members(classes), "members")
-    sig = classes.select(F.col("rep").alias("node"), "sig")
-    found = written(in_buckets(members, sig, forest), "forest")
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    sets = written(shingle_table(docs, ends), "sets")
-    # the strongest pair of each end first, then what of the forests still crosses components
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(verified(best, sets), "links")
-    labels = connected_components(links)
-    more = _labelled(found.join(best, ["a", "b"], "left_anti"), labels)
-    links = written(links.unionByName(verified(more, sets)), "links")
-    labels = connected_components(links)
-    # a node of no pair is in no component yet; it has nothing to be compared with either
-    state = sig.join(ends, "node", "left_semi").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = in_buckets(members, state, across).join(found, ["a", "b"], "left_anti")
-    links = written(links.unionByName(verified(rest, sets)), "links")
+    sketch = classes.select(F.col("rep").alias("node"), "sig", "bands")
+    compared = _together(bucket_members(classes).join(sketch, "node"))
+    needed = written(compared.mapInArrow(_by_bucket(surviving, ["node"], ("key", "i", "j", "band")), "key long, i long, j long, band long, node long"), "needed")
+    ids = written(needed.select("node").distinct(), "ids")
+    full = written(sketch.join(ids, "node", "left_semi").join(shingle_table(docs, ids), "node"), "full")
+    links = _together(needed.join(full, "node")).mapInArrow(_by_bucket(linked, ["src", "dst"]), "src long, dst long")
     labels = connected_components(links)
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(written(named, "named"), ["k1", "k2"], "left")
