@@ -1,0 +1 @@
+"""Risk analytics over transaction tables and event streams, on Spark DataFrames."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import checks, graph, history, metrics, models, policy, sequences, serving, splits, streams  # noqa: F401
+from .base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
