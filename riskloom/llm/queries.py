@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, near_duplicates, neighbours, packing, pii, quality, sharding, tokens
+from . import decontamination, html_text, licences, near_duplicates, neighbours, packing, pii, quality, sharding, tokens
 from .common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_pii": pii.op3_pii,
+        "op4_licences": licences.op4_licences,
         "op5_neighbours": neighbours.op5_neighbours,
         "op6_packing": op6_packing,
         "op7_quality": quality.op7_quality,
