@@ -11,7 +11,8 @@ verified links as a spanning forest. Large buckets are compared in blocks.
 
 Defined results: null, empty and white-space texts have no shingles and are linked with nothing;
 texts of fewer words than a shingle have their whole sequence as one; ties name a group by its
-smallest id; rows that share a ``doc_id`` count as one document; extra columns are ignored.
+smallest id; rows that share a ``doc_id`` count as one document; a row without an id is linked with its
+equals at most; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -250,7 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(written(named, "named"), ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ distinct vectors, and every entry of those cells is scored exactly. How many are
 beforehand: a bounded number of probe queries is searched exhaustively, and the walk is made long
 enough that its cells hold the wanted share of the true neighbours.
 
-Nearness is the inner product in double precision. Defined results: vectors that are null, all
-zero, of another length than most, or hold a null or non-finite component take no part; ties go to
+Nearness is the inner product in double precision. Defined results: rows without an id, and vectors that
+are null, all zero, of another length than most, or hold a null or non-finite component take no part; ties go to
 the smaller id; rows with a query's own id are never its neighbours; with fewer candidates than
 asked for all are returned; an empty table gives no rows; extra columns are ignored.
 """
@@ -83,7 +83,7 @@ def walk(index: Index, query: np.ndarray):
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

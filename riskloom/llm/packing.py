@@ -6,7 +6,7 @@ near-equal windows: two partial partitions are merged with opposing imbalances,
 lightest, until one is left. If a window then exceeds the capacity, the group gets one window more.
 
 Defined results: a null or empty text is a document of its end id alone; an empty table gives no
-pieces; repeated ``doc_id`` values are separate documents; other columns are ignored.
+pieces; repeated and null ``doc_id`` values are separate documents; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,19 +113,22 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
     total = rest.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (window * group_windows)))
 
-    def differ(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "_row"], ascending=[False, True, True], ignore_index=True)
-        at = into_windows(rows["length"].to_numpy(), window)
-        rows["_at"] = at
-        rows = rows.sort_values(["_at"], kind="stable", ignore_index=True)
-        rows["offset"] = rows.groupby("_at")["length"].cumsum() - rows["length"]
-        rows["sequence_id"] = 2 * (rows["_group"].astype("int64") * (1 << 20) + rows["_at"]) + 1
-        return rows[[*names, "sequence_id", "offset"]]
+    def differ(rows: pa.Table) -> pa.Table:
+        size, row = (rows.column(c).to_numpy() for c in ("length", "_row"))
+        order = np.lexsort((row, -size))
+        at = into_windows(size[order], window)
+        order, at = order[np.argsort(at, kind="stable")], np.sort(at)
+        size = size[order]
+        before = np.cumsum(size) - size
+        offset = before - before[np.searchsorted(at, at)]
+        sequence = 2 * ((rows.column("_group")[0].as_py() << 20) + at) + 1
+        taken = rows.select(names).take(pa.array(order))
+        return taken.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = ", ".join(f"{c} long" for c in [*names, "sequence_id", "offset"])
     # a row's own number, not its doc_id, picks the group, so no key can fill one
     dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    packed = dealt.groupBy("_group").applyInPandas(differ, schema)
+    packed = dealt.groupBy("_group").applyInArrow(differ, schema)
     alone = full.select(*names, (2 * F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return alone.unionByName(packed)
