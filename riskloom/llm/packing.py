@@ -105,9 +105,9 @@ def pieces_of(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULAR
     return text_rows(docs).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, end_id: int = END_ID, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, end_id: int = END_ID, group_windows: int = GROUP_WINDOWS, rest_piece: int = REST_PIECE) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``. Sequence ids are unique, not gapless."""
-    pieces = written(pieces_of(docs, window, vocabulary, end_id), "pieces").withColumn("_row", F.monotonically_increasing_id())
+    pieces = written(pieces_of(docs, window, vocabulary, end_id, rest_piece), "pieces").withColumn("_row", F.monotonically_increasing_id())
     full = pieces.filter(F.col("length") == window)
     rest = pieces.filter(F.col("length") < window)
     total = rest.agg(F.sum("length")).first()[0] or 0
