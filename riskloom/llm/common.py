@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.shared import cut as written
 from riskloom.functions.shared import shared_dir
 
-__all__ = ["shared_dir", "slots_for", "table", "text_rows", "written"]
+__all__ = ["fixed_sample", "shared_dir", "slots_for", "table", "text_rows", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +23,15 @@ def text_rows(docs: DataFrame) -> DataFrame:
 def slots_for(df: DataFrame, at_least: int = 1) -> int:
     """Shuffle partitions of the session, for ``repartition`` calls that need a number."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fixed_sample(df: DataFrame, key: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows by a hash of ``key``, the same ones at any partitioning.
+
+    Rows are thinned by the hash first, to about twice what is wanted over the whole table, so that
+    what the tasks send on is bounded too, however many of them there are.
+    """
+    n = df.count()
+    lot = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    share = min(1.0, (2 * most + 20) / max(1, n))
+    return df.filter(lot < int(share * (1 << 40))).orderBy(lot, *key).limit(most)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_rows
+from .common import fixed_sample, table, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with a digit or an at sign that the weights are learned from at most.
@@ -230,8 +230,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def training_texts(docs: DataFrame, most: int = TRAIN_DOCS) -> list[str]:
     """At most ``most`` whole texts with a digit or an at sign, the same at any partitioning."""
     likely = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    chosen = likely.orderBy(F.xxhash64("doc_id", "text")).limit(most)
-    return [r[0] for r in chosen.select("text").collect()]
+    return [r[0] for r in fixed_sample(likely, ["doc_id", "text"], most).select("text").collect()]
 
 
 def find(docs: DataFrame, weights: Weights) -> DataFrame:
