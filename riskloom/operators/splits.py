@@ -35,7 +35,7 @@ def assign_splits(df: DataFrame, shares: tuple[float, float] = (0.7, 0.85), time
 def time_blocks(df: DataFrame, k: int, time: str = "us") -> DataFrame:
     """Block 0 to k-1 of near-equal counts; no timestamp lies in two."""
     edges = cuts(df, [i / k for i in range(1, k)], time)
-    if len(set(edges)) < k - 1:
+    if len(set(edges)) < k - 1 or edges[0] == df.agg(F.min(time)).first()[0]:
         raise ValueError("an empty block")
     return df.withColumn("block", sum((F.col(time) >= e).cast("int") for e in edges))
 
