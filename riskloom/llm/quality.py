@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fixed_sample, table
 
 #: Labelled rows that are learned from at most, dealt by a hash of doc_id.
 TRAIN_ROWS = 2_000
@@ -135,7 +135,7 @@ class Scorer:
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
     """At most ``rows`` labelled texts outside the held-out fifth; the same ones at any partitioning."""
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = fixed_sample(known, ["doc_id"], rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` ids at most
     found = texts.dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")), "quality", "doc_id").collect()
     return [(r[0], r[1]) for r in sorted(found, key=lambda r: r[2])]
