@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slots_for, table, written
+from .common import fixed_sample, slots_for, table, written
 
 #: Rows the codebooks are fitted on at most, and queries searched exhaustively; dealt by a hash of the id.
 SAMPLE_ROWS, PROBES = 10_000, 100
@@ -123,7 +123,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_column, vector)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
+    sample = fixed_sample(rows, ["vec_id"], SAMPLE_ROWS).toPandas()
     if sample.empty:
         return spark.createDataFrame([], schema)
     lengths = sample["v"].map(len)
@@ -200,7 +200,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
 
 def walk_length(entries: DataFrame, index: Index, every: int, top: int, recall: float) -> int:
     """Distinct vectors a walk must see before its cells hold ``recall`` of the probes' true neighbours."""
-    probes = entries.filter(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).select("vec_id", "v").toPandas()
+    probes = fixed_sample(entries.filter(F.col("vec_id") % every == 0).select("vec_id", "v"), ["vec_id"], PROBES).toPandas()
     if probes.empty:
         return 1
     asked, asked_ids = np.stack(probes["v"].to_numpy()), probes["vec_id"].to_numpy()
