@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -197,3 +197,14 @@ def ring_page(scored: DataFrame, threshold: float, least: int, limit: int, offse
     ranked = scored.filter((F.col("score") >= threshold) & (F.col("size") >= least)).withColumn("_n", F.row_number().over(w))
     rings = ranked.groupBy(BY, "ring").agg(F.max("size").alias("size"), F.max("score").alias("score"), F.sort_array(F.collect_list(F.when(F.col("_n") <= members, F.col("node")))).alias("accounts"))
     return rings.orderBy(F.desc("size"), BY, "ring").offset(offset).limit(limit)
+
+
+def flagged(scored: DataFrame, threshold: float, drivers: dict[str, Column]) -> DataFrame:
+    """Rings at or above the threshold, with what speaks for it."""
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in drivers.items()]))
+    return scored.withColumn("flagged", F.col("score") >= threshold).withColumn("drivers", reasons)
+
+
+def split_of(members: DataFrame, train_end: float, val_end: float) -> DataFrame:
+    """A ring's split by its snapshot's end; an end on the cut belongs to the earlier split."""
+    return members.withColumn("split", F.when(F.col(BY) <= train_end, "train").when(F.col(BY) <= val_end, "val").otherwise("test"))

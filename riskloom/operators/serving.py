@@ -92,3 +92,9 @@ def fused(df: DataFrame, layers: dict[str, str]) -> DataFrame:
 def stripped(df: DataFrame, struct: str, secret: list[str]) -> DataFrame:
     """A struct without its thresholds and unit costs, for export."""
     return df.withColumn(struct, F.col(struct).dropFields(*secret))
+
+
+def newest(df: DataFrame, key: str, ties: list[str], most: int) -> DataFrame:
+    """The newest rows of each key, numbered."""
+    w = Window.partitionBy(key).orderBy(F.desc("us"), *ties)
+    return df.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most)

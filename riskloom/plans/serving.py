@@ -65,3 +65,51 @@ def raw_column_map(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
     named = serving.raw_columns(o, ["o_custkey", "o_orderstatus"])
     return o.select(F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(F.map_keys(named)), ",").alias("names"))
+
+
+@query(f"WITH {T}, r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY us, transaction_id) AS n FROM t) SELECT transaction_id, account_id FROM r ORDER BY n = 1, md5(transaction_id || '|42') LIMIT 40")
+def scoring_subset(spark, sf_dir):
+    return serving.scoring_subset(tables.events(spark, sf_dir), 40).select("transaction_id", "account_id")
+
+
+@query("WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice / 600000, 6) END AS row_score, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 10 / 10 END AS ring_score FROM orders) SELECT id, coalesce(row_score, -1) AS row_score_filled, coalesce(ring_score, -1) AS ring_score_filled, row_score IS NULL OR ring_score IS NULL AS degraded, array_to_string(list_filter([CASE WHEN row_score IS NULL THEN 'row_absent' END, CASE WHEN ring_score IS NULL THEN 'ring_absent' END], lambda x: x IS NOT NULL), ',') AS reasons FROM a")
+def degraded_vectors(spark, sf_dir):
+    o = tables.table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 600000, 6)).alias("row_score"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey") % 10 / 10).alias("ring_score"))
+    out = serving.fused(rows, {"row": "row_score", "ring": "ring_score"})
+    return out.select("id", "row_score_filled", "ring_score_filled", "degraded", F.array_join("degraded_reasons", ",").alias("reasons"))
+
+
+@query("SELECT o_orderkey AS id, array_to_string(list_filter(CASE WHEN o_orderstatus = 'F' THEN ['amount', 'velocity'] ELSE ['amount'] END, lambda x: x <> 'amount'), ',') AS foreign_names FROM orders WHERE o_orderstatus = 'F'")
+def refused_inputs(spark, sf_dir):
+    raw = F.when(F.col("o_orderstatus") == "F", F.create_map(F.lit("amount"), F.lit("1"), F.lit("velocity"), F.lit("9"))).otherwise(F.create_map(F.lit("amount"), F.lit("1")))
+    _, refused = serving.allowed_inputs(tables.table(spark, sf_dir, "orders").withColumn("raw", raw), "raw", ["amount"])
+    return refused.select(F.col("o_orderkey").alias("id"), F.array_join("foreign", ",").alias("foreign_names"))
+
+
+@query("SELECT o_orderkey AS id, '{\"cost\":' || CAST(o_custkey AS VARCHAR) || '}' AS exported FROM orders")
+def scrubbed_export(spark, sf_dir):
+    o = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("cost"), F.col("o_totalprice").alias("threshold"), F.lit(3.0).alias("review")).alias("policy"))
+    return serving.stripped(o, "policy", ["threshold", "review"]).select("id", F.to_json("policy").alias("exported"))
+
+
+@query("WITH d AS (SELECT l_orderkey AS transaction_id, epoch_us(l_shipdate) AS us, l_linenumber, l_extendedprice, l_quantity FROM lineitem WHERE l_orderkey = 42), r AS (SELECT *, row_number() OVER (ORDER BY us DESC, l_linenumber, l_extendedprice, l_quantity) AS nth FROM d) SELECT transaction_id, nth, l_linenumber FROM r WHERE nth <= 50")
+def decisions_of_one(spark, sf_dir):
+    li = tables.table(spark, sf_dir, "lineitem").filter("l_orderkey = 42")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', l_shipdate)")
+    return serving.newest(li.select(F.col("l_orderkey").alias("transaction_id"), us.alias("us"), "l_linenumber", "l_extendedprice", "l_quantity"), "transaction_id", ["l_linenumber", "l_extendedprice", "l_quantity"], 50).select("transaction_id", "nth", "l_linenumber")
+
+
+@query(f"WITH RECURSIVE {_CC}, {_DEG}, {_FEAT}, z AS (SELECT *, round(size * density, 6) AS score FROM ft) SELECT snapshot_end, ring, score >= 2.0 AS flagged, array_to_string(list_filter([CASE WHEN size >= 6 THEN 'large' END, CASE WHEN density >= 0.5 THEN 'dense' END, CASE WHEN max_degree >= 4 THEN 'hub' END], lambda x: x IS NOT NULL), ',') AS drivers FROM z")
+def ring_flags(spark, sf_dir):
+    m, e = _rings(spark, sf_dir)
+    f = rings.ring_features(m, e).withColumn("score", F.round(F.col("size") * F.col("density"), 6))
+    out = rings.flagged(f, 2.0, {"large": F.col("size") >= 6, "dense": F.col("density") >= 0.5, "hub": F.col("max_degree") >= 4})
+    return out.select("snapshot_end", "ring", "flagged", F.array_join("drivers", ",").alias("drivers"))
+
+
+@query(f"WITH RECURSIVE {_CC}, {_DEG}, bd AS (SELECT min(snapshot_end) AS lo, max(snapshot_end) AS hi FROM kept) SELECT DISTINCT snapshot_end, ring, CASE WHEN snapshot_end <= lo + (hi - lo) * 0.7 THEN 'train' WHEN snapshot_end <= lo + (hi - lo) * 0.85 THEN 'val' ELSE 'test' END AS split FROM kept, bd")
+def ring_splits(spark, sf_dir):
+    m, _ = _rings(spark, sf_dir)
+    lo, hi = m.agg(F.min("snapshot_end"), F.max("snapshot_end")).first()
+    return rings.split_of(m, lo + (hi - lo) * 0.7, lo + (hi - lo) * 0.85).select("snapshot_end", "ring", "split").distinct()
