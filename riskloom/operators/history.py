@@ -101,3 +101,32 @@ def as_of(asked: DataFrame, history: DataFrame, rows: int) -> DataFrame:
     near = asked.join(h, (F.col("account_id") == F.col("_a")) & (F.col("h_us") <= F.col("us")) & (F.col("h_id") != F.col("transaction_id"))).drop("_a")
     latest = Window.partitionBy("transaction_id").orderBy(F.desc("h_us"), F.desc("h_id"))
     return near.withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= rows)
+
+
+def split_velocity(df: DataFrame, windows: dict[str, int] = WINDOWS, chunk: int | None = None) -> DataFrame:
+    """The values of ``with_velocity`` when one account may hold much of the table.
+
+    An account's time is cut into chunks of at least the widest window; rows near the end of a chunk
+    are also sent to the next one as context. A task then holds a chunk of an account, not the account.
+    """
+    widest = max(windows.values())
+    chunk = max(chunk or 4 * widest, widest)
+    own = df.withColumns({"_chunk": F.floor(F.col("us") / chunk), "_own": F.lit(True)})
+    context = own.filter(F.pmod("us", F.lit(chunk)) > chunk - widest).withColumns({"_chunk": F.col("_chunk") + 1, "_own": F.lit(False)})
+    out = []
+    for name, micros in windows.items():
+        w = Window.partitionBy("account_id", "_chunk").orderBy("us").rangeBetween(-(micros - 1), 0)
+        out += [F.count("*").over(w).alias(f"count_{name}"), F.sum("amount").over(w).alias(f"sum_{name}")]
+    both = own.unionByName(context).select("*", *out)
+    return both.filter("_own").drop("_own", "_chunk").withColumn("velocity_available", F.lit(True))
+
+
+def split_prior_counts(df: DataFrame, chunk: int = 30 * 24 * HOUR) -> DataFrame:
+    """The values of ``with_prior_counts`` by chunks of an account's time and the totals of earlier chunks."""
+    own = df.withColumn("_chunk", F.floor(F.col("us") / chunk))
+    totals = own.groupBy("account_id", "_chunk").agg(F.count("*").alias("_n"), F.max("us").alias("_last"))
+    before = Window.partitionBy("account_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    offsets = totals.select("account_id", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.max("_last").over(before).alias("_prev"))
+    w = Window.partitionBy("account_id", "_chunk").orderBy("us", "transaction_id")
+    run = own.select("*", (F.row_number().over(w) - 1).alias("_r"), F.lag("us").over(w).alias("_lag")).join(offsets, ["account_id", "_chunk"])
+    return run.select(*df.columns, (F.col("_r") + F.col("_before")).alias("prior_count"), ((F.col("us") - F.coalesce("_lag", "_prev")) / 1e6).alias("seconds_since_prior"))

@@ -110,3 +110,17 @@ def scaled_inputs(spark, sf_dir):
     fitted = {r["column"]: (r["mean"], r["std"]) for r in encoders.scaler(t, ["amount"]).collect()}  # one row a column
     coded = encoders.level_codes(encoders.scaled(t, fitted), "transaction_type", ["click", "error", "purchase"])
     return rounded(coded.select("transaction_id", "amount", "transaction_type_code"))
+
+
+@query(f"WITH {T} SELECT transaction_id, {', '.join(f'count(*) OVER {_range(m)} AS count_{n}, round(sum(amount) OVER {_range(m)}, 6) AS sum_{n}' for n, m in history.WINDOWS.items())}, true AS velocity_available FROM t")
+def velocity_split(spark, sf_dir):
+    """The trailing windows again, by chunks of an account's time."""
+    df = history.split_velocity(tables.events(spark, sf_dir), chunk=8 * 24 * history.HOUR)
+    return rounded(df.select("transaction_id", *[f"{k}_{n}" for n in history.WINDOWS for k in ("count", "sum")], "velocity_available"))
+
+
+@query(f"WITH {T} SELECT transaction_id, row_number() OVER ({_ORDER}) - 1 AS prior_count, round((us - lag(us) OVER ({_ORDER})) / 1e6, 6) AS seconds_since_prior FROM t")
+def prior_split(spark, sf_dir):
+    """Prior counts and gaps again, by chunks and the totals of earlier ones."""
+    df = history.split_prior_counts(tables.events(spark, sf_dir), chunk=3 * 24 * history.HOUR)
+    return rounded(df.select("transaction_id", "prior_count", "seconds_since_prior"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from riskloom.functions.shared import shared_dir
 from riskloom.operators import serving
 from riskloom.operators.costs import decision
-from riskloom.sources import tables
 from riskloom.streaming import jobs
 
 from .base import T, query, rounded

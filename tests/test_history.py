@@ -109,3 +109,11 @@ def test_encoders_know_only_the_training_rows(spark, frame):
     assert encoders.digest(fitted).first().digest != changed
     codes = encoders.level_codes(frame, "device", ["a", "b"]).select("device", "device_code").distinct().collect()
     assert {(r.device, r.device_code) for r in codes} == {("a", 0), ("b", 1), (None, -1)}
+
+
+@pytest.mark.parametrize("chunk", [HOUR, 5 * HOUR, 1000 * HOUR])
+def test_splitting_an_account_s_time_changes_no_value(frame, chunk):
+    windows = {"1h": HOUR}
+    whole = {r.transaction_id: (r.count_1h, round(r.sum_1h, 9), r.prior_count, r.seconds_since_prior) for r in history.with_velocity(history.with_prior_counts(frame), windows).collect()}
+    split = history.split_velocity(history.split_prior_counts(frame, chunk), windows, chunk)
+    assert whole == {r.transaction_id: (r.count_1h, round(r.sum_1h, 9), r.prior_count, r.seconds_since_prior) for r in split.collect()}
