@@ -104,7 +104,7 @@ def latest_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def slotted(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, vslot, _row``: what a record is worth and where its key hashes."""
+    """``doc_id, size, text_crc32, vslot``: what a record is worth and where its key hashes."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("vslot"))
 
