@@ -36,7 +36,7 @@ PERMUTATIONS = BANDS * ROWS
 #: Signature positions compared at once, and the chance of dropping a true link at one look.
 BATCH, MISS = 32, 1e-5
 #: Members of a bucket compared in one group; larger buckets are cut into pairs of such blocks.
-BLOCK = 2_048
+BLOCK = 256
 _RANDOM = np.random.default_rng(1_997)
 _FACTOR = _RANDOM.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _SHIFT = _RANDOM.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
@@ -98,15 +98,20 @@ def _sign(batches):
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
 
-def _candidates(sig: np.ndarray, bands: np.ndarray, band: int, least: list[int]):
+def _candidates(group: dict[str, np.ndarray], least: list[int]):
     """Of each member of a bucket: the later members that no look has dropped.
 
-    A pair counts in the first band it shares, so each pair is looked at once over all buckets.
+    A pair counts in the first band it shares, and where two blocks of a bucket meet only across
+    them, so each pair is looked at once over all buckets.
     """
+    sig, bands, band, block = group["sig"], group["bands"], group["band"][0], group["block"]
+    blocks_meet = group["i"][0] != group["j"][0]
     for one in range(len(sig) - 1):
         others = np.arange(one + 1, len(sig))
+        if blocks_meet:
+            others = others[block[others] != block[one]]
         if band:
-            others = others[~(bands[one + 1 :, :band] == bands[one, :band]).any(1)]
+            others = others[~(bands[others, :band] == bands[one, :band]).any(1)]
         count = np.zeros(len(others), np.int64)
         for look, bound in enumerate(least):
             span = slice(look * BATCH, (look + 1) * BATCH)
@@ -122,10 +127,10 @@ def _candidates(sig: np.ndarray, bands: np.ndarray, band: int, least: list[int])
 def surviving(group: dict[str, np.ndarray], least: list[int]) -> list[np.ndarray]:
     """The members of a bucket that some pair needs for its verification."""
     needed = np.zeros(len(group["node"]), bool)
-    for one, others in _candidates(group["sig"], group["bands"], group["band"][0], least):
+    for one, others in _candidates(group, least):
         needed[one] = True
         needed[others] = True
-    return [group["node"][needed]]
+    return [group["node"][needed], group["block"][needed]]
 
 
 def linked(group: dict[str, np.ndarray], least: list[int], percent: int = PERCENT) -> list[np.ndarray]:
@@ -134,7 +139,7 @@ def linked(group: dict[str, np.ndarray], least: list[int], percent: int = PERCEN
     sizes = np.array([len(x) for x in sets])
     root = np.arange(len(node))
     out: list[tuple[int, int]] = []
-    for one, others in _candidates(group["sig"], group["bands"], group["band"][0], least):
+    for one, others in _candidates(group, least):
         low, high = np.minimum(sizes[others], sizes[one]), np.maximum(sizes[others], sizes[one])
         others = others[(root[others] != root[one]) & (100 * low >= percent * high)]
         if not len(others):
@@ -161,7 +166,7 @@ def _by_bucket(use, names: list[str], keep: tuple[str, ...] = ()):
     def done(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         n = t.num_rows
-        full = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "band", "node")}
+        full = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "band", "block", "node")}
         full["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(n, PERMUTATIONS)
         full["bands"] = t.column("bands").chunk(0).flatten().to_numpy().reshape(n, BANDS)
         if "shingles" in t.column_names:
@@ -196,14 +201,14 @@ def _by_bucket(use, names: list[str], keep: tuple[str, ...] = ()):
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """``key, i, j, band, node`` of buckets with two classes or more; ``i, j`` are the blocks compared."""
+    """``key, i, j, band, block, node`` of buckets with two classes or more; ``i, j`` are the blocks compared."""
     bands = classes.select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     member = bands.join(written(shared, "buckets"), "key")
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    return member.withColumn("_p", F.explode(pairs)).select("key", "_p.i", "_p.j", F.col("band").cast("long"), "node")
+    return member.select("*", own.alias("block"), F.explode(pairs).alias("_p")).select("key", "_p.i", "_p.j", F.col("band").cast("long"), "block", "node")
 
 
 def _together(rows: DataFrame) -> DataFrame:
@@ -243,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("s")).select("k1", "k2", "rep", "s.*"), "classes")
     sketch = classes.select(F.col("rep").alias("node"), "sig", "bands")
     compared = _together(bucket_members(classes).join(sketch, "node"))
-    needed = written(compared.mapInArrow(_by_bucket(surviving, ["node"], ("key", "i", "j", "band")), "key long, i long, j long, band long, node long"), "needed")
+    needed = written(compared.mapInArrow(_by_bucket(surviving, ["node", "block"], ("key", "i", "j", "band")), "key long, i long, j long, band long, node long, block long"), "needed")
     ids = written(needed.select("node").distinct(), "ids")
     full = written(sketch.join(ids, "node", "left_semi").join(shingle_table(docs, ids), "node"), "full")
     links = _together(needed.join(full, "node")).mapInArrow(_by_bucket(linked, ["src", "dst"]), "src long, dst long")
