@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.shared import cut
@@ -36,13 +36,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(_directed(edges))
     sign = None
     for _ in range(rounds):
-        seen = Observation()  # counted while the round is written, so that no round is read for it
-        stars = _small_star(_large_star(now))
-        now = cut(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")))
-        found = (seen.get["n"], seen.get["h"])
-        if found == sign:
+        now = cut(_small_star(_large_star(now)))
+        # not an Observation: once a session has used one, fitted pyspark.ml models no longer serialise there
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        if tuple(seen) == sign:
             break
-        sign = found
+        sign = tuple(seen)
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
