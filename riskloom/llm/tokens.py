@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens a worker remembers before it starts anew; bounds its memory, not what is counted.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: White space, printable ASCII and the Latin letters that are already composed and have a plain lower case.
 _PLAIN = re.compile("[ \\t-\\r!-~À-ÖØ-öø-įĲ-ž]*")
