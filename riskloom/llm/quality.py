@@ -26,11 +26,11 @@ from .common import fixed_sample, table
 
 #: Labelled rows that are learned from at most, dealt by a hash of doc_id.
 TRAIN_ROWS = 2_000
-BUCKETS, DIMENSION, EPOCHS, RATE = 1 << 16, 10, 5, 4.0
+BUCKETS, DIMENSION, EPOCHS, RATE = 1 << 16, 10, 8, 4.0
 GRAMS = (3, 4)
 THRESHOLD = 0.3
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 REPEAT = BUCKETS  # the marker has a row of its own
 
 
