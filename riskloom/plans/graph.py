@@ -13,15 +13,20 @@ WINDOW, CADENCE = 60 * DAY, 30 * DAY
 _KEY = b"demonstration key"
 
 
-def flows(spark, sf_dir) -> DataFrame:
-    """Returned, discounted order lines as money flows from customer to supplier."""
+def all_flows(spark, sf_dir, lines: str = "true") -> DataFrame:
+    """Every order line as a money flow from customer to supplier."""
     li, o = tables.table(spark, sf_dir, "lineitem"), tables.orders(spark, sf_dir)
-    kept = li.filter("l_returnflag = 'R' AND l_discount >= 0.09").select(F.col("l_orderkey").alias("transaction_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_extendedprice").alias("line_amount"))
+    kept = li.filter(lines).select(F.col("l_orderkey").alias("transaction_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_extendedprice").alias("line_amount"))
     return kept.join(o.select("transaction_id", "account_id", "us", "is_fraud"), "transaction_id").select("us", F.concat(F.lit("c"), F.col("account_id").cast("string")).alias("src"), "dst", F.col("line_amount").alias("amount"), "is_fraud")
 
 
-def snapshot_edges(spark, sf_dir) -> DataFrame:
-    f = edges.snapshot_members(flows(spark, sf_dir), WINDOW, CADENCE)
+def flows(spark, sf_dir) -> DataFrame:
+    """The returned, discounted order lines alone, about a twentieth: what the SQL of the queries in ``_F`` asks."""
+    return all_flows(spark, sf_dir, "l_returnflag = 'R' AND l_discount >= 0.09")
+
+
+def snapshot_edges(spark, sf_dir, of=flows) -> DataFrame:
+    f = edges.snapshot_members(of(spark, sf_dir), WINDOW, CADENCE)
     none = f.limit(0).select("snapshot_end", "src", "dst", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("candidate_count"))
     return edges.merged_edges(f, none, ("snapshot_end",))
 
@@ -91,8 +96,8 @@ def star_filter(spark, sf_dir):
     return rings.without_stars(rings.snapshot_components(e), e).select("snapshot_end", "node", "ring")
 
 
-def _rings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    e = snapshot_edges(spark, sf_dir)
+def _rings(spark, sf_dir, of=flows) -> tuple[DataFrame, DataFrame]:
+    e = snapshot_edges(spark, sf_dir, of)
     return rings.without_stars(rings.snapshot_components(e), e), e
 
 
@@ -130,9 +135,9 @@ def ring_overlap(spark, sf_dir):
     return rounded(rings.overlaps(m, _reference(spark, sf_dir)).select("snapshot_end", "a", "b", "shared", "na", "nb", "overlap"))
 
 
-def _reference(spark, sf_dir) -> DataFrame:
+def _reference(spark, sf_dir, of=flows) -> DataFrame:
     """Components of the fraudulent flows alone."""
-    f = edges.snapshot_members(flows(spark, sf_dir).filter("is_fraud"), WINDOW, CADENCE)
+    f = edges.snapshot_members(of(spark, sf_dir).filter("is_fraud"), WINDOW, CADENCE)
     return rings.snapshot_components(f.select("snapshot_end", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())
 
 
@@ -143,27 +148,26 @@ def fraud_accounts(spark, sf_dir):
 
 @query()
 def ring_recovery(spark, sf_dir):
-    m, _ = _rings(spark, sf_dir)
-    return rings.recovery(m, _reference(spark, sf_dir), 0.5)
+    m, _ = _rings(spark, sf_dir, all_flows)
+    return rings.recovery(m, _reference(spark, sf_dir, all_flows), 0.5)
 
 
 @query()
 def ring_communities(spark, sf_dir):
-    e = snapshot_edges(spark, sf_dir).withColumn("weight", F.col("flow_count").cast("double"))
+    e = snapshot_edges(spark, sf_dir, all_flows).withColumn("weight", F.col("flow_count").cast("double"))
     return rings.communities(e, rounds=6)
 
 
 @query()
 def ring_betweenness(spark, sf_dir):
-    m, e = _rings(spark, sf_dir)
+    m, e = _rings(spark, sf_dir, all_flows)
     return rings.betweenness(m, e)
 
 
 @query()
 def distinct_rings(spark, sf_dir):
-    m, _ = _rings(spark, sf_dir)
-    quarterly = m.filter(F.col("snapshot_end") % (6 * CADENCE) == 0)  # every sixth snapshot: a coarser cadence
-    return rings.first_occurrences(quarterly)
+    m, _ = _rings(spark, sf_dir, all_flows)
+    return rings.first_occurrences(m)
 
 
 @query(f"WITH {_F}, a AS (SELECT DISTINCT src AS account FROM f), k AS (SELECT '{bytes(b ^ 0x36 for b in _KEY.ljust(64, bytes(1))).hex()}' AS i, '{bytes(b ^ 0x5C for b in _KEY.ljust(64, bytes(1))).hex()}' AS o) SELECT account, substr(sha256(unhex(o) || unhex(sha256(unhex(i) || encode(account)))), 1, 16) AS token FROM a, k")

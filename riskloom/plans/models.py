@@ -7,7 +7,7 @@ from riskloom.operators import history, metrics, models, rings, sequences, split
 from riskloom.sources import tables
 
 from .base import query, rounded
-from .graph import _reference, _rings
+from .graph import _reference, _rings, all_flows
 
 FEATURES = ["amount_log", "gap_log", "hour_sin", "hour_cos", "count_24h_log", "sum_24h_log", "has_prior"]
 
@@ -41,9 +41,9 @@ def platt_calibration(spark, sf_dir):
 
 @query()
 def ring_scorer(spark, sf_dir):
-    m, e = _rings(spark, sf_dir)
+    m, e = _rings(spark, sf_dir, all_flows)
     f = rings.ring_features(m, e)
-    bad = rings.overlaps(m, _reference(spark, sf_dir)).filter("overlap >= 0.5").select("snapshot_end", F.col("a").alias("ring")).distinct().withColumn("label", F.lit(True))
+    bad = rings.overlaps(m, _reference(spark, sf_dir, all_flows)).filter("overlap >= 0.5").select("snapshot_end", F.col("a").alias("ring")).distinct().withColumn("label", F.lit(True))
     rows = f.join(bad, ["snapshot_end", "ring"], "left").withColumn("label", F.coalesce("label", F.lit(False)))
     scored, _ = models.ring_scorer(rows, ["size", "density", "max_degree", "mean_degree", "flows"])
     return rounded(scored.select("snapshot_end", "ring", "label", "score"), 4)

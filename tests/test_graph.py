@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import edges, rings, serving
 from riskloom.operators.components import connected_components
+from riskloom.plans import graph
 from riskloom.sources import sinks
 
 
@@ -114,3 +115,57 @@ def test_stores_refuse_what_does_not_belong(spark, tmp_path):
     sinks.replace_source(spark.createDataFrame([("s", "val", 9)], rows.schema), str(tmp_path / "s"))
     assert defaultdict(int, {r.split: r.us for r in sinks.read_splits(spark, str(tmp_path / "s"), "s").collect()}) == {"train": 5, "val": 9}
     assert sinks.read_splits(spark, str(tmp_path / "s"), "t").count() == 1
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """Few order lines, none discounted and most not returned, and their flows by brute force."""
+    path, day = tmp_path_factory.mktemp("lines"), "CAST(TIMESTAMP_NTZ '1995-01-01 00:00:00' + make_interval(0, 0, 0, {}) AS TIMESTAMP_NTZ)"
+    rng = random.Random(6)
+    orders = [(i, rng.randrange(30), rng.randrange(400), rng.choice("FO")) for i in range(60)]
+    items = [(o[0], n, rng.randrange(30), rng.choice("RAN"), 0.01) for o in orders for n in range(rng.randint(1, 3))]
+    o = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, d int, o_orderstatus string")
+    o.selectExpr("o_orderkey", "o_custkey", f"{day.format('d')} AS o_orderdate", "o_orderstatus", "1.0D AS o_totalprice", "'x' AS o_orderpriority").write.parquet(str(path / "orders.parquet"))
+    li = spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_discount double")
+    li.selectExpr("*", "1.0D AS l_extendedprice").write.parquet(str(path / "lineitem.parquet"))
+    start = 9131 * edges.DAY
+    by = {o[0]: (start + o[2] * edges.DAY, f"c{o[1]}") for o in orders}
+    return str(path), [(*by[i[0]], f"s{i[2]}") for i in items]
+
+
+def rings_by_hand(flows):
+    """Components of every snapshot that are no stars, as ``end -> list of node sets``."""
+    out = {}
+    last = max(u for u, _, _ in flows) // graph.CADENCE + 1
+    for k in range(min(u for u, _, _ in flows) // graph.CADENCE + 1, last + 1):
+        around = defaultdict(set)
+        for u, a, b in flows:
+            if k * graph.CADENCE - graph.WINDOW <= u < k * graph.CADENCE:
+                around[a].add(b)
+                around[b].add(a)
+        found, seen = [], set()
+        for n in around:
+            ring, todo = set(), [n] if n not in seen else []
+            while todo:
+                x = todo.pop()
+                if x not in ring:
+                    ring.add(x)
+                    todo += around[x]
+            seen |= ring
+            if len(ring) >= 3 and sum(len(around[x]) >= 2 for x in ring) >= 2:
+                found.append(ring)
+        out[k * graph.CADENCE] = sorted(found, key=min)
+    return out
+
+
+def test_rings_are_those_of_all_lines_and_snapshots(spark, lines):
+    path, flows = lines
+    kept = []
+    for end, found in sorted(rings_by_hand(flows).items()):
+        earlier = list(kept)
+        kept += [(end, r) for r in found if all(len(r & k) < 0.5 * min(len(r), len(k)) for _, k in earlier)]
+    got = defaultdict(set)
+    for r in graph.distinct_rings(spark, path).collect():
+        got[r.snapshot_end, r.ring].add(r.node)
+    assert {(e, frozenset(n)) for (e, _), n in got.items()} == {(e, frozenset(n)) for e, n in kept} and len(kept) > 1
+    assert graph.ring_recovery(spark, path).first().detected == sum(map(len, rings_by_hand(flows).values()))
