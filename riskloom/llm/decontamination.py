@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as overlapping passages of words. A passage is a row of a sparse TF-IDF matrix
-whose columns are, of every benchmark item, the words that are rarest in the corpus. A randomised
+whose columns are, of every benchmark item, the words that are rarest in the corpus, two more than a
+match can lack. A randomised
 SVD of that matrix, each product summed over the tasks, gives the latent space; items and passages
 are compared there by cosine. Candidates pass a longest-common-subsequence check against the item's
 words, and weaker ones an answer check: the item's last sentence has to be there as well.
@@ -28,8 +29,8 @@ from .shingles import byte_chunks, hashed_words
 
 #: Words between passages; a passage is two strides long, and a match is checked one stride further each way.
 STRIDE = 32
-#: Rarest words of an item that are columns; distinct columns a passage needs to be a row.
-KEYS, LEAST_KEYS = 6, 2
+#: Distinct columns a passage needs to be a row.
+LEAST_KEYS = 2
 #: Latent dimensions, and the extra ones of the random projection.
 RANK, EXTRA = 256, 16
 COSINE = 0.45
@@ -112,6 +113,12 @@ def summed(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r[0]: np.array(r[1]) for r in parts.groupBy("row").applyInPandas(add, "row long, v array<double>").collect()}
 
 
+def keys_of(words: list[int], often: np.ndarray) -> list[int]:
+    """Rarest words of an item among those of the corpus: so many that ``LEAST_KEYS`` stay of any match."""
+    missing = len(words) - int(np.ceil(WITH_ANSWER * len(words)))  # a match lacks so many words at most
+    return sorted({t for t in words if often[t]}, key=lambda t: (often[t], t))[: missing + LEAST_KEYS]
+
+
 def _leaks_of(docs: DataFrame, items: Items, seed: int = 5) -> DataFrame:
     spark = docs.sparkSession
     terms = spark.sparkContext.broadcast(items.terms)  # the words of BLOCK_ITEMS items
@@ -130,7 +137,7 @@ def _leaks_of(docs: DataFrame, items: Items, seed: int = 5) -> DataFrame:
         often[term] = n
     column = np.full(len(items.terms), -1, np.int64)
     for w in items.words:
-        for t in sorted(set(w), key=lambda t: (often[t], t))[:KEYS]:
+        for t in keys_of(w, often):
             column[t] = 0
     keys = np.flatnonzero(column >= 0)
     column[keys] = np.arange(len(keys))
@@ -161,7 +168,7 @@ def _leaks_of(docs: DataFrame, items: Items, seed: int = 5) -> DataFrame:
 
     rows = written(texts.mapInArrow(passages, "doc_id long, start_word long, keys array<int>, around array<int>"), "passages")
     in_rows, total = np.zeros(len(keys)), rows.count()
-    for k, n in rows.select(F.explode(F.array_distinct("keys")).alias("k")).groupBy("k").count().collect():  # KEYS * BLOCK_ITEMS rows at most
+    for k, n in rows.select(F.explode(F.array_distinct("keys")).alias("k")).groupBy("k").count().collect():  # a row a column
         in_rows[k] = n
     idf = spark.sparkContext.broadcast(np.log((1 + total) / (1 + in_rows)) + 1)
     basis = latent_space(rows.select("keys"), idf, len(keys), seed)

@@ -323,6 +323,19 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 == decontamination.leaks(docs, bench.limit(0)).count()
 
 
+def test_a_paraphrase_without_the_rarest_words_is_found(spark):
+    rng = random.Random(12)
+    item = words(rng, 20)
+    changed = item.split()
+    for k in range(0, 14, 2):
+        changed[k] = "otherword"  # seven words of the item are nowhere in the corpus
+    rows = [(1, words(rng, 40) + " " + " ".join(changed) + " " + words(rng, 40)), (2, words(rng, 90))]
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.lcs_share) for r in got] == [(1, 5, 0.65)]
+    often = np.array([0, 9, 3, 0, 5, 1])
+    assert decontamination.keys_of([0, 1, 2, 3, 4, 5], often) == [5, 2, 4, 1]
+
+
 def test_randomised_svd_finds_the_row_space(spark):
     rng = np.random.default_rng(3)
     rows = [(rng.choice(40, 4, replace=False) + 40 * int(g)).tolist() for g in rng.integers(0, 10, 300)]
