@@ -8,7 +8,8 @@ marginal of one half or more is kept. Both kinds of potentials are learned from
 
 Defined results: null or empty html, and pages without content, give an empty text; unclosed and
 misnested elements are closed as browsers do for the common cases; a tag that never ends is
-dropped; ``br`` is white space inside its block; repeated pages are separate rows; extra columns
+dropped; a closed ``svg``, ``select`` or ``template`` is dropped with its content, an unclosed one
+as a tag alone; formulas and the fallback of ``object`` are text; ``br`` is white space inside its block; repeated pages are separate rows; extra columns
 are ignored.
 """
 
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe noembed noframes xmp svg math object title textarea select datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture audio video map".split())
+RAW = frozenset("script style template noscript iframe noembed noframes xmp svg title textarea select datalist".split())
+#: Of these the rest of the page is the content where they are never closed; of the others only the tag is skipped then.
+TO_THE_END = frozenset("script style iframe noembed noframes xmp title textarea".split())
+MATH = frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
+INLINE = MATH | frozenset("object a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture audio video map".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 #: An open element of the key ends when one of its values starts.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "head": {"body"}}
@@ -37,6 +41,8 @@ HOLDS = frozenset("ul ol dl table tr tbody thead tfoot select menu".split())  #
 DEAD_ZONE = 0.7
 _NEXT = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
 _REST = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+>""")
+_SVG = re.compile(r"<(/?)svg(?=[\s/>])", re.IGNORECASE)
+_VALUE_ENDS = re.compile(r"""=\s*[^\s"'>]+/$""")
 _NAMES = re.compile(r"""\b(class|id|role|data-truth)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -63,6 +69,25 @@ class Page:
         return len(self.tag) - 1
 
 
+def self_closed(attributes: str) -> bool:
+    """Does a tag end in ``/>``, the slash being no part of an unquoted value?"""
+    return attributes.endswith("/") and not _VALUE_ENDS.search(attributes)
+
+
+def svg_ends(source: str) -> dict[int, int]:
+    """Where each closed ``svg`` ends, by where its name ends; nested ones have ends of their own."""
+    found: dict[int, int] = {}
+    opened = []
+    for m in _SVG.finditer(source):
+        if not m[1]:
+            rest = _REST.match(source, m.end())
+            if not (rest and self_closed(source[m.end() : rest.end() - 1])):
+                opened.append(m.end())
+        elif opened:
+            found[opened.pop()] = source.find(">", m.end()) + 1 or len(source)
+    return found
+
+
 def parse(source: str) -> Page:
     page = Page()
     top = page.open(-1, "#page", "", 0)
@@ -70,6 +95,8 @@ def parse(source: str) -> Page:
     links = 0
     at, end = 0, len(source)
     fresh = True  # does the next text begin a run?
+    svg: dict[int, int] | None = None
+    never: set[str] = set()  # tags without an end from here on
 
     def text(a: int, b: int) -> None:
         nonlocal fresh
@@ -126,10 +153,22 @@ def parse(source: str) -> Page:
         if tag in VOID:
             fresh = fresh or tag == "hr"
             continue
+        if tag == "svg":
+            svg = svg_ends(source) if svg is None else svg
+            if not self_closed(source[m.end() : stop - 1]):
+                at = svg.get(m.end(), at)
+            continue
+        if tag in MATH and self_closed(source[m.end() : stop - 1]):
+            continue
+        if tag in never:
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
             if not stop:
-                break
+                if tag in TO_THE_END:
+                    break
+                never.add(tag)
+                continue
             at = source.find(">", stop.end()) + 1 or end
             continue
         if tag in ENDS_P:

@@ -391,6 +391,27 @@ def test_main_text_of_odd_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ('<svg width="5"/>', ""),
+        ("<svg><g><svg><text>no</text></svg><text>no</text></g></svg>", ""),
+        ("<svg><svg/></svg>", ""),
+        ("<svg>", ""),
+        ("<math/>", ""),
+        ("<math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math>", "x=2"),
+        ('<object data="a/b"><param name="p">instead</object>', "instead"),
+        ("<object>", ""),
+        ("<select>", ""),
+        ("<select><option>no</select>", ""),
+        ("<template>", ""),
+    ],
+)
+def test_odd_elements_lose_no_text(inside, kept):
+    page = html_text.parse(f"<body><p>before {inside} after</p><p>last</p></body>")
+    assert "".join("".join(pieces) for _, pieces in page.runs).split() == ["before", *kept.split(), "afterlast"]
+
+
 def test_marginals_are_exact_on_small_trees():
     rng = np.random.default_rng(0)
     parent = np.array([-1, 0, 0, 1, 1, 2, 5])
