@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,59 +81,39 @@ def modularity(edges: DataFrame, state: DataFrame) -> DataFrame:
 def betweenness(members: DataFrame, edges: DataFrame, exact: int = 300, pivots: int = 64) -> DataFrame:
     """Share of shortest paths through each node of its ring; exact up to ``exact`` nodes, else from pivots.
 
-    One task row is a ring's edge list with one source, so rings and sources spread over the cluster.
+    All sources search at once: a layer is a table of nodes with their distance's path counts, joined
+    with the edges to give the next, and walked back the same way. No ring lies in one row or task.
     """
-    inside = edges.join(members.select(BY, F.col("node").alias("u"), "ring"), [BY, "u"]).select(BY, "ring", "u", "v")
-    lists = inside.groupBy(BY, "ring").agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"))
-    size = Window.partitionBy(BY, "ring")
-    nth = Window.partitionBy(BY, "ring").orderBy(F.xxhash64("node"), "node")
-    sources = members.withColumn("n", F.count("*").over(size)).withColumn("i", F.row_number().over(nth)).filter((F.col("n") <= exact) | (F.col("i") <= pivots)).withColumn("scale", F.when(F.col("n") <= exact, 1.0).otherwise(F.col("n") / pivots))
-
-    def paths(batches):
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                names = sorted({*r.us, *r.vs})
-                at = {n: i for i, n in enumerate(names)}
-                around: list[set[int]] = [set() for _ in names]
-                for a, b in zip(r.us, r.vs, strict=True):
-                    around[at[a]].add(at[b])
-                    around[at[b]].add(at[a])
-                passed = _dependencies(around, at[r.node])
-                out.append(pd.DataFrame({BY: r.snapshot_end, "ring": r.ring, "node": names, "passed": passed * r.scale}))
-            yield pd.concat(out) if out else pd.DataFrame({BY: [], "ring": [], "node": [], "passed": []})
-
-    kind = dict(members.dtypes)
-    schema = f"{BY} {kind[BY]}, ring {kind['ring']}, node {kind['node']}, passed double"
-    summed = sources.join(lists, [BY, "ring"]).select(BY, "ring", "node", "us", "vs", "n", "scale").mapInPandas(paths, schema).groupBy(BY, "ring", "node").agg(F.sum("passed").alias("passed"))
-    n = members.groupBy(BY, "ring").agg(F.count("*").alias("n"))
-    return summed.join(n, [BY, "ring"]).select(BY, "ring", "node", F.coalesce(F.try_divide("passed", (F.col("n") - 1) * (F.col("n") - 2)), F.lit(0.0)).alias("betweenness"))
-
-
-def _dependencies(around: list[set[int]], source: int) -> np.ndarray:
-    """How much each node carries of the shortest paths from one source (ends excluded)."""
-    n = len(around)
-    distance, count = np.full(n, -1), np.zeros(n)
-    distance[source], count[source] = 0, 1
-    layers = [[source]]
-    while layers[-1]:
-        following = []
-        for x in layers[-1]:
-            for y in around[x]:
-                if distance[y] < 0:
-                    distance[y] = distance[x] + 1
-                    following.append(y)
-                if distance[y] == distance[x] + 1:
-                    count[y] += count[x]
+    ring = [BY, "ring"]
+    inside = edges.join(members.select(BY, F.col("node").alias("u"), "ring"), [BY, "u"]).select(*ring, "u", "v")
+    step = cut(inside.select(*ring, F.col("u").alias("node"), F.col("v").alias("other")).unionByName(inside.select(*ring, F.col("v").alias("node"), F.col("u").alias("other"))).filter("node <> other").distinct())
+    sized = cut(members.join(members.groupBy(*ring).agg(F.count("*").alias("n")), ring).select(*ring, "node", "n"))
+    # a rank limit alone, so that each task sends at most ``pivots`` nodes of a ring
+    nth = Window.partitionBy(*ring).orderBy(F.xxhash64("node"), "node")
+    chosen = sized.filter(F.col("n") > exact).withColumn("_i", F.row_number().over(nth)).filter(F.col("_i") <= pivots).drop("_i")
+    sources = sized.filter(F.col("n") <= exact).withColumn("scale", F.lit(1.0)).unionByName(chosen.withColumn("scale", F.col("n") / pivots))
+    key = [*ring, "source", "node"]
+    layers = [cut(sources.select(*ring, F.col("node").alias("source"), "node", "scale", F.lit(1.0).alias("paths")))]
+    while True:
+        reached = layers[-1].join(step, [*ring, "node"]).groupBy(*ring, "source", "scale", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
+        for seen in layers[-2:]:  # a neighbour of a layer lies in it, in the one before or in the next
+            reached = reached.join(seen.select(*key), key, "left_anti")
+        following = cut(reached.select(*key, "scale", "paths"))
+        if following.isEmpty():
+            break
         layers.append(following)
-    carried = np.zeros(n)
-    for layer in reversed(layers):
-        for y in layer:
-            for x in around[y]:
-                if distance[x] == distance[y] - 1:
-                    carried[x] += count[x] / count[y] * (1 + carried[y])
-    carried[source] = 0
-    return carried
+    carried = layers[-1].withColumn("carried", F.lit(0.0))
+    passed = []
+    for before in layers[-2::-1]:
+        passed.append(carried.select(*ring, "node", (F.col("carried") * F.col("scale")).alias("passed")))
+        back = carried.select(*ring, "source", "node", ((1 + F.col("carried")) / F.col("paths")).alias("share")).join(step, [*ring, "node"])
+        given = before.select(*key).join(back.select(*ring, "source", F.col("other").alias("node"), "share"), key).groupBy(*key).agg(F.sum("share").alias("share"))
+        carried = cut(before.join(given, key, "left").withColumn("carried", F.coalesce(F.col("paths") * F.col("share"), F.lit(0.0))).drop("share"))
+    summed = sized.select(*ring, "node", F.lit(0.0).alias("passed"))
+    for part in passed:
+        summed = summed.unionByName(part)
+    total = summed.groupBy(*ring, "node").agg(F.sum("passed").alias("passed")).join(sized, [*ring, "node"])
+    return total.select(*ring, "node", F.coalesce(F.try_divide("passed", (F.col("n") - 1) * (F.col("n") - 2)), F.lit(0.0)).alias("betweenness"))
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:

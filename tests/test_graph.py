@@ -58,6 +58,43 @@ def test_a_chain_is_a_ring_and_a_star_is_not(spark):
     assert between == pytest.approx({"a": 0, "b": 4 / 6, "c": 4 / 6, "d": 0})
 
 
+@pytest.mark.parametrize("exact, pivots", [(300, 64), (10, 7)])
+def test_betweenness_is_brandes_and_no_ring_lies_in_one_row(spark, monkeypatch, exact, pivots):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)}
+    around = defaultdict(set)
+    for a, b in pairs:
+        around[f"n{a:02}"].add(f"n{b:02}")
+        around[f"n{b:02}"].add(f"n{a:02}")
+    e = ring_edges(spark, [(f"n{a:02}", f"n{b:02}") for a, b in pairs])
+    members = rings.snapshot_components(e)
+    ring_of = {r.node: r.ring for r in members.collect()}
+    monkeypatch.setattr(F, "collect_list", None)
+    got = {r.node: r.betweenness for r in rings.betweenness(members, e, exact, pivots).collect()}
+    order = [r.node for r in members.select("node").orderBy(F.xxhash64("node"), "node").collect()]
+    expected = dict.fromkeys(ring_of, 0.0)
+    for ring in set(ring_of.values()):
+        nodes = [n for n in order if ring_of[n] == ring]
+        few = len(nodes) <= exact
+        for s in nodes if few else nodes[:pivots]:
+            distance, paths, queue = {s: 0}, defaultdict(int, {s: 1}), [s]
+            for x in queue:
+                for y in around[x]:
+                    if y not in distance:
+                        distance[y] = distance[x] + 1
+                        queue.append(y)
+                    if distance[y] == distance[x] + 1:
+                        paths[y] += paths[x]
+            carried = defaultdict(float)
+            for y in reversed(queue):
+                for x in around[y]:
+                    if distance[x] == distance[y] - 1:
+                        carried[x] += paths[x] / paths[y] * (1 + carried[y])
+            for n in queue[1:]:
+                expected[n] += carried[n] * (1 if few else len(nodes) / pivots) / max((len(nodes) - 1) * (len(nodes) - 2), 1)
+    assert got == pytest.approx(expected)
+
+
 def test_communities_beat_components_and_repeat(spark):
     clique = lambda names: [(a, b) for i, a in enumerate(names) for b in names[:i]]
     e = ring_edges(spark, clique("abcdef") + clique("uvwxyz") + [("a", "u")])
