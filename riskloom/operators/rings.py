@@ -42,12 +42,13 @@ def ring_features(members: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("density", 2 * F.col("edges") / (F.col("size") * (F.col("size") - 1))).withColumn("chain_share", F.col("chains") / F.col("edges"))
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 1000, free: int = 16) -> DataFrame:
     """Distributed local moving for weighted modularity: ``snapshot_end, node, community``.
 
     Each round a node looks at its neighbours' communities and joins the one with the greatest
-    gain, ties to the smaller name; nodes of one hash parity move at a time, so that two do not
-    swap for ever. Deterministic; the objective is the usual one, the partition need not be any
+    gain; in the first ``free`` rounds a half of the nodes, hashed anew each round, moves at a time. After
+    them a community takes part in one move a round, so that every round gains and none is undone. It
+    ends when no node would gain by moving. Deterministic; the objective is the usual one, the partition need not be any
     other program's.
     """
     both = cut(edges.select(BY, F.col("u").alias("node"), F.col("v").alias("other"), "weight").unionByName(edges.select(BY, F.col("v").alias("node"), F.col("u").alias("other"), "weight")))
@@ -64,9 +65,18 @@ def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
         rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.col("k") * rest / F.col("m2"), 9)
         best = options.groupBy(BY, "node", "own").agg(F.max(F.struct(gain.alias("g"), (F.col("community") == F.col("own")).alias("same"), "community")).alias("b"))
-        mine = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        state = cut(best.select(BY, "node", F.when(mine, F.col("b.community")).otherwise(F.col("own")).alias("community")))
-    return state
+        mine = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        if r >= free:
+            wish = cut(best.filter(~F.col("b.same")).select(BY, "node", F.array("own", "b.community").alias("ends")))
+            first = wish.select(BY, F.explode("ends").alias("community"), F.struct(F.xxhash64("node", F.lit(r)), "node").alias("lot"), "node").groupBy(BY, "community").agg(F.min_by("node", "lot").alias("node"))
+            alone = first.groupBy(BY, "node").agg(F.count("*").alias("_n")).filter("_n = 2").select(BY, "node", F.lit(True).alias("_alone"))
+            best = best.join(alone, [BY, "node"], "left")
+            mine = F.coalesce("_alone", F.lit(False))
+        moved = cut(best.select(BY, "node", F.when(mine, F.col("b.community")).otherwise(F.col("own")).alias("community"), (~F.col("b.same")).alias("moves")))
+        if moved.filter("moves").isEmpty():
+            return state
+        state = moved.drop("moves")
+    raise RuntimeError(f"nodes still move after {rounds} rounds")
 
 
 def modularity(edges: DataFrame, state: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def ring_recovery(spark, sf_dir):
 @query()
 def ring_communities(spark, sf_dir):
     e = snapshot_edges(spark, sf_dir, all_flows).withColumn("weight", F.col("flow_count").cast("double"))
-    return rings.communities(e, rounds=6)
+    return rings.communities(e)
 
 
 @query()

@@ -21,14 +21,14 @@ def _rows(spark, sf_dir):
 @query()
 def row_scorer(spark, sf_dir):
     df = splits.assign_splits(_rows(spark, sf_dir))
-    m = models.boosted_trees(df.filter("split = 'train'"), df.filter("split = 'val'"), FEATURES, trees=8)
+    m = models.boosted_trees(df.filter("split = 'train'"), df.filter("split = 'val'"), FEATURES)
     return rounded(models.probability(m, df.filter("split = 'test'"), FEATURES).select("transaction_id", "score"))
 
 
 @query()
 def isolation_scorer(spark, sf_dir):
     df = _rows(spark, sf_dir)
-    forest = models.isolation_forest(df, FEATURES, trees=25)
+    forest = models.isolation_forest(df, FEATURES, trees=200)
     return rounded(models.isolation_scores(df, forest, FEATURES).select("transaction_id", "isolation"))
 
 
@@ -59,7 +59,7 @@ def expected_loss(spark, sf_dir):
 @query()
 def out_of_fold(spark, sf_dir):
     df = splits.time_blocks(_rows(spark, sf_dir), 3)
-    return rounded(models.out_of_fold(df, FEATURES, 3, trees=3).select("transaction_id", "block", "score"))
+    return rounded(models.out_of_fold(df, FEATURES, 3).select("transaction_id", "block", "score"))
 
 
 @query()

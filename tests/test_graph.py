@@ -104,6 +104,23 @@ def test_communities_beat_components_and_repeat(spark):
     assert rings.modularity(e, one).first().modularity > 0.4 > 0.1 > rings.modularity(e, whole).first().modularity
 
 
+def test_communities_end_where_no_node_gains(spark):
+    names = [f"p{i:02}" for i in range(60)]
+    e = ring_edges(spark, list(zip(names, names[1:], strict=False)))
+    of = {r.node: r.community for r in rings.communities(e).collect()}
+    around = {n: [m for m in (names[i - 1] if i else None, names[i + 1] if i < 59 else None) if m] for i, n in enumerate(names)}
+    total = defaultdict(int)
+    for n in names:
+        total[of[n]] += len(around[n])
+
+    def gain(n, c):
+        return sum(of[m] == c for m in around[n]) - len(around[n]) * (total[c] - len(around[n]) * (c == of[n])) / 118
+
+    assert all(gain(n, of[n]) >= gain(n, of[m]) - 1e-9 for n in names for m in around[n])
+    with pytest.raises(RuntimeError):
+        rings.communities(e, rounds=1)
+
+
 def test_repeats_of_a_ring_are_dropped(spark):
     rows = [(1, n, "a") for n in "abcd"] + [(2, n, "b") for n in "bcde"] + [(2, n, "p") for n in "pqr"] + [(3, n, "q") for n in "qxyz"]
     got = rings.first_occurrences(spark.createDataFrame(rows, "snapshot_end long, node string, ring string"))

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import assembly, costs, metrics
@@ -85,6 +86,31 @@ def test_a_policy_against_itself_is_a_tie_and_noise_is_worse(frame):
     assert metrics.interval(noise.withColumn("d", F.col("ap_noise") - F.col("ap_score")), "d").first().verdict == "WORSE"
 
 
+def test_models_and_intervals_have_their_size(monkeypatch):
+    from types import SimpleNamespace
+
+    from riskloom.plans import assembly as plans
+    from riskloom.plans import models as scorers
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **more):
+        raise Stop({"args": args, **more})
+
+    monkeypatch.setattr(scorers, "_rows", lambda *_: None)
+    monkeypatch.setattr(scorers, "models", SimpleNamespace(isolation_forest=stop))
+    with pytest.raises(Stop) as forest:
+        scorers.isolation_scorer(None, "")
+    assert forest.value.args[0]["trees"] >= 200
+    monkeypatch.setattr(plans.metrics, "bootstrap", stop)
+    spark, small = SparkSession.active(), "/root/testdata/sf0.001"
+    for q in (plans.fusion_lift, plans.block_ablation):
+        with pytest.raises(Stop) as drawn:
+            q(spark, small)
+        assert drawn.value.args[0]["args"][2] >= 200
+
+
 def test_poisson_weights_have_mean_and_variance_one(spark):
     w = spark.range(40_000).select(metrics.poisson_weight(metrics.uniform(F.lit("s"), F.col("id"))).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
     assert w[0] == pytest.approx(1, abs=0.02) and w[1] == pytest.approx(1, abs=0.04)
