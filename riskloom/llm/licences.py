@@ -1,12 +1,14 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a file is compared with short licence statements; words are weighted by how rare
-they are over all files. A file that is mostly such lines, or is named like one, is a licence file and
+Every line and sentence of a file, and every window of words as long as a template, line ends or not,
+is compared with licence statements, names and sentences of licence texts; words are weighted by how rare
+they are over all files. A file that is mostly such places, or is named like one, is a licence file and
 speaks for its directory. A file without a licence of its own takes that of its nearest ancestor
 directory that has one, by joins on paths.
 
 Defined results: null and empty texts have no licence of their own; a null path has no
-directories; ties between templates and between a directory's licence files go to the smaller name;
+directories; ties between templates go to the longer one, then, as between a
+directory's licence files, to the smaller name;
 repeated rows are separate files; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -45,46 +47,110 @@ TEMPLATES = {
     "MPL-2.0": ["Subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-COSINE, MOSTLY = 0.7, 0.5
-#: Lines of more words are also compared sentence by sentence.
-LONG_LINE = 40
+#: Sentences of the licences' own texts, and their titles.
+TEXTS = {
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "EPL-2.0": ["THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+}
+#: Short forms, which have to be there word by word: a near one names another licence or none.
+EXACT = {n: [f"SPDX-License-Identifier: {n}", f"Released under {n}", f"Licensed under {n}", f"Released under the {n} license", f"Licensed under the {n} license", *([n] if "-" in n else [f"{n} license"])] for n in TEMPLATES}
+COSINE, WORD_BY_WORD, MOSTLY = 0.7, 0.999, 0.5
+#: Characters of text compared at once; a longer text is compared alone.
+GROUP = 1 << 19
 LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
+_BRITISH = re.compile(r"(licen)c", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def _words(text: str) -> np.ndarray:
-    return hashed_words([text.lower().encode("utf-8", "surrogatepass")], _NOT_WORD)[0]
+    return hashed_words([_spelt(text).lower().encode("utf-8", "surrogatepass")], _NOT_WORD)[0]
+
+
+def _spelt(text: str) -> str:
+    """The American spelling."""
+    return _BRITISH.sub(r"\1s", text)
 
 
-def statements() -> tuple[list[str], list[np.ndarray]]:
-    pairs = [(name, s) for name in sorted(TEMPLATES) for s in TEMPLATES[name]]
-    return [n for n, _ in pairs], [_words(s) for _, s in pairs]
+def statements() -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """Names, words and least cosines of all templates."""
+    kinds = ((TEMPLATES, COSINE), (TEXTS, COSINE), (EXACT, WORD_BY_WORD))
+    rows = sorted({(name, s, least) for table_, least in kinds for name in table_ for s in table_[name]})
+    return [n for n, _, _ in rows], [_words(s) for _, s, _ in rows], np.array([x for _, _, x in rows])
 
 
 class Matcher:
-    """Best template of a line by TF-IDF cosine; words of no template weigh as the rarest."""
+    """Templates of pieces of text by TF-IDF cosine; words of no template weigh as the rarest."""
 
     def __init__(self, terms: np.ndarray, counts: np.ndarray, lines: int):
-        self.names, words = statements()
+        self.names, words, self.least = statements()
+        self.sizes = np.array([len(w) for w in words])
         idf = np.log((1 + lines) / (1 + np.minimum(counts, lines))) + 1
-        self.idf, self.unknown = idf, float(np.log(1 + lines) + 1)
-        self.rows = np.zeros((len(words), len(terms)))
+        self.unknown = float(np.log(1 + lines) + 1)
+        self.idf = np.append(idf, 0.0)  # the last, -1, is a word of no template
+        self.rows = np.zeros((len(words), len(terms) + 1))
         for i, w in enumerate(words):
             for t, n in Counter(np.searchsorted(terms, w).tolist()).items():
                 self.rows[i, t] = n * idf[t]
         self.rows /= np.linalg.norm(self.rows, axis=1, keepdims=True)
 
-    def best(self, numbers: np.ndarray) -> tuple[float, str]:
-        known = np.bincount(numbers[numbers >= 0], minlength=self.rows.shape[1]) * self.idf
-        other = int((numbers < 0).sum())
-        norm = np.sqrt((known**2).sum() + other * self.unknown**2)
-        cosine = self.rows @ known / max(norm, 1e-12)
-        i = int(cosine.argmax())
-        return float(cosine[i]), self.names[i]
+    def cosines(self, numbers: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Of rows of equally many words with the templates ``which``."""
+        idf = self.idf[numbers]
+        times = (numbers[:, :, None] == numbers[:, None, :]).sum(2)
+        norm = np.sqrt((idf**2 * times).sum(1) + self.unknown**2 * (numbers < 0).sum(1))
+        dots = np.stack([(self.rows[i][numbers] * idf).sum(1) for i in which.tolist()], 1)
+        return dots / np.maximum(norm, 1e-12)[:, None]
+
+    def places(self, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray):
+        """``start, end, cosine, template`` of the stretches given, and of all windows as long as a template."""
+        weight = np.concatenate([[0.0], np.cumsum(self.idf[numbers])])
+        other = np.concatenate([[0], np.cumsum(numbers < 0)])
+
+        def near(a, z):  # what can reach COSINE; the square of a sum is no less than the sum of squares
+            known = weight[z] - weight[a]
+            return (known > 0) & (known**2 * (1 - COSINE**2) >= (COSINE * self.unknown) ** 2 * (other[z] - other[a]) * (1 - 1e-9))
+
+        everything = np.arange(len(self.names))
+        some = near(starts, ends)
+        for a, z in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
+            known = np.bincount(numbers[a:z][numbers[a:z] >= 0], minlength=self.rows.shape[1]) * self.idf
+            norm = np.sqrt((known**2).sum() + int(other[z] - other[a]) * self.unknown**2)
+            cosine = self.rows @ known / max(norm, 1e-12)
+            yield from ((a, z, c, i) for c, i in zip(cosine.tolist(), everything.tolist(), strict=True) if c >= self.least[i])
+        for size in np.unique(self.sizes).tolist():
+            which = np.flatnonzero(self.sizes == size)
+            a = np.arange(max(0, len(numbers) - size + 1))
+            a = a[owner[a] == owner[a + size - 1]] if len(a) else a
+            a = a[near(a, a + size)]
+            for part in np.array_split(a, -(-len(a) // 4096)) if len(a) else []:
+                cosine = self.cosines(numbers[part[:, None] + np.arange(size)], which)
+                for r, c in zip(*(x.tolist() for x in np.nonzero(cosine >= self.least[which])), strict=True):
+                    yield int(part[r]), int(part[r]) + size, float(cosine[r, c]), int(which[c])
+
+
+def _groups(texts: list[str]):
+    """Texts in runs of about ``GROUP`` characters, with the place of the first."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > GROUP:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t)
+    yield first, texts[first:]
 
 
 def own_licences(files: DataFrame) -> DataFrame:
-    """``id, path, licence, score, share``: the best line's licence, and the share of words in licence lines."""
+    """``id, path, licence, score, share``: the best place's licence, and the share of words in such places."""
     spark = files.sparkSession
     terms = np.unique(np.concatenate(statements()[1]))
     rows = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text"))
@@ -93,7 +159,7 @@ def own_licences(files: DataFrame) -> DataFrame:
     def count(batches):
         total, lines = np.zeros(len(terms) + 1, np.int64), 0
         for b in batches:
-            for numbers, first in _numbered([line for t in b.column("text").to_pylist() for line in t.split("\n")], shared_terms.value):
+            for numbers, first in _numbered([line for t in b.column("text").to_pylist() for line in _spelt(t).split("\n")], shared_terms.value):
                 total[:-1] += np.bincount(numbers[numbers >= 0], minlength=len(terms))
                 lines += len(first) - 1
         total[-1] = lines
@@ -103,38 +169,42 @@ def own_licences(files: DataFrame) -> DataFrame:
     for t, n in rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         counts[t] = n
     matcher = spark.sparkContext.broadcast(Matcher(terms, counts[:-1], int(counts[-1])))
-    # a line worth comparing holds a word that says licence in some way
-    say = np.isin(terms, np.concatenate([_words(w) for w in "license licensed gpl apache bsd cc cc0 creative commons mozilla eclipse boost isc unencumbered domain".split()]))
 
     def scan(batches):
         own, known = matcher.value, shared_terms.value
         for b in batches:
             texts = b.column("text").to_pylist()
-            lines, owner = [], []
-            for i, t in enumerate(texts):
-                parts = t.split("\n")
-                lines += parts
-                owner += [i] * len(parts)
-            best: list[tuple[float, str]] = [(0.0, "")] * len(texts)
-            words, covered, at = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
-            for numbers, first in _numbered(lines, known):
-                sizes = np.diff(first)
-                np.add.at(words, owner[at : at + len(sizes)], sizes)
-                says = np.concatenate([[0], np.cumsum((numbers >= 0) & say[numbers])])
-                for k in np.flatnonzero(says[first[1:]] > says[first[:-1]]).tolist():
-                    mine = numbers[first[k] : first[k + 1]]
-                    parts = [mine]
-                    if len(mine) > LONG_LINE:
-                        parts += [x for s in _SENTENCE.split(lines[at + k]) for x, _ in _numbered([s], known)]
-                    for part in parts:
-                        score, name = own.best(part)
-                        if score >= COSINE:
-                            i = owner[at + k]
-                            covered[i] += len(part)
-                            best[i] = max(best[i], (score, name), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-                at += len(sizes)
-            share = covered / np.maximum(words, 1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("path"), pa.array([n or None for _, n in best], pa.string()), pa.array([s for s, _ in best], pa.float64()), pa.array(np.minimum(share, 1.0))], names=["id", "path", "licence", "score", "share"])
+            best: list[tuple] = [(0.0, 0, [], "", 0.0)] * len(texts)
+            share = np.zeros(len(texts))
+            for at, group in _groups(texts):
+                sentences, line_of, owner_of, lines = [], [], [], 0
+                for i, t in enumerate(group):
+                    for line in _spelt(t).split("\n"):
+                        parts = _SENTENCE.split(line)
+                        sentences += parts
+                        line_of += [lines] * len(parts)
+                        owner_of += [i] * len(parts)
+                        lines += 1
+                chunks = list(_numbered(sentences, known))
+                sizes = np.concatenate([np.diff(first) for _, first in chunks]) if chunks else np.zeros(0, np.int64)
+                if not sizes.sum():
+                    continue
+                numbers = np.concatenate([n for n, _ in chunks])
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+                owner = np.repeat(np.array(owner_of), sizes)
+                begins = np.flatnonzero(np.diff(line_of, prepend=-1))  # of each line the first sentence
+                whole = (starts[begins], ends[np.append(begins[1:], len(sizes)) - 1])
+                several = np.diff(np.append(begins, len(sizes))) > 1
+                starts, ends = np.concatenate([starts, whole[0][several]]), np.concatenate([ends, whole[1][several]])
+                covered = np.zeros(len(numbers), bool)
+                for a, z, cosine, template in own.places(numbers, starts, ends, owner):
+                    covered[a:z] = True
+                    i, name = at + int(owner[a]), own.names[template]
+                    best[i] = max(best[i], (round(cosine, 9), int(own.sizes[template]), [-ord(c) for c in name], name, cosine))
+                words = np.bincount(owner, minlength=len(group))
+                share[at : at + len(group)] = np.bincount(owner[covered], minlength=len(group)) / np.maximum(words, 1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("path"), pa.array([x[3] or None for x in best], pa.string()), pa.array([x[4] for x in best], pa.float64()), pa.array(share)], names=["id", "path", "licence", "score", "share"])
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(scan, f"id {kinds['id']}, path {kinds['path']}, licence string, score double, share double")

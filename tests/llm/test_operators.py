@@ -186,6 +186,21 @@ def test_licences_are_found_and_inherited(spark):
     assert licences.licences(spark.createDataFrame([], "id long, path string, text string")).count() == 0
 
 
+def test_licences_in_other_words_and_places(spark):
+    wrapped = "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met:"
+    files = [
+        ("CC-BY-4.0", "This essay was written in spring by our team. Licensed under CC BY 4.0. More of it follows here."),
+        ("MIT", "Released under MIT"), ("MPL-2.0", "MPL-2.0"), ("MIT", "released under the mit licence by all of us"),
+        ("MIT", "# SPDX-License-Identifier: MIT"), ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"), ("GPL-3.0", "this was put under the GPL-3.0 as we said"),
+        ("MIT", "Copyright us\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal"),
+        ("BSD-2-Clause", wrapped), ("BSD-3-Clause", wrapped + "\nNeither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission."),
+        (None, "version 2.0 of the terms of the work"), (None, "SPDX-License-Identifier: Other"),
+    ]
+    rows = [(i, f"{i}/x", t) for i, (_, t) in enumerate(files)] + [(100 + i, "z/x", words(random.Random(i), 60)) for i in range(40)]
+    got = {r.id: r.licence for r in licences.licences(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(files))] == [n for n, _ in files] and not any(got[100 + i] for i in range(40))
+
+
 # neighbours --------------------------------------------------------------------
 
 
