@@ -7,10 +7,13 @@ marginal of one half or more is kept. Both kinds of potentials are learned from
 ``labelled_pages`` writes by rule.
 
 Defined results: null or empty html, and pages without content, give an empty text; unclosed and
-misnested elements are closed as browsers do for the common cases; a tag that never ends is
+misnested elements are closed as browsers do for the common cases; blocks nested deeper than ``DEPTH``
+are siblings there, as in browsers, and a page is read in time linear in its length however it is
+nested; a character reference beyond Unicode is the replacement character; a tag that never ends is
 dropped; a closed ``svg``, ``select`` or ``template`` is dropped with its content, an unclosed one
-as a tag alone; formulas and the fallback of ``object`` are text; ``br`` is white space inside its block; repeated pages are separate rows; extra columns
-are ignored.
+as a tag alone; formulas and the fallback of ``object`` are text; ``br`` is white space inside its block;
+repeated pages are separate rows; an empty table gives no rows; a block at a marginal of exactly one half is
+kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +45,16 @@ DEAD_ZONE = 0.7
 _NEXT = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
 _REST = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+>""")
 _SVG = re.compile(r"<(/?)svg(?=[\s/>])", re.IGNORECASE)
-_VALUE_ENDS = re.compile(r"""=\s*[^\s"'>]+/$""")
-_NAMES = re.compile(r"""\b(class|id|role|data-truth)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+#: The label of a training page's element; pages that are not training pages have none, whatever they hold.
+_TRUTH = re.compile(r"""\bdata-truth\s*=\s*["']?1""")
+_LONG_REFERENCE = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{7,}));?")
+#: Deepest nesting of blocks.
+DEPTH = 512
+#: What may end an open element when it starts, and which elements.
+ENDED_BY = {tag: [open_ for open_, by in CLOSED_BY.items() if tag in by] for tag in set().union(*CLOSED_BY.values())}
+#: Pages and characters of one forest.
+PAGES, CHARACTERS = 256, 1 << 23
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -58,8 +69,12 @@ class Page:
     size: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
     runs: list[list] = field(default_factory=list)
+    depth: list[int] = field(default_factory=list)
 
     def open(self, parent: int, tag: str, names: str, truth: int) -> int:
+        if parent >= 0 and self.depth[parent] >= DEPTH:
+            parent = self.parent[parent]
+        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.parent.append(parent)
         self.tag.append(tag)
         self.names.append(names)
@@ -71,7 +86,23 @@ class Page:
 
 def self_closed(attributes: str) -> bool:
     """Does a tag end in ``/>``, the slash being no part of an unquoted value?"""
-    return attributes.endswith("/") and not _VALUE_ENDS.search(attributes)
+    if not attributes.endswith("/"):
+        return False
+    begin = 1 + max(attributes.rfind(c) for c in " \t\n\r\f\"'")
+    name, equals, value = attributes[begin:].partition("=")
+    if equals:
+        return len(value) < 2
+    return len(name) < 2 or not attributes[:begin].rstrip().endswith("=")
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded, those with more digits than any character has too."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0")
+        return "\ufffd" if len(digits) > 7 else f"&#{'x' if m[2] else ''}{digits or 0};"
+
+    return entities.unescape(_LONG_REFERENCE.sub(short, text))
 
 
 def svg_ends(source: str) -> dict[int, int]:
@@ -88,10 +119,13 @@ def svg_ends(source: str) -> dict[int, int]:
     return found
 
 
-def parse(source: str) -> Page:
+def parse(source: str, marked: bool = False) -> Page:
+    """Blocks and runs of text; labels are read from ``marked`` pages, the training ones, alone."""
     page = Page()
     top = page.open(-1, "#page", "", 0)
     stack: list[tuple[str, int]] = [("#page", top)]  # every open element with the block it lies in
+    open_at: dict[str, list[int]] = {}  # where in the stack each tag is open
+    blocks = [0]  # where in the stack an element is no inline one
     links = 0
     at, end = 0, len(source)
     fresh = True  # does the next text begin a run?
@@ -105,7 +139,7 @@ def parse(source: str) -> Page:
         block = stack[-1][1]
         piece = source[a:b]
         if "&" in piece:
-            piece = entities.unescape(piece)
+            piece = unescaped(piece)
         if fresh or not page.runs or page.runs[-1][0] != block:
             page.runs.append([block, []])
             fresh = False
@@ -118,9 +152,21 @@ def parse(source: str) -> Page:
         nonlocal fresh, links
         while len(stack) > depth:
             tag, _ = stack.pop()
+            open_at[tag].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
             links -= tag == "a"
             fresh = fresh or tag not in INLINE
 
+    def push(tag: str, block: int) -> None:
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, block))
+
+    def innermost(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     while at < end:
         m = _NEXT.search(source, at)
         if not m:
@@ -139,12 +185,9 @@ def parse(source: str) -> Page:
         if m[1]:
             if tag == "br":
                 text_break(page, stack)
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close_to(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
+            depth = innermost((tag,))
+            if depth and (tag not in INLINE or depth > blocks[-1]):
+                close_to(depth)
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br":
@@ -171,35 +214,24 @@ def parse(source: str) -> Page:
                 continue
             at = source.find(">", stop.end()) + 1 or end
             continue
-        if tag in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close_to(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = stack[depth][0]
-            if tag in CLOSED_BY.get(open_tag, ()):
-                close_to(depth)
+        if tag in ENDS_P and stack[blocks[-1]][0] == "p":
+            close_to(blocks[-1])
+        for _ in range(3 if tag in ENDED_BY else 0):  # a row group ends a cell, its row and the group before
+            depth = innermost(ENDED_BY[tag])
+            if depth <= innermost(h for h in HOLDS if h not in ENDED_BY[tag]):
                 break
-            if open_tag in HOLDS and tag not in CLOSED_BY.get(open_tag, ()) and not (tag == "tr" and open_tag == "tr"):
-                if not (open_tag == "tr" and tag in ("tbody", "tfoot")):
-                    break
+            close_to(depth)
         if tag in INLINE:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
         if tag in ("html", "body") and any(t == tag for t, _ in stack[:4]):
             continue
-        names = truth = ""
-        attributes = source[m.end() : stop - 1]
-        if attributes and "=" in attributes:
-            found = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(attributes)}
-            truth = found.pop("data-truth", "")
-            names = " ".join(found.values())
+        names, attributes = "", source[m.end() : stop - 1]
+        if "=" in attributes:
+            names = " ".join({k.lower(): v.strip("\"'") for k, v in _NAMES.findall(attributes)}.values())
         fresh = True
-        stack.append((tag, page.open(stack[-1][1], tag, names, int(truth or 0))))
+        push(tag, page.open(stack[-1][1], tag, names, int(marked and bool(_TRUTH.search(attributes)))))
     return page
 
 
@@ -235,10 +267,10 @@ class Model:
 
 def levels(parent: np.ndarray) -> list[np.ndarray]:
     """Nodes by depth; a parent stands before its children."""
-    depth = np.zeros(len(parent), np.int64)
-    for i, p in enumerate(parent.tolist()):
-        if p >= 0:
-            depth[i] = depth[p] + 1
+    depth: list[int] = []
+    for p in parent.tolist():
+        depth.append(depth[p] + 1 if p >= 0 else 0)
+    depth = np.array(depth, np.int64)
     order = np.argsort(depth, kind="stable")
     return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
 
@@ -297,7 +329,7 @@ def train(sources: list[str], rounds: int = 1000, rate: float = 2.0, shrink: flo
     The edges are normalised and the regression is fitted given the parent, so a block without
     evidence of its own (see ``DEAD_ZONE``) sends no message up, however many such blocks there are.
     """
-    pages = [parse(s) for s in sources]
+    pages = [parse(s, marked=True) for s in sources]
     index: dict[str, int] = {}
     rows, columns, labels, above, tags, numbers = [], [], [], [], [], []
     counts: dict[str, np.ndarray] = {"": np.full((2, 2), 0.5)}
@@ -394,7 +426,20 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
 _EXTRACTORS: dict[int, Extractor] = {}
 
 
-def main_text(pages: DataFrame, model: Model | None = None, batch: int = 256) -> DataFrame:
+def _forests(sources: list[str]):
+    """Pages in runs of at most ``PAGES`` and about ``CHARACTERS``; a longer page is alone."""
+    part, size = [], 0
+    for s in sources:
+        if part and (len(part) == PAGES or size + len(s) > CHARACTERS):
+            yield part
+            part, size = [], 0
+        part.append(s)
+        size += len(s)
+    if part:
+        yield part
+
+
+def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``; no shuffle."""
     shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))  # features of the labelled pages
 
@@ -406,7 +451,7 @@ def main_text(pages: DataFrame, model: Model | None = None, batch: int = 256) ->
         own = _EXTRACTORS[key]
         for b in batches:
             sources = b.column("html").to_pylist()
-            texts = [t for i in range(0, len(sources), batch) for t in own.texts(sources[i : i + batch])]
+            texts = [t for part in _forests(sources) for t in own.texts(part)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
