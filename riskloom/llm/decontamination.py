@@ -1,21 +1,27 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as overlapping passages of words. A passage is a row of a sparse TF-IDF matrix
-whose columns are, of every benchmark item, the words that are rarest in the corpus, two more than a
-match can lack. A randomised
-SVD of that matrix, each product summed over the tasks, gives the latent space; items and passages
-are compared there by cosine. Candidates pass a longest-common-subsequence check against the item's
-words, and weaker ones an answer check: the item's last sentence has to be there as well.
-
-Defined results: null and empty texts, and items without words, match nothing; case, punctuation
-and white space do not count; an item that occurs several times in a document is reported once, at its best
-place; equal items are reported each; rows that share a ``doc_id`` count as one document; an empty table
-gives no rows; extra columns are ignored. The benchmark is taken in blocks of ``BLOCK_ITEMS``.
+whose columns are, of every benchmark item, the words that are rarest in the corpus, and so many of
+them that any match keeps ``LEAST_KEYS`` in one of its passages (see ``keys_of``). Items are taken in
+blocks with as many latent dimensions as items: a randomised SVD of a block's rows, each product
+summed over the tasks, gives its latent space; items and passages are compared there by cosine.
+Candidates pass a longest-common-subsequence check against the item's words, and weaker ones an
+answer check: the item's last sentence has to be there as well.
+
+The texts are read twice, to count words and to cut passages, for ``READ_ITEMS`` items at a time; a
+block then reads its own passages alone.
+
+Defined results: null and empty texts, and items without words, match nothing; an item of one word
+matches wherever that word is; case, punctuation and white space do not count; an item that occurs several
+times in a document is reported once, at its best place, ties to the earliest; equal items are
+reported each; rows that share a ``doc_id``, repeated ones too, count as one document; rows without an id
+count as one; a text is read whole, at any length; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +39,11 @@ STRIDE = 32
 LEAST_KEYS = 2
 #: Latent dimensions, and the extra ones of the random projection.
 RANK, EXTRA = 256, 16
-COSINE = 0.45
+COSINE = 0.35
 #: Shares of an item's words: enough alone; enough with this share of the answer.
 ALONE, WITH_ANSWER, ANSWER = 0.75, 0.6, 0.6
-BLOCK_ITEMS = 2_000
+#: Items (or segments of long ones) of one latent space, and those that one reading of the texts serves.
+BLOCK_ITEMS, READ_ITEMS = RANK, 50_000
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 256)]] = False
 
@@ -46,10 +53,25 @@ class Items:
     """Benchmark items as numbers of their words in ``terms`` (sorted word hashes)."""
 
     ids: list[int]
-    words: list[list[int]]
-    answer: list[list[int]]
+    words: list[np.ndarray]
+    answer: list[np.ndarray]
     terms: np.ndarray
 
+    def part(self, a: int, z: int) -> Items:
+        return Items(self.ids[a:z], self.words[a:z], self.answer[a:z], self.terms[:0])
+
+
+@dataclass(frozen=True)
+class Columns:
+    """Columns of all blocks: those of term ``t`` are at ``first[t]:first[t + 1]``, numbered within their block."""
+
+    first: np.ndarray
+    block: np.ndarray
+    column: np.ndarray
+    #: is it the one column of some item?
+    lone: np.ndarray
+    widths: list[int]
+
 
 def _split(text: str) -> np.ndarray:
     return hashed_words([text.lower().encode("utf-8", "surrogatepass")], _NOT_WORD)[0]
@@ -70,7 +92,7 @@ def read_items(rows: list[tuple[int, str | None]]) -> Items:
             words.append(part)
             answers.append(last if n == 1 and len(last) >= 4 else part[-max(4, len(part) // 4) :])
     terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    number = lambda x: np.searchsorted(terms, x).tolist()
+    number = lambda x: np.searchsorted(terms, x).astype(np.int32)
     return Items(ids, [number(w) for w in words], [number(a) for a in answers], terms)
 
 
@@ -113,15 +135,65 @@ def summed(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r[0]: np.array(r[1]) for r in parts.groupBy("row").applyInPandas(add, "row long, v array<double>").collect()}
 
 
-def keys_of(words: list[int], often: np.ndarray) -> list[int]:
-    """Rarest words of an item among those of the corpus: so many that ``LEAST_KEYS`` stay of any match."""
-    missing = len(words) - int(np.ceil(WITH_ANSWER * len(words)))  # a match lacks so many words at most
-    return sorted({t for t in words if often[t]}, key=lambda t: (often[t], t))[: missing + LEAST_KEYS]
+def keys_of(words: Sequence[int], often: np.ndarray) -> list[int]:
+    """Rarest words of an item among those of the corpus: so many that ``LEAST_KEYS`` of any match lie in one passage.
+
+    A match lacks at most ``missing`` words. What it keeps lies in a stretch of twice the item's length,
+    which every second passage covers without overlap: of more keys than these passages times
+    ``LEAST_KEYS - 1``, one of them holds ``LEAST_KEYS``.
+    """
+    missing = len(words) - int(np.ceil(WITH_ANSWER * len(words)))
+    passages = -(-2 * len(words) // (2 * STRIDE)) + 1
+    most = missing + passages * (LEAST_KEYS - 1) + 1
+    return sorted({t for t in map(int, words) if often[t]}, key=lambda t: (often[t], t))[:most]
 
 
-def _leaks_of(docs: DataFrame, items: Items, seed: int = 5) -> DataFrame:
+def columns_of(items: Items, often: np.ndarray, block: int) -> Columns:
+    found: dict[tuple[int, int], bool] = {}
+    for i, w in enumerate(items.words):
+        keys = keys_of(w, often)
+        for t in keys:
+            found[t, i // block] = found.get((t, i // block), False) or len(keys) < LEAST_KEYS
+    pairs = sorted(found)
+    widths = [0] * (-(-len(items.ids) // block))
+    own = np.zeros(len(pairs), np.int64)
+    for n, (_, b) in enumerate(pairs):
+        own[n] = widths[b]
+        widths[b] += 1
+    term = np.array([t for t, _ in pairs], np.int64)
+    return Columns(np.searchsorted(term, np.arange(len(items.terms) + 1)), np.array([b for _, b in pairs], np.int64), own, np.array([found[p] for p in pairs], bool), widths)
+
+
+def passages_of(numbers: np.ndarray, first: np.ndarray, columns: Columns):
+    """``text, window, block, keys`` of the passages with ``LEAST_KEYS`` columns of one block, or an item's only one."""
+    hits = np.flatnonzero(numbers >= 0)
+    a, z = columns.first[numbers[hits]], columns.first[numbers[hits] + 1]
+    hits, a, n = np.repeat(hits, z - a), np.repeat(a, z - a), z - a
+    if not len(hits):
+        return
+    at = a + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+    text = np.searchsorted(first, hits, "right") - 1
+    window = (hits - first[text]) // STRIDE
+    windows, blocks, total = int(window.max()) + 1, len(columns.widths), len(columns.block)
+    place = (text * windows + window) * blocks + columns.block[at]
+    again = window > 0  # every word but the first stride's lies in two passages
+    place, at = np.concatenate([place, place[again] - blocks]), np.concatenate([at, at[again]])
+    pair, times = np.unique(place * total + at, return_counts=True)
+    place, at = pair // total, pair % total
+    begins = np.flatnonzero(np.diff(place, prepend=-1))
+    sizes = np.diff(np.append(begins, len(place)))
+    for g in np.flatnonzero((sizes >= LEAST_KEYS) | np.logical_or.reduceat(columns.lone[at], begins)).tolist():
+        own = slice(begins[g], begins[g] + sizes[g])
+        rest, block = divmod(int(place[own.start]), blocks)
+        yield *divmod(rest, windows), block, np.repeat(columns.column[at[own]], times[own])
+
+
+_PASSAGES = "doc_id long, start_word long, block int, keys array<int>, around array<int>"
+
+
+def _leaks_of(docs: DataFrame, items: Items, block: int, seed: int = 5) -> DataFrame | None:
     spark = docs.sparkSession
-    terms = spark.sparkContext.broadcast(items.terms)  # the words of BLOCK_ITEMS items
+    terms = spark.sparkContext.broadcast(items.terms)  # the words of READ_ITEMS items at most
     texts = text_rows(docs)
 
     def count(batches):
@@ -135,50 +207,53 @@ def _leaks_of(docs: DataFrame, items: Items, seed: int = 5) -> DataFrame:
     often = np.zeros(len(items.terms), np.int64)
     for term, n in texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         often[term] = n
-    column = np.full(len(items.terms), -1, np.int64)
-    for w in items.words:
-        for t in keys_of(w, often):
-            column[t] = 0
-    keys = np.flatnonzero(column >= 0)
-    column[keys] = np.arange(len(keys))
-    to_column = spark.sparkContext.broadcast(column)
+    shared = spark.sparkContext.broadcast(columns_of(items, often, block))  # some thirty columns an item
 
     def passages(batches):
-        own = to_column.value
+        own = shared.value
         for b in batches:
-            ids = iter(b.column("doc_id").to_pylist())
-            out: list[tuple[int, int, list[int], list[int]]] = []
+            ids = b.column("doc_id").to_pylist()
+            out: list[tuple] = []
+            done = 0
             for numbers, first in _numbered(b.column("text").to_pylist(), terms.value):
-                key = np.where(numbers >= 0, own[numbers], -1)
-                hits = np.flatnonzero(key >= 0)
-                starts = np.searchsorted(hits, first)
-                for d in range(len(first) - 1):
-                    doc, mine = next(ids), hits[starts[d] : starts[d + 1]]
-                    if len(mine) < LEAST_KEYS:
-                        continue
-                    window = (mine - first[d]) // STRIDE
-                    for w in np.unique(np.concatenate([window, np.maximum(window - 1, 0)])).tolist():
-                        a, z = np.searchsorted(window, [w, w + 2])
-                        found = key[mine[a:z]]
-                        if z - a >= LEAST_KEYS and len(set(found.tolist())) >= LEAST_KEYS:
-                            around = numbers[first[d] + max(0, w - 1) * STRIDE : min(first[d] + (w + 3) * STRIDE, first[d + 1])]
-                            out.append((doc, w * STRIDE, found.tolist(), around.tolist()))
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["doc_id", "start_word", "keys", "around"])
-
-    rows = written(texts.mapInArrow(passages, "doc_id long, start_word long, keys array<int>, around array<int>"), "passages")
-    in_rows, total = np.zeros(len(keys)), rows.count()
+                for text, window, part, keys in passages_of(numbers, first, own):
+                    a = first[text]
+                    around = numbers[a + max(0, window - 1) * STRIDE : min(a + (window + 3) * STRIDE, first[text + 1])]
+                    out.append((ids[done + text], window * STRIDE, part, keys, around))
+                done += len(first) - 1
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start_word", "block", "keys", "around"])
+
+    cut_up = texts.mapInArrow(passages, _PASSAGES)
+    blocks = len(shared.value.widths)
+    # sorted, so that a block's reading skips the others' row groups
+    rows = written(cut_up.sortWithinPartitions("block") if blocks > 1 else cut_up, "passages")
+    out = None
+    for k, width in enumerate(shared.value.widths):
+        if width:
+            found = _matches(rows.filter(F.col("block") == k) if blocks > 1 else rows, items.part(k * block, (k + 1) * block), shared.value, k, seed)
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _matches(rows: DataFrame, items: Items, columns: Columns, block: int, seed: int) -> DataFrame:
+    """The passages of a block that hold one of its items."""
+    send, width = rows.sparkSession.sparkContext.broadcast, columns.widths[block]
+    in_rows, total = np.zeros(width), rows.count()
     for k, n in rows.select(F.explode(F.array_distinct("keys")).alias("k")).groupBy("k").count().collect():  # a row a column
         in_rows[k] = n
-    idf = spark.sparkContext.broadcast(np.log((1 + total) / (1 + in_rows)) + 1)
-    basis = latent_space(rows.select("keys"), idf, len(keys), seed)
+    weights = np.log((1 + total) / (1 + in_rows)) + 1
+    idf = send(weights)
+    basis = latent_space(rows.select("keys"), idf, width, seed)
     query = np.zeros((len(items.words), basis.shape[1]))
     for i, w in enumerate(items.words):
-        for t in w:
-            if column[t] >= 0:
-                query[i] += idf.value[column[t]] * basis[column[t]]
+        for t in w.tolist():
+            a, z = columns.first[t], columns.first[t + 1]
+            for c in columns.column[a:z][columns.block[a:z] == block].tolist():
+                query[i] += weights[c] * basis[c]
     query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((items, basis, query))
+    shared = send((items, basis, query))  # a block's items and at most thirty columns each
 
     def match(batches):
         own, space, asked = shared.value
@@ -188,23 +263,24 @@ def _leaks_of(docs: DataFrame, items: Items, seed: int = 5) -> DataFrame:
             cosine = z @ asked.T
             out = []
             docs_, starts_, around = b.column("doc_id").to_pylist(), b.column("start_word").to_pylist(), b.column("around")
+            last, there, known = -1, None, None
             for r, i in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE)), strict=True):
-                there = around[r].as_py()
-                known = set(there)
-                if sum(x in known for x in own.words[i]) < WITH_ANSWER * len(own.words[i]):
+                if r != last:
+                    last, there = r, around[r].as_py()
+                    known = set(there)
+                mine = own.words[i].tolist()
+                if sum(map(known.__contains__, mine)) < WITH_ANSWER * len(mine):
                     continue  # no subsequence can be longer than the words in common
-                share, there = closest(own.words[i], there)
+                share, stretch = closest(mine, there)
                 if share < WITH_ANSWER:
                     continue
-                answer = lcs(own.answer[i], there) / len(own.answer[i])
+                answer = lcs(own.answer[i].tolist(), stretch) / len(own.answer[i])
                 if share >= ALONE or answer >= ANSWER:
                     out.append((docs_[r], own.ids[i], starts_[r], float(cosine[r, i]), share, answer))
             columns = zip(*out, strict=True) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.float64(),) * 3, strict=True)], names=["doc_id", "item_id", "start_word", "cosine", "lcs_share", "answer_share"])
 
-    found = rows.mapInArrow(match, "doc_id long, item_id long, start_word long, cosine double, lcs_share double, answer_share double")
-    best = F.max(F.struct("lcs_share", "cosine", "answer_share", (-F.col("start_word")).alias("_s"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best._s")).alias("start_word"), "best.cosine", "best.lcs_share", "best.answer_share")
+    return rows.mapInArrow(match, "doc_id long, item_id long, start_word long, cosine double, lcs_share double, answer_share double")
 
 
 def latent(keys: pa.Array, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
@@ -220,14 +296,13 @@ def latent(keys: pa.Array, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
 
 
 def latent_space(rows: DataFrame, idf, width: int, seed: int) -> np.ndarray:
-    """Right singular vectors of the passages by randomised SVD with one power step.
+    """Right singular vectors of the passages by randomised SVD with one power step: ``RANK`` of them, or
+    as many as the rows have directions. A column that no passage has plays no part.
 
     Each task multiplies its own rows; only ``width`` or ``RANK + EXTRA`` vectors leave it.
     """
     size = min(width, RANK + EXTRA)
     omega = np.random.default_rng(seed).normal(size=(width, size))
-    if size == width:
-        return np.eye(width)
     send = rows.sparkSession.sparkContext.broadcast
     random_space = send(omega)
 
@@ -261,24 +336,28 @@ def latent_space(rows: DataFrame, idf, width: int, seed: int) -> np.ndarray:
     parts = summed(rows.mapInArrow(gram, "row long, v array<double>"))
     if not parts:
         return q[:, :RANK]
-    _, vectors = np.linalg.eigh(np.stack([parts[i] for i in range(size)]))
-    return q @ vectors[:, ::-1][:, :RANK]
+    values, vectors = np.linalg.eigh(np.stack([parts[i] for i in range(size)]))
+    values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
+    return q @ vectors[:, values > 1e-9 * values[0]]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS, read: int = READ_ITEMS) -> DataFrame:
     """``doc_id, item_id`` of the documents that hold a benchmark item, with where and how alike."""
     schema = "doc_id long, item_id long, start_word long, cosine double, lcs_share double, answer_share double"
-    out, rows = None, []
+    found, rows = None, []
     for row in [*benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator(), None]:
         if row is not None:
             rows.append((row[0], row[1]))
-        if rows and (row is None or len(rows) == block):
+        if rows and (row is None or len(rows) == read):
             items = read_items(rows)
             rows = []
-            if items.ids:
-                found = _leaks_of(docs, items)
-                out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+            part = _leaks_of(docs, items, block) if items.ids else None
+            if part is not None:
+                found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    best = F.max(F.struct("lcs_share", "cosine", "answer_share", (-F.col("start_word")).alias("_s"))).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best._s")).alias("start_word"), "best.cosine", "best.lcs_share", "best.answer_share")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

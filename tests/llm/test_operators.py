@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -351,6 +352,37 @@ def test_a_paraphrase_without_the_rarest_words_is_found(spark):
     assert decontamination.keys_of([0, 1, 2, 3, 4, 5], often) == [5, 2, 4, 1]
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_leaks_are_those_of_a_plain_search(spark, block):
+    """Paraphrases with a fifth to two fifths of the words replaced, at random or the rarest first, without other trace of the item."""
+    rng = random.Random(31)
+    common = words(rng, 60).split()
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.6 else words(rng, 1) for _ in range(n))
+    items = [(i, prose(rng.randint(16, 60))) for i in range(40)] + [(90, "solitary"), (91, "two together")]
+    rows = [(i, prose(rng.randint(20, 200))) for i in range(80)]
+    for i, text in items[:40]:
+        w = text.split()
+        n = int(len(w) * (0.2, 0.3, 0.4)[i % 3])
+        order = sorted(range(len(w)), key=lambda k: (w[k] in common, rng.random())) if i % 2 else rng.sample(range(len(w)), len(w))
+        for k in order[:n]:
+            w[k] = "replaced"
+        rows.append((1000 + i, prose(rng.randint(0, 90)) + " " + " ".join(w) + " " + prose(rng.randint(0, 90))))
+    rows += [(2000, "a Solitary, word"), (2001, "they came two together"), (2002, "together two")]
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=block).collect()}
+    read = decontamination.read_items(items)
+    number = {int(h): n for n, h in enumerate(read.terms)}
+    hashed = {d: [number.get(int(h), -1) for h in decontamination._split(t)] for d, t in rows}
+    exact = set()
+    for d, there in hashed.items():
+        for i, mine, answer in zip(read.ids, read.words, read.answer, strict=True):
+            mine, n = mine.tolist(), len(mine)
+            share, stretch = max(((decontamination.lcs(mine, there[a : a + 2 * n]) / n, there[a : a + 2 * n]) for a in range(max(1, len(there) - n))), key=lambda x: x[0])
+            if share >= decontamination.ALONE or (share >= decontamination.WITH_ANSWER and decontamination.lcs(answer.tolist(), stretch) / len(answer) >= decontamination.ANSWER):
+                exact.add((d, i))
+    assert len(exact) > 30 and {(2000, 90), (2001, 91)} <= got and got <= exact
+    assert len(got & exact) >= 0.95 * len(exact)
+
+
 def test_randomised_svd_finds_the_row_space(spark):
     rng = np.random.default_rng(3)
     rows = [(rng.choice(40, 4, replace=False) + 40 * int(g)).tolist() for g in rng.integers(0, 10, 300)]
@@ -388,7 +420,7 @@ def test_main_text_of_held_out_pages(extractor):
     pages = html_text.labelled_pages(120, seed=77)
     right = 0
     for source in pages:
-        parsed = html_text.parse(source)
+        parsed = html_text.parse(source, marked=True)
         expected = "\n".join(x for x in (" ".join("".join(p).split()) for b, p in parsed.runs if parsed.truth[b]) if x)
         right += extractor.texts([re.sub(r" data-truth='?1'?", "", source)])[0] == expected
     assert right >= 0.9 * len(pages)
@@ -406,10 +438,29 @@ def test_main_text_of_odd_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("source", ["<div>" * 200_000 + "<p>x", "<p>a</p>" + "</section>" * 200_000, "<b>" * 200_000 + "</i>" * 200_000, "<p>x<b>" * 100_000, "<ul>" * 60_000 + "<li>x" * 60_000, "<table><tr><td>" * 50_000, "<svg " + "=a" * 200_000 + " />", "<a '" * 100_000 + ">"])
+def test_hostile_pages_take_linear_time(extractor, source):
+    begin = time.monotonic()
+    extractor.texts([source])
+    assert time.monotonic() - begin < 20
+
+
+def test_attributes_and_references_of_pages_are_no_trap(extractor):
+    article = "<article><h1>Head</h1><p>{}</p></article>"
+    marked = f"<nav data-truth='1'><a href=q data-truth=\"yes\">menu</a></nav>{article.format('some words of text here')}"
+    assert extractor.texts([marked, marked.replace("data-truth", "data-other")]) == ["Head\nsome words of text here"] * 2
+    assert html_text.parse(marked).truth == [0] * len(html_text.parse(marked).truth)
+    assert extractor.texts([article.format("&#" + "9" * 9000 + "; &#000000000065; &#x00000041; &amp")]) == ["Head\n\ufffd A A &"]
+    rows = article.format("a<table><tr><td>one<td>two<tr><td>three<tbody><tr><td>four</table>")
+    assert extractor.texts([rows])[0].split() == ["Head", "a", "one", "two", "three", "four"]
+
+
 @pytest.mark.parametrize(
     "inside, kept",
     [
         ('<svg width="5"/>', ""),
+        ("<svg a=b/>x</svg>", ""),
+        ("<svg a='b'/>", ""),
         ("<svg><g><svg><text>no</text></svg><text>no</text></g></svg>", ""),
         ("<svg><svg/></svg>", ""),
         ("<svg>", ""),
