@@ -6,9 +6,13 @@ distinct vectors, and every entry of those cells is scored exactly. How many are
 beforehand: a bounded number of probe queries is searched exhaustively, and the walk is made long
 enough that its cells hold the wanted share of the true neighbours.
 
+Cells are put together into units of about ``BLOCK`` entries, and a cell with more is cut into
+several. An entry goes to its one unit, a query to the units of the cells it walked; a task holds a unit's entries
+while the queries stream past them.
+
 Nearness is the inner product in double precision. Defined results: rows without an id, and vectors that
 are null, all zero, of another length than most, or hold a null or non-finite component take no part; ties go to
-the smaller id; rows with a query's own id are never its neighbours; with fewer candidates than
+the smaller id, also between repeated rows, which are all candidates; rows with a query's own id are never its neighbours; with fewer candidates than
 asked for all are returned; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -18,7 +22,6 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +31,10 @@ from .common import fixed_sample, slots_for, table, written
 
 #: Rows the codebooks are fitted on at most, and queries searched exhaustively; dealt by a hash of the id.
 SAMPLE_ROWS, PROBES = 10_000, 100
-#: Rows of one block of entries or of queries; bounds a task's matrix.
-BLOCK = 4_096
+#: Centroids of a half grow with the root of the table, up to these: a million cells are known to the driver.
+MOST_CENTROIDS = 1_024
+#: Entries of a unit, and queries compared with one at once; they bound a task's matrix.
+BLOCK, QUERIES = 4_096, 256
 #: Share of true neighbours the walk has to reach on the probes.
 RECALL = 0.96
 TOP = 20
@@ -39,8 +44,10 @@ TOP = 20
 class Index:
     first: np.ndarray
     second: np.ndarray
-    #: distinct vectors in each cell
+    #: of each cell: distinct vectors, the unit it is in or begins, and the units it takes
     distinct: np.ndarray
+    unit: np.ndarray
+    parts: np.ndarray
 
     def codes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.first.shape[1]
@@ -57,15 +64,26 @@ def codebook(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarr
     centroids = distinct[np.random.default_rng(seed).choice(len(distinct), k, replace=False)].copy()
     for _ in range(rounds):
         at = nearest(x, centroids)
-        for j in range(k):
-            own = x[at == j]
-            if len(own):
-                centroids[j] = own.mean(0)
+        order = np.argsort(at, kind="stable")
+        here, first = np.unique(at[order], return_index=True)
+        centroids[here] = np.add.reduceat(x[order], first) / np.diff(np.append(first, len(x)))[:, None]
     return centroids
 
 
+def units(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell, by its entries: its unit (the first of several) and how many it takes."""
+    parts = np.maximum(1, -(-held // most))
+    unit, now, full = np.zeros(len(held), np.int64), 0, 0
+    for c, (n, p) in enumerate(zip(held.tolist(), parts.tolist(), strict=True)):
+        if full and full + n > most:
+            now, full = now + 1, 0
+        unit[c] = now
+        now, full = (now + p, 0) if p > 1 else (now, full + n)
+    return unit, parts
+
+
 def walk(index: Index, query: np.ndarray):
-    """Cells in order of ``query . centroid pair``, by a heap over the two sorted lists."""
+    """Numbers of the cells in order of ``query . centroid pair``, by a heap over the two sorted lists."""
     half = index.first.shape[1]
     s1, s2 = index.first @ query[:half], index.second @ query[half:]
     o1, o2 = np.argsort(-s1, kind="stable").tolist(), np.argsort(-s2, kind="stable").tolist()
@@ -73,7 +91,7 @@ def walk(index: Index, query: np.ndarray):
     heap = [(-(r1[0] + r2[0]), 0, 0)]
     while heap:
         _, a, b = heapq.heappop(heap)
-        yield o1[a], o2[b]
+        yield o1[a] * len(index.second) + o2[b]
         if a + 1 < len(o1) and b == 0:
             heapq.heappush(heap, (-(r1[a + 1] + r2[0]), a + 1, 0))
         if b + 1 < len(o2):
@@ -131,70 +149,91 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     rows = rows.filter(F.size("v") == width)
     x = np.stack(sample["v"][lengths == width].to_numpy())
     total = rows.count()
-    k = int(min(256, max(4, round((total / 50) ** 0.5))))
+    k = int(min(MOST_CENTROIDS, max(4, round((total / 50) ** 0.5))))
     half = width // 2 if width > 1 else 1
     second = codebook(x[:, half:], k) if width > 1 else np.zeros((1, 0))
-    books = spark.sparkContext.broadcast(Index(codebook(x[:, :half], k), second, np.zeros(0)))  # k centroids a half
+    none, n_second = np.zeros(0, np.int64), len(second)
+    books = Index(codebook(x[:, :half], k), second, none, none, none)
+    shared_books = spark.sparkContext.broadcast(books)  # MOST_CENTROIDS a half at most
 
     def code(batches):
         for b in batches:
-            c1, c2 = books.value.codes(matrix(b.column("v")))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(c1, pa.int32()), pa.array(c2, pa.int32())], names=["vec_id", "v", "c1", "c2"])
+            c1, c2 = shared_books.value.codes(matrix(b.column("v")))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(c1 * n_second + c2, pa.int32())], names=["vec_id", "v", "cell"])
 
-    entries = written(rows.mapInArrow(code, "vec_id long, v array<double>, c1 int, c2 int"), "entries")
+    entries = written(rows.mapInArrow(code, "vec_id long, v array<double>, cell int"), "entries")
     # copies of one vector count once, so that a hot vector cannot use up a walk
-    per_cell = entries.groupBy("c1", "c2", F.xxhash64("v").alias("h")).count().groupBy("c1", "c2").agg(F.count("*").alias("d"), F.sum("count").alias("n")).collect()
-    distinct, held = np.zeros((k, k), np.int64), np.zeros(k, np.int64)
-    for c1, c2, d, n in per_cell:  # k * k rows
-        distinct[c1, c2] = d
-        held[c1] += n
-    index = Index(books.value.first, books.value.second, distinct)
+    per_cell = entries.groupBy("cell", F.xxhash64("v").alias("h")).count().groupBy("cell").agg(F.count("*").alias("d"), F.sum("count").alias("n")).toPandas()  # k * k rows
+    distinct, held = np.zeros((2, len(books.first) * n_second), np.int64)
+    distinct[per_cell["cell"]], held[per_cell["cell"]] = per_cell["d"], per_cell["n"]
+    index = Index(books.first, books.second, distinct, *units(held, BLOCK))
     enough = walk_length(entries, index, every, top, recall)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index)  # k * k cells
+    types = "query boolean, id long, v array<double>, unit long, cells array<int>"
 
-    def plan(batches):
+    def place(batches):
+        """Each entry with its unit; each query with every unit that it walks through."""
         own = shared.value
         for b in batches:
-            ids, vs, regions, cells = [], [], [], []
-            for i, (q, v) in enumerate(zip(b.column("query_id").to_pylist(), matrix(b.column("v")), strict=True)):
-                seen, by_region = 0, {}
-                for c1, c2 in walk(own, v):
-                    if own.distinct[c1, c2]:
-                        by_region.setdefault(c1, []).append(c2)
-                        seen += int(own.distinct[c1, c2])
+            ids, vectors, cell = b.column("vec_id").to_numpy(), matrix(b.column("v")), b.column("cell").to_numpy()
+            # a cell's copies are dealt over its units by id; the parts of all other cells are one
+            unit = own.unit[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % own.parts[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), bool)), b.column("vec_id"), b.column("v"), pa.array(unit), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1), pa.int32()), b.column("cell"))], names=["query", "id", "v", "unit", "cells"])
+            at, to, walked = [], [], []
+            for i in np.flatnonzero(ids % every == 0).tolist():
+                seen, by_unit = 0, {}
+                for c in walk(own, vectors[i]):
+                    if own.distinct[c]:
+                        for u in range(own.unit[c], own.unit[c] + own.parts[c]):
+                            by_unit.setdefault(u, []).append(c)
+                        seen += int(own.distinct[c])
                         if seen >= enough:
                             break
-                for region, own_cells in by_region.items():
-                    ids.append(q)
-                    vs.append(i)
-                    regions.append(region)
-                    cells.append(own_cells)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("v").take(pa.array(vs, pa.int64())), pa.array(regions, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "v", "c1", "cells"])
-
-    asked = entries.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
-    query_blocks = max(1, -(-asked.count() // BLOCK))
-    chunks = F.element_at(F.array(*[F.lit(int(max(1, -(-n // BLOCK)))) for n in held]), F.col("c1") + 1)
-    planned = asked.repartition(slots_for(asked)).mapInArrow(plan, "query_id long, v array<double>, c1 int, cells array<int>")
-    planned = planned.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = entries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-
-    def compare(queries: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or near.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        e, ids, c2 = np.stack(near["v"].to_numpy()), near["vec_id"].to_numpy(), near["c2"].to_numpy()
-        out = []
-        for start in range(0, len(queries), 256):
-            part = queries.iloc[start : start + 256]
-            wanted = np.zeros((len(part), k), bool)
-            for i, cells in enumerate(part["cells"]):
-                wanted[i, cells] = True
-            qid = part["query_id"].to_numpy()
-            q, at, score = best_of(np.stack(part["v"].to_numpy()), qid, e, ids, wanted[:, c2], top)
-            out.append(pd.DataFrame({"query_id": qid[q], "vec_id": ids[at], "score": score}))
-        return pd.concat(out)
-
-    keys = ["c1", "chunk", "block"]
-    found = planned.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+                at += [i] * len(by_unit)
+                to += by_unit.keys()
+                walked += by_unit.values()
+                if len(at) > BLOCK:
+                    yield queries_at(b, at, to, walked)
+                    at, to, walked = [], [], []
+            yield queries_at(b, at, to, walked)
+
+    def queries_at(b, at, to, walked):
+        at = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), b.column("vec_id").take(at), b.column("v").take(at), pa.array(to, pa.int64()), pa.array(walked, pa.list_(pa.int32()))], names=["query", "id", "v", "unit", "cells"])
+
+    def compare(batches):
+        """Of each unit first its entries, held together, then its queries, as they come."""
+        now, ids, v, cell, kept = None, None, None, None, []
+        for b in batches:
+            unit, asks = b.column("unit").to_numpy(), b.column("query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((unit[1:] != unit[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)], strict=True):
+                part = b.slice(a, z - a)
+                if not part.num_rows:
+                    continue
+                if unit[a] != now:
+                    now, ids, kept = unit[a], None, []
+                if not asks[a]:
+                    kept.append(part)
+                    continue
+                if not kept:
+                    continue  # no entry fell into this part of a cell
+                if ids is None:
+                    ids = np.concatenate([x.column("id").to_numpy() for x in kept])
+                    v = np.concatenate([matrix(x.column("v")) for x in kept])
+                    cell = np.concatenate([x.column("cells").flatten().to_numpy() for x in kept])
+                for s in range(0, part.num_rows, QUERIES):
+                    some = part.slice(s, QUERIES)
+                    local, number = np.unique(cell, return_inverse=True)
+                    wanted = np.zeros((some.num_rows, len(local)), bool)
+                    for i, cells in enumerate(some.column("cells").to_pylist()):
+                        wanted[i, np.searchsorted(local, np.intersect1d(cells, local))] = True
+                    asked = some.column("id").to_numpy()
+                    q, at, score = best_of(matrix(some.column("v")), asked, v, ids, wanted[:, number], top)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[q], pa.int64()), pa.array(ids[at], pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    placed = entries.mapInArrow(place, types).repartition(slots_for(entries), "unit").sortWithinPartitions("unit", "query")
+    found = placed.mapInArrow(compare, "query_id long, vec_id long, score double")
     return ranked(found, top).select("query_id", "rank", "vec_id", "score")
 
 
@@ -207,16 +246,16 @@ def walk_length(entries: DataFrame, index: Index, every: int, top: int, recall:
 
     def exhaustive(batches):
         for b in batches:
-            ids, c1, c2 = (b.column(c).to_numpy() for c in ("vec_id", "c1", "c2"))
+            ids, cell = (b.column(c).to_numpy() for c in ("vec_id", "cell"))
             e = matrix(b.column("v"))
             for s in range(0, len(e), BLOCK):
                 q, at, score = best_of(asked, asked_ids, e[s : s + BLOCK], ids[s : s + BLOCK], None, top)
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[q]), pa.array(ids[s + at]), pa.array(score), pa.array(c1[s + at]), pa.array(c2[s + at])], names=["query_id", "vec_id", "score", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[q]), pa.array(ids[s + at]), pa.array(score), pa.array(cell[s + at])], names=["query_id", "vec_id", "score", "cell"])
 
-    true = ranked(entries.mapInArrow(exhaustive, "query_id long, vec_id long, score double, c1 int, c2 int"), top)
-    cells: dict[int, list[tuple[int, int]]] = {}
-    for r in true.select("query_id", "c1", "c2").collect():  # PROBES * top rows
-        cells.setdefault(r[0], []).append((r[1], r[2]))
+    true = ranked(entries.mapInArrow(exhaustive, "query_id long, vec_id long, score double, cell int"), top)
+    cells: dict[int, list[int]] = {}
+    for r in true.select("query_id", "cell").collect():  # PROBES * top rows
+        cells.setdefault(r[0], []).append(r[1])
     needed = []
     for i, q in enumerate(asked_ids.tolist()):
         wanted, seen = cells.get(q, []), 0
