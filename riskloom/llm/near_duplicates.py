@@ -5,14 +5,18 @@ into bands; within a bucket, signatures are compared batch by batch, and a pair
 as the posterior chance of its similarity reaching the threshold falls below the chosen miss
 probability. What survives is verified on the full sets, and verified links give the groups.
 
-A bucket of near copies is never expanded into all its pairs: one pass over the signatures names
-the members that have a surviving pair, and one over those members' full sets gives the bucket's
-verified links as a spanning forest. Large buckets are compared in blocks.
+A bucket is never expanded into all its pairs: one pass over the signatures names the members that have
+a surviving pair, and one over those members' full sets gives the bucket's verified links as a
+spanning forest. A large bucket is compared in blocks, each with the bucket's ``CENTRES``, so that near
+copies are joined by rows in proportion to their number. Where that leaves a large bucket in several
+components, the members outside its largest one are compared with all of it, in pairs of blocks; pairs of
+one component are not looked at again. So what grows faster than a bucket are members without links in it.
 
 Defined results: null, empty and white-space texts have no shingles and are linked with nothing;
-texts of fewer words than a shingle have their whole sequence as one; ties name a group by its
-smallest id; rows that share a ``doc_id`` count as one document; a row without an id is linked with its
-equals at most; extra columns are ignored.
+texts of fewer words than a shingle have their whole sequence as one; a text is read whole, at any length; ties
+name a group by its smallest id; rows that share a ``doc_id`` count as one document, with all links of
+their texts, in whatever order they come; a row without an id is linked with its equals at most; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskloom.operators.components import connected_components
 
@@ -35,8 +40,8 @@ BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 #: Signature positions compared at once, and the chance of dropping a true link at one look.
 BATCH, MISS = 32, 1e-5
-#: Members of a bucket compared in one group; larger buckets are cut into pairs of such blocks.
-BLOCK = 256
+#: Members of a bucket compared in one group, and those of a larger bucket that every block of it is compared with.
+BLOCK, CENTRES = 256, 8
 _RANDOM = np.random.default_rng(1_997)
 _FACTOR = _RANDOM.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _SHIFT = _RANDOM.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
@@ -92,22 +97,23 @@ def _sign(batches):
                 k2.append(xxhash.xxh64_intdigest(raw, 2) - 2**63)
         flat_bands = pa.array(np.concatenate(bands).ravel() if bands else [], pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), flat_bands)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), lists], names=["doc_id", "n_shingles", "k1", "k2", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), lists], names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "sig", "bands"])
 
 
-_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
 
 def _candidates(group: dict[str, np.ndarray], least: list[int]):
     """Of each member of a bucket: the later members that no look has dropped.
 
     A pair counts in the first band it shares, and where two blocks of a bucket meet only across
-    them, so each pair is looked at once over all buckets.
+    them, so each pair is looked at once over all buckets. Members of one component need no look.
     """
-    sig, bands, band, block = group["sig"], group["bands"], group["band"][0], group["block"]
+    sig, bands, band, block, part = group["sig"], group["bands"], group["band"][0], group["block"], group["part"]
     blocks_meet = group["i"][0] != group["j"][0]
     for one in range(len(sig) - 1):
         others = np.arange(one + 1, len(sig))
+        others = others[part[others] != part[one]]
         if blocks_meet:
             others = others[block[others] != block[one]]
         if band:
@@ -130,7 +136,7 @@ def surviving(group: dict[str, np.ndarray], least: list[int]) -> list[np.ndarray
     for one, others in _candidates(group, least):
         needed[one] = True
         needed[others] = True
-    return [group["node"][needed], group["block"][needed]]
+    return [group[c][needed] for c in ("node", "k1", "block", "part")]
 
 
 def linked(group: dict[str, np.ndarray], least: list[int], percent: int = PERCENT) -> list[np.ndarray]:
@@ -166,7 +172,7 @@ def _by_bucket(use, names: list[str], keep: tuple[str, ...] = ()):
     def done(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         n = t.num_rows
-        full = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "band", "block", "node")}
+        full = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "band", "block", "node", "k1", "part")}
         full["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(n, PERMUTATIONS)
         full["bands"] = t.column("bands").chunk(0).flatten().to_numpy().reshape(n, BANDS)
         if "shingles" in t.column_names:
@@ -200,19 +206,49 @@ def _by_bucket(use, names: list[str], keep: tuple[str, ...] = ()):
     return run
 
 
-def bucket_members(classes: DataFrame) -> DataFrame:
-    """``key, i, j, band, block, node`` of buckets with two classes or more; ``i, j`` are the blocks compared."""
-    bands = classes.select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    member = bands.join(written(shared, "buckets"), "key")
+def bucket_members(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, band, node, k1`` of buckets with two classes or more, and of the buckets ``key, n, centres``."""
+    bands = classes.select("node", "k1", F.posexplode("bands").alias("band", "key"))
+    lot = F.xxhash64("node", "k1", "key")
+    centre = lambda r: F.min(F.when(F.pmod(lot, F.lit(CENTRES)) == r, F.struct(lot.alias("lot"), "node", "k1")))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.array_compact(F.array(*map(centre, range(CENTRES)))).alias("centres")).filter("n > 1")
+    # only large buckets have use of centres
+    shared = written(shared.withColumn("centres", F.when(F.col("n") > BLOCK, F.col("centres"))), "buckets")
+    return bands.join(shared.select("key", "n"), "key").withColumn("band", F.col("band").cast("long")), shared
+
+
+_ROW = ("key", "i", "j", "band", "block", "node", "k1", "part")
+
+
+def first_look(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """Small buckets whole, large ones in blocks with the centres in each; every class is a part of its own."""
     blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    return member.select("*", own.alias("block"), F.explode(pairs).alias("_p")).select("key", "_p.i", "_p.j", F.col("band").cast("long"), "block", "node")
+    # a member of a large bucket that is a centre as well meets itself, which is no pair
+    own = members.withColumn("i", F.pmod(F.xxhash64("node", "k1"), blocks))
+    large = shared.filter(F.col("n") > BLOCK)
+    band = members.groupBy("key").agg(F.first("band").alias("band"))
+    centres = large.select("key", "n", F.explode("centres").alias("c")).join(band, "key").select("key", "band", "c.node", "c.k1", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"))
+    rows = own.select("key", "band", "node", "k1", "i").unionByName(centres)
+    return rows.withColumns({"j": F.col("i"), "block": F.col("i"), "part": F.col("node")}).select(*_ROW)
+
+
+def second_look(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of large buckets in several components: those outside the largest one, each with all the others."""
+    large = members.filter(F.col("n") > BLOCK).join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    parts = large.groupBy("key", "part").agg(F.count("*").alias("m"))
+    most = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    some = large.drop("n").join(most.select("key", "n", F.col("top.part").alias("most"), F.col("top.m").alias("m")), "key")
+    inside, outside = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("n") - F.col("m")) / BLOCK)
+    within = F.col("part") == F.col("most")
+    lot = F.xxhash64("node", "k1")
+    block = F.when(within, F.pmod(lot, inside)).otherwise(inside + F.pmod(lot, outside))
+    first, last = F.when(within, inside).otherwise(F.lit(0).cast("long")), inside + outside - 1
+    meets = F.transform(F.sequence(first, last), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    return some.withColumn("block", block).withColumn("_p", F.explode(meets)).select("key", "_p.i", "_p.j", "band", "block", "node", "k1", "part")
 
 
 def _together(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node", "k1")
 
 
 def marked(ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
@@ -231,32 +267,76 @@ def maybe_in(rows: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node, shingles`` (sorted 8-byte hashes) of the documents named in ``ids(node)``."""
+    """``node, k1, shingles`` (sorted 8-byte hashes) of the texts named in ``ids(node, k1)``."""
 
     def build(batches):
         for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), WIDTH)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
-
-    texts = maybe_in(text_rows(docs).withColumnRenamed("doc_id", "node"), ids).join(ids, "node", "left_semi")
-    return texts.mapInArrow(build, "node long, shingles binary").dropDuplicates(["node"])
+            raw = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), WIDTH)]
+            k1 = [xxhash.xxh64_intdigest(r, 1) - 2**63 for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(k1, pa.int64()), pa.array(raw, pa.binary())], names=["node", "k1", "shingles"])
+
+    texts = maybe_in(text_rows(docs).withColumnRenamed("doc_id", "node"), ids)
+    return texts.mapInArrow(build, "node long, k1 long, shingles binary").join(ids, ["node", "k1"], "left_semi").dropDuplicates(["node", "k1"])
+
+
+def verified_links(docs: DataFrame, sketch: DataFrame, rows: DataFrame) -> DataFrame:
+    """``src, dst`` of the rows of buckets: pairs that survive the looks and pass on the full sets."""
+    least = "key long, i long, j long, band long, node long, k1 long, block long, part long"
+    compared = _together(rows.join(sketch, ["node", "k1"]))
+    needed = written(compared.mapInArrow(_by_bucket(surviving, ["node", "k1", "block", "part"], ("key", "i", "j", "band")), least), "needed")
+    ids = written(needed.select("node", "k1").distinct(), "ids")
+    full = written(sketch.join(ids, ["node", "k1"], "left_semi").join(shingle_table(docs, ids), ["node", "k1"]), "full")
+    return _together(needed.join(full, ["node", "k1"])).mapInArrow(_by_bucket(linked, ["src", "dst"]), "src long, dst long")
+
+
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, text_hash, n_shingles, k1, k2``, and of each class of equal sets ``k1, k2, component_id``."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
+    signed = written(rows.mapInArrow(_sign, _SIGNED), "signed")
+    some = signed.filter("n_shingles > 0")
+    classes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first(F.struct("sig", "bands")).alias("s")).select("k1", "k2", "node", "s.*"), "classes")
+    known = classes.filter("node IS NOT NULL")
+    sketch = known.select("node", "k1", "sig", "bands")
+    members, shared = bucket_members(known)
+    links = verified_links(docs, sketch, first_look(members, shared))
+    # an id with several texts ties their classes together
+    several = some.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("doc_id")
+    tied = some.select("doc_id", "k1", "k2").join(several, "doc_id").join(known.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
+    links = written(links.unionByName(tied), "links")
+    labels = connected_components(links)
+    if not shared.filter(F.col("n") > BLOCK).isEmpty():
+        more = written(verified_links(docs, sketch, second_look(members, labels)), "links")
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
+    named = classes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
+    return signed.drop("sig", "bands"), written(named, "named")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    signed = written(text_rows(docs).mapInArrow(_sign, _SIGNED), "signed")
-    classes = written(signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("s")).select("k1", "k2", "rep", "s.*"), "classes")
-    sketch = classes.select(F.col("rep").alias("node"), "sig", "bands")
-    compared = _together(bucket_members(classes).join(sketch, "node"))
-    needed = written(compared.mapInArrow(_by_bucket(surviving, ["node", "block"], ("key", "i", "j", "band")), "key long, i long, j long, band long, node long, block long"), "needed")
-    ids = written(needed.select("node").distinct(), "ids")
-    full = written(sketch.join(ids, "node", "left_semi").join(shingle_table(docs, ids), "node"), "full")
-    links = _together(needed.join(full, "node")).mapInArrow(_by_bucket(linked, ["src", "dst"]), "src long, dst long")
-    labels = connected_components(links)
-    named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(written(named, "named"), ["k1", "k2"], "left")
+    rows, named = classified(docs)
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each group the row with the smallest id, and of several such rows one; all columns as they are.
+
+    Of rows that have one id the one with the smallest hash of its text is taken, of equal ones the one with the
+    smallest hash of the other columns. Rows without an id are equal where their sets are. A row without
+    shingles is alone, but for repeated rows: of equal empty rows with one id, or of those without an id, one stays.
+    """
+    rows, named = classified(docs)
+    held = rows.join(named, ["k1", "k2"], "left")
+    group = F.when(F.col("n_shingles") == 0, F.struct(F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b")))
+    group = group.when(F.col("component_id").isNull(), F.struct(F.lit(1).alias("kind"), F.col("k1").alias("a"), F.col("k2").alias("b")))
+    group = group.otherwise(F.struct(F.lit(2).alias("kind"), F.col("component_id").alias("a"), F.lit(0).cast("long").alias("b")))
+    key = lambda c: F.struct(F.col(c).isNull().alias("_n"), F.coalesce(c, F.lit(0).cast("long")).alias("_i"), F.col("text_hash").alias("_t"))
+    first = held.groupBy(group.alias("g")).agg(F.min(key("doc_id")).alias("k")).select("k.*")
+    chosen = written(first.distinct(), "chosen")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("_n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_i"), F.xxhash64("text").alias("_t"))
+    nth = F.row_number().over(Window.partitionBy("_n", "_i", "_t").orderBy(F.xxhash64("row")))
+    return whole.join(chosen, ["_n", "_i", "_t"], "left_semi").withColumn("_r", nth).filter("_r = 1").select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
