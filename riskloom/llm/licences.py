@@ -1,13 +1,13 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line and sentence of a file, and every window of words as long as a template, line ends or not,
-is compared with licence statements, names and sentences of licence texts; words are weighted by how rare
-they are over all files. A file that is mostly such places, or is named like one, is a licence file and
+Every line and sentence of a file, the file as a whole, and every window of words as long as a template, line
+ends or not, is compared with licence statements, names, notices and whole licence texts; words are weighted
+by how rare they are over all files. A file that is mostly such places, or is named like one, is a licence file and
 speaks for its directory. A file without a licence of its own takes that of its nearest ancestor
 directory that has one, by joins on paths.
 
-Defined results: null and empty texts have no licence of their own; a null path has no
-directories; ties between templates go to the longer one, then, as between a
+Defined results: null and empty texts have no licence of their own; a text is read whole, at any length; a
+null path has no directories; ties between templates go to the longer one, then, as between a
 directory's licence files, to the smaller name;
 repeated rows are separate files; an empty table gives no rows; extra columns are ignored.
 """
@@ -15,7 +15,6 @@ repeated rows are separate files; an empty table gives no rows; extra columns ar
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +63,25 @@ TEXTS = {
 }
 #: Short forms, which have to be there word by word: a near one names another licence or none.
 EXACT = {n: [f"SPDX-License-Identifier: {n}", f"Released under {n}", f"Licensed under {n}", f"Released under the {n} license", f"Licensed under the {n} license", *([n] if "-" in n else [f"{n} license"])] for n in TEMPLATES}
-COSINE, WORD_BY_WORD, MOSTLY = 0.7, 0.999, 0.5
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details. You should have received a copy of the GNU {name} General Public License along with this program."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Whole texts of short licences, and the notices that long ones ask for.
+BODIES = {
+    "AGPL-3.0": [_GNU.format(name="Affero", version=3)],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
+    "BSD-2-Clause": [_BSD.format(third="")],
+    "BSD-3-Clause": [_BSD.format(third="3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "GPL-2.0": [_GNU.format(name="", version=2).replace("software: you", "software; you")],
+    "GPL-3.0": [_GNU.format(name="", version=3)],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "LGPL-3.0": [_GNU.format(name="Lesser", version=3)],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain."],
+}
+COSINE, BODY, WORD_BY_WORD, MOSTLY = 0.7, 0.8, 0.999, 0.5
+#: Templates of more words are bodies.
+LONG = 48
 #: Characters of text compared at once; a longer text is compared alone.
 GROUP = 1 << 19
 LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
@@ -83,7 +100,7 @@ def _spelt(text: str) -> str:
 
 def statements() -> tuple[list[str], list[np.ndarray], np.ndarray]:
     """Names, words and least cosines of all templates."""
-    kinds = ((TEMPLATES, COSINE), (TEXTS, COSINE), (EXACT, WORD_BY_WORD))
+    kinds = ((TEMPLATES, COSINE), (TEXTS, COSINE), (BODIES, BODY), (EXACT, WORD_BY_WORD))
     rows = sorted({(name, s, least) for table_, least in kinds for name in table_ for s in table_[name]})
     return [n for n, _, _ in rows], [_words(s) for _, s, _ in rows], np.array([x for _, _, x in rows])
 
@@ -97,20 +114,56 @@ class Matcher:
         idf = np.log((1 + lines) / (1 + np.minimum(counts, lines))) + 1
         self.unknown = float(np.log(1 + lines) + 1)
         self.idf = np.append(idf, 0.0)  # the last, -1, is a word of no template
-        self.rows = np.zeros((len(words), len(terms) + 1))
-        for i, w in enumerate(words):
-            for t, n in Counter(np.searchsorted(terms, w).tolist()).items():
-                self.rows[i, t] = n * idf[t]
-        self.rows /= np.linalg.norm(self.rows, axis=1, keepdims=True)
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []  # of each template its terms and their weights
+        for w in words:
+            t, n = np.unique(np.searchsorted(terms, w), return_counts=True)
+            self.rows.append((t, n * idf[t] / np.linalg.norm(n * idf[t])))
+        owner = np.repeat(np.arange(len(words)), [len(t) for t, _ in self.rows])
+        flat = np.concatenate([t for t, _ in self.rows])
+        order = np.argsort(flat, kind="stable")
+        self.first = np.searchsorted(flat[order], np.arange(len(terms) + 1))
+        self.of, self.weight = owner[order], np.concatenate([w for _, w in self.rows])[order]
+
+    def weights(self, i: int, numbers: np.ndarray) -> np.ndarray:
+        """Weight of each word in template ``i``."""
+        t, w = self.rows[i]
+        at = np.minimum(np.searchsorted(t, numbers), len(t) - 1)
+        return np.where(t[at] == numbers, w[at], 0.0)
+
+    def all_cosines(self, numbers: np.ndarray) -> np.ndarray:
+        """Of one stretch with every template: the postings of its words alone are read."""
+        t, n = np.unique(numbers[numbers >= 0], return_counts=True)
+        v = n * self.idf[t]
+        norm = np.sqrt((v**2).sum() + int((numbers < 0).sum()) * self.unknown**2)
+        many = self.first[t + 1] - self.first[t]
+        at = np.arange(many.sum()) + np.repeat(self.first[t] - np.cumsum(many) + many, many)
+        return np.bincount(self.of[at], self.weight[at] * np.repeat(v, many), len(self.rows)) / max(norm, 1e-12)
 
     def cosines(self, numbers: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Of rows of equally many words with the templates ``which``."""
         idf = self.idf[numbers]
         times = (numbers[:, :, None] == numbers[:, None, :]).sum(2)
         norm = np.sqrt((idf**2 * times).sum(1) + self.unknown**2 * (numbers < 0).sum(1))
-        dots = np.stack([(self.rows[i][numbers] * idf).sum(1) for i in which.tolist()], 1)
+        dots = np.stack([(self.weights(i, numbers) * idf).sum(1) for i in which.tolist()], 1)
         return dots / np.maximum(norm, 1e-12)[:, None]
 
+    def body_places(self, numbers: np.ndarray, owner: np.ndarray):
+        """Windows as long as a body: a bound of the cosine by running sums everywhere, the cosine where it is highest."""
+        square = np.concatenate([[0.0], np.cumsum(np.where(numbers < 0, self.unknown**2, self.idf[numbers] ** 2))])
+        for i in np.flatnonzero(self.sizes > LONG).tolist():
+            size = int(self.sizes[i])
+            if len(numbers) < size:
+                continue
+            dot = np.concatenate([[0.0], np.cumsum(self.weights(i, numbers) * self.idf[numbers])])
+            bound = (dot[size:] - dot[:-size]) / np.sqrt(np.maximum(square[size:] - square[:-size], 1e-12))
+            a = np.flatnonzero((bound >= self.least[i]) & (owner[: len(bound)] == owner[size - 1 :]))
+            for run in np.split(a, np.flatnonzero(np.diff(a) > 1) + 1) if len(a) else []:
+                for part in np.array_split(run, -(-len(run) // size)):
+                    best = int(part[bound[part].argmax()])
+                    cosine = float(self.all_cosines(numbers[best : best + size])[i])
+                    if cosine >= self.least[i]:
+                        yield best, best + size, cosine, i
+
     def places(self, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray):
         """``start, end, cosine, template`` of the stretches given, and of all windows as long as a template."""
         weight = np.concatenate([[0.0], np.cumsum(self.idf[numbers])])
@@ -120,14 +173,12 @@ class Matcher:
             known = weight[z] - weight[a]
             return (known > 0) & (known**2 * (1 - COSINE**2) >= (COSINE * self.unknown) ** 2 * (other[z] - other[a]) * (1 - 1e-9))
 
-        everything = np.arange(len(self.names))
         some = near(starts, ends)
         for a, z in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
-            known = np.bincount(numbers[a:z][numbers[a:z] >= 0], minlength=self.rows.shape[1]) * self.idf
-            norm = np.sqrt((known**2).sum() + int(other[z] - other[a]) * self.unknown**2)
-            cosine = self.rows @ known / max(norm, 1e-12)
-            yield from ((a, z, c, i) for c, i in zip(cosine.tolist(), everything.tolist(), strict=True) if c >= self.least[i])
-        for size in np.unique(self.sizes).tolist():
+            cosine = self.all_cosines(numbers[a:z])
+            yield from ((a, z, float(cosine[i]), i) for i in np.flatnonzero(cosine >= self.least).tolist())
+        yield from self.body_places(numbers, owner)
+        for size in np.unique(self.sizes[self.sizes <= LONG]).tolist():
             which = np.flatnonzero(self.sizes == size)
             a = np.arange(max(0, len(numbers) - size + 1))
             a = a[owner[a] == owner[a + size - 1]] if len(a) else a
@@ -196,7 +247,8 @@ def own_licences(files: DataFrame) -> DataFrame:
                 begins = np.flatnonzero(np.diff(line_of, prepend=-1))  # of each line the first sentence
                 whole = (starts[begins], ends[np.append(begins[1:], len(sizes)) - 1])
                 several = np.diff(np.append(begins, len(sizes))) > 1
-                starts, ends = np.concatenate([starts, whole[0][several]]), np.concatenate([ends, whole[1][several]])
+                files = np.flatnonzero(np.diff(np.array(owner_of), prepend=-1))  # of each text the first sentence
+                starts, ends = np.concatenate([starts, whole[0][several], starts[files]]), np.concatenate([ends, whole[1][several], ends[np.append(files[1:], len(sizes)) - 1]])
                 covered = np.zeros(len(numbers), bool)
                 for a, z, cosine, template in own.places(numbers, starts, ends, owner):
                     covered[a:z] = True
