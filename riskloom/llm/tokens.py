@@ -6,12 +6,14 @@ the merges. White space never lies inside a pre-token, so a text may be cut ther
 pre-token is settled once per worker.
 
 Defined results: a null or empty text has no tokens; texts with the separators 0x1C-0x1F, which
-the two notions of white space treat differently, are encoded by the library as a whole; other
-columns of the input are not looked at; repeated rows are counted row by row.
+the two notions of white space treat differently, are encoded by the library as a whole; a text is counted
+whole, at any length; an empty table gives no rows; other columns of the input are not looked at; repeated
+rows are counted row by row; a vocabulary that normalises or splits in another way is refused.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
+#: Fixed value: the split of the vocabularies that the shortcut holds for.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pre-tokens a worker remembers before it starts anew; bounds its memory, not what is counted.
 REMEMBERED = 300_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -43,6 +47,17 @@ def load(name: str):
     return Tokenizer.from_file(vocabulary_path(name))
 
 
+def checked(name: str):
+    """The library, if the vocabulary lowers its text and splits it as ``_PIECES`` does; others would get other ids."""
+    tokenizer = load(name)
+    parts = json.loads(tokenizer.to_str())
+    steps = [s["type"] for s in (parts["normalizer"] or {}).get("normalizers", [])]
+    splits = [s["pattern"].get("Regex") for s in (parts["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split"]
+    if steps != ["NFC", "Replace", "Lowercase"] or splits != [SPLIT] or parts["model"].get("end_of_word_suffix") != "</w>":
+        raise ValueError(f"{name} does not normalise and split its text like {VOCABULARY}")
+    return tokenizer
+
+
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -52,7 +67,7 @@ def byte_alphabet() -> dict[str, int]:
 
 def prove_whole_tokens(name: str = VOCABULARY) -> dict[str, int]:
     """Strings of the vocabulary that the library encodes, alone, as exactly one token."""
-    tokenizer, alphabet, strings = load(name), byte_alphabet(), []
+    tokenizer, alphabet, strings = checked(name), byte_alphabet(), []
     for entry in tokenizer.get_vocab(with_added_tokens=False):
         word = entry.removesuffix("</w>")
         try:
