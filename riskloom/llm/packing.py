@@ -6,7 +6,8 @@ near-equal windows: two partial partitions are merged with opposing imbalances,
 lightest, until one is left. If a window then exceeds the capacity, the group gets one window more.
 
 Defined results: a null or empty text is a document of its end id alone; an empty table gives no
-pieces; repeated and null ``doc_id`` values are separate documents; other columns are ignored.
+pieces; a text is packed whole, at any length; repeated rows and null ``doc_id`` values are separate documents;
+equal sizes are taken in the order of their rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ WINDOW = 4096
 END_ID = 2
 #: Windows that one group fills; bounds the memory and time of a task at any input size.
 GROUP_WINDOWS = 128
-#: Longest piece of what is left over; shorter pieces level out better.
+#: Longest piece of what is left over. A rest that would fit a window is cut too: the best partition of pieces
+#: as long as half a window leaves windows a third empty, that of short ones near-equal windows.
 REST_PIECE = 512
 
 

@@ -6,9 +6,10 @@ the mean over its words, joined by a marker for each word that repeats the one b
 two labels, trained by stochastic gradient descent in numpy on a bounded sample of labelled rows.
 The document mean is linear, so scoring needs one number for each distinct word.
 
-Defined results: a null or empty text scores by the bias alone; repeated rows are scored row by
-row; labels that are null are not learned from; with no labels at all every score is 0.5; other
-columns are never inputs of a score.
+Defined results: a null or empty text scores by the bias alone; a text is scored whole, at any length; repeated
+rows are scored row by row, and of rows or labels that repeat an id one is learned from; labels that are null
+are not learned from; with no labels at all every score is 0.5; a score at the threshold is accepted; an empty
+table gives no rows; other columns are never inputs of a score.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ versioned map says which shard a slot belongs to; data moves only when the map i
 that is hot (one key with many rows) is split into parts, so no key has to fit one shard.
 
 Defined results: a null text has size 16 and the checksum of the empty text; a null key is a key
-like any other; repeated rows are separate records; an empty table has an empty map of slots with
+like any other; repeated rows are separate records; equal slots are dealt in the order of their numbers; an empty table has an empty map of slots with
 no rows; extra columns are dropped from the assignment.
 """
 
