@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but the
 last return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder
 before the next one reads them, so a lost executor costs a task and not the pipeline.
+
+Defined results of every stage: a null or empty text is a document without words, which the classifier scores by its
+bias, the copies leave alone (of repeated rows one stays), no benchmark item is in, and packing gives its end id;
+texts are read whole, at any length; of equal candidates the smaller id stays; repeated rows are judged alike; an
+empty table gives no rows; columns beside ``doc_id`` and ``text`` pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    copies = near_duplicates.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate group, that with the smallest id; of its repeated rows one."""
+    return near_duplicates.one_of_each(docs)
 
 
 def clear_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,9 @@ def private_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """All documents, personal data replaced by its kind."""
     weights = pii.learn(pii.training_texts(docs))
     masked = docs.withColumn("text", pii.redaction(spark, weights, F.col("text")))
-    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
