@@ -2,7 +2,7 @@
 
 Documents are read as overlapping passages of words. A passage is a row of a sparse TF-IDF matrix
 whose columns are, of every benchmark item, the words that are rarest in the corpus, and so many of
-them that any match keeps ``LEAST_KEYS`` in one of its passages (see ``keys_of``). Items are taken in
+them that any match keeps a number of them (see ``keys_of``); passages with fewer of every item are no rows. Items are taken in
 blocks with as many latent dimensions as items: a randomised SVD of a block's rows, each product
 summed over the tasks, gives its latent space; items and passages are compared there by cosine.
 Candidates pass a longest-common-subsequence check against the item's words, and weaker ones an
@@ -33,17 +33,20 @@ from pyspark.sql import functions as F
 from .common import table, text_rows, written
 from .shingles import byte_chunks, hashed_words
 
-#: Words between passages; a passage is two strides long, and a match is checked one stride further each way.
-STRIDE = 32
-#: Distinct columns a passage needs to be a row.
-LEAST_KEYS = 2
+#: Words between passages; a passage is two strides long, so that any stretch of a stride lies in one; a match is
+#: checked ``MARGIN`` words further each way.
+STRIDE, MARGIN = 64, 32
+#: Columns an item has beyond those that a match can lack.
+SPARE_KEYS = 6
 #: Latent dimensions, and the extra ones of the random projection.
 RANK, EXTRA = 256, 16
-COSINE = 0.35
+COSINE = 0.25
 #: Shares of an item's words: enough alone; enough with this share of the answer.
 ALONE, WITH_ANSWER, ANSWER = 0.75, 0.6, 0.6
 #: Items (or segments of long ones) of one latent space, and those that one reading of the texts serves.
 BLOCK_ITEMS, READ_ITEMS = RANK, 50_000
+#: Passages multiplied at once.
+ROWS = 256
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 256)]] = False
 
@@ -62,15 +65,20 @@ class Items:
 
 
 @dataclass(frozen=True)
-class Columns:
-    """Columns of all blocks: those of term ``t`` are at ``first[t]:first[t + 1]``, numbered within their block."""
+class Keys:
+    """Which items have a term as key, how many of them a match keeps, and the terms' columns in the blocks.
+
+    What belongs to term ``t`` is at ``first[t]:first[t + 1]``.
+    """
 
     first: np.ndarray
+    item: np.ndarray
+    need: np.ndarray
+    column_first: np.ndarray
     block: np.ndarray
     column: np.ndarray
-    #: is it the one column of some item?
-    lone: np.ndarray
     widths: list[int]
+    block_items: int
 
 
 def _split(text: str) -> np.ndarray:
@@ -78,7 +86,7 @@ def _split(text: str) -> np.ndarray:
 
 
 def read_items(rows: list[tuple[int, str | None]]) -> Items:
-    """Long items are cut into segments of at most two strides, each a query of its own."""
+    """Long items are cut into segments of at most a stride, each a query of its own."""
     ids, words, answers = [], [], []
     for item, text in rows:
         hashed = _split(text or "")
@@ -86,7 +94,7 @@ def read_items(rows: list[tuple[int, str | None]]) -> Items:
             continue
         sentences = [s for s in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if len(_split(s))]
         last = _split(sentences[-1]) if sentences else hashed
-        n = -(-len(hashed) // (2 * STRIDE))
+        n = -(-len(hashed) // STRIDE)
         for part in np.array_split(hashed, n):
             ids.append(item)
             words.append(part)
@@ -135,57 +143,63 @@ def summed(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r[0]: np.array(r[1]) for r in parts.groupBy("row").applyInPandas(add, "row long, v array<double>").collect()}
 
 
-def keys_of(words: Sequence[int], often: np.ndarray) -> list[int]:
-    """Rarest words of an item among those of the corpus: so many that ``LEAST_KEYS`` of any match lie in one passage.
+def keys_of(words: Sequence[int], often: np.ndarray) -> tuple[list[int], int]:
+    """Rarest words of an item among those of the corpus, and how many of them any match keeps.
 
-    A match lacks at most ``missing`` words. What it keeps lies in a stretch of twice the item's length,
-    which every second passage covers without overlap: of more keys than these passages times
-    ``LEAST_KEYS - 1``, one of them holds ``LEAST_KEYS``.
+    A match lacks at most ``missing`` words, those that the corpus lacks among them, and lies in one
+    passage, having no more words than a stride. A number beyond all means that nothing can match.
     """
-    missing = len(words) - int(np.ceil(WITH_ANSWER * len(words)))
-    passages = -(-2 * len(words) // (2 * STRIDE)) + 1
-    most = missing + passages * (LEAST_KEYS - 1) + 1
-    return sorted({t for t in map(int, words) if often[t]}, key=lambda t: (often[t], t))[:most]
+    missing = len(words) - int(np.ceil(WITH_ANSWER * len(words))) - sum(not often[t] for t in words)
+    keys = sorted({t for t in map(int, words) if often[t]}, key=lambda t: (often[t], t))[: max(0, missing) + SPARE_KEYS]
+    return keys, max(1, len(keys) - missing)
+
+
+def all_keys(items: Items, often: np.ndarray, block: int) -> Keys:
+    chosen = [keys_of(w, often) for w in items.words]
+    pairs = sorted((t, i) for i, (keys, _) in enumerate(chosen) for t in keys)
+    term, item = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    columns = sorted({(t, i // block) for t, i in pairs})
+    widths, own = [0] * -(-len(items.ids) // block), []
+    for _, b in columns:
+        own.append(widths[b])
+        widths[b] += 1
+    every = np.arange(len(items.terms) + 1)
+    column_term = np.array([t for t, _ in columns], np.int64)
+    return Keys(np.searchsorted(term, every), item, np.array([n for _, n in chosen]), np.searchsorted(column_term, every), np.array([b for _, b in columns], np.int64), np.array(own, np.int64), widths, block)
 
 
-def columns_of(items: Items, often: np.ndarray, block: int) -> Columns:
-    found: dict[tuple[int, int], bool] = {}
-    for i, w in enumerate(items.words):
-        keys = keys_of(w, often)
-        for t in keys:
-            found[t, i // block] = found.get((t, i // block), False) or len(keys) < LEAST_KEYS
-    pairs = sorted(found)
-    widths = [0] * (-(-len(items.ids) // block))
-    own = np.zeros(len(pairs), np.int64)
-    for n, (_, b) in enumerate(pairs):
-        own[n] = widths[b]
-        widths[b] += 1
-    term = np.array([t for t, _ in pairs], np.int64)
-    return Columns(np.searchsorted(term, np.arange(len(items.terms) + 1)), np.array([b for _, b in pairs], np.int64), own, np.array([found[p] for p in pairs], bool), widths)
+def _spread(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each term its places in a table by ``first``: which of ``terms``, and where."""
+    n = first[terms + 1] - first[terms]
+    return np.repeat(np.arange(len(terms)), n), np.arange(n.sum()) + np.repeat(first[terms] - np.cumsum(n) + n, n)
 
 
-def passages_of(numbers: np.ndarray, first: np.ndarray, columns: Columns):
-    """``text, window, block, keys`` of the passages with ``LEAST_KEYS`` columns of one block, or an item's only one."""
+def passages_of(numbers: np.ndarray, first: np.ndarray, keys: Keys):
+    """``text, window, block, columns`` of the passages that hold enough keys of an item of the block."""
     hits = np.flatnonzero(numbers >= 0)
-    a, z = columns.first[numbers[hits]], columns.first[numbers[hits] + 1]
-    hits, a, n = np.repeat(hits, z - a), np.repeat(a, z - a), z - a
+    hits = hits[keys.first[numbers[hits] + 1] > keys.first[numbers[hits]]]
     if not len(hits):
         return
-    at = a + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
     text = np.searchsorted(first, hits, "right") - 1
-    window = (hits - first[text]) // STRIDE
-    windows, blocks, total = int(window.max()) + 1, len(columns.widths), len(columns.block)
-    place = (text * windows + window) * blocks + columns.block[at]
-    again = window > 0  # every word but the first stride's lies in two passages
-    place, at = np.concatenate([place, place[again] - blocks]), np.concatenate([at, at[again]])
-    pair, times = np.unique(place * total + at, return_counts=True)
-    place, at = pair // total, pair % total
-    begins = np.flatnonzero(np.diff(place, prepend=-1))
-    sizes = np.diff(np.append(begins, len(place)))
-    for g in np.flatnonzero((sizes >= LEAST_KEYS) | np.logical_or.reduceat(columns.lone[at], begins)).tolist():
-        own = slice(begins[g], begins[g] + sizes[g])
-        rest, block = divmod(int(place[own.start]), blocks)
-        yield *divmod(rest, windows), block, np.repeat(columns.column[at[own]], times[own])
+    window, terms = (hits - first[text]) // STRIDE, len(keys.first)
+    windows, blocks = int(window.max()) + 1, len(keys.widths)
+    place, again = text * windows + window, window > 0  # every word but the first stride's lies in two passages
+    pair, times = np.unique(np.concatenate([place, place[again] - 1]) * terms + numbers[np.concatenate([hits, hits[again]])], return_counts=True)
+    place, term = pair // terms, pair % terms
+    of, at = _spread(keys.first, term)
+    cell, n = np.unique(place[of] * len(keys.need) + keys.item[at], return_counts=True)
+    cell = cell[n >= keys.need[cell % len(keys.need)]]
+    wanted = np.unique(cell // len(keys.need) * blocks + cell % len(keys.need) // keys.block_items)
+    some = np.isin(place, wanted // blocks)
+    place, term, times = place[some], term[some], times[some]
+    of, at = _spread(keys.column_first, term)
+    group = place[of] * blocks + keys.block[at]
+    order = np.argsort(group, kind="stable")
+    group, column, times = group[order], keys.column[at][order], times[of][order]
+    a, z = np.searchsorted(group, wanted, "left"), np.searchsorted(group, wanted, "right")
+    for g, i, j in zip(wanted.tolist(), a.tolist(), z.tolist(), strict=True):
+        rest, block = divmod(g, blocks)
+        yield *divmod(rest, windows), block, np.repeat(column[i:j], times[i:j])
 
 
 _PASSAGES = "doc_id long, start_word long, block int, keys array<int>, around array<int>"
@@ -207,7 +221,7 @@ def _leaks_of(docs: DataFrame, items: Items, block: int, seed: int = 5) -> DataF
     often = np.zeros(len(items.terms), np.int64)
     for term, n in texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         often[term] = n
-    shared = spark.sparkContext.broadcast(columns_of(items, often, block))  # some thirty columns an item
+    shared = spark.sparkContext.broadcast(all_keys(items, often, block))  # at most a stride of keys an item
 
     def passages(batches):
         own = shared.value
@@ -218,7 +232,7 @@ def _leaks_of(docs: DataFrame, items: Items, block: int, seed: int = 5) -> DataF
             for numbers, first in _numbered(b.column("text").to_pylist(), terms.value):
                 for text, window, part, keys in passages_of(numbers, first, own):
                     a = first[text]
-                    around = numbers[a + max(0, window - 1) * STRIDE : min(a + (window + 3) * STRIDE, first[text + 1])]
+                    around = numbers[a + max(0, window * STRIDE - MARGIN) : min(a + (window + 2) * STRIDE + MARGIN, first[text + 1])]
                     out.append((ids[done + text], window * STRIDE, part, keys, around))
                 done += len(first) - 1
             columns = zip(*out, strict=True) if out else [[]] * 5
@@ -237,9 +251,9 @@ def _leaks_of(docs: DataFrame, items: Items, block: int, seed: int = 5) -> DataF
     return out
 
 
-def _matches(rows: DataFrame, items: Items, columns: Columns, block: int, seed: int) -> DataFrame:
+def _matches(rows: DataFrame, items: Items, keys: Keys, block: int, seed: int) -> DataFrame:
     """The passages of a block that hold one of its items."""
-    send, width = rows.sparkSession.sparkContext.broadcast, columns.widths[block]
+    send, width = rows.sparkSession.sparkContext.broadcast, keys.widths[block]
     in_rows, total = np.zeros(width), rows.count()
     for k, n in rows.select(F.explode(F.array_distinct("keys")).alias("k")).groupBy("k").count().collect():  # a row a column
         in_rows[k] = n
@@ -249,16 +263,16 @@ def _matches(rows: DataFrame, items: Items, columns: Columns, block: int, seed:
     query = np.zeros((len(items.words), basis.shape[1]))
     for i, w in enumerate(items.words):
         for t in w.tolist():
-            a, z = columns.first[t], columns.first[t + 1]
-            for c in columns.column[a:z][columns.block[a:z] == block].tolist():
+            a, z = keys.column_first[t], keys.column_first[t + 1]
+            for c in keys.column[a:z][keys.block[a:z] == block].tolist():
                 query[i] += weights[c] * basis[c]
     query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-12)
-    shared = send((items, basis, query))  # a block's items and at most thirty columns each
+    shared = send((items, basis, query))  # a block's items and at most a stride of columns each
 
     def match(batches):
         own, space, asked = shared.value
         for b in batches:
-            z = latent(b.column("keys"), idf.value, space)
+            z = np.concatenate([latent(keys, idf.value, space) for keys in _slices(b.column("keys"))] or [np.zeros((0, space.shape[1]))])
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
             cosine = z @ asked.T
             out = []
@@ -283,14 +297,16 @@ def _matches(rows: DataFrame, items: Items, columns: Columns, block: int, seed:
     return rows.mapInArrow(match, "doc_id long, item_id long, start_word long, cosine double, lcs_share double, answer_share double")
 
 
-def latent(keys: pa.Array, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
+def _slices(keys: pa.ListArray):
+    return (keys.slice(i, ROWS) for i in range(0, len(keys), ROWS))
+
+
+def latent(keys: pa.ListArray, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
     """Rows of the TF-IDF matrix times ``space``."""
-    if isinstance(keys, pa.ChunkedArray):
-        keys = keys.combine_chunks()
-    flat, sizes = keys.flatten().to_numpy(), np.array([len(k) for k in keys])
-    out = np.zeros((len(sizes), space.shape[1]))
+    out = np.zeros((len(keys), space.shape[1]))
+    flat, sizes = keys.flatten().to_numpy(), np.diff(keys.offsets.to_numpy())
     if len(flat):
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        first = np.cumsum(sizes) - sizes
         out[sizes > 0] = np.add.reduceat(idf[flat][:, None] * space[flat], first[sizes > 0])
     return out
 
@@ -309,14 +325,14 @@ def latent_space(rows: DataFrame, idf, width: int, seed: int) -> np.ndarray:
     def power(batches):
         total = np.zeros((width, size))
         for b in batches:
-            keys = b.column("keys")
-            y = latent(keys, idf.value, random_space.value)
-            flat = keys.flatten().to_numpy()
-            if len(flat):
-                order = np.argsort(flat, kind="stable")
-                row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
-                here, at = np.unique(flat[order], return_index=True)
-                total[here] += np.add.reduceat(y[row], at) * idf.value[here][:, None]
+            for keys in _slices(b.column("keys")):
+                y = latent(keys, idf.value, random_space.value)
+                flat = keys.flatten().to_numpy()
+                if len(flat):
+                    order = np.argsort(flat, kind="stable")
+                    row = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))[order]
+                    here, at = np.unique(flat[order], return_index=True)
+                    total[here] += np.add.reduceat(y[row], at) * idf.value[here][:, None]
         some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["row", "v"])
 
@@ -329,8 +345,9 @@ def latent_space(rows: DataFrame, idf, width: int, seed: int) -> np.ndarray:
     def gram(batches):
         total = np.zeros((size, size))
         for b in batches:
-            y = latent(b.column("keys"), idf.value, range_.value)
-            total += y.T @ y
+            for keys in _slices(b.column("keys")):
+                y = latent(keys, idf.value, range_.value)
+                total += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "v"])
 
     parts = summed(rows.mapInArrow(gram, "row long, v array<double>"))
