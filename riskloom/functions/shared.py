@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(context, "_riskloom_shared", None):
         context._riskloom_shared = tempfile.mkdtemp(prefix="riskloom-")
     return context._riskloom_shared

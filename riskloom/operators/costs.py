@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .metrics import hits
+from .metrics import exact_quantiles, hits
 from .ordering import global_cumulate
 
 
@@ -18,6 +18,11 @@ class CostModel:
     fee: float = 15.0
 
 
+def ring_model(row: CostModel = CostModel()) -> CostModel:
+    """With a ring as the unit a review takes five times a row's."""
+    return CostModel(5 * row.review, row.fee)
+
+
 def at_threshold(df: DataFrame, threshold: float, model: CostModel = CostModel(), score: str = "score") -> DataFrame:
     flag, y = F.col(score) >= threshold, F.col("label")
     out = df.agg(F.count("*").alias("n"), F.count_if(flag).alias("flagged"), F.count_if(flag & ~y).alias("fp"), F.count_if(~flag & y).alias("fn"), F.coalesce(F.sum(F.when(~flag & y, F.col("amount"))), F.lit(0.0)).alias("missed"), F.coalesce(F.sum(F.when(flag & y, F.col("amount"))), F.lit(0.0)).alias("caught"))
@@ -57,7 +62,7 @@ def sensitivity(df: DataFrame, grid: list[tuple[float, float]], score: str = "sc
 
 def capacity_threshold(df: DataFrame, rate: float, score: str = "score") -> DataFrame:
     """The lowest score above the ``1 - rate`` quantile, so that no more than ``rate`` are flagged."""
-    q = df.agg(F.percentile(score, F.lit(1 - rate)).alias("quantile"))
+    q = exact_quantiles(df, score, [1 - rate]).select(F.col("q")[0].alias("quantile"))
     return df.crossJoin(F.broadcast(q)).filter(F.col(score) > F.col("quantile")).agg(F.min(score).alias("threshold"), F.first("quantile").alias("quantile"), F.count("*").alias("flagged"))  # one row
 
 
@@ -104,7 +109,7 @@ def realised_loss(flagged: Column, label: Column, amount: Column, model: CostMod
 def compare_policies(df: DataFrame, policies: dict[str, Column], rate: float, model: CostModel = CostModel()) -> DataFrame:
     """Each ranking score cut at the same flag rate: cost per 1,000 and value recall."""
     long = df.select("label", "amount", F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), c.cast("double").alias("rank")) for n, c in policies.items()])).alias("p")).select("label", "amount", "p.*")
-    q = long.groupBy("policy").agg(F.percentile("rank", F.lit(1 - rate)).alias("q"))
+    q = exact_quantiles(long, "rank", [1 - rate], ("policy",)).select("policy", F.col("q")[0].alias("q"))
     flagged = long.join(F.broadcast(q), "policy").withColumn("flag", F.col("rank") > F.col("q"))  # one row a policy
     loss = realised_loss(F.col("flag"), F.col("label"), F.col("amount"), model)
     caught = F.sum(F.when(F.col("flag") & F.col("label"), F.col("amount")).otherwise(0.0))

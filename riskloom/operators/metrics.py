@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordering import global_cumulate
+from riskloom.functions.shared import cut
+
+from .ordering import global_cumulate, global_rank
 
 
 def hits(label: str = "label") -> Column:
@@ -84,8 +88,8 @@ def calibration_errors(df: DataFrame, probability: str = "score", bins: int = 10
 
 
 def quantile_table(df: DataFrame, by: str, score: str, grid: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    q = F.percentile(score, F.array(*[F.lit(g) for g in grid]))
-    return df.groupBy(by).agg(q.alias("_q")).select(by, *[F.col("_q")[i].alias(f"q{int(100 * g):02d}") for i, g in enumerate(grid)])
+    q = exact_quantiles(df, score, list(grid), (by,))
+    return q.select(by, *[F.col("q")[i].alias(f"q{int(100 * g):02d}") for i, g in enumerate(grid)])
 
 
 def uniform(*parts: Column) -> Column:
@@ -93,30 +97,111 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+#: Chances of Poisson(1) up to 0, 1, ... 7.
+STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
+
+
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) by inversion; the tail beyond 7 has a chance of a millionth and counts as 8."""
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
-    return sum((u >= s).cast("long") for s in steps)
+    return sum((u >= s).cast("long") for s in STEPS)
+
 
+def drawn_weights(key: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights, a column a replicate, by an integer hash that any engine can repeat."""
+    h = (key.astype(np.uint64)[:, None] * np.uint64(1_000_003) + replicates.astype(np.uint64)[None, :] * np.uint64(7_919) + np.uint64(12_345)) & np.uint64(0xFFFFFFFF)
+    for _ in range(2):
+        h = ((h ^ (h >> np.uint64(16))) * np.uint64(73_244_475)) & np.uint64(0xFFFFFFFF)
+    h ^= h >> np.uint64(16)
+    return np.searchsorted(STEPS, h / 4294967296.0, "right").astype(np.int32)
 
-def bootstrap(df: DataFrame, key: list[str], replicates: int, scores: tuple[str, ...] = ("score",)) -> DataFrame:
-    """Average precision of each score in each replicate; all scores see the same weights.
 
-    Poisson weights stand in for drawing rows with replacement; a replicate's size varies a little
-    where an exact resample's would not.
+def bootstrap(df: DataFrame, key: list[str], replicates: int = 1000, scores: tuple[str, ...] = ("score",), rate: float | None = None, review: float = 3.0, fee: float = 15.0) -> DataFrame:
+    """Stratified bootstrap of each score's average precision; all scores see the same draws.
+
+    With a ``rate`` also cost per 1,000 and value recall, flagged above each score's ``1 - rate`` quantile. Rows draw
+    Poisson weights, and each class's weights are scaled to the class's size. A score is ordered and dealt into ranges once,
+    for all replicates; a range draws its rows' weights in blocks and sends one row a replicate. ``df`` needs ``amount``
+    for costs only.
     """
-    reps = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    drawn = df.crossJoin(F.broadcast(reps)).withColumn("w", poisson_weight(uniform(*[F.col(k) for k in key], F.col("replicate")))).filter("w > 0")  # ``replicates`` rows against all
+    code = F.lit(0).cast("long")
+    for k in key:
+        code = code * 1_009 + F.col(k).cast("long")
     out = None
     for s in scores:
-        # ties meet before anything is ordered
-        tied = drawn.groupBy("replicate", s).agg(F.sum("w").alias("w"), F.sum(F.col("w") * hits()).alias("wp"))
-        c = global_cumulate(tied, s, {"n": F.col("w"), "tp": F.col("wp")}, descending=True, by=("replicate",))
-        ap = c.groupBy("replicate").agg((F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")) / F.sum("tp")).alias(f"ap_{s}"))
-        out = ap if out is None else out.join(ap, "replicate")
+        amount = F.col("amount").cast("double") if rate is not None else F.lit(0.0)
+        rows = df.select(F.col(s).cast("double").alias("score"), F.col("label").cast("int").alias("y"), amount.alias("amount"), F.pmod(code, F.lit(1 << 31)).alias("key"))
+        least = float("inf") if rate is None else exact_quantiles(df, s, [1 - rate]).first()["q"][0]
+        dealt = cut(rows.repartitionByRange(F.desc("score")).withColumn("p", F.spark_partition_id()), "ranged")
+        every = dealt.groupBy("p").applyInPandas(_class_weights(replicates), "p int, replicate int, wp double, wn double")
+        before = Window.partitionBy("replicate").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy("replicate")
+        offset = cut(every.select("p", "replicate", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"o{c}") for c in ("wp", "wn")], *[F.sum(c).over(whole).alias(f"t{c}") for c in ("wp", "wn")]), "offsets")
+        size = dealt.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+        run = _replicated(least, review, fee, float(size[0] or 0), float(size[1] or 0))
+        part = dealt.groupBy("p").cogroup(offset.groupBy("p")).applyInPandas(run, "replicate int, ap double, cost double, caught double, amount double")
+        summed = part.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum("ap").alias(f"ap_{s}"), (1000 * F.sum("cost") / max(1.0, float(sum(x or 0 for x in size)))).alias(f"cost_{s}"), F.try_divide(F.sum("caught"), F.sum("amount")).alias(f"recall_{s}"))
+        summed = summed if rate is not None else summed.select("replicate", f"ap_{s}")
+        out = summed if out is None else out.join(summed, "replicate")
     return out
 
 
+def _blocks(rows: int, replicates: int):
+    """Replicates in runs whose weights take some tens of megabytes."""
+    step = max(1, (1 << 22) // max(1, rows))
+    return (np.arange(r, min(r + step, replicates)) for r in range(0, replicates, step))
+
+
+def _class_weights(replicates: int):
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        key, y, out = rows["key"].to_numpy(), rows["y"].to_numpy() == 1, []
+        for block in _blocks(len(key), replicates):
+            w = drawn_weights(key, block)
+            out.append(pd.DataFrame({"p": rows["p"].iloc[0], "replicate": block.astype(np.int32), "wp": w[y].sum(0, dtype=float), "wn": w[~y].sum(0, dtype=float)}))
+        return pd.concat(out)
+
+    return total
+
+
+def _replicated(least: float, review: float, fee: float, positives: float, negatives: float):
+    """One row a replicate for a range of scores, given the weights of the ranges before it."""
+
+    def run(rows: pd.DataFrame, offset: pd.DataFrame) -> pd.DataFrame:
+        rows, offset = rows.sort_values("score", ascending=False, kind="stable"), offset.sort_values("replicate")
+        score, y, amount, key = (rows[c].to_numpy() for c in ("score", "y", "amount", "key"))
+        first, flag, hit, out = np.flatnonzero(np.diff(score, prepend=np.inf)), score > least, y == 1, []
+        loss = np.where(flag & ~hit, review, np.where(~flag & hit, amount + fee, 0.0))
+        before = offset[["owp", "own", "twp", "twn"]].to_numpy()
+        for block in _blocks(len(key), len(before)):
+            w = drawn_weights(key, block)
+            op, on, tp, tn = before[block].T
+            by_p, by_n = (np.divide(n, t, out=np.zeros(len(t)), where=t > 0) for n, t in ((positives, tp), (negatives, tn)))
+            mine = np.add.reduceat(w * hit[:, None], first).astype(float)
+            others = np.add.reduceat(w * ~hit[:, None], first).astype(float)
+            up, down = (np.cumsum(mine, 0) + op) * by_p, (np.cumsum(others, 0) + on) * by_n
+            precision = np.divide(up, up + down, out=np.zeros_like(up), where=up + down > 0)
+            ap = (mine * precision).sum(0) / np.maximum(tp, 1e-300)
+            cost = loss[hit] @ w[hit] * by_p + loss[~hit] @ w[~hit] * by_n
+            out.append(pd.DataFrame({"replicate": block.astype(np.int32), "ap": ap, "cost": cost, "caught": (amount * (flag & hit)) @ w, "amount": (amount * hit) @ w}))
+        return pd.concat(out)
+
+    return run
+
+
+def exact_quantiles(df: DataFrame, column: str, grid: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """``*by, q``: exact quantiles with linear interpolation, nulls left out, by positions in a running count of the distinct values."""
+    run = global_cumulate(df.filter(F.col(column).isNotNull()), column, {"n": F.lit(1)}, by=by)
+    size = run.groupBy(*by).agg(F.sum("n").alias("_m"))
+    held = run.join(size, list(by)) if by else run.crossJoin(F.broadcast(size))  # one row
+    at = lambda place: F.min(F.when(F.col("cum_n") > place, F.col(column).cast("double")))
+    parts = []
+    for g in grid:
+        place = F.lit(g) * (F.col("_m") - 1)
+        parts += [at(F.floor(place)), at(F.ceil(place)), F.first(place - F.floor(place))]
+    out = held.groupBy(*by).agg(F.array(*parts).alias("_a"))
+    value = lambda i: F.col("_a")[3 * i] + (F.col("_a")[3 * i + 1] - F.col("_a")[3 * i]) * F.col("_a")[3 * i + 2]
+    return out.select(*by, F.array(*[value(i) for i in range(len(grid))]).alias("q"))
+
+
 def interval(df: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     """Percentile interval and the verdict of a difference: a tie when it holds zero."""
     lo, hi = (F.percentile(column, F.lit(q)) for q in ((1 - level) / 2, (1 + level) / 2))
@@ -127,7 +212,8 @@ def interval(df: DataFrame, column: str, level: float = 0.95) -> DataFrame:
 def top_k_precision(df: DataFrame, share: float = 0.1, score: str = "score", id_: str = "id") -> DataFrame:
     """Precision among the best ``share`` against the base rate."""
     k = max(1, int(df.count() * share))
-    top = df.orderBy(F.desc(score), id_).limit(k).agg(F.avg(hits()).alias("precision_at_k"))
+    run = global_rank(df.select((-F.col(score)).alias("score"), F.col(id_).alias("_id"), "label"), ["score", "_id"])
+    top = run.filter(F.col("position") < k).agg(F.avg(hits()).alias("precision_at_k"))
     return top.crossJoin(df.agg(F.avg(hits()).alias("base_rate"))).withColumn("lift", F.try_divide("precision_at_k", "base_rate")).withColumn("k", F.lit(k))  # one row each
 
 

@@ -167,7 +167,7 @@ def fusion_lift(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
     test = fitted.transform(rows.filter("band = 'F'")).withColumn("fused", F.round(vector_to_array("probability")[1], 6)).select("id", "line", "label", "score", "fused")
-    both = metrics.bootstrap(test, ["id", "line"], 200, ("fused", "score"))
+    both = metrics.bootstrap(test, ["id", "line"], 1000, ("fused", "score"))
     return rounded(metrics.interval(both.withColumn("delta", F.col("ap_fused") - F.col("ap_score")), "delta"))
 
 
@@ -189,7 +189,7 @@ def block_ablation(spark, sf_dir):
     out = None
     for name in blocks:
         less = fitted([c for n, b in blocks.items() if n != name for c in b], "less").drop("label")
-        both = metrics.bootstrap(everything.join(less, ["id", "line"]), ["id", "line"], 200, ("full", "less"))
+        both = metrics.bootstrap(everything.join(less, ["id", "line"]), ["id", "line"], 1000, ("full", "less"))
         row = metrics.interval(both.withColumn("delta", F.col("ap_full") - F.col("ap_less")), "delta").withColumn("block", F.lit(name)).withColumn("keep", F.col("lo") > 0)
         out = row if out is None else out.unionByName(row)
     return rounded(out)

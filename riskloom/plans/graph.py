@@ -13,28 +13,23 @@ WINDOW, CADENCE = 60 * DAY, 30 * DAY
 _KEY = b"demonstration key"
 
 
-def all_flows(spark, sf_dir, lines: str = "true") -> DataFrame:
+def flows(spark, sf_dir) -> DataFrame:
     """Every order line as a money flow from customer to supplier."""
     li, o = tables.table(spark, sf_dir, "lineitem"), tables.orders(spark, sf_dir)
-    kept = li.filter(lines).select(F.col("l_orderkey").alias("transaction_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_extendedprice").alias("line_amount"))
+    kept = li.select(F.col("l_orderkey").alias("transaction_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_extendedprice").alias("line_amount"))
     return kept.join(o.select("transaction_id", "account_id", "us", "is_fraud"), "transaction_id").select("us", F.concat(F.lit("c"), F.col("account_id").cast("string")).alias("src"), "dst", F.col("line_amount").alias("amount"), "is_fraud")
 
 
-def flows(spark, sf_dir) -> DataFrame:
-    """The returned, discounted order lines alone, about a twentieth: what the SQL of the queries in ``_F`` asks."""
-    return all_flows(spark, sf_dir, "l_returnflag = 'R' AND l_discount >= 0.09")
-
-
-def snapshot_edges(spark, sf_dir, of=flows) -> DataFrame:
-    f = edges.snapshot_members(of(spark, sf_dir), WINDOW, CADENCE)
+def snapshot_edges(spark, sf_dir) -> DataFrame:
+    f = edges.snapshot_members(flows(spark, sf_dir), WINDOW, CADENCE)
     none = f.limit(0).select("snapshot_end", "src", "dst", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("candidate_count"))
     return edges.merged_edges(f, none, ("snapshot_end",))
 
 
-_F = "f AS (SELECT epoch_us(o_orderdate) AS us, 'c' || o_custkey AS src, 's' || l_suppkey AS dst, l_extendedprice AS amount, o_orderstatus = 'F' AS is_fraud FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_discount >= 0.09)"
+_F = "f AS (SELECT epoch_us(o_orderdate) AS us, 'c' || o_custkey AS src, 's' || l_suppkey AS dst, l_extendedprice AS amount, o_orderstatus = 'F' AS is_fraud FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _GRID = f"b AS (SELECT min(us) AS lo, max(us) AS hi FROM f), e AS (SELECT ((lo // {CADENCE}) + 1 + i) * {CADENCE} AS snapshot_end FROM b, range(2000) r(i) WHERE ((lo // {CADENCE}) + 1 + i) * {CADENCE} <= (hi // {CADENCE} + 1) * {CADENCE}), m AS (SELECT f.*, snapshot_end FROM f JOIN e ON us >= snapshot_end - {WINDOW} AND us < snapshot_end)"
 _EDGES = f"{_F}, {_GRID}, ed AS (SELECT snapshot_end, least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS flow_count FROM m GROUP BY 1, 2, 3)"
-_CC = f"{_EDGES}, bi AS (SELECT snapshot_end, u AS a, v AS b FROM ed UNION SELECT snapshot_end, v, u FROM ed), reach(snapshot_end, node, ring) AS (SELECT DISTINCT snapshot_end, a, a FROM bi UNION SELECT r.snapshot_end, bi.b, r.ring FROM reach r JOIN bi ON bi.snapshot_end = r.snapshot_end AND bi.a = r.node WHERE bi.b > r.ring), cc AS (SELECT snapshot_end, node, min(ring) AS ring FROM reach GROUP BY 1, 2)"
+_CC = f"{_EDGES}, bi AS (SELECT snapshot_end, u AS a, v AS b FROM ed UNION SELECT snapshot_end, v, u FROM ed), reach(snapshot_end, node, ring) USING KEY (snapshot_end, node) AS (SELECT DISTINCT snapshot_end, a, a FROM bi UNION SELECT bi.snapshot_end, bi.b, min(r.ring) FROM reach r JOIN bi ON bi.snapshot_end = r.snapshot_end AND bi.a = r.node JOIN recurring.reach k ON k.snapshot_end = bi.snapshot_end AND k.node = bi.b WHERE r.ring < k.ring GROUP BY 1, 2), cc AS (SELECT snapshot_end, node, ring FROM reach)"
 _DEG = "dg AS (SELECT snapshot_end, a AS node, count(DISTINCT b) AS degree FROM bi GROUP BY 1, 2), ok AS (SELECT snapshot_end, ring FROM cc JOIN dg USING (snapshot_end, node) GROUP BY 1, 2 HAVING count(*) >= 3 AND count(*) FILTER (degree >= 2) >= 2), kept AS (SELECT cc.* FROM cc SEMI JOIN ok USING (snapshot_end, ring))"
 
 
@@ -96,8 +91,8 @@ def star_filter(spark, sf_dir):
     return rings.without_stars(rings.snapshot_components(e), e).select("snapshot_end", "node", "ring")
 
 
-def _rings(spark, sf_dir, of=flows) -> tuple[DataFrame, DataFrame]:
-    e = snapshot_edges(spark, sf_dir, of)
+def _rings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = snapshot_edges(spark, sf_dir)
     return rings.without_stars(rings.snapshot_components(e), e), e
 
 
@@ -126,7 +121,7 @@ def ring_exposure(spark, sf_dir):
     return rings.exposure(f, m).select("snapshot_end", "ring", "flows", F.round("amount", 2).alias("amount"))
 
 
-_TRUTH = f"tm AS (SELECT * FROM m WHERE is_fraud), tb AS (SELECT snapshot_end, src AS a, dst AS b FROM tm UNION SELECT snapshot_end, dst, src FROM tm), tr(snapshot_end, node, ring) AS (SELECT DISTINCT snapshot_end, a, a FROM tb UNION SELECT r.snapshot_end, tb.b, r.ring FROM tr r JOIN tb ON tb.snapshot_end = r.snapshot_end AND tb.a = r.node WHERE tb.b > r.ring), tc AS (SELECT snapshot_end, node, min(ring) AS ring FROM tr GROUP BY 1, 2)"
+_TRUTH = f"tm AS (SELECT * FROM m WHERE is_fraud), tb AS (SELECT snapshot_end, src AS a, dst AS b FROM tm UNION SELECT snapshot_end, dst, src FROM tm), tr(snapshot_end, node, ring) USING KEY (snapshot_end, node) AS (SELECT DISTINCT snapshot_end, a, a FROM tb UNION SELECT tb.snapshot_end, tb.b, min(r.ring) FROM tr r JOIN tb ON tb.snapshot_end = r.snapshot_end AND tb.a = r.node JOIN recurring.tr k ON k.snapshot_end = tb.snapshot_end AND k.node = tb.b WHERE r.ring < k.ring GROUP BY 1, 2), tc AS (SELECT snapshot_end, node, ring FROM tr)"
 
 
 @query(f"WITH RECURSIVE {_CC}, {_DEG}, {_TRUTH}, na AS (SELECT snapshot_end, ring, count(*) AS n FROM kept GROUP BY 1, 2), nb AS (SELECT snapshot_end, ring, count(*) AS n FROM tc GROUP BY 1, 2), sh AS (SELECT k.snapshot_end, k.ring AS a, t.ring AS b, count(*) AS shared FROM kept k JOIN tc t ON k.snapshot_end = t.snapshot_end AND k.node = t.node GROUP BY 1, 2, 3) SELECT sh.snapshot_end, a, b, shared, na.n AS na, nb.n AS nb, round(shared / least(na.n, nb.n), 6) AS overlap FROM sh JOIN na ON na.snapshot_end = sh.snapshot_end AND na.ring = a JOIN nb ON nb.snapshot_end = sh.snapshot_end AND nb.ring = b")
@@ -135,9 +130,9 @@ def ring_overlap(spark, sf_dir):
     return rounded(rings.overlaps(m, _reference(spark, sf_dir)).select("snapshot_end", "a", "b", "shared", "na", "nb", "overlap"))
 
 
-def _reference(spark, sf_dir, of=flows) -> DataFrame:
+def _reference(spark, sf_dir) -> DataFrame:
     """Components of the fraudulent flows alone."""
-    f = edges.snapshot_members(of(spark, sf_dir).filter("is_fraud"), WINDOW, CADENCE)
+    f = edges.snapshot_members(flows(spark, sf_dir).filter("is_fraud"), WINDOW, CADENCE)
     return rings.snapshot_components(f.select("snapshot_end", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())
 
 
@@ -146,27 +141,27 @@ def fraud_accounts(spark, sf_dir):
     return edges.touched_accounts(flows(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_CC}, {_DEG}, {_TRUTH}, na AS (SELECT snapshot_end, ring, count(*) AS n FROM kept GROUP BY 1, 2), nb AS (SELECT snapshot_end, ring, count(*) AS n FROM tc GROUP BY 1, 2), sh AS (SELECT k.snapshot_end, k.ring AS a, t.ring AS b, count(*) AS shared FROM kept k JOIN tc t ON k.snapshot_end = t.snapshot_end AND k.node = t.node GROUP BY 1, 2, 3), ov AS (SELECT sh.snapshot_end, a, b FROM sh JOIN na ON na.snapshot_end = sh.snapshot_end AND na.ring = a JOIN nb ON nb.snapshot_end = sh.snapshot_end AND nb.ring = b WHERE shared / least(na.n, nb.n) >= 0.5), z AS (SELECT (SELECT count(DISTINCT (snapshot_end, a)) FROM ov) AS detected_hit, (SELECT count(DISTINCT (snapshot_end, b)) FROM ov) AS truth_hit, (SELECT count(*) FROM na) AS detected, (SELECT count(*) FROM nb) AS truth) SELECT *, detected_hit / detected AS precision, truth_hit / truth AS recall, coalesce(2 * (detected_hit / detected) * (truth_hit / truth) / nullif(detected_hit / detected + truth_hit / truth, 0), 0) AS f1 FROM z")
 def ring_recovery(spark, sf_dir):
-    m, _ = _rings(spark, sf_dir, all_flows)
-    return rings.recovery(m, _reference(spark, sf_dir, all_flows), 0.5)
+    m, _ = _rings(spark, sf_dir)
+    return rings.recovery(m, _reference(spark, sf_dir), 0.5)
 
 
 @query()
 def ring_communities(spark, sf_dir):
-    e = snapshot_edges(spark, sf_dir, all_flows).withColumn("weight", F.col("flow_count").cast("double"))
+    e = snapshot_edges(spark, sf_dir).withColumn("weight", F.col("flow_count").cast("double"))
     return rings.communities(e)
 
 
 @query()
 def ring_betweenness(spark, sf_dir):
-    m, e = _rings(spark, sf_dir, all_flows)
+    m, e = _rings(spark, sf_dir)
     return rings.betweenness(m, e)
 
 
 @query()
 def distinct_rings(spark, sf_dir):
-    m, _ = _rings(spark, sf_dir, all_flows)
+    m, _ = _rings(spark, sf_dir)
     return rings.first_occurrences(m)
 
 

@@ -63,23 +63,37 @@ def score_quantiles(spark, sf_dir):
     return rounded(metrics.quantile_table(tables.scored(spark, sf_dir), "band", "score"))
 
 
-_WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in ("0.36787944117144233", "0.7357588823428847", "0.9196986029286058", "0.9810118431238462", "0.9963401531726563", "0.9994058151824183", "0.999916758850712", "0.9999897508033253"))
-_BOOT = f"{S}, d AS (SELECT s.*, r AS replicate, CAST('0x' || substr(md5(id || '|' || line || '|' || r), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM s, range(20) t(r)), w AS (SELECT *, {_WEIGHT} AS w FROM d)"
+_WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in metrics.STEPS)
+_MIX = "(xor(h, h >> 16) * 73244475) % 4294967296"
+_BOOT = f"""{S}, h0 AS (SELECT s.*, r AS replicate, ((id * 1009 + line) % 2147483648 * 1000003 + r * 7919 + 12345) % 4294967296 AS h FROM s, range(1000) t(r)), h1 AS (SELECT * REPLACE ({_MIX} AS h) FROM h0), h2 AS (SELECT * REPLACE ({_MIX} AS h) FROM h1), d AS (SELECT *, xor(h, h >> 16) / 4294967296.0::DOUBLE AS u FROM h2), w AS MATERIALIZED (SELECT replicate, score, other, label, amount, {_WEIGHT} AS w FROM d),
+  st AS (SELECT replicate, sum(w) FILTER (label) AS wp, sum(w) FILTER (NOT label) AS wn FROM w GROUP BY 1), tot AS (SELECT count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS n FROM s)"""
 
 
 def _boot(score: str) -> str:
-    return f"g_{score} AS (SELECT replicate, {score} AS v, sum(w) AS n, sum(CASE WHEN label THEN w ELSE 0 END) AS tp FROM w WHERE w > 0 GROUP BY 1, 2), c_{score} AS (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY v DESC) AS cn, sum(tp) OVER (PARTITION BY replicate ORDER BY v DESC) AS ct FROM g_{score}), a_{score} AS (SELECT replicate, sum(tp * ct / cn) / sum(tp) AS ap FROM c_{score} GROUP BY 1)"
+    up, down = "ct * p / wp", "cn * n / wn"
+    loss = f"CASE WHEN {score} > t AND NOT label THEN 3 WHEN NOT {score} > t AND label THEN amount + 15 ELSE 0 END"
+    return f"""g_{score} AS (SELECT replicate, {score} AS v, sum(CASE WHEN label THEN w ELSE 0 END) AS tp, sum(CASE WHEN label THEN 0 ELSE w END) AS fp FROM w GROUP BY 1, 2), c_{score} AS (SELECT *, sum(tp) OVER (PARTITION BY replicate ORDER BY v DESC) AS ct, sum(fp) OVER (PARTITION BY replicate ORDER BY v DESC) AS cn FROM g_{score}),
+  a_{score} AS (SELECT replicate, sum(CASE WHEN tp > 0 THEN tp * ({up}) / ({up} + {down}) ELSE 0 END) / min(wp) AS ap FROM c_{score} JOIN st USING (replicate), tot GROUP BY 1), q_{score} AS (SELECT quantile_cont({score}, 0.95) AS t FROM s), k_{score} AS (SELECT replicate, 1000 * sum(w * {loss} * CASE WHEN label THEN p / wp ELSE n / wn END) / min(p + n) AS cost, sum(CASE WHEN {score} > t AND label THEN w * amount ELSE 0 END) / sum(CASE WHEN label THEN w * amount ELSE 0 END) AS recall FROM w JOIN st USING (replicate), tot, q_{score} GROUP BY 1)"""
 
 
-@query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')} SELECT replicate, round(a_score.ap, 6) AS ap_score, round(a_other.ap, 6) AS ap_other FROM a_score JOIN a_other USING (replicate)")
+@query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')} SELECT replicate, round(a_score.ap, 6) AS ap_score, round(a_other.ap, 6) AS ap_other, round(k_score.cost, 2) AS cost_score, round(k_other.cost, 2) AS cost_other, round(k_score.recall, 6) AS recall_score, round(k_other.recall, 6) AS recall_other FROM a_score JOIN a_other USING (replicate) JOIN k_score USING (replicate) JOIN k_other USING (replicate)")
 def paired_bootstrap(spark, sf_dir):
-    return rounded(metrics.bootstrap(tables.scored(spark, sf_dir), ["id", "line"], 20, ("score", "other")))
+    out = rounded(metrics.bootstrap(tables.scored(spark, sf_dir), ["id", "line"], 1000, ("score", "other"), 0.05))
+    return out.withColumns({c: F.round(c, 2) for c in ("cost_score", "cost_other")})
 
 
-@query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')}, dl AS (SELECT a_score.ap - a_other.ap AS x FROM a_score JOIN a_other USING (replicate)), i AS (SELECT quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, avg(x) AS mean FROM dl) SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, round(mean, 6) AS mean, CASE WHEN lo <= 0 AND hi >= 0 THEN 'TIE' WHEN lo > 0 THEN 'BETTER' ELSE 'WORSE' END AS verdict FROM i")
+_DELTAS = (("average_precision", "ap"), ("cost_per_1000", "cost"), ("value_recall", "recall"))
+
+
+@query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')}, dl AS (SELECT a_score.ap - a_other.ap AS ap, k_score.cost - k_other.cost AS cost, k_score.recall - k_other.recall AS recall FROM a_score JOIN a_other USING (replicate) JOIN k_score USING (replicate) JOIN k_other USING (replicate)), i AS (" + " UNION ALL ".join(f"SELECT '{n}' AS metric, quantile_cont({c}, 0.025) AS lo, quantile_cont({c}, 0.975) AS hi, avg({c}) AS mean FROM dl" for n, c in _DELTAS) + ") SELECT metric, round(lo, 4) AS lo, round(hi, 4) AS hi, round(mean, 4) AS mean, CASE WHEN lo <= 0 AND hi >= 0 THEN 'TIE' WHEN lo > 0 THEN 'BETTER' ELSE 'WORSE' END AS verdict FROM i")
 def bootstrap_verdict(spark, sf_dir):
-    both = metrics.bootstrap(tables.scored(spark, sf_dir), ["id", "line"], 20, ("score", "other"))
-    return rounded(metrics.interval(both.withColumn("delta", F.col("ap_score") - F.col("ap_other")), "delta"))
+    """Paired differences of two scores; for costs the sign of BETTER is that of the difference, more being dearer."""
+    both = metrics.cut(metrics.bootstrap(tables.scored(spark, sf_dir), ["id", "line"], 1000, ("score", "other"), 0.05), "replicates")
+    out = None
+    for name, c in _DELTAS:
+        row = metrics.interval(both.withColumn("delta", F.col(f"{c}_score") - F.col(f"{c}_other")), "delta").withColumn("metric", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, 4)
 
 
 @query(f"WITH {S}, k AS (SELECT CAST(floor(count(*) * 0.1) AS INT) AS k, avg(CAST(label AS INT)) AS b FROM s), o AS (SELECT label, row_number() OVER (ORDER BY score DESC, id * 10 + line) AS n FROM s), p AS (SELECT avg(CAST(label AS INT)) AS p FROM o, k WHERE n <= k) SELECT round(p, 6) AS precision_at_k, round(b, 6) AS base_rate, round(p / b, 6) AS lift, k FROM p, k")

@@ -72,10 +72,10 @@ def scoring_subset(spark, sf_dir):
     return serving.scoring_subset(tables.events(spark, sf_dir), 40).select("transaction_id", "account_id")
 
 
-@query("WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice / 600000, 6) END AS row_score, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 10 / 10 END AS ring_score FROM orders) SELECT id, coalesce(row_score, -1) AS row_score_filled, coalesce(ring_score, -1) AS ring_score_filled, row_score IS NULL OR ring_score IS NULL AS degraded, array_to_string(list_filter([CASE WHEN row_score IS NULL THEN 'row_absent' END, CASE WHEN ring_score IS NULL THEN 'ring_absent' END], lambda x: x IS NOT NULL), ',') AS reasons FROM a")
+@query("WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 600000 END AS row_score, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 10 / 10 END AS ring_score FROM orders) SELECT id, coalesce(row_score, -1) AS row_score_filled, coalesce(ring_score, -1) AS ring_score_filled, row_score IS NULL OR ring_score IS NULL AS degraded, array_to_string(list_filter([CASE WHEN row_score IS NULL THEN 'row_absent' END, CASE WHEN ring_score IS NULL THEN 'ring_absent' END], lambda x: x IS NOT NULL), ',') AS reasons FROM a")
 def degraded_vectors(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders")
-    rows = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 600000, 6)).alias("row_score"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey") % 10 / 10).alias("ring_score"))
+    rows = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 600000).alias("row_score"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey") % 10 / 10).alias("ring_score"))
     out = serving.fused(rows, {"row": "row_score", "ring": "ring_score"})
     return out.select("id", "row_score_filled", "ring_score_filled", "degraded", F.array_join("degraded_reasons", ",").alias("reasons"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from riskloom.llm import decontamination, near_duplicates, packing, queries, quality
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,3 +33,14 @@ def test_stages_take_effect_one_after_the_other(spark):
 
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_stages_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "some words here"), (1, "some words here"), (2, None), (3, ""), (None, None), (4, "x " * 60_000)], "doc_id long, text string").withColumn("_i", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            out = stage(spark, rows, SMALL)
+            got = [r.doc_id for r in out.collect()]
+            assert name == "packing" or out.columns == docs.columns
+            assert set(got) <= {1, 2, 3, None, 4} and (not got or rows is docs)
+            assert name != "near-duplicates" or rows is not docs or sorted(got, key=str) == [1, 2, 3, 4, None]
