@@ -206,31 +206,32 @@ def _by_bucket(use, names: list[str], keep: tuple[str, ...] = ()):
     return run
 
 
-def bucket_members(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``key, band, node, k1`` of all bands, and ``key, n`` of buckets with two classes or more."""
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """``key, n, band, node, k1`` of the buckets with two classes or more."""
     bands = classes.select("node", "k1", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("long"))
-    return bands, written(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = written(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    return written(bands.join(shared, "key"), "members")
 
 
 _ROW = ("key", "i", "j", "band", "block", "node", "k1", "part")
 
 
-def first_look(bands: DataFrame, shared: DataFrame) -> DataFrame:
+def first_look(members: DataFrame) -> DataFrame:
     """Small buckets whole, large ones in blocks with the centres in each; every class is a part of its own."""
     blocks = F.ceil(F.col("n") / BLOCK)
     # a member of a large bucket that is a centre as well meets itself, which is no pair
-    own = bands.join(shared, "key").withColumn("i", F.pmod(F.xxhash64("node", "k1"), blocks))
+    own = members.withColumn("i", F.pmod(F.xxhash64("node", "k1"), blocks))
     lot = F.xxhash64("node", "k1", "key")
     centre = lambda r: F.min(F.when(F.pmod(lot, F.lit(CENTRES)) == r, F.struct(lot.alias("lot"), "node", "k1")))
-    large = bands.join(shared.filter(F.col("n") > BLOCK), "key").groupBy("key").agg(F.min("n").alias("n"), F.min("band").alias("band"), F.array_compact(F.array(*map(centre, range(CENTRES)))).alias("centres"))
+    large = members.filter(F.col("n") > BLOCK).groupBy("key").agg(F.min("n").alias("n"), F.min("band").alias("band"), F.array_compact(F.array(*map(centre, range(CENTRES)))).alias("centres"))
     centres = large.select("key", "n", "band", F.explode("centres").alias("c")).select("key", "band", "c.node", "c.k1", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"))
     rows = own.select("key", "band", "node", "k1", "i").unionByName(centres)
     return rows.withColumns({"j": F.col("i"), "block": F.col("i"), "part": F.col("node")}).select(*_ROW)
 
 
-def second_look(bands: DataFrame, shared: DataFrame, labels: DataFrame) -> DataFrame:
+def second_look(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Of large buckets in several components: those outside the largest one, each with all the others."""
-    large = bands.join(shared.filter(F.col("n") > BLOCK), "key").join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    large = members.filter(F.col("n") > BLOCK).join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
     parts = large.groupBy("key", "part").agg(F.count("*").alias("m"))
     most = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     some = large.drop("n").join(most.select("key", "n", F.col("top.part").alias("most"), F.col("top.m").alias("m")), "key")
@@ -278,10 +279,13 @@ def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def verified_links(docs: DataFrame, sketch: DataFrame, rows: DataFrame) -> DataFrame:
     """``src, dst`` of the rows of buckets: pairs that survive the looks and pass on the full sets."""
     least = "key long, i long, j long, band long, node long, k1 long, block long, part long"
+    rows = written(rows, "rows")
+    # what cannot be among the rows' classes is not shuffled
+    sketch = maybe_in(sketch, rows.select("node").distinct())
     compared = _together(rows.join(sketch, ["node", "k1"]))
     needed = written(compared.mapInArrow(_by_bucket(surviving, ["node", "k1", "block", "part"], ("key", "i", "j", "band")), least), "needed")
     ids = written(needed.select("node", "k1").distinct(), "ids")
-    full = written(sketch.join(ids, ["node", "k1"], "left_semi").join(shingle_table(docs, ids), ["node", "k1"]), "full")
+    full = written(maybe_in(sketch, ids).join(ids, ["node", "k1"], "left_semi").join(shingle_table(docs, ids), ["node", "k1"]), "full")
     return _together(needed.join(full, ["node", "k1"])).mapInArrow(_by_bucket(linked, ["src", "dst"]), "src long, dst long")
 
 
@@ -293,15 +297,15 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first(F.struct("sig", "bands")).alias("s")).select("k1", "k2", "node", "s.*"), "classes")
     known = classes.filter("node IS NOT NULL")
     sketch = known.select("node", "k1", "sig", "bands")
-    bands, shared = bucket_members(known)
-    links = verified_links(docs, sketch, first_look(bands, shared))
+    members = bucket_members(known)
+    links = verified_links(docs, sketch, first_look(members))
     # an id with several texts ties their classes together
     several = some.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("doc_id")
     tied = some.select("doc_id", "k1", "k2").join(several, "doc_id").join(known.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     links = written(links.unionByName(tied), "links")
     labels = connected_components(links)
-    if not shared.filter(F.col("n") > BLOCK).isEmpty():
-        more = written(verified_links(docs, sketch, second_look(bands, shared, labels)), "links")
+    if not members.filter(F.col("n") > BLOCK).isEmpty():
+        more = written(verified_links(docs, sketch, second_look(members, labels)), "links")
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
     named = classes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
