@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from riskloom.functions.shared import shared_dir
 
-KEPT_ROWS = 500
 DAY_US = 86_400_000_000
 
 
@@ -39,35 +39,39 @@ def source(spark: SparkSession, path: str, files: int | None = None) -> DataFram
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(pattern)
 
 
-def keyed_history(stream: DataFrame, kept: int = KEPT_ROWS) -> DataFrame:
+def keyed_history(stream: DataFrame, delay_us: int = DAY_US) -> DataFrame:
     """Per event: how many came before, how long ago the last one was, how many in 24 hours.
 
-    State of an account: a counter, and its latest ``kept`` times; the counter has no bound, as in
-    training. Rows of a batch are taken in time order.
+    State of an account: a counter without bound, as in training, and its distinct times of the last 24 hours
+    and ``delay_us``, each with its number of events, so that no count is short however busy an account is. A
+    micro-batch's rows of an account are taken in time order, those of one instant see each other. An event that
+    comes after younger ones counts what came before it in time; one later than ``delay_us`` may miss
+    forgotten events (see ``late_rows``), and with none left it has no gap.
     """
     out = "transaction_id long, account_id long, prior_count long, seconds_since_prior double, count_24h long"
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, times = state.get if state.exists else (0, [])
-        times = list(times)
+        n, times, numbers = state.get if state.exists else (0, [], [])
         rows = pd.concat(batches).sort_values(["us", "transaction_id"])
-        result, pending = [], rows["us"].tolist()
-        for i, (t, us) in enumerate(zip(rows["transaction_id"].tolist(), pending, strict=True)):
-            gap = (us - times[-1]) / 1e6 if times else None
-            times.append(us)
-            # rows at the very same instant see each other, as in a range frame
-            peers = sum(1 for x in pending[i + 1 : i + 1 + kept] if x == us)
-            result.append((t, key[0], n, gap, sum(1 for x in times if x > us - DAY_US) + peers))
-            times = times[-kept:]
-            n += 1
-        state.update((n, times))
-        yield pd.DataFrame(result, columns=["transaction_id", "account_id", "prior_count", "seconds_since_prior", "count_24h"])
-
-    return stream.groupBy("account_id").applyInPandasWithState(update, out, "n long, times array<long>", "append", GroupStateTimeout.NoTimeout)
+        us, known = rows["us"].to_numpy(np.int64), np.array(times, np.int64)
+        every, place = np.unique(np.concatenate([known, us]), return_inverse=True)
+        held = np.zeros(len(every), np.int64)
+        np.add.at(held, place, np.concatenate([np.array(numbers, np.int64), np.ones(len(us), np.int64)]))
+        up_to = np.concatenate([[0], np.cumsum(held)])
+        count = up_to[np.searchsorted(every, us, "right")] - up_to[np.searchsorted(every, us - DAY_US, "right")]
+        never = np.iinfo(np.int64).min
+        before = np.concatenate([[never], known])[np.searchsorted(known, us, "right")]
+        last = np.maximum(before, np.concatenate([[never], us[:-1]]))
+        gap = np.where(last == never, np.nan, (us - np.where(last == never, us, last)) / 1e6)
+        kept = every > every[-1] - DAY_US - delay_us
+        state.update((n + len(us), every[kept].tolist(), held[kept].tolist()))
+        yield pd.DataFrame({"transaction_id": rows["transaction_id"].to_numpy(), "account_id": key[0], "prior_count": n + np.arange(len(us)), "seconds_since_prior": pd.Series(gap).astype(object).where(last != never, None), "count_24h": count})
+
+    return stream.groupBy("account_id").applyInPandasWithState(update, out, "n long, times array<long>, numbers array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def without_repeats(stream: DataFrame, keys: list[str], time: str = "event_time", delay: str = "1 day") -> DataFrame:
-    """A delivery seen before, within the delay, is dropped."""
+    """A delivery seen before, within the delay, is dropped; so are times up to 1970, where watermarks begin."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
