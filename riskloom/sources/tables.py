@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 CANONICAL_SCHEMA = T.StructType([
     T.StructField("source_dataset", T.StringType(), False),
@@ -41,9 +42,14 @@ def wide_block(df: DataFrame, key: str, prefix: str = "V") -> DataFrame:
 
 
 def with_source_rows(df: DataFrame, column: str = "source_row") -> DataFrame:
-    """The position of each row in its file; file order is not a DataFrame notion, hence the RDD."""
-    schema = T.StructType([*df.schema.fields, T.StructField(column, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    """The position of each row in a scan: the rows of the partitions before its own, and its place there."""
+    # the id holds the partition in its upper bits and the place in the lower 33
+    named = df.withColumn("_row_id", F.monotonically_increasing_id())
+    part = F.shiftright("_row_id", 33)
+    sizes = named.groupBy(part.alias("_part")).count()  # a row a partition
+    offset = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_offset"))
+    place = F.col("_row_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return named.withColumn("_part", part).join(offset, "_part").withColumn(column, F.col("_offset") + place).select(*df.columns, column)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
