@@ -11,12 +11,13 @@ from pyspark.sql.window import Window
 DAY = 86_400_000_000
 
 
-def chain_edges(transfers: DataFrame, cash_outs: DataFrame, steps: int, tolerance: float) -> DataFrame:
+def chain_edges(transfers: DataFrame, cash_outs: DataFrame, steps: int, tolerance: float, carried: tuple[str, ...] = ()) -> DataFrame:
     """Every transfer with the cash-outs up to ``steps`` later whose amount is within ``tolerance``.
 
     The step is made an equality key by listing the steps a transfer reaches, the amount by
     logarithmic buckets as wide as the tolerance, next ones included; the exact bounds are checked
-    on what meets. Zero amounts have no logarithm and meet each other alone.
+    on what meets. Zero amounts have no logarithm and meet each other alone. ``carried`` columns of both
+    come along as ``t_`` and ``c_``; ``name_match`` says that both name one account.
     """
     width = -log(1 - tolerance) if tolerance else None
 
@@ -25,8 +26,8 @@ def chain_edges(transfers: DataFrame, cash_outs: DataFrame, steps: int, toleranc
             return F.col("_none")
         return F.when(amount > 0, F.floor(F.log(amount) / width)).otherwise(F.lit(-(10**9)))
 
-    t = transfers.select(F.col("transaction_id").alias("transfer_id"), F.col("account_id").alias("src"), F.col("step").alias("t_step"), F.col("amount").alias("t_amount"), F.explode(F.sequence("step", F.col("step") + steps)).alias("step"))
-    c = cash_outs.select(F.col("transaction_id").alias("cash_out_id"), F.col("account_id").alias("dst"), "step", F.col("amount").alias("c_amount"))
+    t = transfers.select(F.col("transaction_id").alias("transfer_id"), F.col("account_id").alias("src"), F.col("step").alias("t_step"), F.col("amount").alias("t_amount"), *[F.col(c).alias(f"t_{c}") for c in carried], F.explode(F.sequence("step", F.col("step") + steps)).alias("step"))
+    c = cash_outs.select(F.col("transaction_id").alias("cash_out_id"), F.col("account_id").alias("dst"), "step", F.col("amount").alias("c_amount"), *[F.col(c).alias(f"c_{c}") for c in carried])
     if width is None:
         met = t.join(c, (t.step == c.step) & (t.t_amount == c.c_amount)).drop(c.step)
     else:
@@ -35,8 +36,8 @@ def chain_edges(transfers: DataFrame, cash_outs: DataFrame, steps: int, toleranc
         met = t.join(c, ["step", "_b"]).drop("_b")
     inside = met.filter((F.col("c_amount") >= F.col("t_amount") * (1 - tolerance)) & (F.col("c_amount") <= F.col("t_amount") * (1 + tolerance)))
     candidates = F.count("*").over(Window.partitionBy("transfer_id"))
-    relative = F.coalesce(F.try_divide(F.col("c_amount") - F.col("t_amount"), "t_amount"), F.lit(0.0))
-    return inside.select("transfer_id", "cash_out_id", "src", "dst", "t_step", (F.col("step") - F.col("t_step")).alias("step_gap"), relative.alias("relative_delta"), candidates.alias("candidate_count"), (1 / candidates).alias("weight"))
+    relative = F.coalesce(F.try_divide(F.abs(F.col("c_amount") - F.col("t_amount")), "t_amount"), F.lit(0.0))
+    return inside.select("transfer_id", "cash_out_id", "src", "dst", "t_step", (F.col("step") - F.col("t_step")).alias("step_gap"), relative.alias("relative_delta"), candidates.alias("candidate_count"), (1 / candidates).alias("weight"), F.col("src").eqNullSafe(F.col("dst")).alias("name_match"), *[f"{end}_{c}" for c in carried for end in "tc"])
 
 
 def snapshot_grid(df: DataFrame, cadence: int) -> tuple[int, int]:

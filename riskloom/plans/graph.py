@@ -29,7 +29,8 @@ def snapshot_edges(spark, sf_dir) -> DataFrame:
 _F = "f AS (SELECT epoch_us(o_orderdate) AS us, 'c' || o_custkey AS src, 's' || l_suppkey AS dst, l_extendedprice AS amount, o_orderstatus = 'F' AS is_fraud FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _GRID = f"b AS (SELECT min(us) AS lo, max(us) AS hi FROM f), e AS (SELECT ((lo // {CADENCE}) + 1 + i) * {CADENCE} AS snapshot_end FROM b, range(2000) r(i) WHERE ((lo // {CADENCE}) + 1 + i) * {CADENCE} <= (hi // {CADENCE} + 1) * {CADENCE}), m AS (SELECT f.*, snapshot_end FROM f JOIN e ON us >= snapshot_end - {WINDOW} AND us < snapshot_end)"
 _EDGES = f"{_F}, {_GRID}, ed AS (SELECT snapshot_end, least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS flow_count FROM m GROUP BY 1, 2, 3)"
-_CC = f"{_EDGES}, bi AS (SELECT snapshot_end, u AS a, v AS b FROM ed UNION SELECT snapshot_end, v, u FROM ed), reach(snapshot_end, node, ring) USING KEY (snapshot_end, node) AS (SELECT DISTINCT snapshot_end, a, a FROM bi UNION SELECT bi.snapshot_end, bi.b, min(r.ring) FROM reach r JOIN bi ON bi.snapshot_end = r.snapshot_end AND bi.a = r.node JOIN recurring.reach k ON k.snapshot_end = bi.snapshot_end AND k.node = bi.b WHERE r.ring < k.ring GROUP BY 1, 2), cc AS (SELECT snapshot_end, node, ring FROM reach)"
+_REACH = "bi AS (SELECT snapshot_end, u AS a, v AS b FROM ed UNION SELECT snapshot_end, v, u FROM ed), reach(snapshot_end, node, ring) USING KEY (snapshot_end, node) AS (SELECT DISTINCT snapshot_end, a, a FROM bi UNION SELECT bi.snapshot_end, bi.b, min(r.ring) FROM reach r JOIN bi ON bi.snapshot_end = r.snapshot_end AND bi.a = r.node JOIN recurring.reach k ON k.snapshot_end = bi.snapshot_end AND k.node = bi.b WHERE r.ring < k.ring GROUP BY 1, 2), cc AS (SELECT snapshot_end, node, ring FROM reach)"
+_CC = f"{_EDGES}, {_REACH}"
 _DEG = "dg AS (SELECT snapshot_end, a AS node, count(DISTINCT b) AS degree FROM bi GROUP BY 1, 2), ok AS (SELECT snapshot_end, ring FROM cc JOIN dg USING (snapshot_end, node) GROUP BY 1, 2 HAVING count(*) >= 3 AND count(*) FILTER (degree >= 2) >= 2), kept AS (SELECT cc.* FROM cc SEMI JOIN ok USING (snapshot_end, ring))"
 
 
@@ -44,7 +45,7 @@ def snapshot_scoring_key(spark, sf_dir):
     return edges.scoring_snapshot(tables.events(spark, sf_dir), 7 * DAY).select("transaction_id", "snapshot_end")
 
 
-_CHAIN = f"{T}, ch AS (SELECT a.transaction_id AS transfer_id, c.transaction_id AS cash_out_id, a.account_id AS src, c.account_id AS dst, a.us // 3600000000 AS t_step, c.us // 3600000000 - a.us // 3600000000 AS step_gap, coalesce((c.amount - a.amount) / nullif(a.amount, 0), 0) AS rd FROM t a JOIN t c ON a.transaction_type = 'purchase' AND c.transaction_type = 'error' AND c.us // 3600000000 BETWEEN a.us // 3600000000 AND a.us // 3600000000 + 12 AND c.amount >= a.amount * (1 - 0.02) AND c.amount <= a.amount * (1 + 0.02))"
+_CHAIN = f"{T}, ch AS (SELECT a.transaction_id AS transfer_id, c.transaction_id AS cash_out_id, a.account_id AS src, c.account_id AS dst, a.us // 3600000000 AS t_step, c.us // 3600000000 - a.us // 3600000000 AS step_gap, coalesce(abs(c.amount - a.amount) / nullif(a.amount, 0), 0) AS rd FROM t a JOIN t c ON a.transaction_type = 'purchase' AND c.transaction_type = 'error' AND c.us // 3600000000 BETWEEN a.us // 3600000000 AND a.us // 3600000000 + 12 AND c.amount >= a.amount * (1 - 0.02) AND c.amount <= a.amount * (1 + 0.02))"
 
 
 def _chains(spark, sf_dir, tolerance: float = 0.02) -> DataFrame:
@@ -52,7 +53,7 @@ def _chains(spark, sf_dir, tolerance: float = 0.02) -> DataFrame:
     return edges.chain_edges(t.filter("transaction_type = 'purchase'"), t.filter("transaction_type = 'error'"), 12, tolerance)
 
 
-@query(f"WITH {_CHAIN} SELECT transfer_id, cash_out_id, src, dst, t_step, step_gap, round(rd, 6) AS relative_delta, count(*) OVER (PARTITION BY transfer_id) AS candidate_count, round(1 / count(*) OVER (PARTITION BY transfer_id), 6) AS weight FROM ch")
+@query(f"WITH {_CHAIN} SELECT transfer_id, cash_out_id, src, dst, t_step, step_gap, round(rd, 6) AS relative_delta, count(*) OVER (PARTITION BY transfer_id) AS candidate_count, round(1 / count(*) OVER (PARTITION BY transfer_id), 6) AS weight, src = dst AS name_match FROM ch")
 def chain_edges(spark, sf_dir):
     return rounded(_chains(spark, sf_dir))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assembly, checks, findings, graph, history, metrics, models, policy, sequences, serving, splits, streams  # noqa: F401
+from . import assembly, chains, checks, findings, graph, history, metrics, models, policy, sequences, serving, splits, streams  # noqa: F401
 from .base import QUERIES, SQL
 
 

@@ -28,11 +28,14 @@ def risk_context(spark, sf_dir):
     return serving.risk_context(tables.events(spark, sf_dir)).select("transaction_id", "amount_unusual", "rate_unusual", "rationale")
 
 
+def _page(m, e):
+    f = rings.ring_features(m, e).select("snapshot_end", "ring", "size", F.round(F.col("size") * F.col("density"), 6).alias("score"))
+    return rings.ring_page(m.join(f, ["snapshot_end", "ring"]), 2.0, 4, 20)
+
+
 @query(f"WITH RECURSIVE {_CC}, {_DEG}, {_FEAT} SELECT snapshot_end, ring, size, round(size * density, 6) AS score FROM ft WHERE size * density >= 2.0 AND size >= 4 ORDER BY size DESC, snapshot_end, ring LIMIT 20")
 def flagged_rings_page(spark, sf_dir):
-    m, e = _rings(spark, sf_dir)
-    f = rings.ring_features(m, e).select("snapshot_end", "ring", "size", F.round(F.col("size") * F.col("density"), 6).alias("score"))
-    return rings.ring_page(m.join(f, ["snapshot_end", "ring"]), 2.0, 4, 20).select("snapshot_end", "ring", "size", "score")
+    return _page(*_rings(spark, sf_dir)).select("snapshot_end", "ring", "size", "score")
 
 
 @query(f"WITH {T}, n AS (SELECT account_id FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 80), a AS (SELECT account_id FROM n ORDER BY md5(account_id || '|42'), account_id LIMIT 25) SELECT transaction_id, account_id FROM t SEMI JOIN a USING (account_id)")
