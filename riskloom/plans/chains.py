@@ -74,7 +74,7 @@ def entity_rings(spark, sf_dir):
     return rounded(chains.entity_features(members, links))
 
 
-@query(f"WITH RECURSIVE {_CC}, {_DEG}, {_TRUTH}, na AS (SELECT snapshot_end, ring, count(*) AS n FROM kept GROUP BY 1, 2), nb AS (SELECT snapshot_end, ring, count(*) AS n FROM tc GROUP BY 1, 2), sh AS (SELECT k.snapshot_end, k.ring AS a, t.ring AS b, count(*) AS shared FROM kept k JOIN tc t ON k.snapshot_end = t.snapshot_end AND k.node = t.node GROUP BY 1, 2, 3), ov AS (SELECT sh.snapshot_end, a, b, shared / least(na.n, nb.n) AS overlap FROM sh JOIN na ON na.snapshot_end = sh.snapshot_end AND na.ring = a JOIN nb ON nb.snapshot_end = sh.snapshot_end AND nb.ring = b), th(threshold) AS (VALUES (0.3::DOUBLE), (0.5), (0.7)), hi AS (SELECT snapshot_end, threshold, count(DISTINCT a) AS detected_hit, count(DISTINCT b) AS truth_hit FROM ov JOIN th ON overlap >= threshold GROUP BY 1, 2), sn AS (SELECT snapshot_end, coalesce(d, 0) AS detected, coalesce(r, 0) AS truth FROM (SELECT snapshot_end, count(*) AS d FROM na GROUP BY 1) x FULL JOIN (SELECT snapshot_end, count(*) AS r FROM nb GROUP BY 1) y USING (snapshot_end)), pr AS (SELECT snapshot_end, threshold, detected, truth, coalesce(detected_hit, 0) AS detected_hit, coalesce(truth_hit, 0) AS truth_hit FROM sn CROSS JOIN th LEFT JOIN hi USING (snapshot_end, threshold)), ps AS (SELECT *, coalesce(detected_hit / nullif(detected, 0), 0) AS precision, coalesce(truth_hit / nullif(truth, 0), 0) AS recall FROM pr), f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM ps) SELECT snapshot_end, threshold, detected, truth, detected_hit, truth_hit, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(max(f1) OVER (PARTITION BY snapshot_end), 6) AS best_f1 FROM f")
+@query(f"WITH RECURSIVE {_CC}, {_DEG}, {_TRUTH}, na AS (SELECT snapshot_end, ring, count(*) AS n FROM kept GROUP BY 1, 2), nb AS (SELECT snapshot_end, ring, count(*) AS n FROM tc GROUP BY 1, 2), sh AS (SELECT k.snapshot_end, k.ring AS a, t.ring AS b, count(*) AS shared FROM kept k JOIN tc t ON k.snapshot_end = t.snapshot_end AND k.node = t.node GROUP BY 1, 2, 3), ov AS (SELECT sh.snapshot_end, a, b, shared / least(na.n, nb.n) AS overlap FROM sh JOIN na ON na.snapshot_end = sh.snapshot_end AND na.ring = a JOIN nb ON nb.snapshot_end = sh.snapshot_end AND nb.ring = b), th(threshold) AS (VALUES (0.3::DOUBLE), (0.5), (0.7)), hi AS (SELECT snapshot_end, threshold, count(DISTINCT a) AS detected_hit, count(DISTINCT b) AS truth_hit FROM ov JOIN th ON overlap >= threshold GROUP BY 1, 2), sn AS (SELECT snapshot_end, coalesce(d, 0) AS detected, coalesce(r, 0) AS truth FROM (SELECT snapshot_end, count(*) AS d FROM na GROUP BY 1) x FULL JOIN (SELECT snapshot_end, count(*) AS r FROM nb GROUP BY 1) y USING (snapshot_end)), pr AS (SELECT snapshot_end, threshold, detected, truth, coalesce(detected_hit, 0) AS detected_hit, coalesce(truth_hit, 0) AS truth_hit FROM sn CROSS JOIN th LEFT JOIN hi USING (snapshot_end, threshold)), ps AS (SELECT *, coalesce(detected_hit / nullif(detected, 0), 0) AS precision, coalesce(truth_hit / nullif(truth, 0), 0) AS recall FROM pr), fo AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM ps) SELECT snapshot_end, threshold, detected, truth, detected_hit, truth_hit, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(max(f1) OVER (PARTITION BY snapshot_end), 6) AS best_f1 FROM fo")
 def ring_recovery_grid(spark, sf_dir):
     m, _ = _rings(spark, sf_dir)
     return rounded(chains.recovery_grid(m, _reference(spark, sf_dir)))
