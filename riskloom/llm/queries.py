@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, licences, near_duplicates, neighbours, packing, pii, quality, sharding, tokens
+from . import decontamination, html_text, lexical_search, licences, near_duplicates, neighbours, packing, pii, quality, quality_rules, sharding, spelling, tokens
 from .common import table
 
 
@@ -30,8 +30,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_near_duplicates": near_duplicates.op9_near_duplicates,
         "op10_html_text": html_text.op10_html_text,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_quality_rules": quality_rules.op13_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_lexical_search": lexical_search.OP11_SQL, "op13_quality_rules": quality_rules.OP13_SQL}
