@@ -21,23 +21,35 @@ from riskloom.llm import decontamination, near_duplicates, packing, pii, quality
 from riskloom.llm.common import table, written
 
 
+#: Rows an Arrow batch: texts are kilobytes, so that Spark's default of 10,000 rows is tens of megabytes in each of JVM and Python worker.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, accepts."""
+    _small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id; of its repeated rows one."""
+    _small_batches(spark)
     return near_duplicates.one_of_each(docs)
 
 
 def clear_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _small_batches(spark)
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    _small_batches(spark)
     weights = pii.learn(pii.training_texts(docs))
     masked = docs.withColumn("text", pii.redaction(spark, weights, F.col("text")))
     if "n_chars" in docs.columns:
@@ -47,6 +59,7 @@ def private_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of equal length."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 

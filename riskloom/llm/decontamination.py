@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_rows, written
+from .common import free_name, table, text_rows, written
 from .shingles import byte_chunks, hashed_words
 
 #: Words between passages; a passage is two strides long, so that any stretch of a stride lies in one; a match is
@@ -379,8 +379,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS, read:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark item; rows without an id count as one document."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    name = free_name(docs, "leaked")
+    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,11 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskloom.operators.components import connected_components
 
-from .common import table, text_rows, written
+from .common import orderable, table, text_rows, written
 from .shingles import U, mixed, shingle_chunks, shingle_sets
 
 WIDTH, PERCENT = 5, 75
@@ -335,8 +334,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = held.groupBy(group.alias("g")).agg(F.min(key("doc_id")).alias("k")).select("k.*")
     chosen = written(first.distinct(), "chosen")
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("_n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_i"), F.xxhash64("text").alias("_t"))
-    nth = F.row_number().over(Window.partitionBy("_n", "_i", "_t").orderBy(F.xxhash64("row")))
-    return whole.join(chosen, ["_n", "_i", "_t"], "left_semi").withColumn("_r", nth).filter("_r = 1").select("row.*")
+    kept = whole.join(chosen, ["_n", "_i", "_t"], "left_semi")
+    # an aggregate, so that many rows with one text and one id, or none, meet before they are shuffled
+    return kept.groupBy("_n", "_i", "_t").agg(F.min_by("row", F.xxhash64(orderable(F.col("row"), docs.schema))).alias("row")).select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ two labels, trained by stochastic gradient descent in numpy on a bounded sample
 The document mean is linear, so scoring needs one number for each distinct word.
 
 Defined results: a null or empty text scores by the bias alone; a text is scored whole, at any length; repeated
-rows are scored row by row, and of rows or labels that repeat an id one is learned from; labels that are null
-are not learned from; with no labels at all every score is 0.5; a score at the threshold is accepted; an empty
+rows are scored row by row; of several labels of an id the smallest counts, of several texts the smallest is learned
+from, in whatever order the rows come; labels that are null are not learned from; with no labels at all every score is 0.5; a score at the threshold is accepted; an empty
 table gives no rows; other columns are never inputs of a score.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from operator import eq
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
@@ -135,11 +136,11 @@ class Scorer:
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
     """At most ``rows`` labelled texts outside the held-out fifth; the same ones at any partitioning."""
-    known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = fixed_sample(known, ["doc_id"], rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` ids at most
-    found = texts.dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")), "quality", "doc_id").collect()
-    return [(r[0], r[1]) for r in sorted(found, key=lambda r: r[2])]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ``rows`` ids at most
+    found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).collect()
+    return [(r.text, r.quality) for r in sorted(found, key=lambda r: r.doc_id)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,15 +153,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit([t for t, _ in sample], [q for _, q in sample])
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers
+    key = uuid4().hex
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        key = id(shared.value)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)

@@ -44,3 +44,22 @@ def test_stages_of_odd_rows(spark):
             assert name == "packing" or out.columns == docs.columns
             assert set(got) <= {1, 2, 3, None, 4} and (not got or rows is docs)
             assert name != "near-duplicates" or rows is not docs or sorted(got, key=str) == [1, 2, 3, 4, None]
+
+
+def test_columns_of_any_name_and_kind_pass(spark):
+    rows = [(1, "some words here", {"b": [1], "a": [2]}, "x"), (1, "some words here", {"a": [2], "b": [1]}, "x"), (None, "no id", None, "x"), (None, "no id", {"a": None}, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,array<int>>, leaked string")
+    docs = docs.withColumns({c: F.col("leaked") for c in ("_leaked", "__leaked", "row", "_n", "_t", "f0")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == (["1", "None"] if name == "near-duplicates" else ["1", "1", "None", "None"]), name
+
+
+def test_labels_and_texts_of_one_id_in_any_order(spark):
+    texts = [(i, f"text {i} {'good' if i % 2 else 'bad'} words") for i in range(1, 40)] + [(1, "another text of one"), (2, None)]
+    labels = [(i, i % 2) for i in range(1, 40)] + [(1, 0), (3, None), (4, 1)]
+    models = []
+    for flip in (1, -1):
+        docs = spark.createDataFrame(texts[::flip], "doc_id long, text string").coalesce(1)
+        models.append(quality.training_sample(docs, spark.createDataFrame(labels[::flip], "doc_id long, quality int").coalesce(1)))
+    assert models[0] == models[1] and ("another text of one", 0) in models[0]
