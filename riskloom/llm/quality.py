@@ -70,7 +70,7 @@ def _weights(text: str) -> tuple[np.ndarray, np.ndarray]:
         ids.append(REPEAT)
         weights.append(share * again)
     distinct, place = np.unique(np.array(ids, np.int64), return_inverse=True)
-    return distinct, np.bincount(place, weights=weights, minlength=len(distinct))
+    return distinct.astype(np.int32), np.bincount(place, weights=weights, minlength=len(distinct)).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:

@@ -77,8 +77,11 @@ def prove_whole_tokens(name: str = VOCABULARY) -> dict[str, int]:
         if string and not any(c.isspace() or "\x1c" <= c <= "\x1f" for c in string):
             strings.append(string)
     strings = sorted(set(strings))
-    encoded = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-    return {s: e.ids[0] for s, e in zip(strings, encoded, strict=True) if len(e.ids) == 1}
+    whole = {}
+    for a in range(0, len(strings), 2_048):  # the library's results are large beside the ids
+        part = strings[a : a + 2_048]
+        whole |= {s: e.ids[0] for s, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True) if len(e.ids) == 1}
+    return whole
 
 
 class PieceTokenizer:
