@@ -6,10 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from riskloom.functions.shared import cut
 
 from .checks import column_classes
 from .encoders import apply_frequencies, fit_frequencies, level_codes
-from .metrics import average_precision, rank_auc
+from .metrics import average_precision, bootstrap, interval, rank_auc
+from .ordering import global_cumulate
 
 
 @dataclass(frozen=True)
@@ -90,6 +94,35 @@ def missed_profile(df: DataFrame, threshold: float) -> DataFrame:
     return df.filter("label").groupBy(kind.alias("fate")).agg(F.count("*").alias("n"), F.percentile("amount", F.lit(0.5)).alias("median_amount"), F.sum("amount").alias("amount"))
 
 
+def ablation(fit: DataFrame, arbiter: DataFrame, blocks: dict[str, list[str]], base: tuple[str, ...], fitted, key: str, replicates: int = 1000) -> DataFrame:
+    """``block, kind, delta, lo, hi, mean, rows, positives, retained``: what each block of columns is worth, both ways.
+
+    ``fitted(rows, columns)`` gives a function that adds a model's score to rows under a name. Models learn from ``fit`` and
+    are compared on ``arbiter``, all with the same draws. ``leave_one_out`` is the full model against it without the
+    block, ``add_one`` the base with the block against the base: of two blocks that say the same, the first sees neither and the second both. A block stays
+    if an interval of either lies above zero; those of the base always do.
+    """
+    subset = lambda *names: tuple(sorted(names))
+    full, least = subset(*blocks), subset(*base)
+    pairs = {(b, "leave_one_out"): (full, subset(*(x for x in blocks if x != b))) for b in blocks if len(blocks) > 1}
+    pairs |= {(b, "add_one"): (subset(*base, b), least) for b in blocks if base and b not in base}
+    names, scored = {}, arbiter
+    for s in dict.fromkeys(s for pair in pairs.values() for s in pair):
+        names[s] = f"variant_{len(names)}"
+        scored = fitted(fit, [c for b in blocks if b in s for c in blocks[b]])(scored, names[s])
+    scored = cut(scored.select(key, "label", *names.values()), "variants")
+    whole = {s: average_precision(scored, n).first()[0] for s, n in names.items()}  # one number a variant
+    size = scored.agg(F.count("*"), F.count_if("label")).first()
+    draws = cut(bootstrap(scored, [key], replicates, tuple(names.values())), "draws")
+    out = None
+    for (block, kind), (more, less) in pairs.items():
+        row = interval(draws.withColumn("delta", F.col(f"ap_{names[more]}") - F.col(f"ap_{names[less]}")), "delta")
+        row = row.select(F.lit(block).alias("block"), F.lit(kind).alias("kind"), F.lit(whole[more] - whole[less]).alias("delta"), "lo", "hi", "mean", F.lit(size[0]).alias("rows"), F.lit(size[1]).alias("positives"))
+        out = row if out is None else out.unionByName(row)
+    kept = out.groupBy("block").agg((F.max("lo") > 0).alias("_kept"))
+    return out.join(kept, "block").select(*out.columns, (F.col("_kept") | F.col("block").isin(*base)).alias("retained"))
+
+
 def residual_lift(df: DataFrame, first: str, second: str, threshold: float) -> DataFrame:
     """What the second score is worth among the rows that the first does not flag."""
     return average_precision(df.filter(F.col(first) < threshold), second)
@@ -101,21 +134,46 @@ def memorisation(df: DataFrame, eligible: Column) -> DataFrame:
     return rank_auc(df.withColumn("group", group), by=("group",))
 
 
-def ecdf_knots(df: DataFrame, column: str, knots: int = 4096) -> list[float]:
-    """Quantile grid of the training scores: ``knots`` numbers."""
-    grid = F.array(*[F.lit(i / (knots - 1)) for i in range(knots)])
-    return df.agg(F.percentile(column, grid)).first()[0]
-
-
-def ecdf(column: Column, knots: list[float]) -> Column:
-    """Share of training scores below, linear between knots; 0 and 1 outside. Equal knots give their middle."""
-    grid, last = F.array(*[F.lit(float(k)) for k in knots]), len(knots) - 1
-    below = F.size(F.filter(grid, lambda k: k < column))
-    upto = F.size(F.filter(grid, lambda k: k <= column))
-    low, high = F.element_at(grid, F.greatest(below, F.lit(1))), F.element_at(grid, F.least(below + 1, F.lit(last + 1)))
-    between = (below - 1 + (column - low) / F.nullif(high - low, F.lit(0.0))) / last
-    tied = (below + upto - 1) / 2 / last
-    return F.when(column <= knots[0], 0.0).when(column >= knots[-1], 1.0).when(upto > below, tied).otherwise(between)
+def ecdf_knots(df: DataFrame, column: str, knots: int = 4096) -> DataFrame:
+    """``i, knot``: the quantile grid of the training scores, linear between neighbours, from one running count of the distinct values.
+
+    Knot ``i`` of ``knots`` lies at place ``i (m - 1) / (knots - 1)`` of ``m`` sorted scores. A value knows the places it fills, so
+    it names the knots that need it; all in whole numbers.
+    """
+    step = knots - 1
+    run = global_cumulate(df.filter(F.col(column).isNotNull()), column, {"n": F.lit(1)})
+    run = run.crossJoin(F.broadcast(run.agg(F.sum("n").alias("m"))))  # one row
+    run = run.select(F.col(column).cast("double").alias("v"), (F.col("cum_n") - F.col("n")).alias("a"), (F.col("cum_n") - 1).alias("b"), (F.col("m") - 1).alias("w"))
+    up = lambda x: F.when(F.col("w") == 0, 0).otherwise(-F.floor(-x * step / F.greatest("w", F.lit(1)))).cast("long")
+    down = lambda x: F.when(F.col("w") == 0, step).otherwise(F.floor(x * step / F.greatest("w", F.lit(1)))).cast("long")
+    a, b = F.col("a"), F.col("b")
+    last = F.when(F.col("w") == 0, step).otherwise(F.least(up(b + 1) - 1, F.lit(step)))
+    first = F.when((F.col("w") == 0) | (a == 0), 0).otherwise(down(a - 1) + 1)
+    spans = {"low": (up(a), last), "high": (first, down(b))}
+    ends = [run.filter(z >= y).select("w", F.lit(name).alias("end"), "v", F.explode(F.sequence(y.cast("long"), z.cast("long"))).alias("i")) for name, (y, z) in spans.items()]
+    both = ends[0].unionByName(ends[1]).groupBy("i").agg(F.min("w").alias("w"), *[F.max(F.when(F.col("end") == e, F.col("v"))).alias(e) for e in spans])
+    return both.select(F.col("i").cast("int").alias("i"), (F.col("low") + (F.col("high") - F.col("low")) * F.pmod(F.col("i") * F.col("w"), F.lit(step)) / step).alias("knot"))
+
+
+def ecdf(df: DataFrame, column: str, knots: DataFrame, name: str = "share", buckets: int = 4096) -> DataFrame:
+    """``df`` with the share of training scores below ``column``, linear between knots; 0 and 1 outside. Equal knots give their middle.
+
+    A range lookup: the stretches between neighbouring knots are laid into equal buckets of the knots' range, and a score meets
+    those of its bucket. Stretches are at most as many as knots, and buckets a parameter, so that side is broadcast.
+    """
+    held = cut(knots.groupBy("knot").agg(F.min("i").alias("_f"), F.max("i").alias("_l")), "knots")
+    order = Window.partitionBy(F.lit(0)).orderBy("knot")  # a row a knot
+    ends = held.agg(F.min("knot").alias("_lo"), F.max("knot").alias("_hi"), F.max("_l").alias("_n"))  # one row
+    at = lambda x: F.least(F.floor((x - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets), F.lit(buckets - 1))
+    parts = held.select(F.col("knot").alias("_from"), F.lead("knot").over(order).alias("_to"), "_f", "_l").filter("_to IS NOT NULL").crossJoin(F.broadcast(ends.select("_lo", "_hi")))
+    parts = parts.select("_from", "_to", "_f", "_l", F.explode(F.sequence(at(F.col("_from")), at(F.col("_to")))).alias("_bucket"))
+    x = F.col(column)
+    inside = df.crossJoin(F.broadcast(ends)).withColumn("_at", F.when((x >= F.col("_lo")) & (x < F.col("_hi")), at(x)))
+    met = inside.join(F.broadcast(parts), (F.col("_at") == F.col("_bucket")) & (x >= F.col("_from")) & (x < F.col("_to")), "left")
+    between = F.col("_l") + (x - F.col("_from")) / (F.col("_to") - F.col("_from"))
+    place = F.when(x == F.col("_from"), (F.col("_f") + F.col("_l")) / 2).otherwise(between) / F.col("_n")
+    share = F.when(x >= F.col("_hi"), 1.0).when(x < F.col("_lo"), 0.0).otherwise(F.when(x == F.col("_lo"), 0.0).otherwise(place))
+    return met.withColumn(name, share).drop("_lo", "_hi", "_n", "_at", "_from", "_to", "_f", "_l", "_bucket")
 
 
 def selected(configs: DataFrame) -> DataFrame:

@@ -109,10 +109,10 @@ def restricted(rows: DataFrame, population: DataFrame) -> DataFrame:
     return rows.join(population.select(*key).distinct(), key, "left_semi")
 
 
-def explanation(decisions: DataFrame, decision_id: Column, k: int = 3) -> DataFrame:
-    """One decision's strongest contributions, a row each."""
+def explanation(decisions: DataFrame, decision_id: Column, k: int = 3, key: tuple[str, ...] = ("id", "line")) -> DataFrame:
+    """The strongest contributions of the decisions that ``decision_id`` picks, a row each; ``key`` names a decision."""
     ordered = F.slice(F.array_sort("top_features", lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1).when(F.abs(a["value"]) < F.abs(b["value"]), 1).when(a["name"] < b["name"], -1).otherwise(1)), 1, k)
-    return decisions.filter(decision_id).select("id", "line", F.posexplode(ordered).alias("nth", "f")).select("id", "line", (F.col("nth") + 1).alias("nth"), "f.name", "f.value")
+    return decisions.filter(decision_id).select(*key, F.posexplode(ordered).alias("nth", "f")).select(*key, (F.col("nth") + 1).alias("nth"), "f.name", "f.value")
 
 
 def topology(edges: DataFrame, members: DataFrame, token) -> DataFrame:

@@ -95,12 +95,35 @@ def timestep_features(df: DataFrame) -> DataFrame:
     )
 
 
-def as_of(asked: DataFrame, history: DataFrame, rows: int) -> DataFrame:
-    """The latest ``rows`` rows of the same account at or before each asked row, itself left out."""
-    h = history.select(F.col("account_id").alias("_a"), F.col("us").alias("h_us"), F.col("transaction_id").alias("h_id"), F.col("amount").alias("h_amount"))
-    near = asked.join(h, (F.col("account_id") == F.col("_a")) & (F.col("h_us") <= F.col("us")) & (F.col("h_id") != F.col("transaction_id"))).drop("_a")
-    latest = Window.partitionBy("transaction_id").orderBy(F.desc("h_us"), F.desc("h_id"))
-    return near.withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= rows)
+def as_of(asked: DataFrame, history: DataFrame, rows: int, chunk: int = 30 * 24 * HOUR) -> DataFrame:
+    """The latest ``rows`` rows of the same account at or before each asked row, itself left out; ids of ``history`` are unique.
+
+    Linear in both tables: within a chunk of an account's time one pass keeps a tail of ``rows + 1`` rows at each instant,
+    asked rows are sorted in and take the last tail, and chunks carry their tail on. One account is spread over its chunks.
+    """
+    keep = rows + 1
+    here = F.floor(F.col("us") / chunk).alias("_chunk")
+    h = history.filter("account_id IS NOT NULL AND us IS NOT NULL AND transaction_id IS NOT NULL")
+    h = h.select("account_id", here, "us", F.struct("us", F.col("transaction_id").alias("id"), "amount").alias("_h"))
+    latest = lambda c: F.slice(c, F.greatest(F.size(c) - keep + 1, F.lit(1)), F.lit(keep))
+    order = Window.partitionBy("account_id", "_chunk").orderBy("us", "_h.id")
+    tail = F.collect_list("_h").over(order.rowsBetween(-rows, 0)).alias("_tail")
+    ends = h.select("account_id", "_chunk", "us", tail, F.lead("us").over(order).alias("_next")).filter("_next IS NULL OR _next > us")
+    # what each chunk leaves to the next: every chunk with history holds a row, so as many as are kept suffice
+    chunks = ends.filter("_next IS NULL").select("account_id", "_chunk", "_tail")
+    by_chunk = Window.partitionBy("account_id").orderBy("_chunk")  # a row a chunk
+    left = chunks.select("account_id", "_chunk", latest(F.flatten(F.collect_list("_tail").over(by_chunk.rowsBetween(-rows, 0)))).alias("_left"))
+    q = asked.filter("account_id IS NOT NULL AND us IS NOT NULL AND transaction_id IS NOT NULL").select("account_id", here, "us", F.struct("*").alias("_q"))
+    wanted = left.join(q.select("account_id", "_chunk").distinct(), ["account_id", "_chunk"], "full")
+    before = wanted.select("account_id", "_chunk", F.last("_left", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    both = q.withColumn("_tail", F.lit(None).cast(ends.schema["_tail"].dataType)).unionByName(ends.select("account_id", "_chunk", "us", F.lit(None).cast(q.schema["_q"].dataType).alias("_q"), "_tail"))
+    # of one instant, history first
+    pass_ = Window.partitionBy("account_id", "_chunk").orderBy("us", F.col("_q").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_tail", ignorenulls=True).over(pass_)).filter("_q IS NOT NULL").join(before, ["account_id", "_chunk"], "left")
+    none = F.array().cast(ends.schema["_tail"].dataType)
+    found = F.filter(F.reverse(F.concat(F.coalesce("_before", none), F.coalesce("_seen", none))), lambda x: x["id"] != F.col("_q.transaction_id"))
+    out = seen.select("_q", F.posexplode(F.slice(found, 1, rows)).alias("_n", "_h"))
+    return out.select("_q.*", F.col("_h.us").alias("h_us"), F.col("_h.id").alias("h_id"), F.col("_h.amount").alias("h_amount"), (F.col("_n") + 1).alias("nth"))
 
 
 def split_velocity(df: DataFrame, windows: dict[str, int] = WINDOWS, chunk: int | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def communities(edges: DataFrame, rounds: int = 1000, free: int = 16) -> DataFra
     for r in range(rounds):
         held = state.join(degree, [BY, "node"])
         total = held.groupBy(BY, "community").agg(F.sum("k").alias("tot"))
-        toward = both.join(state.select(BY, F.col("node").alias("other"), "community"), [BY, "other"]).groupBy(BY, "node", "community").agg(F.sum("weight").alias("w"))
+        toward = both.filter("node <> other").join(state.select(BY, F.col("node").alias("other"), "community"), [BY, "other"]).groupBy(BY, "node", "community").agg(F.sum("weight").alias("w"))
         own = held.select(BY, "node", "k", F.col("community").alias("own"))
         stay = own.select(BY, "node", F.col("own").alias("community"), F.lit(0.0).alias("w"))
         options = toward.unionByName(stay).groupBy(BY, "node", "community").agg(F.sum("w").alias("w")).join(own, [BY, "node"]).join(total, [BY, "community"]).join(mass, BY)
@@ -79,6 +79,41 @@ def communities(edges: DataFrame, rounds: int = 1000, free: int = 16) -> DataFra
     raise RuntimeError(f"nodes still move after {rounds} rounds")
 
 
+def louvain(edges: DataFrame, levels: int = 30) -> DataFrame:
+    """``snapshot_end, node, community``: local moving, then the communities as nodes of a smaller weighted graph, until none merge.
+
+    A community's inner weight becomes a loop of its node, so that modularity is the same on every level. A community is named by its least node.
+    """
+    level, names = cut(edges.select(BY, "u", "v", F.col("weight").cast("double").alias("weight"))), None
+    for _ in range(levels):
+        state = communities(level)
+        merged = state.filter("node <> community")
+        names = state if names is None else cut(names.withColumnRenamed("community", "_c").join(state.select(BY, F.col("node").alias("_c"), "community"), [BY, "_c"]).select(BY, "node", "community"))
+        if merged.isEmpty():
+            least = names.groupBy(BY, "community").agg(F.min("node").alias("least"))
+            return names.join(least, [BY, "community"]).select(BY, "node", F.col("least").alias("community"))
+        of = lambda end: state.select(BY, F.col("node").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: E731, B023
+        ends = level.join(of("u"), [BY, "u"]).join(of("v"), [BY, "v"])
+        level = cut(ends.groupBy(BY, F.least("c_u", "c_v").alias("u"), F.greatest("c_u", "c_v").alias("v")).agg(F.sum("weight").alias("weight")))
+    raise RuntimeError(f"communities still merge after {levels} levels")
+
+
+def candidate_rings(edges: DataFrame, small: int = 12, least: int = 3) -> DataFrame:
+    """``snapshot_end, node, ring``: components of up to ``small`` nodes as they are, larger ones by community; stars and groups of fewer than ``least`` nodes are none.
+
+    Paths of a small component would be cut up by modularity, so only large ones are; their edges alone enter the search.
+    """
+    members = cut(without_stars(snapshot_components(edges), edges, least))
+    large = members.groupBy(BY, "ring").agg(F.count("*").alias("n")).filter(F.col("n") > small).select(BY, "ring")
+    split = cut(members.join(large, [BY, "ring"], "left_semi"))
+    whole = members.join(large, [BY, "ring"], "left_anti").select(BY, "node", "ring")
+    if split.isEmpty():
+        return whole
+    parts = cut(louvain(edges.join(split.select(BY, F.col("node").alias("u")), [BY, "u"], "left_semi")).withColumnRenamed("community", "ring"))
+    enough = parts.groupBy(BY, "ring").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return whole.unionByName(parts.join(enough, [BY, "ring"], "left_semi").select(BY, "node", "ring"))
+
+
 def modularity(edges: DataFrame, state: DataFrame) -> DataFrame:
     """Weighted modularity of a partition, one row a snapshot."""
     of = lambda end: state.select(BY, F.col("node").alias(end), F.col("community").alias(f"c_{end}"))

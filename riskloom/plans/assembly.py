@@ -96,11 +96,10 @@ def memorisation(spark, sf_dir):
     return rounded(assembly.memorisation(tables.scored(spark, sf_dir), F.col("other") >= 0.5))
 
 
-@query(f"WITH {S}, k AS (SELECT [{', '.join(f'quantile_cont(score, {i / 16})' for i in range(17))}] AS g FROM s), p AS (SELECT id, line, score AS x, g, len(list_filter(g, lambda k: k < score)) AS b, len(list_filter(g, lambda k: k <= score)) AS u FROM s, k) SELECT id, line, round(CASE WHEN x <= g[1] THEN 0 WHEN x >= g[17] THEN 1 WHEN u > b THEN (b + u - 1) / 2 / 16 ELSE (b - 1 + (x - g[b]) / (g[b + 1] - g[b])) / 16 END, 6) AS share FROM p")
+@query(f"WITH {S}, k AS (SELECT unnest(quantile_cont(score, [i / 4095 for i in range(4096)])) AS g, unnest(range(4096)) AS i FROM s), h AS (SELECT g, min(i) AS f, max(i) AS l, lead(g) OVER (ORDER BY g) AS nxt FROM k GROUP BY g), e AS (SELECT min(g) AS lo, max(g) AS hi FROM h) SELECT id, line, round(CASE WHEN score <= lo THEN 0 WHEN score >= hi THEN 1 WHEN score = g THEN (f + l) / 2 / 4095 ELSE (l + (score - g) / (nxt - g)) / 4095 END, 6) AS share FROM s JOIN e ON true ASOF LEFT JOIN h ON s.score >= h.g")
 def empirical_cdf(spark, sf_dir):
     s = tables.scored(spark, sf_dir)
-    knots = assembly.ecdf_knots(s, "score", 17)
-    return rounded(s.select("id", "line", assembly.ecdf(F.col("score"), knots).alias("share")))
+    return rounded(assembly.ecdf(s, "score", assembly.ecdf_knots(s, "score")).select("id", "line", "share"))
 
 
 @query(f"WITH RECURSIVE {_CC}, {_DEG}, {_FEAT}, l AS (SELECT max(snapshot_end) AS e FROM ft), r AS (SELECT ft.*, round(size * density, 6) AS score FROM ft, l WHERE snapshot_end = e) SELECT snapshot_end, (SELECT ring FROM r ORDER BY score DESC, ring LIMIT 1) AS riskiest, (SELECT ring FROM r ORDER BY score, ring LIMIT 1) AS cleanest, count(*) AS rings FROM r GROUP BY 1")
@@ -156,40 +155,28 @@ def ring_row_features(spark, sf_dir):
     return rounded(out.select("node", "us", ((F.col("us") - F.col("snapshot_end")) / 3_600_000_000).alias("staleness_hours"), F.coalesce(F.col("size").cast("double"), F.lit(-1.0)).alias("ring_size"), F.col("size").isNull().cast("int").alias("ring_absent")))
 
 
-@query()
-def fusion_lift(spark, sf_dir):
-    """Does a second-stage model on score and history beat the score alone? Paired interval and verdict."""
-    s = tables.scored(spark, sf_dir)
-    rows = models.assembled(s.withColumn("y", F.col("label").cast("double")), ["score", "other"])
+def _fitted(rows, features):
+    """A logistic model as a function that adds its score, rounded, under a name."""
     from pyspark.ml.classification import LogisticRegression
-
-    fitted = LogisticRegression(labelCol="y", regParam=0.001, maxIter=30).fit(rows.filter("band = 'O'"))
     from pyspark.ml.functions import vector_to_array
 
-    test = fitted.transform(rows.filter("band = 'F'")).withColumn("fused", F.round(vector_to_array("probability")[1], 6)).select("id", "line", "label", "score", "fused")
-    both = metrics.bootstrap(test, ["id", "line"], 1000, ("fused", "score"))
+    names = {"rawPredictionCol": "_raw", "probabilityCol": "_p", "predictionCol": "_y"}
+    m = LogisticRegression(labelCol="y", regParam=0.001, maxIter=30, **names).fit(models.assembled(rows.withColumn("y", F.col("label").cast("double")), features))
+    return lambda df, name: m.transform(models.assembled(df, features)).withColumn(name, F.round(vector_to_array("_p")[1], 6)).drop("features", *names.values())
+
+
+@query()
+def fusion_lift(spark, sf_dir):
+    """Does a second-stage model on score and history beat the score alone? Paired interval and verdict."""
+    s = tables.numbered(spark, sf_dir)
+    test = _fitted(s.filter("band = 'O'"), ["score", "other"])(s.filter("band = 'F'"), "fused")
+    both = metrics.bootstrap(test, ["row"], 1000, ("fused", "score"))
     return rounded(metrics.interval(both.withColumn("delta", F.col("ap_fused") - F.col("ap_score")), "delta"))
 
 
 @query()
 def block_ablation(spark, sf_dir):
-    """Each block left out in turn: what the full model loses without it, and whether to keep it."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    s = tables.scored(spark, sf_dir).withColumn("y", F.col("label").cast("double"))
-    blocks = {"risk": ["score"], "size": ["other", "amount"]}
-
-    def fitted(features: list[str], name: str):
-        rows = models.assembled(s, features)
-        m = LogisticRegression(labelCol="y", regParam=0.001, maxIter=20).fit(rows.filter("band = 'O'"))
-        return m.transform(rows.filter("band = 'F'")).select("id", "line", "label", F.round(vector_to_array("probability")[1], 6).alias(name))
-
-    everything = fitted([c for b in blocks.values() for c in b], "full")
-    out = None
-    for name in blocks:
-        less = fitted([c for n, b in blocks.items() if n != name for c in b], "less").drop("label")
-        both = metrics.bootstrap(everything.join(less, ["id", "line"]), ["id", "line"], 1000, ("full", "less"))
-        row = metrics.interval(both.withColumn("delta", F.col("ap_full") - F.col("ap_less")), "delta").withColumn("block", F.lit(name)).withColumn("keep", F.col("lo") > 0)
-        out = row if out is None else out.unionByName(row)
-    return rounded(out)
+    """Each block left out of the full model and added to the base alone, and whether either says to keep it."""
+    s = tables.numbered(spark, sf_dir)
+    blocks = {"risk": ["score"], "size": ["other"], "amount": ["amount"]}
+    return rounded(assembly.ablation(s.filter("band = 'O'"), s.filter("band = 'F'"), blocks, ("risk",), _fitted, "row"))

@@ -6,7 +6,7 @@ from riskloom.operators import checks, costs, edges, findings, metrics, models,
 from riskloom.operators.splits import assign_splits, time_blocks
 from riskloom.sources import tables
 
-from .base import O, S, T, query, rounded
+from .base import O, query, rounded, S, SN, T
 from .graph import _CC, _DEG, _FEAT, _KEY, CADENCE, WINDOW, _rings, flows
 from .splits import _CUT
 
@@ -90,10 +90,11 @@ def known_accounts(spark, sf_dir):
 _TOP = "unnest(['amount', 'other', 'score']) AS name, unnest([0.00001 * amount, -0.5 * other, 0.7 * score]) AS value"
 
 
-@query(f"WITH {S}, p AS (SELECT id, line, {_TOP} FROM s WHERE id = 42), r AS (SELECT *, row_number() OVER (PARTITION BY id, line ORDER BY abs(value) DESC, name) AS nth FROM p) SELECT id, line, nth::INT AS nth, name, round(value, 6) AS value FROM r WHERE nth <= 2")
+@query(f"WITH {SN}, p AS (SELECT row, id, line, {_TOP} FROM sn WHERE id = 42), r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY abs(value) DESC, name) AS nth FROM p) SELECT row, id, line, nth::INT AS nth, name, round(value, 6) AS value FROM r WHERE nth <= 2")
 def decision_explained(spark, sf_dir):
-    c = models.contributions(tables.scored(spark, sf_dir).filter("id = 42").dropDuplicates(["id", "line"]), {"amount": 0.00001, "other": -0.5, "score": 0.7}, 3)
-    return rounded(findings.explanation(c, F.col("id") == 42, 2))
+    """Every line of one order, each by its own number."""
+    c = models.contributions(tables.numbered(spark, sf_dir), {"amount": 0.00001, "other": -0.5, "score": 0.7}, 3)
+    return rounded(findings.explanation(c, F.col("id") == 42, 2, ("row", "id", "line")))
 
 
 @query(f"WITH RECURSIVE {_CC}, {_DEG}, x AS (SELECT m.snapshot_end, coalesce(a.ring, b.ring) AS ring, amount, is_fraud FROM m LEFT JOIN kept a ON a.snapshot_end = m.snapshot_end AND a.node = m.src LEFT JOIN kept b ON b.snapshot_end = m.snapshot_end AND b.node = m.dst), r AS (SELECT snapshot_end, ring, sum(amount) AS amount, bool_or(is_fraud) AS label, count(*) AS n FROM x WHERE ring IS NOT NULL GROUP BY 1, 2) SELECT count(*) AS n, count(*) FILTER (n >= 200) AS flagged, round(5 * 3 * count(*) FILTER (n >= 200 AND NOT label) + coalesce(sum(amount) FILTER (n < 200 AND label), 0) + 15 * count(*) FILTER (n < 200 AND label), 0) AS cost FROM r")

@@ -150,8 +150,9 @@ def ring_recovery(spark, sf_dir):
 
 @query()
 def ring_communities(spark, sf_dir):
+    """Rings of every snapshot, large components split by modularity."""
     e = snapshot_edges(spark, sf_dir).withColumn("weight", F.col("flow_count").cast("double"))
-    return rings.communities(e)
+    return rings.candidate_rings(e)
 
 
 @query()

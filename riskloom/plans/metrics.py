@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import costs, metrics
 from riskloom.sources import tables
 
-from .base import CURVE, S, query, rounded
+from .base import CURVE, query, rounded, S, SN
 
 
 @query(f"WITH {S}, c AS (SELECT band, count(*) FILTER (score >= 0.6 AND label) AS tp, count(*) FILTER (score >= 0.6 AND NOT label) AS fp, count(*) FILTER (score < 0.6 AND label) AS fn, count(*) FILTER (score < 0.6 AND NOT label) AS tn FROM s GROUP BY band), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c) SELECT band, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM p")
@@ -65,7 +65,7 @@ def score_quantiles(spark, sf_dir):
 
 _WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in metrics.STEPS)
 _MIX = "(xor(h, h >> 16) * 73244475) % 4294967296"
-_BOOT = f"""{S}, h0 AS (SELECT s.*, r AS replicate, ((id * 1009 + line) % 2147483648 * 1000003 + r * 7919 + 12345) % 4294967296 AS h FROM s, range(1000) t(r)), h1 AS (SELECT * REPLACE ({_MIX} AS h) FROM h0), h2 AS (SELECT * REPLACE ({_MIX} AS h) FROM h1), d AS (SELECT *, xor(h, h >> 16) / 4294967296.0::DOUBLE AS u FROM h2), w AS MATERIALIZED (SELECT replicate, score, other, label, amount, {_WEIGHT} AS w FROM d),
+_BOOT = f"""{SN}, h0 AS (SELECT sn.*, r AS replicate, (row % 2147483648 * 1000003 + r * 7919 + 12345) % 4294967296 AS h FROM sn, range(1000) t(r)), h1 AS (SELECT * REPLACE ({_MIX} AS h) FROM h0), h2 AS (SELECT * REPLACE ({_MIX} AS h) FROM h1), d AS (SELECT *, xor(h, h >> 16) / 4294967296.0::DOUBLE AS u FROM h2), w AS MATERIALIZED (SELECT replicate, score, other, label, amount, {_WEIGHT} AS w FROM d),
   st AS (SELECT replicate, sum(w) FILTER (label) AS wp, sum(w) FILTER (NOT label) AS wn FROM w GROUP BY 1), tot AS (SELECT count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS n FROM s)"""
 
 
@@ -76,10 +76,10 @@ def _boot(score: str) -> str:
   a_{score} AS (SELECT replicate, sum(CASE WHEN tp > 0 THEN tp * ({up}) / ({up} + {down}) ELSE 0 END) / min(wp) AS ap FROM c_{score} JOIN st USING (replicate), tot GROUP BY 1), q_{score} AS (SELECT quantile_cont({score}, 0.95) AS t FROM s), k_{score} AS (SELECT replicate, 1000 * sum(w * {loss} * CASE WHEN label THEN p / wp ELSE n / wn END) / min(p + n) AS cost, sum(CASE WHEN {score} > t AND label THEN w * amount ELSE 0 END) / sum(CASE WHEN label THEN w * amount ELSE 0 END) AS recall FROM w JOIN st USING (replicate), tot, q_{score} GROUP BY 1)"""
 
 
-@query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')} SELECT replicate, round(a_score.ap, 6) AS ap_score, round(a_other.ap, 6) AS ap_other, round(k_score.cost, 2) AS cost_score, round(k_other.cost, 2) AS cost_other, round(k_score.recall, 6) AS recall_score, round(k_other.recall, 6) AS recall_other FROM a_score JOIN a_other USING (replicate) JOIN k_score USING (replicate) JOIN k_other USING (replicate)")
+@query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')} SELECT replicate, round(a_score.ap, 6) AS ap_score, round(a_other.ap, 6) AS ap_other, round(k_score.cost, 4) AS cost_score, round(k_other.cost, 4) AS cost_other, round(k_score.recall, 6) AS recall_score, round(k_other.recall, 6) AS recall_other FROM a_score JOIN a_other USING (replicate) JOIN k_score USING (replicate) JOIN k_other USING (replicate)")
 def paired_bootstrap(spark, sf_dir):
-    out = rounded(metrics.bootstrap(tables.scored(spark, sf_dir), ["id", "line"], 1000, ("score", "other"), 0.05))
-    return out.withColumns({c: F.round(c, 2) for c in ("cost_score", "cost_other")})
+    out = rounded(metrics.bootstrap(tables.numbered(spark, sf_dir), ["row"], 1000, ("score", "other"), 0.05))
+    return out.withColumns({c: F.round(c, 4) for c in ("cost_score", "cost_other")})
 
 
 _DELTAS = (("average_precision", "ap"), ("cost_per_1000", "cost"), ("value_recall", "recall"))
@@ -88,7 +88,7 @@ _DELTAS = (("average_precision", "ap"), ("cost_per_1000", "cost"), ("value_recal
 @query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')}, dl AS (SELECT a_score.ap - a_other.ap AS ap, k_score.cost - k_other.cost AS cost, k_score.recall - k_other.recall AS recall FROM a_score JOIN a_other USING (replicate) JOIN k_score USING (replicate) JOIN k_other USING (replicate)), i AS (" + " UNION ALL ".join(f"SELECT '{n}' AS metric, quantile_cont({c}, 0.025) AS lo, quantile_cont({c}, 0.975) AS hi, avg({c}) AS mean FROM dl" for n, c in _DELTAS) + ") SELECT metric, round(lo, 4) AS lo, round(hi, 4) AS hi, round(mean, 4) AS mean, CASE WHEN lo <= 0 AND hi >= 0 THEN 'TIE' WHEN lo > 0 THEN 'BETTER' ELSE 'WORSE' END AS verdict FROM i")
 def bootstrap_verdict(spark, sf_dir):
     """Paired differences of two scores; for costs the sign of BETTER is that of the difference, more being dearer."""
-    both = metrics.cut(metrics.bootstrap(tables.scored(spark, sf_dir), ["id", "line"], 1000, ("score", "other"), 0.05), "replicates")
+    both = metrics.cut(metrics.bootstrap(tables.numbered(spark, sf_dir), ["row"], 1000, ("score", "other"), 0.05), "replicates")
     out = None
     for name, c in _DELTAS:
         row = metrics.interval(both.withColumn("delta", F.col(f"{c}_score") - F.col(f"{c}_other")), "delta").withColumn("metric", F.lit(name))
@@ -96,10 +96,9 @@ def bootstrap_verdict(spark, sf_dir):
     return rounded(out, 4)
 
 
-@query(f"WITH {S}, k AS (SELECT CAST(floor(count(*) * 0.1) AS INT) AS k, avg(CAST(label AS INT)) AS b FROM s), o AS (SELECT label, row_number() OVER (ORDER BY score DESC, id * 10 + line) AS n FROM s), p AS (SELECT avg(CAST(label AS INT)) AS p FROM o, k WHERE n <= k) SELECT round(p, 6) AS precision_at_k, round(b, 6) AS base_rate, round(p / b, 6) AS lift, k FROM p, k")
+@query(f"WITH {SN}, k AS (SELECT CAST(floor(count(*) * 0.1) AS INT) AS k, avg(CAST(label AS INT)) AS b FROM s), o AS (SELECT label, row_number() OVER (ORDER BY score DESC, row) AS n FROM sn), p AS (SELECT avg(CAST(label AS INT)) AS p FROM o, k WHERE n <= k) SELECT round(p, 6) AS precision_at_k, round(b, 6) AS base_rate, round(p / b, 6) AS lift, k FROM p, k")
 def enrichment(spark, sf_dir):
-    df = tables.scored(spark, sf_dir).withColumn("row_id", F.col("id") * 10 + F.col("line"))
-    return rounded(metrics.top_k_precision(df, 0.1, id_="row_id"))
+    return rounded(metrics.top_k_precision(tables.numbered(spark, sf_dir), 0.1, id_="row"))
 
 
 @query(f"WITH {CURVE}, x AS (SELECT (SELECT round(sum(tp * cum_tp / cum_n) / sum(tp), 6) FROM c) AS average_precision), f AS (SELECT count(*) AS n, count(*) FILTER (score >= 0.7) AS flagged, count(*) FILTER (score >= 0.7 AND NOT label) AS fp, count(*) FILTER (score < 0.7 AND label) AS fn, sum(amount) FILTER (score < 0.7 AND label) AS missed, sum(amount) FILTER (score >= 0.7 AND label) AS caught, avg(CAST(label AS INT)) AS base_rate FROM s) SELECT average_precision, round(base_rate, 6) AS base_rate, flagged, round(1000 * (3 * fp + missed + 15 * fn) / n, 2) AS cost_per_1000, round(caught / (caught + missed), 6) AS value_recall, average_precision > 0.95 AS suspicious FROM x, f")

@@ -8,6 +8,7 @@ from riskloom.functions.shared import shared_dir
 from riskloom.operators import serving
 from riskloom.operators.costs import decision
 from riskloom.streaming import jobs
+from riskloom.streaming.rolling import RollingGraph
 
 from .base import T, query, rounded
 
@@ -51,3 +52,27 @@ def stream_rolling_edges(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_time", F.col("account_id").alias("src"), F.col("transaction_type").alias("dst"), "amount")
     out = jobs.replayed(jobs.rolling_edges(e), mode="complete")
     return out.withColumn("amount", F.round("amount", 4))
+
+
+_CYCLE, _ROLL = 10, 14 * _DAY
+
+
+@query(f"WITH RECURSIVE {T}, f AS (SELECT 'a' || account_id AS a, 'd' || account_id % 7 || '-' || us // {_DAY} % {_CYCLE} AS b FROM t, (SELECT max(us) AS hi FROM t) WHERE us >= hi - {_ROLL}), bi AS (SELECT a, b FROM f UNION SELECT b, a FROM f), reach(node, ring) USING KEY (node) AS (SELECT DISTINCT a, a FROM bi UNION SELECT bi.b, min(r.ring) FROM reach r JOIN bi ON bi.a = r.node JOIN recurring.reach k ON k.node = bi.b WHERE r.ring < k.ring GROUP BY 1) SELECT node, ring FROM reach")
+def stream_rolling_rings(spark, sf_dir):
+    """Rings of the last two weeks, kept up batch by batch; SQL builds them from the rows alone."""
+    graph = RollingGraph(f"{shared_dir(spark)}/rolling-{uuid.uuid4().hex}", _ROLL)
+    e = _events(spark, sf_dir).select("us", F.concat(F.lit("a"), F.col("account_id").cast("string")).alias("src"), F.concat(F.lit("d"), (F.col("account_id") % 7).cast("string"), F.lit("-"), F.expr(f"us div {_DAY} % {_CYCLE}").cast("string")).alias("dst"))
+    versions = []
+
+    def in_parts(batch, n):
+        """A replay comes as one batch; it is taken in by thirds of its time, as a live stream would be."""
+        lo, hi = batch.agg(F.min("us"), F.max("us")).first()
+        if lo is None:
+            return
+        width = (hi - lo) // 3 + 1
+        for k in range(3):
+            versions.append(len(versions))
+            graph.apply(batch.filter(F.expr(f"(us - {lo}) div {width}") == k), versions[-1])
+
+    jobs.replayed(e, in_parts)
+    return graph.rings(spark, len(versions) - 1)

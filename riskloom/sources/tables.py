@@ -97,3 +97,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("at"),
         F.col("l_linestatus").alias("band"),
     )
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scored`` with ``row``, its position in the order of all columns: order and line number name no row, many repeat."""
+    from riskloom.operators.ordering import global_rank
+
+    return global_rank(scored(spark, sf_dir), ["id", "line", "score", "other", "label", "amount", "band"], "row")

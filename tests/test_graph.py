@@ -121,6 +121,62 @@ def test_communities_end_where_no_node_gains(spark):
         rings.communities(e, rounds=1)
 
 
+def partitions(nodes):
+    if not nodes:
+        yield []
+        return
+    for p in partitions(nodes[1:]):
+        yield [[nodes[0]], *p]
+        for i, part in enumerate(p):
+            yield [*p[:i], [nodes[0], *part], *p[i + 1 :]]
+
+
+def modularity_of(pairs, weights, parts):
+    of = {n: i for i, p in enumerate(parts) for n in p}
+    m, degree = sum(weights), defaultdict(float)
+    for (a, b), w in zip(pairs, weights, strict=True):
+        degree[of[a]] += w
+        degree[of[b]] += w
+    return sum(w for (a, b), w in zip(pairs, weights, strict=True) if of[a] == of[b]) / m - sum(d * d for d in degree.values()) / (4 * m * m)
+
+
+def test_levels_come_close_to_the_best_partition(spark):
+    rng, graphs = random.Random(6), {}
+    for g in range(60):
+        nodes = [f"n{i}" for i in range(rng.randint(3, 8))]
+        pairs = {tuple(sorted((nodes[i], nodes[rng.randrange(i)]))) for i in range(1, len(nodes))}
+        pairs |= {tuple(sorted(rng.sample(nodes, 2))) for _ in range(rng.randint(0, 8))}
+        graphs[g] = sorted(pairs), [float(rng.choice((1, 1, 2, 5))) for _ in pairs]
+    rows = [(g, a, b, w) for g, (pairs, weights) in graphs.items() for (a, b), w in zip(pairs, weights, strict=True)]
+    e = spark.createDataFrame(rows, "snapshot_end long, u string, v string, weight double")
+    found = [sorted(map(tuple, rings.louvain(x).select("snapshot_end", "node", "community").collect())) for x in (e, e.repartition(7))]
+    assert found[0] == found[1]
+    parts = defaultdict(lambda: defaultdict(list))
+    for g, node, community in found[0]:
+        parts[g][community].append(node)
+    assert all(c == min(p) for of in parts.values() for c, p in of.items())
+    gaps = []
+    for g, (pairs, weights) in graphs.items():
+        best = max(modularity_of(pairs, weights, p) for p in partitions(sorted({n for pair in pairs for n in pair})))
+        gaps.append(best - modularity_of(pairs, weights, list(parts[g].values())))
+    assert max(gaps) < 0.08 and sum(gaps) / len(gaps) < 0.01 and sum(x < 1e-9 for x in gaps) > 45
+
+
+def test_only_large_components_are_split(spark):
+    clique = lambda names: [(a, b) for i, a in enumerate(names) for b in names[:i]]
+    large = clique([f"a{i}" for i in range(7)]) + clique([f"b{i}" for i in range(7)]) + [("a0", "b0"), ("b6", "z")]
+    path = [(f"p{i:02}", f"p{i + 1:02}") for i in range(11)]
+    star = [("hub", f"s{i}") for i in range(20)]
+    got = defaultdict(set)
+    for r in rings.candidate_rings(ring_edges(spark, large + path + star + [("x", "y")])).collect():
+        got[r.ring].add(r.node)
+    assert got["p00"] == {f"p{i:02}" for i in range(12)} and not any(n in ("hub", "x", "y") for p in got.values() for n in p)
+    assert got["a0"] == {f"a{i}" for i in range(7)} and {f"b{i}" for i in range(7)} <= got["b0"]
+    assert set(got) == {"a0", "b0", "p00"} and all(len(p) >= 3 for p in got.values())
+    same = rings.candidate_rings(ring_edges(spark, path))
+    assert {r.ring for r in same.collect()} == {"p00"}
+
+
 def test_repeats_of_a_ring_are_dropped(spark):
     rows = [(1, n, "a") for n in "abcd"] + [(2, n, "b") for n in "bcde"] + [(2, n, "p") for n in "pqr"] + [(3, n, "q") for n in "qxyz"]
     got = rings.first_occurrences(spark.createDataFrame(rows, "snapshot_end long, node string, ring string"))

@@ -117,3 +117,20 @@ def test_splitting_an_account_s_time_changes_no_value(frame, chunk):
     whole = {r.transaction_id: (r.count_1h, round(r.sum_1h, 9), r.prior_count, r.seconds_since_prior) for r in history.with_velocity(history.with_prior_counts(frame), windows).collect()}
     split = history.split_velocity(history.split_prior_counts(frame, chunk), windows, chunk)
     assert whole == {r.transaction_id: (r.count_1h, round(r.sum_1h, 9), r.prior_count, r.seconds_since_prior) for r in split.collect()}
+
+
+@pytest.mark.parametrize("chunk", [3 * HOUR, 10**15])
+def test_as_of_is_that_of_brute_force(spark, frame, chunk):
+    rows = frame.select("transaction_id", "us", "account_id", "amount").collect()
+    rng = random.Random(5)
+    asked = [(r.transaction_id, r.us, r.account_id) for r in rows if r.transaction_id % 3 == 0]
+    asked += [(10_000 + i, rng.choice(rows).us + rng.choice((-1, 0, 1, 10**13)), rng.choice([*range(14), 99])) for i in range(60)] + [(20_000, None, 1), (20_001, rows[5].us, None)]
+    got = {}
+    for r in history.as_of(spark.createDataFrame(asked, "transaction_id long, us long, account_id long").repartition(5), frame.repartition(3), 4, chunk).collect():
+        got.setdefault(r.transaction_id, {})[r.nth] = (r.h_us, r.h_id, r.h_amount)
+    want = {}
+    for i, us, account in asked:
+        before = [] if us is None else sorted(((h.us, h.transaction_id, h.amount) for h in rows if h.account_id == account and h.us <= us and h.transaction_id != i), reverse=True)[:4]
+        if before:
+            want[i] = dict(enumerate(before, 1))
+    assert got == want

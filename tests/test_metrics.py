@@ -133,10 +133,49 @@ def test_off_policy_estimates_recover_the_truth(spark):
 def test_empirical_cdf_is_linear_between_knots(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 2, 2, 3, 10]], "x double")
     knots = assembly.ecdf_knots(df, "x", 7)
-    got = {r.x: r.s for r in spark.createDataFrame([(float(x),) for x in (-1, 0, 0.5, 2, 6.5, 10, 11)], "x double").select("x", assembly.ecdf(F.col("x"), knots).alias("s")).collect()}
+    got = {r.x: r.share for r in assembly.ecdf(spark.createDataFrame([(float(x),) for x in (-1, 0, 0.5, 2, 6.5, 10, 11)], "x double"), "x", knots).collect()}
     assert got[-1.0] == 0 and got[0.5] == pytest.approx(0.5 / 6) and got[2.0] == pytest.approx(0.5) and got[6.5] == pytest.approx(5.5 / 6) and got[11.0] == 1
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 300])
+def test_knots_and_shares_are_those_of_numpy(spark, size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=size).round(2) * np.where(rng.random(size) < 0.1, 50, 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    for n in (2, 13, 500):
+        knots = {r.i: r.knot for r in assembly.ecdf_knots(df, "x", n).collect()}
+        want = np.quantile(x, np.linspace(0, 1, n))
+        assert [knots[i] for i in range(n)] == pytest.approx(want.tolist(), abs=1e-9)
+        asked = [float(v) for v in np.concatenate([x, rng.normal(size=40), [x.min() - 1, x.max() + 1]])]
+        table = spark.createDataFrame(list(enumerate(want.tolist())), "i int, knot double")
+        got = assembly.ecdf(spark.createDataFrame([(v,) for v in asked] + [(None,)], "x double"), "x", table, buckets=17).collect()
+        assert len(got) == len(asked) + 1 and [r.share for r in got if r.x is None] == [None]
+        distinct = [v for v in asked if v not in set(want)]
+        assert {r.x: r.share for r in got if r.x in distinct} == pytest.approx({v: float(np.interp(v, want, np.linspace(0, 1, n))) for v in distinct})
+
+
+def test_ablation_looks_both_ways(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, bool(y), float(y + rng.normal()), float(rng.normal()), float(rng.normal())) for i, y in enumerate(rng.integers(0, 2, 400))]
+    df = spark.createDataFrame(rows, "row long, label boolean, good double, base double, noise double").withColumn("same", F.col("good"))
+    fitted = lambda fit, columns: lambda x, name: x.withColumn(name, F.round(sum(({"good": 1.0, "same": 1.0, "noise": 0.1, "base": 0.2}[c] * F.col(c) for c in columns), F.lit(0.0)), 6))
+    out = assembly.ablation(df, df, {"b": ["base"], "g": ["good"], "s": ["same"], "n": ["noise"]}, ("b",), fitted, "row", 200).collect()
+    by = {(r.block, r.kind): r for r in out}
+    assert set(by) == {(b, "leave_one_out") for b in "bgsn"} | {(b, "add_one") for b in "gsn"} and all(r.rows == 400 for r in out)
+
+    def precision(columns):
+        weight = {"good": 1.0, "same": 1.0, "noise": 0.1, "base": 0.2}
+        score = np.array([sum(weight[c] * {"good": r[2], "same": r[2], "base": r[3], "noise": r[4]}[c] for c in columns) for r in rows]).round(6)
+        y = np.array([r[1] for r in rows])
+        order = np.argsort(-score, kind="stable")
+        return float((np.cumsum(y[order]) / np.arange(1, 401))[y[order]].mean())
+
+    assert by["g", "leave_one_out"].delta == pytest.approx(precision(["base", "good", "same", "noise"]) - precision(["base", "same", "noise"]))
+    assert by["s", "add_one"].delta == pytest.approx(precision(["base", "same"]) - precision(["base"]))
+    assert by["g", "leave_one_out"].lo < 0.02 < by["g", "add_one"].lo
+    assert {r.block for r in out if r.retained} >= {"b", "g", "s"} and not by["n", "add_one"].retained
+
+
 def test_guards(spark):
     with pytest.raises(ValueError):
         assembly.guard(["amount", "ring_is_fraud"], ("is_fraud",))

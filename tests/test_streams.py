@@ -81,3 +81,53 @@ def test_late_rows_go_aside(spark):
     rows = spark.createDataFrame([(1, 0), (2, DAY), (3, 2 * DAY)], "transaction_id long, us long")
     on_time, late = jobs.late_rows(rows, 2 * DAY)
     assert sorted(r[0] for r in on_time.collect()) == [2, 3] and [r[0] for r in late.collect()] == [1]
+
+
+def rebuilt(rows):
+    """Rings of undirected edges by union-find, named by their least node."""
+    root = {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, a, b in rows:
+        for x in (a, b):
+            root.setdefault(x, x)
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+def test_rolling_rings_equal_a_rebuild_after_every_batch(spark, tmp_path):
+    from collections import Counter
+
+    from riskloom.streaming.rolling import RollingGraph
+
+    rng = np.random.default_rng(12)
+    graph, held, cutoff = RollingGraph(str(tmp_path / "rolling"), 100), [], -(10**9)
+    for n in range(6):
+        high = 60 * (n + 1)
+        size = (12, 9, 0, 14, 5, 3)[n]
+        batch = [(int(t), f"n{a:02}", f"n{b:02}") for t, a, b in zip(rng.integers(high - 90, high, size), rng.integers(0, 14, size), rng.integers(0, 14, size), strict=True)]
+        df = spark.createDataFrame([*batch, (None, "n01", "n02"), (high, None, "n03")], "us long, src string, dst string")
+        before = {r.node: r.ring for r in graph.rings(spark, n - 1).collect()}
+        for _ in range(2 if n == 3 else 1):  # one batch is delivered twice
+            graph.apply(df, n)
+        cutoff = max([cutoff, *(t - 100 for t, _, _ in batch)])
+        fresh = [r for r in batch if r[0] >= cutoff]
+        gone = [r for r in held if r[0] < cutoff]
+        held = [r for r in held if r[0] >= cutoff] + fresh
+        want = rebuilt(held)
+        assert {r.node: r.ring for r in graph.rings(spark, n).collect()} == want
+        assert {(r.u, r.v): r.flows for r in graph.edges(spark, n).collect()} == Counter(tuple(sorted(r[1:])) for r in held)
+        assert {r.node for r in graph.touched(spark, n).collect()} == {x for r in fresh + gone for x in r[1:]}
+        notes = graph.notes(spark, n).first()
+        assert (notes.inserted, notes.late, notes.evicted) == (len(fresh), len(batch) - len(fresh), len(gone))
+        assert notes.recomputed <= len(set(before) | set(want))
+        if n == 2:
+            assert notes.recomputed == 0
+    graph.snapshot(spark, 5, max(r[0] for r in held) + 1)
+    with pytest.raises(ValueError):
+        graph.snapshot(spark, 5, max(r[0] for r in held))
