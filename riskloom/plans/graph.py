@@ -3,9 +3,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.shared import shared_dir
 from riskloom.operators import edges, rings
 from riskloom.operators.edges import DAY
 from riskloom.sources import tables
+from riskloom.sources.ring_store import RingStore, graph_version
 
 from .base import T, query, rounded
 
@@ -83,7 +85,7 @@ def entity_edges(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_CC} SELECT snapshot_end, node, ring FROM cc")
 def components(spark, sf_dir):
-    return rings.snapshot_components(snapshot_edges(spark, sf_dir))
+    return _store(spark, sf_dir).read(spark, "components")
 
 
 @query(f"WITH RECURSIVE {_CC}, {_DEG} SELECT snapshot_end, node, ring FROM kept")
@@ -92,9 +94,31 @@ def star_filter(spark, sf_dir):
     return rings.without_stars(rings.snapshot_components(e), e).select("snapshot_end", "node", "ring")
 
 
+def _store(spark, sf_dir) -> RingStore:
+    """The walk over all order lines, done where no store of this version is there yet."""
+    sources = [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"]
+    version = graph_version(spark, sources, window=WINDOW, cadence=CADENCE, rules=1)
+    store = RingStore(f"{shared_dir(spark)}/rings-{version}", version)
+    if not store.ready(spark):
+        f = flows(spark, sf_dir)
+        store.write(snapshot_edges(spark, sf_dir), edges.snapshot_members(f, WINDOW, CADENCE), f, CADENCE)
+    return store
+
+
 def _rings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    e = snapshot_edges(spark, sf_dir)
-    return rings.without_stars(rings.snapshot_components(e), e), e
+    store = _store(spark, sf_dir)
+    return store.read(spark, "nodes"), store.read(spark, "edges")
+
+
+@query(f"WITH RECURSIVE {_CC}, {_DEG}, hit AS (SELECT DISTINCT snapshot_end, unnest([src, dst]) AS node FROM m WHERE is_fraud), rl AS (SELECT k.snapshot_end, k.ring, count(*) AS accounts, bool_or(h.node IS NOT NULL) AS label FROM kept k LEFT JOIN hit h ON h.snapshot_end = k.snapshot_end AND h.node = k.node GROUP BY 1, 2), x AS (SELECT m.snapshot_end, coalesce(a.ring, b.ring) AS ring, amount FROM m LEFT JOIN kept a ON a.snapshot_end = m.snapshot_end AND a.node = m.src LEFT JOIN kept b ON b.snapshot_end = m.snapshot_end AND b.node = m.dst), ex AS (SELECT snapshot_end, sum(amount) AS exposure FROM x WHERE ring IS NOT NULL GROUP BY 1), rg AS (SELECT snapshot_end, count(*) AS rings, sum(accounts)::BIGINT AS accounts, count(*) FILTER (label) AS fraud_rings FROM rl GROUP BY 1), sc AS (SELECT us // {CADENCE} * {CADENCE} AS snapshot_end, us, src FROM f), rw AS (SELECT s.snapshot_end, count(*) AS scored, count(k.ring) AS ringed, avg((us - s.snapshot_end) / 3600000000) AS staleness_hours FROM sc s LEFT JOIN kept k ON k.snapshot_end = s.snapshot_end AND k.node = s.src GROUP BY 1) SELECT snapshot_end, coalesce(rings, 0) AS rings, coalesce(accounts, 0) AS accounts, coalesce(fraud_rings, 0) AS fraud_rings, round(coalesce(exposure, 0), 2) AS exposure, coalesce(scored, 0) AS scored, coalesce(ringed, 0) AS ringed, round(staleness_hours, 6) AS staleness_hours FROM rg FULL JOIN rw USING (snapshot_end) LEFT JOIN ex USING (snapshot_end)")
+def ring_walk(spark, sf_dir):
+    """Each snapshot of the walk: rings, accounts, labels, exposure, and the rows it scores with their staleness."""
+    store, by = _store(spark, sf_dir), "snapshot_end"
+    found = store.read(spark, "rings").groupBy(by).agg(F.count("*").alias("rings"), F.sum("size").alias("accounts"), F.count_if("label").alias("fraud_rings"), F.sum("exposed_amount").alias("exposure"))
+    scored = store.read(spark, "rows").groupBy(by).agg(F.count("*").alias("scored"), F.count("ring").alias("ringed"), F.round(F.avg("staleness_hours"), 6).alias("staleness_hours"))
+    counts = ("rings", "accounts", "fraud_rings", "scored", "ringed")
+    out = found.join(scored, by, "full").select(by, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.round(F.coalesce("exposure", F.lit(0.0)), 2).alias("exposure"), "staleness_hours")
+    return out
 
 
 _FEAT = "sz AS (SELECT snapshot_end, ring, count(*) AS size FROM kept GROUP BY 1, 2), ie AS (SELECT k.snapshot_end, k.ring, count(*) AS edges, sum(flow_count)::BIGINT AS flows FROM ed JOIN kept k ON k.snapshot_end = ed.snapshot_end AND k.node = ed.u GROUP BY 1, 2), dd AS (SELECT k.snapshot_end, k.ring, max(degree) AS max_degree, avg(degree) AS mean_degree FROM kept k JOIN dg USING (snapshot_end, node) GROUP BY 1, 2), ft AS (SELECT *, 2.0 * edges / (size * (size - 1)) AS density FROM sz JOIN ie USING (snapshot_end, ring) JOIN dd USING (snapshot_end, ring))"

@@ -279,3 +279,26 @@ def test_rings_are_those_of_all_lines_and_snapshots(spark, lines):
         got[r.snapshot_end, r.ring].add(r.node)
     assert {(e, frozenset(n)) for (e, _), n in got.items()} == {(e, frozenset(n)) for e, n in kept} and len(kept) > 1
     assert graph.ring_recovery(spark, path).first().detected == sum(map(len, rings_by_hand(flows).values()))
+
+
+def test_a_ring_store_is_read_at_its_version_only(spark, tmp_path):
+    from riskloom.sources.ring_store import RingStore, graph_version
+
+    flows = spark.createDataFrame([(5, "a", "b", 10.0, False), (6, "b", "c", 20.0, True), (7, "c", "d", 5.0, False), (12, "a", "x", 1.0, False), (13, "z", "y", 2.0, True)], "us long, src string, dst string, amount double, is_fraud boolean")
+    members = flows.filter("us < 10").withColumn("snapshot_end", F.lit(10).cast("long"))
+    store = RingStore(str(tmp_path / "rings"), "v1")
+    with pytest.raises(ValueError):
+        store.read(spark, "rings")
+    e = ring_edges(spark, [("a", "b"), ("b", "c"), ("c", "d")], 10)
+    store.write(e, members, flows, 10)
+    ring = store.read(spark, "rings", 10).collect()
+    assert [(r.ring, r["size"], r.label, r.exposed_flows, r.exposed_amount) for r in ring] == [("a", 4, True, 3, 35.0)]
+    rows = {(r.src, r.us): (r.snapshot_end, r.ring) for r in store.read(spark, "rows").collect()}
+    assert rows["a", 12] == (10, "a") and rows["z", 13] == (10, None) and rows["a", 5] == (0, None)
+    with pytest.raises(ValueError):
+        RingStore(store.path, "v2").read(spark, "nodes")
+    flows.write.parquet(str(tmp_path / "one"))
+    old = graph_version(spark, [str(tmp_path / "one")], window=1)
+    assert old == graph_version(spark, [str(tmp_path / "one")], window=1) != graph_version(spark, [str(tmp_path / "one")], window=2)
+    flows.write.mode("append").parquet(str(tmp_path / "one"))
+    assert old != graph_version(spark, [str(tmp_path / "one")], window=1)
