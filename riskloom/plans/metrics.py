@@ -76,10 +76,10 @@ def _boot(score: str) -> str:
   a_{score} AS (SELECT replicate, sum(CASE WHEN tp > 0 THEN tp * ({up}) / ({up} + {down}) ELSE 0 END) / min(wp) AS ap FROM c_{score} JOIN st USING (replicate), tot GROUP BY 1), q_{score} AS (SELECT quantile_cont({score}, 0.95) AS t FROM s), k_{score} AS (SELECT replicate, 1000 * sum(w * {loss} * CASE WHEN label THEN p / wp ELSE n / wn END) / min(p + n) AS cost, sum(CASE WHEN {score} > t AND label THEN w * amount ELSE 0 END) / sum(CASE WHEN label THEN w * amount ELSE 0 END) AS recall FROM w JOIN st USING (replicate), tot, q_{score} GROUP BY 1)"""
 
 
-@query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')} SELECT replicate, round(a_score.ap, 6) AS ap_score, round(a_other.ap, 6) AS ap_other, round(k_score.cost, 4) AS cost_score, round(k_other.cost, 4) AS cost_other, round(k_score.recall, 6) AS recall_score, round(k_other.recall, 6) AS recall_other FROM a_score JOIN a_other USING (replicate) JOIN k_score USING (replicate) JOIN k_other USING (replicate)")
+@query(f"WITH {_BOOT}, {_boot('score')}, {_boot('other')} SELECT replicate, round(a_score.ap, 6) AS ap_score, round(a_other.ap, 6) AS ap_other, round(k_score.cost, 1) AS cost_score, round(k_other.cost, 1) AS cost_other, round(k_score.recall, 6) AS recall_score, round(k_other.recall, 6) AS recall_other FROM a_score JOIN a_other USING (replicate) JOIN k_score USING (replicate) JOIN k_other USING (replicate)")
 def paired_bootstrap(spark, sf_dir):
     out = rounded(metrics.bootstrap(tables.numbered(spark, sf_dir), ["row"], 1000, ("score", "other"), 0.05))
-    return out.withColumns({c: F.round(c, 4) for c in ("cost_score", "cost_other")})
+    return out.withColumns({c: F.round(c, 1) for c in ("cost_score", "cost_other")})
 
 
 _DELTAS = (("average_precision", "ap"), ("cost_per_1000", "cost"), ("value_recall", "recall"))
