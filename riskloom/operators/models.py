@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -17,11 +17,13 @@ def assembled(df: DataFrame, features: list[str], out: str = "features") -> Data
     return VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol=out).transform(filled).drop(*[f"_f_{f}" for f in features])
 
 
-def boosted_trees(train: DataFrame, val: DataFrame, features: list[str], trees: int = 20, seed: int = 42):
-    """Supervised row scorer; the validation rows stop it early, classes are not weighted."""
-    both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
+def boosted_trees(train: DataFrame, val: DataFrame | None, features: list[str], trees: int = 20, seed: int = 42):
+    """Supervised row scorer; validation rows, where there are any, stop it early, classes are not weighted."""
+    both = train.withColumn("_val", F.lit(False))
+    both = both if val is None else both.unionByName(val.withColumn("_val", F.lit(True)))
     rows = assembled(both.withColumn("_y", F.col("is_fraud").cast("double")), features)
-    return GBTClassifier(labelCol="_y", featuresCol="features", validationIndicatorCol="_val", maxIter=trees, maxDepth=4, stepSize=0.2, seed=seed).fit(rows)
+    stop = {} if val is None else {"validationIndicatorCol": "_val"}
+    return GBTClassifier(labelCol="_y", featuresCol="features", maxIter=trees, maxDepth=4, stepSize=0.2, seed=seed, **stop).fit(rows)
 
 
 def probability(model, df: DataFrame, features: list[str], name: str = "score") -> DataFrame:
@@ -78,29 +80,6 @@ def expected_loss(df: DataFrame, features: list[str], target: str):
     return GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, labelCol="_t", regParam=0.01, maxIter=30).fit(rows)
 
 
-def out_of_fold(blocked: DataFrame, features: list[str], blocks: int, trees: int = 5) -> DataFrame:
-    """Each block scored by a model of all earlier ones; the first block has no score."""
-    out = blocked.filter("block = 0").withColumn("score", F.lit(None).cast("double"))
-    for k in range(1, blocks):
-        before = blocked.filter(F.col("block") < k)
-        rows = assembled(before.withColumn("_y", F.col("is_fraud").cast("double")), features)
-        m = GBTClassifier(labelCol="_y", featuresCol="features", maxIter=trees, maxDepth=3, seed=42).fit(rows)
-        out = out.unionByName(probability(m, blocked.filter(F.col("block") == k), features))
-    return out
-
-
-def reconstruction(windows: DataFrame, train: DataFrame, column: str, components: int = 2) -> DataFrame:
-    """Squared distance of a vector from its projection on the training rows' principal components."""
-    pca = PCA(k=components, inputCol="features", outputCol="projected").fit(train)
-    axes = pca.pc.toArray()
-    mean = np.array([x for x in train.select(*[F.avg(vector_to_array("features")[i]).alias(str(i)) for i in range(axes.shape[0])]).first()])
-    centred = F.transform(vector_to_array("features"), lambda x, i: x - F.element_at(F.array(*map(F.lit, mean.tolist())), i + 1))
-    rows = windows.withColumn("_c", centred)
-    dot = lambda axis: F.aggregate(F.zip_with("_c", F.array(*map(F.lit, axis.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    total = F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x)
-    return rows.withColumn(column, F.greatest(total - sum(F.pow(dot(axes[:, j]), F.lit(2)) for j in range(components)), F.lit(0.0))).drop("_c")
-
-
 def isolation_forest(df: DataFrame, features: list[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
     """``node`` rows of isolation trees, each grown on its own hashed sample of ``sample`` rows.
 
