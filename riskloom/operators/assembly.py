@@ -12,7 +12,7 @@ from riskloom.functions.shared import cut
 
 from .checks import column_classes
 from .encoders import apply_frequencies, fit_frequencies, level_codes
-from .metrics import average_precision, bootstrap, interval, rank_auc
+from .metrics import average_precision, bootstrap, interval, rank_auc, spearman
 from .ordering import global_cumulate
 
 
@@ -128,6 +128,33 @@ def residual_lift(df: DataFrame, first: str, second: str, threshold: float) -> D
     return average_precision(df.filter(F.col(first) < threshold), second)
 
 
+def residual_report(df: DataFrame, first: str, second: str, threshold: float) -> DataFrame:
+    """``residual_lift`` beside how far both scores rank those rows, and all rows, alike; one row."""
+    below = df.filter(F.col(first) < threshold)
+    return residual_lift(df, first, second, threshold).crossJoin(spearman(below, first, second).select(F.col("spearman").alias("rank_correlation"))).crossJoin(spearman(df, first, second).select(F.col("spearman").alias("overall_correlation")))
+
+
+def winner_report(chosen_on: DataFrame, measured_on: DataFrame, scores: list[str], baseline: str, key: str, replicates: int = 1000) -> DataFrame:
+    """The score with the best average precision on ``chosen_on``, against the next one and the baseline on ``measured_on``.
+
+    A row a rival: both metrics there, the paired interval of their difference, and a verdict, ``not significant`` where it holds zero. The
+    measured rows choose nothing. Ties go to the smaller name; a baseline that comes second is reported once as each.
+    """
+    names = sorted(set(scores) | {baseline})
+    validation = {s: average_precision(chosen_on, s).first()[0] for s in names}  # one number a score
+    first, second = sorted(names, key=lambda s: (-validation[s], s))[:2]
+    rivals = [("runner_up", second)] + ([("baseline", baseline)] if baseline != first else [])
+    held = {s: average_precision(measured_on, s).first()[0] for s in {first, *(r for _, r in rivals)}}
+    draws = cut(bootstrap(measured_on, [key], replicates, tuple(sorted(held))), "draws")
+    out = None
+    for role, rival in rivals:
+        row = interval(draws.withColumn("delta", F.col(f"ap_{first}") - F.col(f"ap_{rival}")), "delta")
+        verdict = F.when(F.col("lo") > 0, "significant").when(F.col("hi") < 0, "worse").otherwise("not significant")
+        row = row.select(F.lit(role).alias("role"), F.lit(first).alias("winner"), F.lit(rival).alias("rival"), F.lit(validation[first]).alias("chosen_metric"), F.lit(held[first]).alias("metric"), F.lit(held[rival]).alias("rival_metric"), "lo", "hi", verdict.alias("verdict"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def memorisation(df: DataFrame, eligible: Column) -> DataFrame:
     """Rank-AUC over all rows, and over rows in and out of the eligible group."""
     group = F.explode(F.array(F.lit("all"), F.when(eligible, "eligible").otherwise("other")))

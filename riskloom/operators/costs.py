@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.functions.shared import cut
+
 from .metrics import exact_quantiles, hits
 from .ordering import global_cumulate
 
@@ -137,3 +139,55 @@ def off_policy(logged: DataFrame, clip: float = 1e-3) -> DataFrame:
         F.avg(F.col("model_target") + weight * (F.col("loss") - F.col("model_logged"))).alias("doubly_robust"),
         F.avg("loss").alias("logged"), F.min("propensity").alias("least_propensity"), F.max("propensity").alias("greatest_propensity"), F.avg(match).alias("match_rate"),
     )
+
+
+def operating_points(df: DataFrame, review_rate: float, precision: float = 0.8, rows: int = 50, model: CostModel = CostModel()) -> DataFrame:
+    """Where to review and where to block, one row: the block threshold is the lowest from which on ``rows`` rows or more are hit with
+    the wanted precision, among those above the review threshold alone; null where there is none."""
+    review = chosen_threshold(df, review_rate, model).select(F.col("threshold").alias("review_threshold"), "reason")
+    above = df.crossJoin(F.broadcast(review)).filter(F.col("score") >= F.col("review_threshold"))  # one row
+    block = block_threshold(above, precision, rows).select(F.col("threshold").alias("block_threshold"), F.col("flagged").alias("blocked"))
+    mix = above.crossJoin(F.broadcast(block)).agg(F.count("*").alias("at_review"), F.count_if(F.col("score") >= F.col("block_threshold")).alias("at_block"))  # one row
+    return review.crossJoin(block.select("block_threshold")).crossJoin(mix)  # one row each
+
+
+def policy_table(df: DataFrame, policies: dict[str, Column], rates: tuple[float, ...], baseline: str, model: CostModel = CostModel()) -> DataFrame:
+    """``policy, point, threshold, flagged, cost, caught``: each policy at shared flag rates, at its own cheapest point and at the baseline's.
+
+    ``point`` is ``cap_<rate>`` (the lowest score that flags no more than the rate), ``optimum`` (the least cost, fewest flagged) or
+    ``matched`` (as many rows as the baseline flags at its optimum, or the most below that, where scores tie).
+    All points are read from one running count a policy.
+    """
+    long = df.select("label", "amount", F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), c.cast("double").alias("score")) for n, c in policies.items()])).alias("p")).select("label", "amount", "p.*")
+    hit = {"n": F.lit(1), "tp": hits(), "amt": F.when(F.col("label"), F.col("amount")).otherwise(0.0)}
+    run = global_cumulate(long, "score", hit, descending=True, by=("policy",))
+    total = run.groupBy("policy").agg(F.sum("tp").alias("all_tp"), F.sum("amt").alias("all_amt"), F.sum("n").alias("all_n"))
+    nothing = total.select("policy", F.lit(float("inf")).alias("score"), *[F.lit(0).cast(t).alias(c) for c, t in run.dtypes if c not in ("policy", "score")])
+    curve = priced(run.unionByName(nothing).join(F.broadcast(total), "policy"), "score", F.lit(model.review), F.lit(model.fee), "policy", "all_n")  # a row a policy
+    curve = cut(curve, "policies")
+    best = cheapest(curve, ("policy",)).select("policy", "flagged", F.lit("optimum").alias("point"))
+    match = best.filter(F.col("policy") == baseline).select(F.col("flagged").alias("_most"))
+    caps = F.explode(F.array(*[F.struct(F.lit(f"cap_{r:g}").alias("point"), F.lit(r).alias("rate")) for r in rates])).alias("c")
+    limits = curve.select("policy", "all_n").distinct().select("policy", "all_n", caps).select("policy", "c.point", (F.col("c.rate") * F.col("all_n")).alias("_most"))
+    limits = limits.unionByName(best.select("policy", F.lit("matched").alias("point")).crossJoin(match))  # one row
+    within = curve.join(F.broadcast(limits), "policy").filter(F.col("flagged") <= F.col("_most"))  # some rows a policy
+    wanted = within.groupBy("policy", "point").agg(F.max("flagged").alias("flagged")).unionByName(best.select("policy", "point", "flagged"))
+    return curve.drop("all_n").join(F.broadcast(wanted), ["policy", "flagged"]).select("policy", "point", "threshold", "flagged", "cost", "caught")
+
+
+def off_policy_report(logged: DataFrame, model: CostModel = CostModel(), clip: float = 1e-3, share: float = 0.01) -> DataFrame:
+    """A target policy's mean cost by three estimators beside the truth, with their relative bias; one row an estimator.
+
+    ``logged``: label, amount, ``blocked`` and ``target`` (booleans), ``propensity`` of the logged action, ``cost_blocked`` and
+    ``cost_allowed`` as a model predicts them. Both outcomes of a row follow from its label and amount, so that the truth is known.
+    Where more than ``share`` of the propensities are at most ``clip``, weights rest on rows that are hardly ever
+    logged: ``positivity`` is false.
+    """
+    seen = realised_loss(F.col("blocked"), F.col("label"), F.col("amount"), model)
+    truth = realised_loss(F.col("target"), F.col("label"), F.col("amount"), model)
+    weight = F.when(F.col("blocked") == F.col("target"), 1 / F.greatest("propensity", F.lit(clip))).otherwise(0.0)
+    of = lambda flag: F.when(F.col(flag), F.col("cost_blocked")).otherwise(F.col("cost_allowed"))
+    parts = {"direct": of("target"), "weighted": weight * seen, "doubly_robust": of("target") + weight * (seen - of("blocked"))}
+    one = logged.agg(F.avg(truth).alias("truth"), F.avg((F.col("propensity") <= clip).cast("int")).alias("_low"), *[F.avg(c).alias(n) for n, c in parts.items()])
+    rows = one.select("truth", "_low", F.explode(F.array(*[F.struct(F.lit(n).alias("estimator"), F.col(n).alias("estimate")) for n in parts])).alias("e"))
+    return rows.select("e.estimator", "e.estimate", "truth", F.try_divide(F.col("e.estimate") - F.col("truth"), F.col("truth")).alias("relative_bias"), (F.col("_low") <= share).alias("positivity"))

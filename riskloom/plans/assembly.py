@@ -11,6 +11,7 @@ from riskloom.sources import sinks, tables
 
 from .base import O, S, T, query, rounded
 from .graph import _CC, _DEG, _FEAT, _rings
+from .metrics import _BOOT
 from .splits import _CUT
 
 
@@ -180,3 +181,28 @@ def block_ablation(spark, sf_dir):
     s = tables.numbered(spark, sf_dir)
     blocks = {"risk": ["score"], "size": ["other"], "amount": ["amount"]}
     return rounded(assembly.ablation(s.filter("band = 'O'"), s.filter("band = 'F'"), blocks, ("risk",), _fitted, "row"))
+
+
+@query(f"WITH {S}, b AS (SELECT score, other, label, score < 0.7 AS below FROM s), ra AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS x, rank() OVER (ORDER BY other) + (count(*) OVER (PARTITION BY other) - 1) / 2 AS y FROM b), rb AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS x, rank() OVER (ORDER BY other) + (count(*) OVER (PARTITION BY other) - 1) / 2 AS y FROM b WHERE below), g AS (SELECT other AS v, count(*) AS n, count(*) FILTER (label) AS tp FROM b WHERE below GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY v DESC) AS cn, sum(tp) OVER (ORDER BY v DESC) AS ct FROM g) SELECT round(sum(tp * ct / cn) / sum(tp), 6) AS average_precision, round(sum(tp) / sum(n), 6) AS base_rate, (SELECT round(corr(x, y), 6) FROM rb) AS rank_correlation, (SELECT round(corr(x, y), 6) FROM ra) AS overall_correlation FROM c")
+def residual_report(spark, sf_dir):
+    """What a second score adds below the first one's threshold, and how alike the two rank."""
+    return rounded(assembly.residual_report(tables.scored(spark, sf_dir), "score", "other", 0.7))
+
+
+_RIVALS = ("score", "other", "amount")
+_DRAWN = _BOOT.replace("FROM sn, range(1000)", "FROM (SELECT * FROM sn WHERE band = 'O') sn, range(1000)").replace("AS n FROM s)", "AS n FROM s WHERE band = 'O')")
+
+
+def _rival(c: str) -> str:
+    return f"""va_{c} AS (SELECT sum(tp * ct / cn) / sum(tp) AS ap FROM (SELECT *, sum(n) OVER (ORDER BY v DESC) AS cn, sum(tp) OVER (ORDER BY v DESC) AS ct FROM (SELECT {c} AS v, count(*) AS n, count(*) FILTER (label) AS tp FROM s WHERE band = 'F' GROUP BY 1))), te_{c} AS (SELECT sum(tp * ct / cn) / sum(tp) AS ap FROM (SELECT *, sum(n) OVER (ORDER BY v DESC) AS cn, sum(tp) OVER (ORDER BY v DESC) AS ct FROM (SELECT {c} AS v, count(*) AS n, count(*) FILTER (label) AS tp FROM s WHERE band = 'O' GROUP BY 1))),
+  bg_{c} AS (SELECT replicate, {c} AS v, sum(CASE WHEN label THEN w ELSE 0 END) AS tp, sum(CASE WHEN label THEN 0 ELSE w END) AS fp FROM w GROUP BY 1, 2), bc_{c} AS (SELECT *, sum(tp) OVER (PARTITION BY replicate ORDER BY v DESC) AS ct, sum(fp) OVER (PARTITION BY replicate ORDER BY v DESC) AS cn FROM bg_{c}), bo_{c} AS (SELECT '{c}' AS name, replicate, sum(CASE WHEN tp > 0 THEN tp * (ct * p / wp) / (ct * p / wp + cn * n / wn) ELSE 0 END) / min(wp) AS ap FROM bc_{c} JOIN st USING (replicate), tot GROUP BY 2)"""
+
+
+_METRICS = " UNION ALL ".join(f"SELECT '{c}' AS name, va_{c}.ap AS va, te_{c}.ap AS te FROM va_{c}, te_{c}" for c in _RIVALS)
+
+
+@query(f"WITH {_DRAWN}, {', '.join(map(_rival, _RIVALS))}, al AS ({' UNION ALL '.join(f'SELECT * FROM bo_{c}' for c in _RIVALS)}), m AS ({_METRICS}), r AS (SELECT *, row_number() OVER (ORDER BY va DESC, name) AS nth FROM m), pr AS (SELECT 'runner_up' AS role, a.name AS winner, b.name AS rival, a.va, a.te, b.te AS rte FROM r a, r b WHERE a.nth = 1 AND b.nth = 2 UNION ALL SELECT 'baseline', a.name, b.name, a.va, a.te, b.te FROM r a, r b WHERE a.nth = 1 AND b.name = 'amount' AND b.nth > 1), dd AS (SELECT pr.*, x.ap - y.ap AS delta FROM pr JOIN al x ON x.name = winner JOIN al y ON y.name = rival AND x.replicate = y.replicate), i AS (SELECT role, winner, rival, va, te, rte, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM dd GROUP BY ALL) SELECT role, winner, rival, round(va, 5) AS chosen_metric, round(te, 5) AS metric, round(rte, 5) AS rival_metric, round(lo, 5) AS lo, round(hi, 5) AS hi, CASE WHEN lo > 0 THEN 'significant' WHEN hi < 0 THEN 'worse' ELSE 'not significant' END AS verdict FROM i")
+def winner_report(spark, sf_dir):
+    """The best of three scores on the lines of one status, measured on those of the other against the next and the amount alone."""
+    s = tables.numbered(spark, sf_dir)
+    return rounded(assembly.winner_report(s.filter("band = 'F'"), s.filter("band = 'O'"), ["score", "other"], "amount", "row"), 5)

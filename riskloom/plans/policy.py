@@ -92,3 +92,35 @@ def realised_loss(spark, sf_dir):
     o = tables.orders(spark, sf_dir)
     loss = costs.realised_loss(F.col("amount") > 300000, F.col("is_fraud"), F.col("amount"))
     return o.agg(F.round(F.sum(loss), 2).alias("loss"), F.round(F.percentile("amount", F.lit(0.5)) / 100, 4).alias("scaled_review"))
+
+
+@query(f"WITH {_COST.format(review=20000, fee=15)}, q AS (SELECT min(score) AS cap FROM s WHERE score > (SELECT quantile_cont(score, 0.8) FROM s)), b AS (SELECT threshold AS t FROM z ORDER BY round(cost, 6), flagged LIMIT 1), v AS (SELECT greatest(t, cap) AS r, CASE WHEN t >= cap THEN 'cost' ELSE 'capacity' END AS reason FROM b, q), bl AS (SELECT min(score) AS bt FROM c, v WHERE score >= r AND cum_n >= 50 AND cum_tp >= 0.26 * cum_n) SELECT r AS review_threshold, reason, bt AS block_threshold, (SELECT count(*) FROM s, v v2 WHERE score >= v2.r) AS at_review, (SELECT count(*) FROM s, bl b2 WHERE score >= b2.bt) AS at_block FROM v, bl")
+def operating_points(spark, sf_dir):
+    """A block threshold that lies within the reviewed rows, whatever precision lower ones would have."""
+    return costs.operating_points(tables.scored(spark, sf_dir), 0.2, 0.26, 50, costs.CostModel(20000.0, 15.0))
+
+
+_POLICIES = "p AS (SELECT 'probability' AS policy, score AS r, label, amount FROM s UNION ALL SELECT 'plug_in', score * (amount + 15) - 20000 * (1 - score), label, amount FROM s UNION ALL SELECT 'amount', amount, label, amount FROM s)"
+
+
+@query(f"""WITH {S}, {_POLICIES}, g AS (SELECT policy, r, count(*) AS n, count(*) FILTER (label) AS tp, sum(CASE WHEN label THEN amount ELSE 0 END) AS amt FROM p GROUP BY 1, 2), c AS (SELECT policy, r, sum(n) OVER w AS flagged, sum(tp) OVER w AS tp, sum(amt) OVER w AS caught FROM g WINDOW w AS (PARTITION BY policy ORDER BY r DESC) UNION ALL SELECT policy, 'inf'::DOUBLE, 0, 0, 0 FROM g GROUP BY policy),
+  a AS (SELECT policy, sum(tp) AS all_tp, sum(amt) AS all_amt, sum(n) AS n FROM g GROUP BY 1), z AS (SELECT c.*, n, 20000 * (flagged - tp) + all_amt - caught + 15 * (all_tp - tp) AS cost FROM c JOIN a USING (policy)), o AS (SELECT policy, flagged FROM z QUALIFY row_number() OVER (PARTITION BY policy ORDER BY round(cost, 6), flagged) = 1),
+  l AS (SELECT policy, 'cap_' || rate AS point, rate::DOUBLE * n AS most FROM a, (VALUES ('0.01'), ('0.05'), ('0.2')) v(rate) UNION ALL SELECT a.policy, 'matched', (SELECT flagged FROM o WHERE policy = 'probability') FROM a), w AS (SELECT policy, point, max(flagged) AS flagged FROM z JOIN l USING (policy) WHERE flagged <= most GROUP BY 1, 2 UNION ALL SELECT policy, 'optimum', flagged FROM o)
+  SELECT policy, point, round(CASE WHEN isinf(r) THEN 1e9 ELSE r END, 6) AS threshold, flagged::BIGINT AS flagged, round(cost, 2) AS cost, round(caught, 2) AS caught FROM w JOIN z USING (policy, flagged)""")
+def policy_rates(spark, sf_dir):
+    """Three ranking scores at shared flag rates, each at its own optimum, and at the rate of the probability's optimum."""
+    p, a, m = F.col("score"), F.col("amount"), costs.CostModel(20000.0, 15.0)
+    out = costs.policy_table(tables.scored(spark, sf_dir), {"probability": p, "plug_in": p * (a + 15) - 20000 * (1 - p), "amount": a}, (0.01, 0.05, 0.2), "probability", m)
+    return out.select("policy", "point", F.round(F.when(F.col("threshold") == float("inf"), 1e9).otherwise(F.col("threshold")), 6).alias("threshold"), "flagged", F.round("cost", 2).alias("cost"), F.round("caught", 2).alias("caught"))
+
+
+_ACT = "SELECT *, score + 0.2 * other > 0.6 AS blocked, score > 0.5 AS target, 0.1 + 0.8 * other AS propensity, 3 * (1 - score) AS cb, score * (amount + 15) AS ca FROM s"
+
+
+@query(f"WITH {S}, l AS ({_ACT}), x AS (SELECT CASE WHEN target AND NOT label THEN 3 WHEN NOT target AND label THEN amount + 15 ELSE 0 END AS truth, CASE WHEN blocked AND NOT label THEN 3 WHEN NOT blocked AND label THEN amount + 15 ELSE 0 END AS seen, CASE WHEN target THEN cb ELSE ca END AS dt, CASE WHEN blocked THEN cb ELSE ca END AS dl, CASE WHEN blocked = target THEN 1 / greatest(propensity, 0.001) ELSE 0 END AS w, propensity FROM l), m AS (SELECT avg(truth) AS truth, avg(dt) AS direct, avg(w * seen) AS weighted, avg(dt + w * (seen - dl)) AS dr, avg(CAST(propensity <= 0.001 AS INT)) <= 0.01 AS positivity FROM x), e AS (SELECT 'direct' AS estimator, direct AS estimate, truth, positivity FROM m UNION ALL SELECT 'weighted', weighted, truth, positivity FROM m UNION ALL SELECT 'doubly_robust', dr, truth, positivity FROM m) SELECT estimator, round(estimate, 4) AS estimate, round(truth, 4) AS truth, round((estimate - truth) / truth, 6) AS relative_bias, positivity FROM e")
+def off_policy_truth(spark, sf_dir):
+    """Three estimates of a policy's cost from decisions of another, and how far each is from what it would have cost."""
+    s, p = tables.scored(spark, sf_dir), F.col("score")
+    c = costs.expected_costs(p, F.col("amount"))
+    logged = s.withColumns({"blocked": p + 0.2 * F.col("other") > 0.6, "target": p > 0.5, "propensity": 0.1 + 0.8 * F.col("other"), "cost_blocked": c["cost_blocked"], "cost_allowed": c["cost_allowed"]})
+    return costs.off_policy_report(logged).select("estimator", F.round("estimate", 4).alias("estimate"), F.round("truth", 4).alias("truth"), F.round("relative_bias", 6).alias("relative_bias"), "positivity")
