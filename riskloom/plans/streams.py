@@ -5,8 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from riskloom.functions.shared import shared_dir
-from riskloom.operators import serving
+from riskloom.operators import history, serving
 from riskloom.operators.costs import decision
+from riskloom.operators.splits import assign_splits
+from riskloom.sources import scorers, tables
 from riskloom.streaming import jobs
 from riskloom.streaming.rolling import RollingGraph
 
@@ -76,3 +78,34 @@ def stream_rolling_rings(spark, sf_dir):
 
     jobs.replayed(e, in_parts)
     return graph.rings(spark, len(versions) - 1)
+
+
+_VERSION = "stream-1"
+
+
+def batch_history(events):
+    """The stream's history features of a whole table, by windows."""
+    counted = history.with_velocity(history.with_prior_counts(events), {"24h": 24 * history.HOUR})
+    return counted.select("transaction_id", "account_id", "prior_count", "seconds_since_prior", "count_24h", "amount", "us")
+
+
+@query()
+def stream_scores(spark, sf_dir):
+    """A model learned on the training split's table, stored, read back and applied, with prices and decisions, to the stream's own features."""
+    t = tables.events(spark, sf_dir)
+    train = assign_splits(t).filter("split = 'train'").select("transaction_id", F.col("is_fraud").alias("label"))
+    base = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    rows = jobs.stream_features(batch_history(t)).join(train, "transaction_id")
+    scorers.store_scorer(scorers.fit_scorer(rows, jobs.STREAM_FEATURES, _VERSION), spark, f"{base}/scorer")
+    scorer = scorers.read_scorer(spark, f"{base}/scorer", _VERSION)
+    live = jobs.keyed_history(_events(spark, sf_dir), carry=("amount", "us"))
+    decided = jobs.scored(live, scorer, 0.2, 0.25).select("transaction_id", "account_id", "score", "cost_blocked", "cost_allowed", "decision")
+    return rounded(jobs.replayed(decided))
+
+
+@query(f"WITH {T}, d AS (SELECT *, CASE WHEN amount >= 400 THEN 'block' WHEN amount >= 200 THEN 'review' ELSE 'allow' END AS decision, row_number() OVER (PARTITION BY account_id ORDER BY us DESC, transaction_id DESC) AS nth FROM t) SELECT account_id, count(*) AS held, max(transaction_id) FILTER (nth = 1) AS newest, min(us) AS oldest_us, round(avg(CAST(decision = 'block' AS INT)), 6) AS block_share, round(avg(CAST(decision = 'review' AS INT)), 6) AS review_share FROM d WHERE nth <= 100 GROUP BY 1")
+def stream_feed(spark, sf_dir):
+    """Each account's hundred newest decisions as the feed holds them after the replay."""
+    e = _events(spark, sf_dir).withColumn("decision", decision(F.col("amount"), 200, 400)).select("account_id", "us", "transaction_id", "decision")
+    out = jobs.replayed(jobs.decision_feed(e))
+    return rounded(out.select("account_id", F.size("us").cast("long").alias("held"), F.col("transaction_id")[0].alias("newest"), F.array_min("us").alias("oldest_us"), "block_share", "review_share"))

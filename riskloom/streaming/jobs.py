@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: keyed history, decisions, duplicate suppression, rolling edges."""
+"""Structured Streaming jobs: keyed history, scores and prices, decisions and their feed, duplicate suppression, rolling edges."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from riskloom.functions.shared import shared_dir
+from riskloom.operators.costs import CostModel, decision, expected_costs
+from riskloom.sources.scorers import Scorer
 
 DAY_US = 86_400_000_000
 
@@ -39,16 +41,17 @@ def source(spark: SparkSession, path: str, files: int | None = None) -> DataFram
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(pattern)
 
 
-def keyed_history(stream: DataFrame, delay_us: int = DAY_US) -> DataFrame:
+def keyed_history(stream: DataFrame, delay_us: int = DAY_US, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per event: how many came before, how long ago the last one was, how many in 24 hours.
 
     State of an account: a counter without bound, as in training, and its distinct times of the last 24 hours
     and ``delay_us``, each with its number of events, so that no count is short however busy an account is. A
     micro-batch's rows of an account are taken in time order, those of one instant see each other. An event that
     comes after younger ones counts what came before it in time; one later than ``delay_us`` may miss
-    forgotten events (see ``late_rows``), and with none left it has no gap.
+    forgotten events (see ``late_rows``), and with none left it has no gap. Columns named in ``carry`` come along.
     """
-    out = "transaction_id long, account_id long, prior_count long, seconds_since_prior double, count_24h long"
+    kinds = dict(stream.dtypes)
+    out = ", ".join(["transaction_id long, account_id long, prior_count long, seconds_since_prior double, count_24h long", *[f"`{c}` {kinds[c]}" for c in carry]])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, times, numbers = state.get if state.exists else (0, [], [])
@@ -65,11 +68,52 @@ def keyed_history(stream: DataFrame, delay_us: int = DAY_US) -> DataFrame:
         gap = np.where(last == never, np.nan, (us - np.where(last == never, us, last)) / 1e6)
         kept = every > every[-1] - DAY_US - delay_us
         state.update((n + len(us), every[kept].tolist(), held[kept].tolist()))
-        yield pd.DataFrame({"transaction_id": rows["transaction_id"].to_numpy(), "account_id": key[0], "prior_count": n + np.arange(len(us)), "seconds_since_prior": pd.Series(gap).astype(object).where(last != never, None), "count_24h": count})
+        yield pd.DataFrame({"transaction_id": rows["transaction_id"].to_numpy(), "account_id": key[0], "prior_count": n + np.arange(len(us)), "seconds_since_prior": pd.Series(gap).astype(object).where(last != never, None), "count_24h": count, **{c: rows[c].to_numpy() for c in carry}})
 
     return stream.groupBy("account_id").applyInPandasWithState(update, out, "n long, times array<long>, numbers array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def scored(history: DataFrame, scorer: Scorer, review: float, block: float, costs: CostModel = CostModel()) -> DataFrame:
+    """Rows of ``keyed_history`` with the stored model's probability, what blocking and allowing would cost, and the decision.
+
+    A stream and a table alike: nothing here looks beyond its row, so that both give the same scores. A row whose amount is null is
+    ``degraded``: it has neither score nor price and is reviewed.
+    """
+    p = F.when(F.col("amount").isNotNull(), F.col("score"))
+    priced = expected_costs(p, F.col("amount"), costs)
+    out = scorer.apply(stream_features(history)).withColumns({"cost_blocked": priced["cost_blocked"], "cost_allowed": priced["cost_allowed"], "degraded": F.col("amount").isNull()})
+    return out.withColumn("decision", F.when(F.col("degraded"), "review").otherwise(decision(F.col("score"), review, block))).withColumn("score", p)
+
+
+STREAM_FEATURES = ["amount_log", "gap_log", "prior_log", "count_24h_log", "has_prior"]
+
+
+def stream_features(history: DataFrame) -> DataFrame:
+    """What the scorer reads, made of an event's amount and its account's history alone."""
+    gap = F.greatest(F.coalesce("seconds_since_prior", F.lit(0.0)), F.lit(0.0))
+    made = {"amount_log": F.log1p(F.greatest("amount", F.lit(0.0))), "gap_log": F.log1p(gap), "prior_log": F.log1p("prior_count"), "count_24h_log": F.log1p("count_24h"), "has_prior": (F.col("prior_count") > 0).cast("double")}
+    return history.withColumns(made)
+
+
+def decision_feed(stream: DataFrame, keep: int = 100) -> DataFrame:
+    """After each micro-batch, a row for each of its accounts: the ``keep`` newest decisions, newest first, and the shares of blocks and reviews among them.
+
+    State of an account: those decisions, older ones are evicted. A delivery that comes twice counts once as long as it is held.
+    """
+    out = "account_id long, us array<long>, transaction_id array<long>, decision array<string>, block_share double, review_share double"
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = set(zip(*state.get, strict=True)) if state.exists else set()
+        for b in batches:  # never more than ``keep`` and one Arrow batch
+            held |= set(b[["us", "transaction_id", "decision"]].itertuples(index=False, name=None))
+            held = set(sorted(held, reverse=True)[:keep])
+        us, ids, kinds = (list(x) for x in zip(*sorted(held, reverse=True), strict=True))
+        state.update((us, ids, kinds))
+        yield pd.DataFrame({"account_id": [key[0]], "us": [us], "transaction_id": [ids], "decision": [kinds], "block_share": [kinds.count("block") / len(kinds)], "review_share": [kinds.count("review") / len(kinds)]})
+
+    return stream.groupBy("account_id").applyInPandasWithState(update, out, "us array<long>, ids array<long>, kinds array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def without_repeats(stream: DataFrame, keys: list[str], time: str = "event_time", delay: str = "1 day") -> DataFrame:
     """A delivery seen before, within the delay, is dropped; so are times up to 1970, where watermarks begin."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

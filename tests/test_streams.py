@@ -131,3 +131,63 @@ def test_rolling_rings_equal_a_rebuild_after_every_batch(spark, tmp_path):
     graph.snapshot(spark, 5, max(r[0] for r in held) + 1)
     with pytest.raises(ValueError):
         graph.snapshot(spark, 5, max(r[0] for r in held))
+
+
+def test_scores_in_the_stream_are_those_of_the_table(spark, tmp_path):
+    """Several micro-batches with late rows: the same features, so the same scores, prices and decisions as in one table."""
+    from riskloom.operators.costs import CostModel
+    from riskloom.sources import scorers
+
+    rng = np.random.default_rng(2)
+    batches = some_batches()
+    amount = {t: float(np.round(rng.gamma(2, 60), 2)) for b in batches for t, _, _ in b}
+    amount[batches[1][5][0]] = None
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, rows in enumerate(batches):
+        frame = pd.DataFrame([(*r, amount[r[0]]) for r in rows], columns=["transaction_id", "account_id", "us", "amount"])
+        frame.to_parquet(folder / f"part-{i}.parquet")
+        os.utime(folder / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    known = brute_force(batches)
+    schema = "transaction_id long, account_id long, prior_count long, seconds_since_prior double, count_24h long, amount double"
+    table = spark.createDataFrame([(t, *v, amount[t]) for t, v in known.items()], schema)
+    labelled = jobs.stream_features(table.filter("amount IS NOT NULL")).withColumn("label", (F.col("amount") > 150) & (F.pmod("transaction_id", F.lit(7)) != 0))
+    scorers.store_scorer(scorers.fit_scorer(labelled, jobs.STREAM_FEATURES, "v1"), spark, str(tmp_path / "scorer"))
+    with pytest.raises(ValueError):
+        scorers.read_scorer(spark, str(tmp_path / "scorer"), "v2")
+    scorer = scorers.read_scorer(spark, str(tmp_path / "scorer"), "v1")
+    live = jobs.keyed_history(jobs.source(spark, str(folder), files=1), carry=("amount",))
+    columns = ["transaction_id", "score", "cost_blocked", "cost_allowed", "degraded", "decision"]
+    got = {r[0]: r for r in jobs.replayed(jobs.scored(live, scorer, 0.3, 0.7).select(*columns)).collect()}
+    want = {r[0]: r for r in jobs.scored(table, scorer, 0.3, 0.7).select(*columns).collect()}
+    assert got == want and len(got) == sum(map(len, batches))
+    assert {r.decision for r in got.values()} == {"allow", "review", "block"}
+    lost = got[batches[1][5][0]]
+    assert (lost.score, lost.cost_blocked, lost.degraded, lost.decision) == (None, None, True, "review")
+    some, costs = got[batches[0][3][0]], CostModel()
+    assert some.cost_blocked == pytest.approx(costs.review * (1 - some.score))
+    assert some.cost_allowed == pytest.approx(some.score * (amount[some.transaction_id] + costs.fee))
+
+
+def test_the_feed_is_the_page_after_every_batch(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    batches, t = [], 0
+    for i in range(4):
+        rows = [(t + k, int(rng.integers(0, 3)), int(rng.integers(i * 50, i * 50 + 90)), str(rng.choice(["allow", "review", "block"]))) for k in range(40)]
+        t += 40
+        batches.append(rows + (batches[-1][:5] if i == 2 else []))  # some come twice
+        pd.DataFrame(batches[-1], columns=["transaction_id", "account_id", "us", "decision"]).to_parquet(folder / f"part-{i}.parquet")
+        os.utime(folder / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    pages = {}
+    jobs.replayed(jobs.decision_feed(jobs.source(spark, str(folder), files=1), 25), lambda df, n: pages.__setitem__(n, df.collect()))
+    assert len(pages) == 4
+    for n, page in pages.items():
+        seen = {r for b in batches[: n + 1] for r in b}
+        assert {r.account_id for r in page} == {r[1] for r in batches[n]}
+        for r in page:
+            want = sorted(((us, i, d) for i, a, us, d in seen if a == r.account_id), reverse=True)[:25]
+            assert list(zip(r.us, r.transaction_id, r.decision, strict=True)) == want
+            assert r.block_share == pytest.approx(np.mean([d == "block" for _, _, d in want]))
+            assert r.review_share == pytest.approx(np.mean([d == "review" for _, _, d in want]))
