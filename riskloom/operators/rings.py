@@ -179,6 +179,42 @@ def recovery(detected: DataFrame, truth: DataFrame, threshold: float) -> DataFra
     return both.withColumns({"precision": p, "recall": r}).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def fingerprints(members: DataFrame) -> DataFrame:
+    """``snapshot_end, ring, size, identity``: the same identity for the same members, whatever their snapshot or order.
+
+    Two sums of 64-bit hashes and the size: tasks add up parts, and no member list is ever held. That two sets share one by
+    chance is as likely as a clash of 128-bit hashes.
+    """
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("node")).cast("decimal(38,0)")).cast("string")
+    out = members.groupBy(BY, "ring").agg(F.count("*").alias("size"), part(1).alias("_a"), part(2).alias("_b"))
+    return out.select(BY, "ring", "size", F.concat_ws(":", F.col("size").cast("string"), "_a", "_b").alias("identity"))
+
+
+def identities(members: DataFrame) -> DataFrame:
+    """A row for each member set: its name, size, first and last snapshot, and in how many it is a ring."""
+    seen = fingerprints(members).groupBy("identity")
+    return seen.agg(F.min("ring").alias("ring"), F.min("size").alias("size"), F.min(BY).alias("first_seen"), F.max(BY).alias("last_seen"), F.count("*").alias("snapshots"))
+
+
+def recovery_by_identity(detected: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
+    """Precision, recall and F1 at each overlap, a ring counted once however many snapshots it lives through.
+
+    Rings are matched within a snapshot; a ring is found if it is in any. ``best`` marks the highest F1, ties to the smaller overlap.
+    """
+    of = lambda x, ring, name: fingerprints(x).select(BY, F.col("ring").alias(ring), F.col("identity").alias(name))
+    a, b = cut(of(detected, "a", "_a"), "identities"), cut(of(truth, "b", "_b"), "identities")
+    grid = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
+    met = overlaps(detected, truth).select(BY, "a", "b", "overlap", grid).filter(F.col("overlap") >= F.col("threshold")).join(a, [BY, "a"]).join(b, [BY, "b"])
+    hit = met.groupBy("threshold").agg(F.count_distinct("_a").alias("detected_hit"), F.count_distinct("_b").alias("truth_hit"))
+    sizes = a.agg(F.count_distinct("_a").alias("detected")).crossJoin(b.agg(F.count_distinct("_b").alias("truth")))  # one row each
+    out = sizes.select("*", grid).join(hit, "threshold", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("detected_hit", "truth_hit")})
+    share = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    out = out.withColumns({"precision": share("detected_hit", "detected"), "recall": share("truth_hit", "truth")})
+    out = out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("f1"), "threshold")  # a row a threshold
+    return out.withColumn("best", F.row_number().over(order) == 1)
+
+
 def first_occurrences(members: DataFrame, least_overlap: float = 0.5) -> DataFrame:
     """Rings that do not repeat an earlier kept one. Greedy in time, one join a snapshot."""
     ends = [r[0] for r in members.select(BY).distinct().orderBy(BY).collect()]  # snapshots, not rows

@@ -4,13 +4,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.shared import cut
-from riskloom.operators import chains, edges, rings
+from riskloom.operators import chains, edges, grids, rings
 from riskloom.operators.edges import DAY
 from riskloom.operators.ordering import global_rank
+from riskloom.operators.splits import cuts
 from riskloom.sources import tables
 
 from .base import T, query, rounded
 from .graph import _CC, _DEG, _FEAT, _REACH, _TRUTH, CADENCE, WINDOW, _reference, _rings, flows
+from .metrics import _MIX, _WEIGHT
 from .serving import _page
 
 _WINDOW, _CADENCE, _MINUTE = 10 * DAY, 5 * DAY, 60_000_000
@@ -94,3 +96,68 @@ def score_lookup(spark, sf_dir):
     seen = edges.snapshot_members(flows(spark, sf_dir), WINDOW, CADENCE).select("snapshot_end", F.col("src").alias("node")).distinct()
     asked = seen.select((F.col("snapshot_end") + CADENCE).alias("snapshot_end"), "node")
     return rings.looked_up(asked, rings.score_table(m.join(f, ["snapshot_end", "ring"])), seen).select("snapshot_end", "node", "score", "ring", "reason")
+
+
+_KEYS = "ka AS (SELECT snapshot_end, ring, list_sort(list(node)) AS key FROM kept GROUP BY 1, 2)"
+
+
+@query(f"WITH RECURSIVE {_CC}, {_DEG}, {_KEYS} SELECT min(ring) AS ring, len(key) AS size, min(snapshot_end) AS first_seen, max(snapshot_end) AS last_seen, count(*) AS snapshots FROM ka GROUP BY key")
+def ring_identities(spark, sf_dir):
+    """Rings by their members: SQL compares the sorted lists."""
+    m, _ = _rings(spark, sf_dir)
+    return rings.identities(m).drop("identity")
+
+
+@query(f"""WITH RECURSIVE {_CC}, {_DEG}, {_TRUTH}, {_KEYS}, kb AS (SELECT snapshot_end, ring, list_sort(list(node)) AS key FROM tc GROUP BY 1, 2), sh AS (SELECT k.snapshot_end, k.ring AS a, t.ring AS b, count(*) AS shared FROM kept k JOIN tc t ON k.snapshot_end = t.snapshot_end AND k.node = t.node GROUP BY 1, 2, 3),
+  ov AS (SELECT ka.key AS a, kb.key AS b, shared / least(len(ka.key), len(kb.key)) AS overlap FROM sh JOIN ka ON ka.snapshot_end = sh.snapshot_end AND ka.ring = a JOIN kb ON kb.snapshot_end = sh.snapshot_end AND kb.ring = b), th(threshold) AS (VALUES (0.3::DOUBLE), (0.5), (0.7)), hi AS (SELECT threshold, count(DISTINCT a) AS detected_hit, count(DISTINCT b) AS truth_hit FROM ov JOIN th ON overlap >= threshold GROUP BY 1),
+  pr AS (SELECT threshold, (SELECT count(DISTINCT key) FROM ka) AS detected, (SELECT count(DISTINCT key) FROM kb) AS truth, coalesce(detected_hit, 0) AS detected_hit, coalesce(truth_hit, 0) AS truth_hit FROM th LEFT JOIN hi USING (threshold)), ps AS (SELECT *, coalesce(detected_hit / nullif(detected, 0), 0) AS precision, coalesce(truth_hit / nullif(truth, 0), 0) AS recall FROM pr), fo AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM ps)
+  SELECT threshold, detected, truth, detected_hit, truth_hit, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, row_number() OVER (ORDER BY f1 DESC, threshold) = 1 AS best FROM fo""")
+def ring_recovery_by_identity(spark, sf_dir):
+    m, _ = _rings(spark, sf_dir)
+    return rounded(rings.recovery_by_identity(m, _reference(spark, sf_dir)))
+
+
+_GRID_CADENCE = 2 * DAY
+_CONFIGURATIONS = (
+    grids.Configuration("wide", 24, 0.02, 10 * DAY),
+    grids.Configuration("near", 24, 0.01, 10 * DAY),
+    grids.Configuration("soon", 12, 0.02, 10 * DAY),
+    grids.Configuration("brief", 24, 0.02, 5 * DAY),
+)
+_GROWN = ", ".join(f"('{c.name}', {c.steps}, {c.tolerance}::DOUBLE, {c.window})" for c in _CONFIGURATIONS)
+_CONFIGURED = f"""{T}, x AS (SELECT *, account_id || '-' || device AS entity FROM t), bd AS (SELECT min(us) // {_GRID_CADENCE} AS lo, max(us) // {_GRID_CADENCE} AS hi FROM t), cf(configuration, steps, tolerance, wide) AS (VALUES {_GROWN}), se AS (SELECT configuration, steps, tolerance, wide, (lo + 1 + i) * {_GRID_CADENCE} AS till, configuration || '|' || printf('%020d', till) AS snapshot_end FROM cf, bd, range(10000) r(i) WHERE lo + i <= hi),
+  vw AS (SELECT entity AS src, us AS us0, lead(entity) OVER o AS dst, lead(us) OVER o AS us1 FROM x WHERE transaction_type = 'view' WINDOW o AS (ORDER BY us, transaction_id)), fs AS (SELECT snapshot_end, src, dst FROM vw JOIN se ON us0 >= till - wide AND us1 < till WHERE us1 - us0 < {_MINUTE}),
+  ch AS (SELECT a.transaction_id AS transfer_id, a.entity AS src, c.entity AS dst, least(a.us, c.us) AS us0, greatest(a.us, c.us) AS us1, a.amount AS ta, c.amount AS ca, c.us // 3600000000 - a.us // 3600000000 AS gap FROM x a JOIN x c ON a.transaction_type = 'purchase' AND c.transaction_type = 'error' AND c.us // 3600000000 BETWEEN a.us // 3600000000 AND a.us // 3600000000 + 24 AND c.amount >= a.amount * (1 - 0.02) AND c.amount <= a.amount * (1 + 0.02)),
+  cs AS (SELECT snapshot_end, src, dst FROM ch JOIN se ON us0 >= till - wide AND us1 < till AND gap <= steps AND ca >= ta * (1 - tolerance) AND ca <= ta * (1 + tolerance)), ed AS (SELECT snapshot_end, least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS flow_count FROM (SELECT * FROM fs UNION ALL SELECT * FROM cs) WHERE src <> dst GROUP BY 1, 2, 3)"""
+_SWEPT = f"""hit AS (SELECT DISTINCT snapshot_end, entity AS node FROM x JOIN se ON us >= till - wide AND us < till WHERE transaction_type = 'signup'), ra AS (SELECT k.snapshot_end, k.ring, bool_or(h.node IS NOT NULL) AS label, list_sort(list(k.node)) AS key FROM kept k LEFT JOIN hit h ON h.snapshot_end = k.snapshot_end AND h.node = k.node GROUP BY 1, 2), rf AS (SELECT configuration, till, ft.ring, label, round(2.0 * edges / (size - 1), 6) AS score, row_number() OVER (PARTITION BY configuration, key ORDER BY till) AS nth FROM ft JOIN ra USING (snapshot_end, ring) JOIN se USING (snapshot_end)),
+  ct AS (SELECT (SELECT us FROM t ORDER BY us LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM t)) AS a, (SELECT us FROM t ORDER BY us LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.75) AS BIGINT) FROM t)) AS b), s AS (SELECT *, CASE WHEN till <= a THEN 'train' WHEN till <= b THEN 'val' ELSE 'test' END AS split FROM rf, ct WHERE nth = 1)"""
+
+
+def _swept(spark, sf_dir) -> DataFrame:
+    """Rings of all configurations over accounts by device, scored by size and density, marked by sign-ups."""
+    t = tables.events(spark, sf_dir)
+    x = t.withColumns({"account_id": F.concat_ws("-", F.col("account_id").cast("string"), "device"), "step": F.expr("us div 3600000000")}).filter("device IS NOT NULL")
+    _, last = edges.snapshot_grid(t, _GRID_CADENCE)
+    v = global_rank(x.filter("transaction_type = 'view'"), ["us", "transaction_id"])
+    following = v.select((F.col("position") - 1).alias("position"), F.col("account_id").alias("dst"), F.col("us").alias("late_us"))
+    flow = v.select("position", F.col("account_id").alias("src"), F.col("us").alias("early_us")).join(following, "position").filter(F.col("late_us") - F.col("early_us") < _MINUTE)
+    e = grids.configured_graph(x.filter("transaction_type = 'purchase'"), x.filter("transaction_type = 'error'"), flow, _CONFIGURATIONS, _GRID_CADENCE, last)
+    found = grids.configured_rings(e, x.filter("transaction_type = 'signup'").select("account_id", "us"), _CONFIGURATIONS, _GRID_CADENCE, last)
+    a, b = cuts(t, [0.5, 0.75])
+    split = F.when(F.col("end") <= a, "train").when(F.col("end") <= b, "val").otherwise("test")
+    return found.withColumns({"score": F.round(F.col("size") * F.col("density"), 6), "split": split})
+
+
+@query(f"WITH RECURSIVE {_CONFIGURED}, {_REACH}, {_DEG}, {_FEAT}, {_SWEPT} SELECT configuration, split, till AS \"end\", ring, label, score FROM s")
+def configured_rings(spark, sf_dir):
+    return _swept(spark, sf_dir).select("configuration", "split", "end", "ring", "label", "score")
+
+
+@query(f"""WITH RECURSIVE {_CONFIGURED}, {_REACH}, {_DEG}, {_FEAT}, {_SWEPT}, vg AS (SELECT configuration, score AS v, count(*) AS n, count(*) FILTER (label) AS tp FROM s WHERE split = 'val' GROUP BY 1, 2), vc AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM vg WINDOW w AS (PARTITION BY configuration ORDER BY v DESC)), va AS (SELECT configuration, sum(n)::BIGINT AS val_rings, sum(tp)::BIGINT AS val_positives, round(sum(tp * ct / cn) / sum(tp), 9) AS val_metric FROM vc GROUP BY 1 HAVING sum(tp) > 0 AND sum(tp) < sum(n)), be AS (SELECT configuration FROM va ORDER BY val_metric DESC, configuration LIMIT 1),
+  te AS (SELECT score, label, row_number() OVER (ORDER BY till, ring) - 1 AS row FROM s SEMI JOIN be USING (configuration) WHERE split = 'test'), tg AS (SELECT score AS v, count(*) AS n, count(*) FILTER (label) AS tp FROM te GROUP BY 1), tc AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM tg WINDOW w AS (ORDER BY v DESC)), ta AS (SELECT sum(n)::BIGINT AS test_rings, sum(tp)::BIGINT AS test_positives, coalesce(sum(tp * ct / cn) / nullif(sum(tp), 0), 0) AS test_metric, sum(tp) / sum(n) AS base_rate FROM tc HAVING count(*) > 0),
+  h0 AS (SELECT te.*, r AS replicate, (row % 2147483648 * 1000003 + r * 7919 + 12345) % 4294967296 AS h FROM te, range(1000) q(r)), h1 AS (SELECT * REPLACE ({_MIX} AS h) FROM h0), h2 AS (SELECT * REPLACE ({_MIX} AS h) FROM h1), d AS (SELECT *, xor(h, h >> 16) / 4294967296.0::DOUBLE AS u FROM h2), w AS (SELECT replicate, score, label, {_WEIGHT} AS w FROM d), st AS (SELECT replicate, sum(w) FILTER (label) AS wp, coalesce(sum(w) FILTER (NOT label), 0) AS wn FROM w GROUP BY 1), g AS (SELECT replicate, score AS v, sum(CASE WHEN label THEN w ELSE 0 END) AS tp, sum(CASE WHEN label THEN 0 ELSE w END) AS fp FROM w GROUP BY 1, 2), c AS (SELECT *, sum(tp) OVER o AS ct, sum(fp) OVER o AS cn FROM g WINDOW o AS (PARTITION BY replicate ORDER BY v DESC)),
+  bs AS (SELECT replicate, coalesce(sum(CASE WHEN tp > 0 THEN tp * (ct * p / wp) / (ct * p / wp + CASE WHEN wn > 0 THEN cn * n / wn ELSE 0 END) ELSE 0 END) / nullif(min(wp), 0), 0) AS ap FROM c JOIN st USING (replicate), (SELECT test_positives AS p, test_rings - test_positives AS n FROM ta) GROUP BY 1), iv AS (SELECT quantile_cont(ap, 0.025) AS lo, quantile_cont(ap, 0.975) AS hi FROM bs)
+  SELECT va.configuration, val_rings, val_positives, round(val_metric, 6) AS val_metric, be.configuration IS NOT NULL AS chosen, test_rings, test_positives, round(test_metric, 6) AS test_metric, round(base_rate, 6) AS base_rate, round(test_metric - base_rate, 6) AS increment, round(lo - base_rate, 6) AS lo, round(hi - base_rate, 6) AS hi FROM va LEFT JOIN be USING (configuration) LEFT JOIN (SELECT * FROM ta, iv) ON be.configuration IS NOT NULL""")
+def configuration_grid(spark, sf_dir):
+    """Four graphs compared on validation rings; the best one's increment over the pairing rule on the test rings."""
+    return rounded(grids.chosen_on_validation(_swept(spark, sf_dir)))

@@ -21,9 +21,12 @@ def decision_mix(spark, sf_dir):
     return rounded(serving.decision_mix(t, 20))
 
 
-@query(f"""WITH {T}, c AS (SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS k FROM t), w AS (SELECT *, avg(amount) OVER b AS am, stddev_samp(amount) OVER b AS ad, avg(k) OVER b AS km, stddev_samp(k) OVER b AS kd, count(*) OVER b AS n FROM c WINDOW b AS (PARTITION BY account_id ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+_CONTEXT = f"""WITH {T}, c AS (SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS k FROM t), w AS (SELECT *, avg(amount) OVER b AS am, stddev_samp(amount) OVER b AS ad, avg(k) OVER b AS km, stddev_samp(k) OVER b AS kd, count(*) OVER b AS n FROM c WINDOW b AS (PARTITION BY account_id ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   z AS (SELECT transaction_id, coalesce(abs(CASE WHEN n >= 2 THEN (amount - am) / nullif(ad, 0) END) > 2, false) AS amount_unusual, coalesce(abs(CASE WHEN n >= 2 THEN (k - km) / nullif(kd, 0) END) > 2, false) AS rate_unusual FROM w)
-  SELECT *, CASE WHEN amount_unusual AND rate_unusual THEN 'unusual amount and rate' WHEN amount_unusual THEN 'unusual amount' WHEN rate_unusual THEN 'unusual rate' ELSE 'in line with history' END AS rationale FROM z""")
+  SELECT *, CASE WHEN amount_unusual AND rate_unusual THEN 'unusual amount and rate' WHEN amount_unusual THEN 'unusual amount' WHEN rate_unusual THEN 'unusual rate' ELSE 'in line with history' END AS rationale FROM z"""
+
+
+@query(_CONTEXT)
 def risk_context(spark, sf_dir):
     return serving.risk_context(tables.events(spark, sf_dir)).select("transaction_id", "amount_unusual", "rate_unusual", "rationale")
 

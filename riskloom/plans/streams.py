@@ -13,6 +13,7 @@ from riskloom.streaming import jobs
 from riskloom.streaming.rolling import RollingGraph
 
 from .base import T, query, rounded
+from .serving import _CONTEXT
 
 _ORDER = "PARTITION BY account_id ORDER BY us, transaction_id"
 
@@ -109,3 +110,10 @@ def stream_feed(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("decision", decision(F.col("amount"), 200, 400)).select("account_id", "us", "transaction_id", "decision")
     out = jobs.replayed(jobs.decision_feed(e))
     return rounded(out.select("account_id", F.size("us").cast("long").alias("held"), F.col("transaction_id")[0].alias("newest"), F.array_min("us").alias("oldest_us"), "block_share", "review_share"))
+
+
+@query(_CONTEXT)
+def stream_context(spark, sf_dir):
+    """The context that each decision carries, made in the stream; SQL is that of the table."""
+    e = _events(spark, sf_dir).select("transaction_id", "account_id", "us", "amount")
+    return jobs.replayed(jobs.risk_context(e)).drop("account_id")

@@ -114,6 +114,59 @@ def decision_feed(stream: DataFrame, keep: int = 100) -> DataFrame:
     return stream.groupBy("account_id").applyInPandasWithState(update, out, "us array<long>, ids array<long>, kinds array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def risk_context(stream: DataFrame, limit: float = 2.0, delay_us: int = DAY_US, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per event: are its amount and its account's rate of the last hour far from what the account did before, and the sentence that says so.
+
+    State of an account: number, mean and squared deviations of its amounts and of its hourly counts, and its distinct times of the last hour
+    and ``delay_us`` with their numbers. A micro-batch's rows are taken in time order; what came in earlier batches is before them, so that an
+    account's rows that come in order give what the table gives. A null amount is not unusual and is left out of the account's mean.
+    """
+    kinds = dict(stream.dtypes)
+    out = ", ".join(["transaction_id long, account_id long, amount_unusual boolean, rate_unusual boolean, rationale string", *[f"`{c}` {kinds[c]}" for c in carry]])
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen, amounts, rates, times, numbers = state.get if state.exists else (0, (0, 0.0, 0.0), (0, 0.0, 0.0), [], [])
+        rows = pd.concat(batches).sort_values(["us", "transaction_id"])
+        us, known = rows["us"].to_numpy(np.int64), np.array(times, np.int64)
+        every, place = np.unique(np.concatenate([known, us]), return_inverse=True)
+        held = np.zeros(len(every), np.int64)
+        np.add.at(held, place, np.concatenate([np.array(numbers, np.int64), np.ones(len(us), np.int64)]))
+        up_to = np.concatenate([[0], np.cumsum(held)])
+        rate = (up_to[np.searchsorted(every, us, "right")] - up_to[np.searchsorted(every, us - DAY_US // 24, "right")]).astype(float)
+        earlier = seen + np.arange(len(us))
+        amount_far, amounts = _far(rows["amount"].to_numpy(float), amounts, earlier, limit)
+        rate_far, rates = _far(rate, rates, earlier, limit)
+        kept = every > every[-1] - DAY_US // 24 - delay_us
+        state.update((seen + len(us), amounts, rates, every[kept].tolist(), held[kept].tolist()))
+        said = np.select([amount_far & rate_far, amount_far, rate_far], ["unusual amount and rate", "unusual amount", "unusual rate"], "in line with history")
+        yield pd.DataFrame({"transaction_id": rows["transaction_id"].to_numpy(), "account_id": key[0], "amount_unusual": amount_far, "rate_unusual": rate_far, "rationale": said, **{c: rows[c].to_numpy() for c in carry}})
+
+    moments = "struct<n: long, mean: double, m2: double>"
+    held = f"seen long, amounts {moments}, rates {moments}, times array<long>, numbers array<long>"
+    return stream.groupBy("account_id").applyInPandasWithState(update, out, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def _far(values: np.ndarray, before: tuple, earlier: np.ndarray, limit: float) -> tuple[np.ndarray, tuple]:
+    """Is each value more than ``limit`` sample deviations off the mean of all before it? And the moments after the last.
+
+    Sums are of differences from a value near the mean, so that they do not cancel.
+    """
+    n, mean, m2 = before
+    there = ~np.isnan(values)
+    pivot = mean if n else (values[there][0] if there.any() else 0.0)
+    shifted = np.where(there, values - pivot, 0.0)
+    count = n + np.concatenate([[0], np.cumsum(there)])
+    total = n * (mean - pivot) + np.concatenate([[0.0], np.cumsum(shifted)])
+    square = m2 + n * (mean - pivot) ** 2 + np.concatenate([[0.0], np.cumsum(shifted**2)])
+    centre = np.divide(total, count, out=np.zeros(len(total)), where=count > 0)
+    left = np.maximum(square - total * centre, 0.0)
+    spread = np.sqrt(np.divide(left, count - 1, out=np.zeros(len(left)), where=count > 1))
+    # equal values leave what rounding leaves
+    some = (earlier >= 2) & there & (spread[:-1] > 1e-9 * np.maximum(1.0, np.abs(centre[:-1] + pivot)))
+    far = some & (np.abs(shifted - centre[:-1]) > limit * spread[:-1])
+    return far, (int(count[-1]), float(centre[-1] + pivot), float(left[-1]))
+
+
 def without_repeats(stream: DataFrame, keys: list[str], time: str = "event_time", delay: str = "1 day") -> DataFrame:
     """A delivery seen before, within the delay, is dropped; so are times up to 1970, where watermarks begin."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

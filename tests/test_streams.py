@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import serving
 from riskloom.streaming import jobs
 
 DAY = jobs.DAY_US
@@ -191,3 +192,31 @@ def test_the_feed_is_the_page_after_every_batch(spark, tmp_path):
             assert list(zip(r.us, r.transaction_id, r.decision, strict=True)) == want
             assert r.block_share == pytest.approx(np.mean([d == "block" for _, _, d in want]))
             assert r.review_share == pytest.approx(np.mean([d == "review" for _, _, d in want]))
+
+
+def test_context_in_the_stream_is_that_of_the_table(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    rows, t = [], 0
+    for account, n, level in ((1, 500, 1e6), (2, 60, 3.0), (3, 1, 1.0), (4, 40, 7.0)):
+        for us in np.sort(rng.integers(0, 2 * DAY, n)).tolist():
+            far = 40 if rng.random() < 0.05 else 1
+            amount = 7.0 if account == 4 else level + far * float(rng.normal())  # account 4 always pays the same
+            rows.append((t, account, us, None if account == 1 and t % 50 == 7 else amount))
+            t += 1
+    rows += [(t + i, 2, DAY + i, 3.0) for i in range(15)]  # a rush within one hour
+    rows.sort(key=lambda r: (r[2], r[0]))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    bounds = [0, 90, 300, 301, len(rows)]
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        path = folder / f"part-{i}.parquet"
+        spark.createDataFrame(rows[a:b], "transaction_id long, account_id long, us long, amount double").toPandas().to_parquet(path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = "transaction_id long, account_id long, us long, amount double"
+    columns = ["transaction_id", "amount_unusual", "rate_unusual", "rationale", "amount"]
+    live = jobs.risk_context(jobs.source(spark, str(folder), files=1), carry=("amount",))
+    got = {tuple(r) for r in jobs.replayed(live).select(*columns).fillna(-1.0).collect()}
+    table = serving.risk_context(spark.createDataFrame(rows, schema))
+    want = {tuple(r) for r in table.select(*columns).fillna(-1.0).collect()}
+    assert got == want
+    assert {r[3] for r in want} >= {"unusual amount", "unusual rate", "in line with history"}
