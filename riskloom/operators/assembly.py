@@ -206,3 +206,17 @@ def ecdf(df: DataFrame, column: str, knots: DataFrame, name: str = "share", buck
 def selected(configs: DataFrame) -> DataFrame:
     """The configuration with the best validation metric; ties to the smaller name."""
     return configs.groupBy().agg(F.min(F.struct((-F.col("metric")).alias("m"), "config")).alias("b")).select("b.config", (-F.col("b.m")).alias("metric"))
+
+
+def available_blocks(columns: list[str], blocks: dict[str, list[str]]) -> list[str]:
+    """The blocks that are there whole, in the order of ``blocks``: one with a column missing is not there."""
+    return [name for name, wanted in blocks.items() if set(wanted) <= set(columns)]
+
+
+def block_columns(df: DataFrame, blocks: dict[str, list[str]], chosen: list[str], denied: tuple[str, ...] = ()) -> list[str]:
+    """The columns of the chosen blocks, in the order of ``blocks`` however they were asked for; unknown, incomplete or denied ones are refused."""
+    unknown, out = sorted(set(chosen) - set(blocks)), [c for name, columns in blocks.items() if name in chosen for c in columns]
+    absent, leaked = [c for c in out if c not in df.columns], [c for c in out if c in denied]
+    if unknown or absent or leaked:
+        raise ValueError(f"unknown blocks {unknown}, absent columns {absent}, denied columns {leaked}")
+    return out

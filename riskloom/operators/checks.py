@@ -138,3 +138,19 @@ def recurrence(df: DataFrame, end: str) -> DataFrame:
     n = F.col("n")
     bucket = F.when(n == 1, "1").when(n <= 5, "2-5").when(n <= 20, "6-20").otherwise("21+")
     return df.groupBy(end).agg(F.count("*").alias("n")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("ends"), F.sum("n").alias("n_rows"))
+
+
+def graph_viability(df: DataFrame, transfer: str, cash_out: str, usable: float = 0.5, negligible: float = 0.01) -> DataFrame:
+    """Can transfers be followed by account? Distinct ends, those that recur, and the share of fraudulent transfers whose end cashes out.
+
+    One row; ``df``: account_id, counterparty_id, transaction_type, is_fraud. The link is judged by the share that meets a fraudulent
+    cash-out: below ``negligible`` it is absent, below ``usable`` weak. Without fraudulent transfers both shares are 0.
+    """
+    ends = df.filter(F.col("counterparty_id").isNotNull()).groupBy("counterparty_id").agg(F.count("*").alias("n"))
+    counts = ends.agg(F.count("*").alias("distinct_ends"), F.count_if(F.col("n") > 1).alias("recurring_ends"))
+    out = df.filter(F.col("transaction_type") == cash_out).groupBy(F.col("account_id").alias("counterparty_id")).agg(F.bool_or("is_fraud").alias("_fraud"))
+    asked = df.filter((F.col("transaction_type") == transfer) & F.col("is_fraud")).select("counterparty_id").join(out, "counterparty_id", "left")
+    share = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
+    met = asked.agg(share(F.coalesce("_fraud", F.lit(False))).alias("chain_to_fraud"), share(F.col("_fraud").isNotNull()).alias("chain_to_any"))
+    verdict = F.when(F.col("chain_to_fraud") < negligible, "absent").when(F.col("chain_to_fraud") < usable, "weak").otherwise("usable")
+    return counts.crossJoin(met).withColumn("verdict", verdict)  # one row each

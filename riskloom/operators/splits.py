@@ -70,3 +70,17 @@ def fold_check(blocked: DataFrame, time: str = "us") -> DataFrame:
     b = blocked.groupBy("block").agg(F.min(time).alias("begins"), F.max(time).alias("ends"))
     before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return b.withColumn("train_ends", F.max("ends").over(before)).filter("block > 0").select("block", "train_ends", "begins", (F.col("train_ends") < F.col("begins")).alias("sound"))
+
+
+def heads(df: DataFrame, n: int, by: str = "split", time: str = "us", id_: str = "transaction_id") -> DataFrame:
+    """The earliest ``n`` rows of each split. A rank limit alone, so each task sends at most ``n`` of a split."""
+    w = Window.partitionBy(by).orderBy(time, id_)
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def with_positives(sliced: DataFrame, by: str = "slice", label: str = "is_fraud", wanted: tuple[str, ...] = ("early", "middle", "late")) -> DataFrame:
+    """Refused where one of the slices holds no positive row: nothing could be chosen or measured there."""
+    held = {r[0] for r in sliced.filter(label).select(by).distinct().collect()}  # a row a slice
+    if set(wanted) - held:
+        raise ValueError(f"no positive in {sorted(set(wanted) - held)}")
+    return sliced

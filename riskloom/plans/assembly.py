@@ -206,3 +206,12 @@ def winner_report(spark, sf_dir):
     """The best of three scores on the lines of one status, measured on those of the other against the next and the amount alone."""
     s = tables.numbered(spark, sf_dir)
     return rounded(assembly.winner_report(s.filter("band = 'F'"), s.filter("band = 'O'"), ["score", "other"], "amount", "row"), 5)
+
+
+@query(f"WITH {S} SELECT id, line, score, other, amount FROM s")
+def block_selection(spark, sf_dir):
+    """Inputs by blocks in their fixed order; the graph's block lacks a column here and is left out whole."""
+    s = tables.scored(spark, sf_dir)
+    blocks = {"risk": ["score", "other"], "graph": ["band", "ring_size"], "amount": ["amount"]}
+    there = assembly.available_blocks(s.columns, blocks)
+    return s.select("id", "line", *assembly.block_columns(s, blocks, there[::-1], ("label",)))

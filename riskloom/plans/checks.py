@@ -110,3 +110,10 @@ def end_recurrence(spark, sf_dir):
 @query(f"WITH {T} SELECT transaction_id, CASE WHEN amount / 500 < 0.05 THEN 'low' WHEN amount / 500 < 0.25 THEN 'medium' ELSE 'high' END AS band FROM t")
 def risk_band(spark, sf_dir):
     return tables.events(spark, sf_dir).select("transaction_id", costs.risk_band(F.col("amount") / 500).alias("band"))
+
+
+@query("WITH l AS (SELECT l_suppkey AS a, l_partkey AS b, l_linestatus AS k, l_quantity > 40 AS f FROM lineitem), n AS (SELECT b, count(*) AS n FROM l GROUP BY 1), c AS (SELECT a, bool_or(f) AS f FROM l WHERE k = 'O' GROUP BY 1), m AS (SELECT avg(CAST(coalesce(c.f, false) AS INT)) AS cf, avg(CAST(c.f IS NOT NULL AS INT)) AS ca FROM l LEFT JOIN c ON c.a = l.b WHERE l.k = 'F' AND l.f) SELECT (SELECT count(*) FROM n) AS distinct_ends, (SELECT count(*) FROM n WHERE n > 1) AS recurring_ends, round(coalesce(cf, 0), 6) AS chain_to_fraud, round(coalesce(ca, 0), 6) AS chain_to_any, CASE WHEN coalesce(cf, 0) < 0.01 THEN 'absent' WHEN cf < 0.5 THEN 'weak' ELSE 'usable' END AS verdict FROM m")
+def graph_viability(spark, sf_dir):
+    li = tables.table(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_suppkey").alias("account_id"), F.col("l_partkey").alias("counterparty_id"), F.col("l_linestatus").alias("transaction_type"), (F.col("l_quantity") > 40).alias("is_fraud"))
+    return rounded(checks.graph_viability(rows, "F", "O"))

@@ -52,3 +52,16 @@ def validation_slices(spark, sf_dir):
 @query(f"WITH {O}, p AS (SELECT *, row_number() OVER (ORDER BY us, transaction_id) - 1 AS position FROM o) SELECT transaction_id, account_id FROM p WHERE position % 7 = 0")
 def strided_sample(spark, sf_dir):
     return splits.global_rank(tables.orders(spark, sf_dir), ["us", "transaction_id"]).filter("position % 7 = 0").select("transaction_id", "account_id")
+
+
+@query(f"WITH {O}, {_CUT}, p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY us, transaction_id) AS n FROM sp) SELECT split, transaction_id, us FROM p WHERE n <= 100")
+def split_heads(spark, sf_dir):
+    """The hundred earliest orders of each split."""
+    return splits.heads(splits.assign_splits(tables.orders(spark, sf_dir)), 100).select("split", "transaction_id", "us")
+
+
+@query(f"WITH {O}, p AS (SELECT *, row_number() OVER (ORDER BY us, transaction_id) - 1 AS position, count(*) OVER () AS n FROM o), sl AS (SELECT *, CASE WHEN position < floor(n * 0.4) THEN 'early' WHEN position < floor(n * 0.75) THEN 'middle' ELSE 'late' END AS slice FROM p) SELECT slice, count(*) AS n_rows, min(us) AS first_us, max(us) AS last_us, count(*) FILTER (is_fraud) AS positives, round(avg(CAST(is_fraud AS INT)), 6) AS base_rate FROM sl GROUP BY 1")
+def slice_summary(spark, sf_dir):
+    """What each slice holds; slices without a positive are refused."""
+    sliced = splits.with_positives(splits.validation_slices(tables.orders(spark, sf_dir), ["us", "transaction_id"]))
+    return rounded(splits.split_summary(sliced, "slice"))
