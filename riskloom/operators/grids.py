@@ -57,11 +57,11 @@ def configured_rings(edges: DataFrame, marked: DataFrame, grid: tuple[Configurat
     ``marked``: account_id, us. A ring that has the very members of an earlier one of the same configuration is that ring.
     """
     e = cut(edges, "configured")
-    members = cut(rings.without_stars(rings.snapshot_components(e), e), "configured")
+    members = cut(rings.rings_with_degrees(rings.snapshot_components(e), e), "configured")
     hit = _dealt(marked, grid, F.col("us"), F.col("us"), cadence, last).select(BY, F.col("account_id").alias("node"), F.lit(True).alias("_hit")).distinct()
     label = members.join(hit, [BY, "node"], "left").groupBy(BY, "ring").agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("label"))
     identity = rings.fingerprints(members).select(BY, "ring", "identity")
-    every = rings.ring_features(members, e).join(label, [BY, "ring"]).join(identity, [BY, "ring"])
+    every = rings.component_features(members, e).join(label, [BY, "ring"]).join(identity, [BY, "ring"])
     first = every.groupBy(f"{BY}.configuration", "identity").agg(F.min(f"{BY}.end").alias("end"))
     flat = every.select(f"{BY}.configuration", f"{BY}.end", *[c for c in every.columns if c != BY])
     return flat.join(first, ["configuration", "identity", "end"])

@@ -10,7 +10,7 @@ from riskloom.operators import assembly, costs, encoders, metrics, models, rings
 from riskloom.sources import sinks, tables
 
 from .base import O, S, T, query, rounded
-from .graph import _CC, _DEG, _FEAT, _rings
+from .graph import _CC, _DEG, _FEAT, _rings, _shapes
 from .metrics import _BOOT
 from .splits import _CUT
 
@@ -105,8 +105,8 @@ def empirical_cdf(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_CC}, {_DEG}, {_FEAT}, l AS (SELECT max(snapshot_end) AS e FROM ft), r AS (SELECT ft.*, round(size * density, 6) AS score FROM ft, l WHERE snapshot_end = e) SELECT snapshot_end, (SELECT ring FROM r ORDER BY score DESC, ring LIMIT 1) AS riskiest, (SELECT ring FROM r ORDER BY score, ring LIMIT 1) AS cleanest, count(*) AS rings FROM r GROUP BY 1")
 def latest_extremes(spark, sf_dir):
-    m, e = _rings(spark, sf_dir)
-    f = rings.ring_features(m, e).select("snapshot_end", "ring", F.round(F.col("size") * F.col("density"), 6).alias("score"))
+    m, _ = _rings(spark, sf_dir)
+    f = _shapes(spark, sf_dir).select("snapshot_end", "ring", F.round(F.col("size") * F.col("density"), 6).alias("score"))
     last = f.join(f.agg(F.max("snapshot_end").alias("snapshot_end")), "snapshot_end")
     return last.groupBy("snapshot_end").agg(F.min(F.struct((-F.col("score")).alias("s"), "ring"))["ring"].alias("riskiest"), F.min(F.struct("score", "ring"))["ring"].alias("cleanest"), F.count("*").alias("rings"))
 
@@ -148,8 +148,8 @@ def ring_row_features(spark, sf_dir):
     """Graph-to-row features: the last snapshot's ring, how old it is, and an indicator where there is none."""
     from .graph import CADENCE, flows
 
-    m, e = _rings(spark, sf_dir)
-    f = rings.ring_features(m, e).select("snapshot_end", "ring", "size")
+    m, _ = _rings(spark, sf_dir)
+    f = _shapes(spark, sf_dir).select("snapshot_end", "ring", "size")
     of = m.join(f, ["snapshot_end", "ring"]).select("snapshot_end", "node", "size")
     rows = flows(spark, sf_dir).select(F.col("src").alias("node"), "us").withColumn("snapshot_end", F.floor(F.col("us") / CADENCE) * CADENCE)
     out = rows.join(of, ["snapshot_end", "node"], "left")

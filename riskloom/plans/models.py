@@ -6,7 +6,7 @@ from riskloom.operators import folds, history, metrics, models, rings, splits
 from riskloom.sources import tables
 
 from .base import O, query, rounded
-from .graph import _reference, _rings
+from .graph import _reference, _rings, _shapes
 from .splits import _CUT
 
 FEATURES = ["amount_log", "gap_log", "hour_sin", "hour_cos", "count_24h_log", "sum_24h_log", "has_prior"]
@@ -41,8 +41,8 @@ def platt_calibration(spark, sf_dir):
 
 @query()
 def ring_scorer(spark, sf_dir):
-    m, e = _rings(spark, sf_dir)
-    f = rings.ring_features(m, e)
+    m, _ = _rings(spark, sf_dir)
+    f = _shapes(spark, sf_dir).drop("label", "exposed_flows", "exposed_amount")
     bad = rings.overlaps(m, _reference(spark, sf_dir)).filter("overlap >= 0.5").select("snapshot_end", F.col("a").alias("ring")).distinct().withColumn("label", F.lit(True))
     rows = f.join(bad, ["snapshot_end", "ring"], "left").withColumn("label", F.coalesce("label", F.lit(False)))
     scored, _ = models.ring_scorer(rows, ["size", "density", "max_degree", "mean_degree", "flows"])

@@ -302,3 +302,46 @@ def test_a_ring_store_is_read_at_its_version_only(spark, tmp_path):
     assert old == graph_version(spark, [str(tmp_path / "one")], window=1) != graph_version(spark, [str(tmp_path / "one")], window=2)
     flows.write.mode("append").parquet(str(tmp_path / "one"))
     assert old != graph_version(spark, [str(tmp_path / "one")], window=1)
+
+
+def test_components_shrink_from_round_to_round(spark, monkeypatch):
+    import random
+
+    from riskloom.operators import components
+
+    random.seed(5)
+    path, other = random.sample(range(3000), 3000), [(5000 + random.randrange(300), 5000 + random.randrange(300)) for _ in range(250)]
+    pairs = [*zip(path, path[1:], strict=False), *other, (4999, 4999)]
+    written, cut = [], components.cut
+
+    def counted(df, *name):
+        out = cut(df, *name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    root = {x: x for p in pairs if p[0] != p[1] for x in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    assert found == {x: top(x) for x in root}
+    assert sum(written) < 8 * len(pairs)
+
+
+def test_features_of_whole_components_are_those_of_the_general_form(spark):
+    import random
+
+    random.seed(6)
+    rows = {(random.randrange(2), *sorted(random.sample(range(60), 2))) for _ in range(90)}
+    e = spark.createDataFrame([(s, f"n{u:02d}", f"n{v:02d}", random.randrange(5), random.random() < 0.5, random.random() < 0.2, random.choice([None, 1, 2])) for s, u, v in sorted(rows)], "snapshot_end long, u string, v string, flow_count long, has_chain boolean, corroborated boolean, least_candidates long")
+    members = rings.rings_with_degrees(rings.snapshot_components(e), e)
+    a, b = rings.component_features(members, e), rings.ring_features(members.drop("degree"), e)
+    assert sorted(a.select(*b.columns).collect()) == sorted(b.collect()) and a.count() > 0
