@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,6 +99,13 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+
+
+def _ranges(rows: int) -> int:
+    """Ranges of scores, each a task whose work is its rows times the replicates: enough for many cores, few for few rows."""
+    return max(1, min(96, rows // 20_000), rows // 2_000_000)
+
+
 #: Chances of Poisson(1) up to 0, 1, ... 7.
 STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
 
@@ -106,13 +115,23 @@ def poisson_weight(u: Column) -> Column:
     return sum((u >= s).cast("long") for s in STEPS)
 
 
+#: The same steps for 32-bit hashes: ``h / 2 ** 32 >= s`` is ``h >= ceil(s * 2 ** 32)``.
+_LEVELS = tuple(np.uint32(ceil(s * 4294967296.0)) for s in STEPS)
+
+
 def drawn_weights(key: np.ndarray, replicates: np.ndarray) -> np.ndarray:
-    """Poisson(1) weights, a column a replicate, by an integer hash that any engine can repeat."""
-    h = (key.astype(np.uint64)[:, None] * np.uint64(1_000_003) + replicates.astype(np.uint64)[None, :] * np.uint64(7_919) + np.uint64(12_345)) & np.uint64(0xFFFFFFFF)
+    """Poisson(1) weights, a row a replicate, by an integer hash that any engine can repeat; 32-bit products wrap as the hash asks."""
+    rows = (key.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(12_345)).astype(np.uint32)
+    h = (replicates.astype(np.uint64) * np.uint64(7_919)).astype(np.uint32)[:, None] + rows[None, :]
+    shifted = np.empty_like(h)
     for _ in range(2):
-        h = ((h ^ (h >> np.uint64(16))) * np.uint64(73_244_475)) & np.uint64(0xFFFFFFFF)
-    h ^= h >> np.uint64(16)
-    return np.searchsorted(STEPS, h / 4294967296.0, "right").astype(np.int32)
+        h ^= np.right_shift(h, 16, out=shifted)
+        h *= np.uint32(73_244_475)
+    h ^= np.right_shift(h, 16, out=shifted)
+    w = (h >= _LEVELS[0]).view(np.uint8)
+    for level in _LEVELS[1:]:
+        w += (h >= level).view(np.uint8)
+    return w
 
 
 def bootstrap(df: DataFrame, key: list[str], replicates: int = 1000, scores: tuple[str, ...] = ("score",), rate: float | None = None, review: float = 3.0, fee: float = 15.0) -> DataFrame:
@@ -126,19 +145,23 @@ def bootstrap(df: DataFrame, key: list[str], replicates: int = 1000, scores: tup
     code = F.lit(0).cast("long")
     for k in key:
         code = code * 1_009 + F.col(k).cast("long")
-    out = None
+    out, totals = None, None
+    amount = F.col("amount").cast("double") if rate is not None else F.lit(0.0)
+    held = cut(df.select(*[F.col(s).cast("double").alias(s) for s in scores], F.col("label").cast("int").alias("y"), amount.alias("amount"), F.pmod(code, F.lit(1 << 31)).alias("key")), "drawn")
+    size = held.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+    ranges = _ranges(sum(x or 0 for x in size))
     for s in scores:
-        amount = F.col("amount").cast("double") if rate is not None else F.lit(0.0)
-        rows = df.select(F.col(s).cast("double").alias("score"), F.col("label").cast("int").alias("y"), amount.alias("amount"), F.pmod(code, F.lit(1 << 31)).alias("key"))
-        least = float("inf") if rate is None else exact_quantiles(df, s, [1 - rate]).first()["q"][0]
-        dealt = cut(rows.repartitionByRange(F.desc("score")).withColumn("p", F.spark_partition_id()), "ranged")
-        every = dealt.groupBy("p").applyInPandas(_class_weights(replicates), "p int, replicate int, wp double, wn double")
+        least = float("inf") if rate is None else exact_quantiles(held, s, [1 - rate]).first()["q"][0]
+        rows = held.select(F.col(s).alias("score"), "y", "amount", "key")
+        dealt = cut(rows.repartitionByRange(ranges, F.desc("score")).withColumn("p", F.spark_partition_id()), "ranged")
+        # a stated number of tasks: the rows are few bytes and much work, so Spark would put many ranges into one
+        every = dealt.repartition(ranges, "p").groupBy("p").applyInPandas(_class_weights(replicates), "p int, replicate int, wp double, wn double")
         before = Window.partitionBy("replicate").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy("replicate")
-        offset = cut(every.select("p", "replicate", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"o{c}") for c in ("wp", "wn")], *[F.sum(c).over(whole).alias(f"t{c}") for c in ("wp", "wn")]), "offsets")
-        size = dealt.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+        each = cut(every, "weights")
+        totals = cut(each.groupBy("replicate").agg(F.sum("wp").alias("twp"), F.sum("wn").alias("twn")), "totals") if totals is None else totals
+        offset = each.select("p", "replicate", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"o{c}") for c in ("wp", "wn")]).join(F.broadcast(totals), "replicate")  # a row a replicate
         run = _replicated(least, review, fee, float(size[0] or 0), float(size[1] or 0))
-        part = dealt.groupBy("p").cogroup(offset.groupBy("p")).applyInPandas(run, "replicate int, ap double, cost double, caught double, amount double")
+        part = dealt.repartition(ranges, "p").groupBy("p").cogroup(offset.repartition(ranges, "p").groupBy("p")).applyInPandas(run, "replicate int, ap double, cost double, caught double, amount double")
         summed = part.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum("ap").alias(f"ap_{s}"), (1000 * F.sum("cost") / max(1.0, float(sum(x or 0 for x in size)))).alias(f"cost_{s}"), F.try_divide(F.sum("caught"), F.sum("amount")).alias(f"recall_{s}"))
         summed = summed if rate is not None else summed.select("replicate", f"ap_{s}")
         out = summed if out is None else out.join(summed, "replicate")
@@ -146,42 +169,53 @@ def bootstrap(df: DataFrame, key: list[str], replicates: int = 1000, scores: tup
 
 
 def _blocks(rows: int, replicates: int):
-    """Replicates in runs whose weights take some tens of megabytes."""
-    step = max(1, (1 << 22) // max(1, rows))
+    """Replicates in runs whose weights take some megabytes."""
+    step = max(1, (1 << 19) // max(1, rows))
     return (np.arange(r, min(r + step, replicates)) for r in range(0, replicates, step))
 
 
 def _class_weights(replicates: int):
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        key, y, out = rows["key"].to_numpy(), rows["y"].to_numpy() == 1, []
-        for block in _blocks(len(key), replicates):
-            w = drawn_weights(key, block)
-            out.append(pd.DataFrame({"p": rows["p"].iloc[0], "replicate": block.astype(np.int32), "wp": w[y].sum(0, dtype=float), "wn": w[~y].sum(0, dtype=float)}))
-        return pd.concat(out)
+        key, y = rows["key"].to_numpy(), rows["y"].to_numpy() == 1
+        every = np.arange(replicates, dtype=np.int32)
+        sums = [np.concatenate([drawn_weights(part, b).sum(1, dtype=np.int64) for b in _blocks(len(part), replicates)]) for part in (key[y], key[~y])]
+        return pd.DataFrame({"p": rows["p"].iloc[0], "replicate": every, "wp": sums[0].astype(float), "wn": sums[1].astype(float)})
 
     return total
 
 
+def _tied_sums(w: np.ndarray, group: np.ndarray, first: np.ndarray, groups: int) -> np.ndarray:
+    """Weights of each replicate summed over rows of one score, ``group`` ascending; a column a score, 0 where a class has none."""
+    out = np.zeros((len(w), groups))
+    if w.shape[1]:
+        out[:, group[first]] = np.add.reduceat(w, first, axis=1, dtype=np.int64)
+    return out
+
+
 def _replicated(least: float, review: float, fee: float, positives: float, negatives: float):
     """One row a replicate for a range of scores, given the weights of the ranges before it."""
 
     def run(rows: pd.DataFrame, offset: pd.DataFrame) -> pd.DataFrame:
         rows, offset = rows.sort_values("score", ascending=False, kind="stable"), offset.sort_values("replicate")
-        score, y, amount, key = (rows[c].to_numpy() for c in ("score", "y", "amount", "key"))
-        first, flag, hit, out = np.flatnonzero(np.diff(score, prepend=np.inf)), score > least, y == 1, []
-        loss = np.where(flag & ~hit, review, np.where(~flag & hit, amount + fee, 0.0))
+        score, hit, amount, key = rows["score"].to_numpy(), rows["y"].to_numpy() == 1, rows["amount"].to_numpy(), rows["key"].to_numpy()
+        # missing scores are equal to none, each a group of its own
+        group = np.cumsum(np.concatenate([[False], score[1:] != score[:-1]]))
+        flag, groups, out = score > least, int(group[-1]) + 1, []
+        starts = lambda g: np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
+        kinds = [(key[c], group[c], starts(group[c])) for c in (hit, ~hit)]
+        # per class: what a row costs, catches and holds
+        sums = [np.stack([np.where(flag[hit], 0.0, amount[hit] + fee), amount[hit] * flag[hit], amount[hit]]), np.where(flag[~hit], review, 0.0)[None, :]]
         before = offset[["owp", "own", "twp", "twn"]].to_numpy()
         for block in _blocks(len(key), len(before)):
-            w = drawn_weights(key, block)
             op, on, tp, tn = before[block].T
             by_p, by_n = (np.divide(n, t, out=np.zeros(len(t)), where=t > 0) for n, t in ((positives, tp), (negatives, tn)))
-            mine = np.add.reduceat(w * hit[:, None], first).astype(float)
-            others = np.add.reduceat(w * ~hit[:, None], first).astype(float)
-            up, down = (np.cumsum(mine, 0) + op) * by_p, (np.cumsum(others, 0) + on) * by_n
+            drawn = [drawn_weights(k, block) for k, _, _ in kinds]
+            mine, others = (_tied_sums(w, g, f, groups) for w, (_, g, f) in zip(drawn, kinds, strict=True))
+            (lost, caught, whole), (reviewed,) = (s @ w.T.astype(float) for s, w in zip(sums, drawn, strict=True))
+            up, down = (np.cumsum(mine, 1) + op[:, None]) * by_p[:, None], (np.cumsum(others, 1) + on[:, None]) * by_n[:, None]
             precision = np.divide(up, up + down, out=np.zeros_like(up), where=up + down > 0)
-            ap = (mine * precision).sum(0) / np.maximum(tp, 1e-300)
-            cost = loss[hit] @ w[hit] * by_p + loss[~hit] @ w[~hit] * by_n
-            out.append(pd.DataFrame({"replicate": block.astype(np.int32), "ap": ap, "cost": cost, "caught": (amount * (flag & hit)) @ w, "amount": (amount * hit) @ w}))
+            ap = (mine * precision).sum(1) / np.maximum(tp, 1e-300)
+            out.append(pd.DataFrame({"replicate": block.astype(np.int32), "ap": ap, "cost": lost * by_p + reviewed * by_n, "caught": caught, "amount": whole}))
         return pd.concat(out)
 
     return run

@@ -181,3 +181,26 @@ def test_guards(spark):
         assembly.guard(["amount", "ring_is_fraud"], ("is_fraud",))
     with pytest.raises(ValueError):
         assembly.checked_join(spark.range(3), spark.createDataFrame([(1, 2), (1, 3)], "id long, v long"), ["id"])
+
+
+def test_draws_are_those_of_the_plain_hash_and_take_a_byte_each():
+    import numpy as np
+
+    from riskloom.operators import metrics
+
+    key, every = np.array([0, 1, 7, 2**31 - 1, 123_456_789]), np.arange(300)
+    got = metrics.drawn_weights(key, every)
+    assert got.dtype.itemsize == 1 and got.shape == (300, 5)
+    for r in every.tolist():
+        for i, k in enumerate(key.tolist()):
+            h = (k * 1_000_003 + r * 7_919 + 12_345) % 2**32
+            for _ in range(2):
+                h = ((h ^ (h >> 16)) * 73_244_475) % 2**32
+            h ^= h >> 16
+            assert got[r, i] == sum(h / 2**32 >= s for s in metrics.STEPS)
+
+
+def test_many_rows_are_many_ranges_of_the_bootstrap():
+    from riskloom.operators import metrics
+
+    assert [metrics._ranges(n) for n in (0, 60_000, 36_000_000, 400_000_000)] == [1, 3, 96, 200]
