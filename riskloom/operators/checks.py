@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import exact_quantiles
+
 LEVEL_LIMIT = 50
 
 
@@ -83,11 +85,16 @@ def missing_rates(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, range, exact quartiles and missing rate."""
+    """Count, mean, deviation, range, exact quartiles and missing rate; quartiles by ranges, so that no task holds a column."""
     def one(c: str) -> Column:
-        return F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.lit(0.25)).alias("p25"), F.percentile(c, F.lit(0.5)).alias("p50"), F.percentile(c, F.lit(0.75)).alias("p75"), F.max(c).cast("double").alias("max"), F.avg(F.col(c).isNull().cast("int")).alias("missing_rate"))
+        return F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(F.col(c).isNull().cast("int")).alias("missing_rate"))
 
-    return df.agg(F.array(*map(one, columns)).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+    rows = df.agg(F.array(*map(one, columns)).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+    quartiles = None
+    for c in columns:
+        q = exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(F.lit(c).alias("column"), *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+        quartiles = q if quartiles is None else quartiles.unionByName(q)
+    return rows.join(quartiles, "column").select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max", "missing_rate")
 
 
 def column_classes(df: DataFrame, columns: list[str], levels: int = 64, null_rate: float = 0.999) -> DataFrame:

@@ -204,3 +204,21 @@ def test_many_rows_are_many_ranges_of_the_bootstrap():
     from riskloom.operators import metrics
 
     assert [metrics._ranges(n) for n in (0, 60_000, 36_000_000, 400_000_000)] == [1, 3, 96, 200]
+
+
+def test_column_quartiles_hold_no_column_in_one_task(spark):
+    from riskloom.operators import checks
+
+    rows = [(float(i * i % 97), None if i % 3 else float(i)) for i in range(200)]
+    out = checks.column_stats(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    got = {r.column: (r.n, r.p25, r.p50, r.p75) for r in out.collect()}
+    for i, c in enumerate("ab"):
+        held = [r[i] for r in rows if r[i] is not None]
+        assert got[c] == pytest.approx((len(held), *pd_quartiles(held)))
+
+
+def pd_quartiles(values):
+    import pandas as pd
+
+    return pd.Series(values).quantile([0.25, 0.5, 0.75]).tolist()
