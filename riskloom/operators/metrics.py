@@ -225,7 +225,7 @@ def exact_quantiles(df: DataFrame, column: str, grid: list[float], by: tuple[str
     """``*by, q``: exact quantiles with linear interpolation, nulls left out, by positions in a running count of the distinct values."""
     run = global_cumulate(df.filter(F.col(column).isNotNull()), column, {"n": F.lit(1)}, by=by)
     size = run.groupBy(*by).agg(F.sum("n").alias("_m"))
-    held = run.join(size, list(by)) if by else run.crossJoin(F.broadcast(size))  # one row
+    held = run.join(F.broadcast(size), list(by)) if by else run.crossJoin(F.broadcast(size))  # a row a group
     at = lambda place: F.min(F.when(F.col("cum_n") > place, F.col(column).cast("double")))
     parts = []
     for g in grid:

@@ -222,3 +222,16 @@ def pd_quartiles(values):
     import pandas as pd
 
     return pd.Series(values).quantile([0.25, 0.5, 0.75]).tolist()
+
+
+def test_quantiles_of_few_groups_deal_no_group_to_one_task(spark):
+    from riskloom.operators.metrics import exact_quantiles
+
+    df = spark.range(400).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = exact_quantiles(df, "x", [0.5], ("g",))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {r.g: r.q[0] for r in out.collect()} == {0: 199.0, 1: 200.0} and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
