@@ -345,3 +345,25 @@ def test_features_of_whole_components_are_those_of_the_general_form(spark):
     members = rings.rings_with_degrees(rings.snapshot_components(e), e)
     a, b = rings.component_features(members, e), rings.ring_features(members.drop("degree"), e)
     assert sorted(a.select(*b.columns).collect()) == sorted(b.collect()) and a.count() > 0
+
+
+@pytest.mark.parametrize("portion", (7, 10**6))
+def test_components_end_in_a_portion_and_take_few_jobs(spark, monkeypatch, portion):
+    import numpy as np
+
+    from riskloom.operators import components
+
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(200)]
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    root = {}
+    for id_, up in zip(*(x.tolist() for x in components.rooted(a, b)), strict=True):
+        root[id_] = up
+    assert all(root[x] == root[y] <= min(x, y) for x, y in pairs) and all(root[r] == r for r in root.values())
+    monkeypatch.setattr(components, "PORTION", portion)
+    written, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, *name: written.append(1) or cut(df, *name))
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src long, dst long").repartition(5)).collect()}
+    looped = {x for x in root if all(x not in p or p[0] == p[1] for p in pairs)}
+    assert found == {x: r for x, r in root.items() if x not in looped}
+    assert portion == 7 or len(written) == 4  # nodes, edges, the last level, roots
