@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -367,3 +367,22 @@ def test_components_end_in_a_portion_and_take_few_jobs(spark, monkeypatch, porti
     looped = {x for x in root if all(x not in p or p[0] == p[1] for p in pairs)}
     assert found == {x: r for x, r in root.items() if x not in looped}
     assert portion == 7 or len(written) == 4  # nodes, edges, the last level, roots
+
+
+def test_no_pair_of_a_chain_is_shuffled(spark):
+    from riskloom.operators import chains
+
+    rng = random.Random(8)
+    rows = [(i, f"a{rng.randrange(12)}", rng.randrange(4 * edges.DAY), rng.choice([0.0, None, *(100.0 + k for k in range(8))])) for i in range(160)]
+    t, c = (spark.createDataFrame(rows[i::2], "transaction_id long, account_id string, us long, amount double").withColumn("step", F.expr("us div 3600000000")) for i in (0, 1))
+    for tolerance in (0.0, 0.02):
+        counted = edges.chain_edges(t, c, 20, tolerance, ("us",))
+        of = Counter(r.transfer_id for r in counted.collect())
+        assert of and all(r.candidate_count == of[r.transfer_id] and r.weight == 1 / of[r.transfer_id] for r in counted.collect())
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "cash_out_id" not in next((x for x in plan.split("\n") if "Exchange hashpartitioning(transfer_id" in x), "")
+        flows = spark.createDataFrame([("a1", "a2", 5, 9)], "src string, dst string, early_us long, late_us long")
+        a = chains.snapshot_graph(flows, counted, 2 * edges.DAY, edges.DAY, 5 * edges.DAY)
+        b = chains.dealt_graph(flows, t, c, 20, tolerance, 2 * edges.DAY, edges.DAY, 5 * edges.DAY)
+        same = lambda x: sorted(map(tuple, x.withColumn("chain_weight", F.round("chain_weight", 9)).select(*a.columns).fillna(-1, ["least_candidates"]).collect()))
+        assert same(a) == same(b)
