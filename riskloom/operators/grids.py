@@ -36,17 +36,19 @@ def _dealt(df: DataFrame, grid: tuple[Configuration, ...], early: Column, late:
     return out.withColumn(BY, F.struct("k.configuration", F.col("_end").alias("end"))).drop("k", "_end")
 
 
-def configured_graph(transfers: DataFrame, cash_outs: DataFrame, flows: DataFrame, grid: tuple[Configuration, ...], cadence: int, last: int) -> DataFrame:
+def configured_graph(transfers: DataFrame, cash_outs: DataFrame, flows: DataFrame, grid: tuple[Configuration, ...], cadence: int, last: int, weighted: bool = True) -> DataFrame:
     """Edges of every configuration's every snapshot; ``snapshot_end`` is a struct of the two, so that all later steps run as they do for one.
 
     Chains are searched once, at the widest reach, and each configuration keeps those within its own. ``transfers``, ``cash_outs``:
-    transaction_id, account_id, step, amount, us; ``flows``: src, dst and the times ``early_us``, ``late_us``.
+    transaction_id, account_id, step, amount, us; ``flows``: src, dst and the times ``early_us``, ``late_us``. Where edges need not be ``weighted`` by
+    their candidates, none are counted and ``chain_weight`` and ``least_candidates`` are null.
     """
     valued = lambda df: df.withColumn("value", F.col("amount"))
     pairs = chain_edges(valued(transfers), valued(cash_outs), max(c.steps for c in grid), max(c.tolerance for c in grid), ("us", "value"))
     near = (F.col("c_value") >= F.col("t_value") * (1 - F.col("k.tolerance"))) & (F.col("c_value") <= F.col("t_value") * (1 + F.col("k.tolerance")))
     held = _dealt(pairs, grid, F.least("t_us", "c_us"), F.greatest("t_us", "c_us"), cadence, last, near & (F.col("step_gap") <= F.col("k.steps")))
-    counted = held.withColumn("candidate_count", F.count("*").over(Window.partitionBy(BY, "transfer_id")))
+    number = F.count("*").over(Window.partitionBy(BY, "transfer_id")) if weighted else F.lit(None).cast("long")
+    counted = held.withColumn("candidate_count", number)
     flow = _dealt(flows, grid, F.col("early_us"), F.col("late_us"), cadence, last)
     return merged_edges(flow, counted.withColumn("weight", 1 / F.col("candidate_count")), (BY,))
 
@@ -57,7 +59,7 @@ def configured_rings(edges: DataFrame, marked: DataFrame, grid: tuple[Configurat
     ``marked``: account_id, us. A ring that has the very members of an earlier one of the same configuration is that ring.
     """
     e = cut(edges, "configured")
-    members = cut(rings.rings_with_degrees(rings.snapshot_components(e), e), "configured")
+    members = cut(rings.rings_with_degrees(rings.snapshot_components(e), e, unique=True), "configured")
     hit = _dealt(marked, grid, F.col("us"), F.col("us"), cadence, last).select(BY, F.col("account_id").alias("node"), F.lit(True).alias("_hit")).distinct()
     label = members.join(hit, [BY, "node"], "left").groupBy(BY, "ring").agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("label"))
     identity = rings.fingerprints(members).select(BY, "ring", "identity")

@@ -91,3 +91,20 @@ def test_one_class_takes_no_part_and_the_losers_never_see_the_test_rings(spark):
     assert got["a"].chosen and got["a"].val_metric == 1.0 and got["a"].test_metric == 0.5 and got["a"].increment == 0.0 and got["a"].test_rings == 2
     assert not got["b"].chosen and got["b"].val_metric == 0.5 and got["b"].test_metric is None and got["b"].hi is None
     assert grids.chosen_on_validation(spark.createDataFrame(rows[-1:], schema), 50).count() == 0
+
+
+def test_rings_are_the_same_without_candidates(spark, events):
+    t, c = events.filter("kind = 't'"), events.filter("kind = 'c'")
+    marked = events.filter("kind = 'm'").select("account_id", "us")
+    both = [grids.configured_graph(t, c, views(events), GRID, DAY, 11 * DAY, weighted=w) for w in (True, False)]
+    plans = [g._jdf.queryExecution().executedPlan().toString() for g in both]
+    assert "Window" in plans[0] and "Window" not in plans[1]
+    found = [sorted((r.configuration, r.end, r.ring, r.label, r["size"], r.edges, r.density) for r in grids.configured_rings(g, marked, GRID, DAY, 11 * DAY).select("configuration", "end", "ring", "label", "size", "edges", "density").collect()) for g in both]
+    assert found[0] == found[1] and found[0]
+
+
+def test_degrees_of_unique_edges_take_no_distinct(spark):
+    e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "c"), (2, "a", "b")], "snapshot_end long, u string, v string")
+    assert sorted(rings.degrees(e, unique=True).collect()) == sorted(rings.degrees(e).collect())
+    shuffles = [rings.degrees(e, unique=u)._jdf.queryExecution().executedPlan().toString().count("Exchange") for u in (False, True)]
+    assert shuffles[0] > shuffles[1]
