@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from riskloom.functions.shared import cut
 
+from . import metrics
 from .checks import column_classes
 from .encoders import apply_frequencies, fit_frequencies, level_codes
-from .metrics import average_precision, bootstrap, interval, rank_auc, spearman
+from .metrics import average_precision, interval, rank_auc, spearman
 from .ordering import global_cumulate
 
 
@@ -113,7 +114,7 @@ def ablation(fit: DataFrame, arbiter: DataFrame, blocks: dict[str, list[str]], b
     scored = cut(scored.select(key, "label", *names.values()), "variants")
     whole = {s: average_precision(scored, n).first()[0] for s, n in names.items()}  # one number a variant
     size = scored.agg(F.count("*"), F.count_if("label")).first()
-    draws = cut(bootstrap(scored, [key], replicates, tuple(names.values())), "draws")
+    draws = cut(metrics.bootstrap(scored, [key], replicates, tuple(names.values())), "draws")
     out = None
     for (block, kind), (more, less) in pairs.items():
         row = interval(draws.withColumn("delta", F.col(f"ap_{names[more]}") - F.col(f"ap_{names[less]}")), "delta")
@@ -145,7 +146,7 @@ def winner_report(chosen_on: DataFrame, measured_on: DataFrame, scores: list[str
     first, second = sorted(names, key=lambda s: (-validation[s], s))[:2]
     rivals = [("runner_up", second)] + ([("baseline", baseline)] if baseline != first else [])
     held = {s: average_precision(measured_on, s).first()[0] for s in {first, *(r for _, r in rivals)}}
-    draws = cut(bootstrap(measured_on, [key], replicates, tuple(sorted(held))), "draws")
+    draws = cut(metrics.bootstrap(measured_on, [key], replicates, tuple(sorted(held))), "draws")
     out = None
     for role, rival in rivals:
         row = interval(draws.withColumn("delta", F.col(f"ap_{first}") - F.col(f"ap_{rival}")), "delta")

@@ -6,6 +6,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,16 +130,28 @@ def drawn_weights(key: np.ndarray, replicates: np.ndarray) -> np.ndarray:
         h *= np.uint32(73_244_475)
     h ^= np.right_shift(h, 16, out=shifted)
     w = (h >= _LEVELS[0]).view(np.uint8)
-    for level in _LEVELS[1:]:
-        w += (h >= level).view(np.uint8)
+    above = np.empty(h.shape, bool)
+    for level in _LEVELS[1:4]:
+        w += np.greater_equal(h, level, out=above).view(np.uint8)
+    # one draw in fifty is above 3, and looked up alone
+    rare = np.flatnonzero(above)
+    w.reshape(-1)[rare] += np.searchsorted(_LEVELS[4:], h.reshape(-1)[rare], "right").astype(np.uint8)
     return w
 
 
+#: Rows of scores, all of them together, up to which weights are summed by them.
+GROUPS = 65_536
+
+#: Rows whose draws are made together, and the draws: their arrays stay in a core's cache.
+_ROWS, _DRAWS, _BLOCK = 8_192, 1 << 17, 20
+
+
 def bootstrap(df: DataFrame, key: list[str], replicates: int = 1000, scores: tuple[str, ...] = ("score",), rate: float | None = None, review: float = 3.0, fee: float = 15.0) -> DataFrame:
     """Stratified bootstrap of each score's average precision; all scores see the same draws.
 
     With a ``rate`` also cost per 1,000 and value recall, flagged above each score's ``1 - rate`` quantile. Rows draw
-    Poisson weights, and each class's weights are scaled to the class's size. A score is ordered and dealt into ranges once,
+    Poisson weights, and each class's weights are scaled to the class's size. Scores that have few distinct rows together are
+    drawn for once: a task sums its weights by them (``_grouped``). Any other score is ordered and dealt into ranges once,
     for all replicates; a range draws its rows' weights in blocks and sends one row a replicate. ``df`` needs ``amount``
     for costs only.
     """
@@ -147,12 +160,16 @@ def bootstrap(df: DataFrame, key: list[str], replicates: int = 1000, scores: tup
         code = code * 1_009 + F.col(k).cast("long")
     out, totals = None, None
     amount = F.col("amount").cast("double") if rate is not None else F.lit(0.0)
-    held = cut(df.select(*[F.col(s).cast("double").alias(s) for s in scores], F.col("label").cast("int").alias("y"), amount.alias("amount"), F.pmod(code, F.lit(1 << 31)).alias("key")), "drawn")
-    size = held.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
-    ranges = _ranges(sum(x or 0 for x in size))
-    for s in scores:
+    held = cut(df.select(*[F.col(s).cast("double").alias(s) for s in scores], F.col("label").cast("int").alias("_y"), amount.alias("_amount"), F.pmod(code, F.lit(1 << 31)).alias("_key")), "drawn")
+    size = held.agg(F.sum("_y"), F.sum(1 - F.col("_y"))).first()
+    rows_ = sum(x or 0 for x in size)
+    ranges = _ranges(rows_)
+    together = _together(held, scores, rows_) if rate is None else []
+    if together:
+        out = _grouped(held, together, replicates, ranges, float(size[0] or 0), float(size[1] or 0))
+    for s in [s for s in scores if s not in together]:
         least = float("inf") if rate is None else exact_quantiles(held, s, [1 - rate]).first()["q"][0]
-        rows = held.select(F.col(s).alias("score"), "y", "amount", "key")
+        rows = held.select(F.col(s).alias("score"), *[F.col(f"_{c}").alias(c) for c in ("y", "amount", "key")])
         dealt = cut(rows.repartitionByRange(ranges, F.desc("score")).withColumn("p", F.spark_partition_id()), "ranged")
         # a stated number of tasks: the rows are few bytes and much work, so Spark would put many ranges into one
         every = dealt.repartition(ranges, "p").groupBy("p").applyInPandas(_class_weights(replicates), "p int, replicate int, wp double, wn double")
@@ -160,26 +177,99 @@ def bootstrap(df: DataFrame, key: list[str], replicates: int = 1000, scores: tup
         each = cut(every, "weights")
         totals = cut(each.groupBy("replicate").agg(F.sum("wp").alias("twp"), F.sum("wn").alias("twn")), "totals") if totals is None else totals
         offset = each.select("p", "replicate", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"o{c}") for c in ("wp", "wn")]).join(F.broadcast(totals), "replicate")  # a row a replicate
-        run = _replicated(least, review, fee, float(size[0] or 0), float(size[1] or 0))
+        run = _replicated(least, review, fee, float(size[0] or 0), float(size[1] or 0), rate is not None)
         part = dealt.repartition(ranges, "p").groupBy("p").cogroup(offset.repartition(ranges, "p").groupBy("p")).applyInPandas(run, "replicate int, ap double, cost double, caught double, amount double")
-        summed = part.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum("ap").alias(f"ap_{s}"), (1000 * F.sum("cost") / max(1.0, float(sum(x or 0 for x in size)))).alias(f"cost_{s}"), F.try_divide(F.sum("caught"), F.sum("amount")).alias(f"recall_{s}"))
+        summed = part.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum("ap").alias(f"ap_{s}"), (1000 * F.sum("cost") / max(1.0, float(rows_))).alias(f"cost_{s}"), F.try_divide(F.sum("caught"), F.sum("amount")).alias(f"recall_{s}"))
         summed = summed if rate is not None else summed.select("replicate", f"ap_{s}")
         out = summed if out is None else out.join(summed, "replicate")
     return out
 
 
+def _together(held: DataFrame, scores: tuple[str, ...], rows: int) -> list[str]:
+    """The scores, those of fewest values first, whose distinct rows are at most some ``GROUPS`` and a sixteenth of all; counted roughly, as either way gives the same."""
+    scores = list(dict.fromkeys(scores))
+    each = held.agg(*[F.approx_count_distinct(s) for s in scores]).first()
+    order = [s for _, s in sorted(zip(each, scores, strict=True))]
+    joint = held.agg(*[F.approx_count_distinct(F.struct(*order[: i + 1])) for i in range(len(order))]).first()
+    return [s for s, n in zip(order, joint, strict=True) if n <= min(GROUPS, rows / 16)]
+
+
+def _grouped(held: DataFrame, scores: list[str], replicates: int, ranges: int, positives: float, negatives: float) -> DataFrame:
+    """``replicate`` and each score's precision. Rows are dealt by their scores, equal ones over several tasks where they are many, and draw once.
+
+    A task sends the weights of each stretch of equal scores and class, so a block of replicates meets at most ``GROUPS`` of them a class, and one more every ``_ROWS`` rows.
+    """
+    dealt = held.select(*scores, "_y", "_key").repartitionByRange(ranges, *scores, "_y", "_key").sortWithinPartitions(*scores, "_y")
+    kinds = ", ".join(f"`{s}` double" for s in scores)
+    sums = cut(dealt.mapInArrow(_stretches(scores, replicates), f"{kinds}, _y int, _block int, _w binary"), "stretches")
+    blocks, ap = -(-replicates // _BLOCK), ", ".join(f"`ap_{s}` double" for s in scores)
+    return sums.repartition(blocks, "_block").groupBy("_block").applyInPandas(_precisions(scores, positives, negatives), f"replicate long, {ap}")
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a stretch of equal rows begins; missing values are equal to none."""
+    new = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.concatenate([[True], new])) if len(columns[0]) else np.zeros(0, int)
+
+
+def _stretches(scores: list[str], replicates: int):
+    blocks = range(0, replicates, _BLOCK)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                rows = batch.slice(at, _ROWS)
+                key, y, *values = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_y", *scores))
+                first = _starts(y, *values)
+                sums = np.concatenate([np.add.reduceat(drawn_weights(key, b), first, axis=1, dtype=np.int64) for b in _blocks(len(key), replicates)]).astype(np.int32)
+                parts = [np.ascontiguousarray(sums[b : b + _BLOCK].T) for b in blocks]
+                ends = np.concatenate([[0], np.cumsum(np.repeat([p.shape[1] * 4 for p in parts], len(first)))]).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(p.tobytes() for p in parts))])
+                again = lambda x: pa.array(np.tile(x[first], len(parts)))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([*map(again, values), again(y), pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), len(first))), held], names=[*scores, "_y", "_block", "_w"])
+
+    return run
+
+
+def _precisions(scores: list[str], positives: float, negatives: float):
+    """Average precision of each score for a block of replicates, from the sums of all stretches."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        w = np.frombuffer(b"".join(rows["_w"]), np.int32).reshape(len(rows), -1).T
+        hit = rows["_y"].to_numpy() == 1
+        kinds = [np.where(c, w, 0) for c in (hit, ~hit)]
+        tp, tn = (k.sum(1, dtype=np.int64) for k in kinds)
+        by_p, by_n = (np.divide(n, t, out=np.zeros(len(t)), where=t > 0)[:, None] for n, t in ((positives, tp), (negatives, tn)))
+        out = {"replicate": int(rows["_block"].iloc[0]) * _BLOCK + np.arange(len(w))}
+        for s in scores:
+            order = np.argsort(-rows[s].to_numpy(), kind="stable")
+            first = _starts(rows[s].to_numpy()[order])
+            mine, others = (np.add.reduceat(k[:, order], first, axis=1, dtype=np.int64) for k in kinds)
+            up, down = np.cumsum(mine, 1) * by_p, np.cumsum(others, 1) * by_n
+            precision = np.divide(up, up + down, out=np.zeros_like(up), where=up + down > 0)
+            out[f"ap_{s}"] = (mine * precision).sum(1) / np.maximum(tp, 1e-300)
+        return pd.DataFrame(out)
+
+    return run
+
+
 def _blocks(rows: int, replicates: int):
-    """Replicates in runs whose weights take some megabytes."""
-    step = max(1, (1 << 19) // max(1, rows))
+    """Replicates in runs whose weights stay in a core's cache."""
+    step = max(1, _DRAWS // max(1, rows))
     return (np.arange(r, min(r + step, replicates)) for r in range(0, replicates, step))
 
 
 def _class_weights(replicates: int):
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        key, y = rows["key"].to_numpy(), rows["y"].to_numpy() == 1
-        every = np.arange(replicates, dtype=np.int32)
-        sums = [np.concatenate([drawn_weights(part, b).sum(1, dtype=np.int64) for b in _blocks(len(part), replicates)]) for part in (key[y], key[~y])]
-        return pd.DataFrame({"p": rows["p"].iloc[0], "replicate": every, "wp": sums[0].astype(float), "wn": sums[1].astype(float)})
+        key, y, sums = rows["key"].to_numpy(), rows["y"].to_numpy() == 1, []
+        for part in (key[y], key[~y]):
+            sums.append(np.zeros(replicates, np.int64))
+            for at in range(0, len(part), _ROWS):
+                some = part[at : at + _ROWS]
+                sums[-1] += np.concatenate([drawn_weights(some, b).sum(1, dtype=np.int64) for b in _blocks(len(some), replicates)])
+        return pd.DataFrame({"p": rows["p"].iloc[0], "replicate": np.arange(replicates, dtype=np.int32), "wp": sums[0].astype(float), "wn": sums[1].astype(float)})
 
     return total
 
@@ -192,31 +282,41 @@ def _tied_sums(w: np.ndarray, group: np.ndarray, first: np.ndarray, groups: int)
     return out
 
 
-def _replicated(least: float, review: float, fee: float, positives: float, negatives: float):
-    """One row a replicate for a range of scores, given the weights of the ranges before it."""
+def _replicated(least: float, review: float, fee: float, positives: float, negatives: float, costs: bool = True):
+    """One row a replicate for a range of scores, given the weights of the ranges before it; runs through it by some rows, equal scores together."""
 
     def run(rows: pd.DataFrame, offset: pd.DataFrame) -> pd.DataFrame:
         rows, offset = rows.sort_values("score", ascending=False, kind="stable"), offset.sort_values("replicate")
         score, hit, amount, key = rows["score"].to_numpy(), rows["y"].to_numpy() == 1, rows["amount"].to_numpy(), rows["key"].to_numpy()
-        # missing scores are equal to none, each a group of its own
-        group = np.cumsum(np.concatenate([[False], score[1:] != score[:-1]]))
-        flag, groups, out = score > least, int(group[-1]) + 1, []
-        starts = lambda g: np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
-        kinds = [(key[c], group[c], starts(group[c])) for c in (hit, ~hit)]
-        # per class: what a row costs, catches and holds
-        sums = [np.stack([np.where(flag[hit], 0.0, amount[hit] + fee), amount[hit] * flag[hit], amount[hit]]), np.where(flag[~hit], review, 0.0)[None, :]]
-        before = offset[["owp", "own", "twp", "twn"]].to_numpy()
-        for block in _blocks(len(key), len(before)):
-            op, on, tp, tn = before[block].T
-            by_p, by_n = (np.divide(n, t, out=np.zeros(len(t)), where=t > 0) for n, t in ((positives, tp), (negatives, tn)))
-            drawn = [drawn_weights(k, block) for k, _, _ in kinds]
-            mine, others = (_tied_sums(w, g, f, groups) for w, (_, g, f) in zip(drawn, kinds, strict=True))
-            (lost, caught, whole), (reviewed,) = (s @ w.T.astype(float) for s, w in zip(sums, drawn, strict=True))
-            up, down = (np.cumsum(mine, 1) + op[:, None]) * by_p[:, None], (np.cumsum(others, 1) + on[:, None]) * by_n[:, None]
-            precision = np.divide(up, up + down, out=np.zeros_like(up), where=up + down > 0)
-            ap = (mine * precision).sum(1) / np.maximum(tp, 1e-300)
-            out.append(pd.DataFrame({"replicate": block.astype(np.int32), "ap": ap, "cost": lost * by_p + reviewed * by_n, "caught": caught, "amount": whole}))
-        return pd.concat(out)
+        op, on, tp, tn = offset[["owp", "own", "twp", "twn"]].to_numpy().T.copy()
+        by_p, by_n = (np.divide(n, t, out=np.zeros(len(t)), where=t > 0) for n, t in ((positives, tp), (negatives, tn)))
+        ap, (cost, caught, whole) = np.zeros(len(tp)), np.zeros((3, len(tp)))
+        first = _starts(score)
+        near = np.searchsorted(first, np.arange(0, len(score), _ROWS))
+        cuts = np.unique(np.append(first[near[near < len(first)]], len(score)))
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            h, a, k = hit[at:end], amount[at:end], key[at:end]
+            begun = _starts(score[at:end])
+            group, flag = np.repeat(np.arange(len(begun)), np.diff([*begun, end - at])), score[at:end] > least
+            classes = [(k[c], group[c], _starts(group[c])) for c in (h, ~h)]
+            # per class: what a row costs, catches and holds
+            sums = [np.stack([np.where(flag[h], 0.0, a[h] + fee), a[h] * flag[h], a[h]]), np.where(flag[~h], review, 0.0)[None, :]] if costs else []
+            for block in _blocks(end - at, len(tp)):
+                drawn = [drawn_weights(c, block) for c, _, _ in classes]
+                mine, others = (_tied_sums(w, g, f, len(begun)) for w, (_, g, f) in zip(drawn, classes, strict=True))
+                if costs:
+                    (lost, got, all_), (reviewed,) = (s @ w.T.astype(float) for s, w in zip(sums, drawn, strict=True))
+                    cost[block] += lost * by_p[block] + reviewed * by_n[block]
+                    caught[block] += got
+                    whole[block] += all_
+                up, down = np.cumsum(mine, 1) + op[block, None], np.cumsum(others, 1) + on[block, None]
+                op[block], on[block] = up[:, -1], down[:, -1]
+                up *= by_p[block, None]
+                down *= by_n[block, None]
+                down += up
+                np.divide(up, down, out=up, where=down > 0)
+                ap[block] += np.einsum("ij,ij->i", mine, up)
+        return pd.DataFrame({"replicate": offset["replicate"].to_numpy().astype(np.int32), "ap": ap / np.maximum(tp, 1e-300), "cost": cost, "caught": caught, "amount": whole})
 
     return run
 

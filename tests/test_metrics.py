@@ -235,3 +235,28 @@ def test_quantiles_of_few_groups_deal_no_group_to_one_task(spark):
         assert {r.g: r.q[0] for r in out.collect()} == {0: 199.0, 1: 200.0} and "BroadcastHashJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_precisions_of_replicates_are_those_of_plain_loops_and_few_values_draw_once(spark, monkeypatch):
+    from riskloom.operators import metrics
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.integers(9)) / 8, float(rng.integers(5)), float(rng.random()), bool(rng.random() < 0.3)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, amount double, label boolean")
+    w = metrics.drawn_weights(np.arange(3_000), np.arange(45)).astype(float)
+    y = np.array([r[4] for r in rows])
+    monkeypatch.setattr(metrics, "_ROWS", 700)
+    got = {r.replicate: r for r in metrics.bootstrap(df, ["id"], 45, ("a", "b", "amount")).collect()}
+    assert sorted(got) == list(range(45))
+    for name, column in (("a", 1), ("b", 2), ("amount", 3)):
+        v = np.array([r[column] for r in rows])
+        for r in (0, 17, 44):
+            scaled = w[r] * np.where(y, y.sum() / w[r][y].sum(), (~y).sum() / w[r][~y].sum())
+            want = sum(scaled[y & (v == t)].sum() * scaled[y & (v >= t)].sum() / max(scaled[v >= t].sum(), 1e-300) for t in set(v.tolist()))
+            assert got[r][f"ap_{name}"] == pytest.approx(want / y.sum())
+
+    def dealt(*_):
+        raise AssertionError("a score of few values is drawn for by itself")
+
+    monkeypatch.setattr(metrics, "_replicated", dealt)
+    assert metrics.bootstrap(df, ["id"], 45, ("a", "b")).count() == 45
