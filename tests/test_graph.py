@@ -386,3 +386,43 @@ def test_no_pair_of_a_chain_is_shuffled(spark):
         b = chains.dealt_graph(flows, t, c, 20, tolerance, 2 * edges.DAY, edges.DAY, 5 * edges.DAY)
         same = lambda x: sorted(map(tuple, x.withColumn("chain_weight", F.round("chain_weight", 9)).select(*a.columns).fillna(-1, ["least_candidates"]).collect()))
         assert same(a) == same(b)
+
+
+def sparse_graphs(spark, seed, snapshots, nodes, pairs):
+    rng, rows = random.Random(seed), []
+    for t in range(snapshots):
+        rows += [(t, f"n{a:03}", f"n{b:03}", float(rng.choice((1, 1, 2, 5)))) for a, b in sorted({tuple(sorted(rng.sample(range(nodes), 2))) for _ in range(pairs)})]
+    return spark.createDataFrame(rows, "snapshot_end long, u string, v string, weight double")
+
+
+def test_lots_are_the_hashes_of_two_columns(spark):
+    import numpy as np
+
+    from riskloom.operators.portions import lots
+
+    rows = spark.createDataFrame([("a",), ("n017",), ("",)], "node string").select(F.xxhash64("node").alias("h"), *[F.xxhash64("node", F.lit(r)).alias(f"h{r}") for r in (0, 5, 999)]).collect()
+    for r in (0, 5, 999):
+        assert lots(np.array([x.h for x in rows]), r).tolist() == [x[f"h{r}"] for x in rows]
+
+
+def test_rings_within_a_task_are_searched_as_the_tables_are(spark, monkeypatch):
+    e = sparse_graphs(spark, 4, 1, 30, 42).localCheckpoint()
+    members = rings.snapshot_components(e).localCheckpoint()
+    between = [{(r.snapshot_end, r.node): r.betweenness for r in rings.betweenness(members, e, 10, 7, whole=w).collect()} for w in (0, 1_000)]
+    assert between[0] == pytest.approx(between[1]) and max(between[1].values()) > 0
+    found = [sorted(map(tuple, rings.candidate_rings(e, 12, 3, members, whole=w).select("snapshot_end", "node", "ring").collect())) for w in (0, 1_000)]
+    assert found[0] == found[1] and len(found[0]) > 15
+    monkeypatch.setattr(rings, "louvain", None)
+    monkeypatch.setattr(rings, "_passed_by_layers", None)
+    assert rings.candidate_rings(e, 12, 3, members).count() == len(found[0]) and rings.betweenness(members, e, 10, 7).count() == len(between[0])
+
+
+def test_a_ring_that_repeats_only_dropped_ones_is_kept(spark, monkeypatch):
+    from riskloom.operators import rings as module
+
+    rows = [(1, n, "a") for n in "abcd"] + [(2, n, "b") for n in "cdef"] + [(3, n, "c") for n in "efgh"] + [(4, n, "d") for n in "ghij"] + [(t, n, "x") for t in range(1, 40) for n in "xyz"]
+    written, plain = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, *name: written.append(name) or plain(df, *name))
+    got = rings.first_occurrences(spark.createDataFrame(rows, "snapshot_end long, node string, ring string"))
+    assert {(r.snapshot_end, r.ring) for r in got.collect()} == {(1, "a"), (1, "x"), (3, "c")}
+    assert len(written) < 20  # not a table a snapshot
