@@ -119,17 +119,17 @@ def masked_errors(windows: DataFrame) -> DataFrame:
 
 
 def step_drivers(errors: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    """A row for each real step of ``masked_errors``: ``offset`` back from the window's own row, its error, its share and the ``k`` features that drive it.
+    """A row for each real step of ``masked_errors``: ``offset`` back from the window's own row, its error, its share, the ``k`` features that drive it, and the ``window_error``.
 
     Squares are compared at nine places, equal ones in the features' order.
     """
     total = F.aggregate("step_errors", F.lit(0.0), lambda s, x: s + x)
-    at = errors.select("transaction_id", "length", total.alias("_total"), "step_errors", "squares", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("_at"))
+    at = errors.select("transaction_id", "length", F.col("error").alias("window_error"), total.alias("_total"), "step_errors", "squares", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("_at"))
     named = F.transform(F.element_at("squares", F.col("_at") + 1), lambda x, i: F.struct((-F.round(x, 9)).alias("m"), i.alias("i"), F.element_at(F.array(*map(F.lit, features)), i + 1).alias("name"), x.alias("square")))
     top = F.transform(F.slice(F.array_sort(named), 1, k), lambda f: F.struct(f["name"].alias("name"), f["square"].alias("square")))
     error = F.element_at("step_errors", F.col("_at") + 1)
     share = F.when(F.col("_total") > 1e-12, error / F.col("_total")).otherwise(0.0)
-    return at.select("transaction_id", (F.col("length") - 1 - F.col("_at")).alias("offset"), error.alias("error"), share.alias("share"), top.alias("top_features"))
+    return at.select("transaction_id", (F.col("length") - 1 - F.col("_at")).alias("offset"), error.alias("error"), share.alias("share"), top.alias("top_features"), "window_error")
 
 
 @dataclass(frozen=True)

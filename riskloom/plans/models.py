@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions.shared import cut
 from riskloom.operators import folds, history, metrics, models, rings, splits
 from riskloom.sources import tables
 
@@ -52,6 +53,8 @@ def ring_scorer(spark, sf_dir):
 @query()
 def expected_loss(spark, sf_dir):
     df = _rows(spark, sf_dir).withColumn("loss", F.when(F.col("is_fraud"), F.col("amount")).otherwise(0.0))
+    # every iteration of the fit reads its rows, so they are made once
+    df = cut(df.select("transaction_id", "loss", *FEATURES), "rows")
     m = models.expected_loss(df, FEATURES, "loss")
     return m.transform(models.assembled(df, FEATURES)).select("transaction_id", F.round("prediction", 3).alias("expected_loss"))
 
@@ -65,8 +68,8 @@ def _trees(rows, features):
 @query()
 def out_of_fold(spark, sf_dir):
     """Boosted trees by folds, each with its own spec; the first block has no score."""
-    df = splits.assign_splits(_rows(spark, sf_dir)).withColumn("label", F.col("is_fraud"))
-    f = folds.forward_chained(df.filter("split = 'train'"), df.filter("split = 'val'"), [*FEATURES, "device"], _trees, 4, "transaction_id", ("transaction_type",), 8)
+    df = splits.assign_splits(cut(_rows(spark, sf_dir), "rows")).withColumn("label", F.col("is_fraud"))
+    f = folds.forward_chained(df.filter("split = 'train'"), df.filter("split = 'val'"), [*FEATURES, "device"], _trees, 4, "transaction_id", ("transaction_type",), 8, scores_only=True)
     return rounded(f.scores.select("transaction_id", "block", "raw", "normalised"))
 
 
@@ -85,9 +88,9 @@ def _rates(rows, features):
     return lambda df, name: df.join(F.broadcast(rate), "transaction_type_code", "left").withColumn(name, F.round(F.coalesce("_rate", F.lit(overall)) + 0.1 * F.col("customer_freq"), 9)).drop("_rate")  # at most 8 levels
 
 
-def _folds(spark, sf_dir):
+def _folds(spark, sf_dir, scores_only: bool = False):
     o = splits.assign_splits(tables.orders(spark, sf_dir)).withColumns({"label": F.col("is_fraud"), "customer": F.concat(F.lit("c"), F.col("account_id").cast("string"))})
-    return folds.forward_chained(o.filter("split = 'train'"), o.filter("split = 'val'"), ["amount", "transaction_type", "customer"], _rates, 5, "transaction_id", ("is_fraud", "label"), 8)
+    return folds.forward_chained(o.filter("split = 'train'"), o.filter("split = 'val'"), ["amount", "transaction_type", "customer"], _rates, 5, "transaction_id", ("is_fraud", "label"), 8, scores_only)
 
 
 _CHAINED = f"""{O}, {_CUT}, tr AS (SELECT * FROM sp WHERE split = 'train'), va AS (SELECT * FROM sp WHERE split = 'val'), r2 AS (SELECT us, sum(count(*)) OVER (ORDER BY us) AS cum FROM tr GROUP BY us), n2 AS (SELECT count(*) AS n FROM tr),
@@ -100,7 +103,7 @@ _CHAINED = f"""{O}, {_CUT}, tr AS (SELECT * FROM sp WHERE split = 'train'), va A
 @query(f"WITH {_CHAINED} SELECT transaction_id, fold::INT AS block, round(raw, 6) AS raw, round((rank() OVER (PARTITION BY fold ORDER BY raw) - 1 + (count(*) OVER (PARTITION BY fold, raw) - 1) / 2) / greatest(count(*) OVER (PARTITION BY fold) - 1, 1), 6) AS normalised FROM sc WHERE part = 'block' UNION ALL SELECT transaction_id, 0, NULL, NULL FROM bl WHERE block = 0")
 def fold_scores(spark, sf_dir):
     """Forward-chained scores of a model of level rates and frequencies, refitted for each block and ranked within it."""
-    return rounded(_folds(spark, sf_dir).scores.select("transaction_id", F.col("block").cast("int").alias("block"), "raw", "normalised"))
+    return rounded(_folds(spark, sf_dir, scores_only=True).scores.select("transaction_id", F.col("block").cast("int").alias("block"), "raw", "normalised"))
 
 
 @query(f"WITH {_CHAINED}, g AS (SELECT fold, raw, count(*) AS n, count(*) FILTER (is_fraud) AS tp FROM sc WHERE part = 'val' GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM g WINDOW w AS (PARTITION BY fold ORDER BY raw DESC)), ap AS (SELECT fold, sum(tp * ct / cn) / sum(tp) AS ap FROM c GROUP BY 1), full_ap AS (SELECT ap AS full_ap FROM ap WHERE fold = 5) SELECT fold, n AS fit_rows, p AS fit_positives, round(ap, 6) AS fold_precision, round(full_ap, 6) AS full_precision, round(full_ap - ap, 6) AS handicap FROM ap JOIN nf USING (fold), full_ap WHERE fold < 5")

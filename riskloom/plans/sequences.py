@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.functions.shared import cut
 from riskloom.operators import encoders, history, sequences
 from riskloom.operators.splits import assign_splits
 from riskloom.sources import tables
@@ -68,7 +69,7 @@ def steps(spark, sf_dir):
     t = tables.events(spark, sf_dir).withColumns({"weekday": history.day_of_week().cast("string"), "daypart": F.expr("CAST(pmod(us, 86400000000) div 21600000000 AS STRING)")})
     t = t.withColumn("place", F.concat("transaction_type", "daypart"))
     train = assign_splits(t).filter("split = 'train'")
-    return sequences.step_columns(t, CODED, encoders.fit_frequencies(train, CODED))
+    return sequences.step_columns(t, CODED, cut(encoders.fit_frequencies(train, CODED), "encoders"))  # read once a column
 
 
 _DAYS = "(us // 86400000000 + 3) % 7"
@@ -101,19 +102,19 @@ def masked_step_errors(spark, sf_dir):
     part = lambda i: F.aggregate(F.transform(real, lambda x: x[i]), F.lit(0.0), lambda s, x: s + x)
     mean = F.array(*[part(i) / F.col("length") for i in range(len(_SOME))])
     errors = sequences.masked_errors(w.withColumn("reconstruction", F.transform("values", lambda v: mean)))
-    drivers = sequences.step_drivers(errors, _SOME, 1)
-    out = drivers.join(errors.select("transaction_id", F.col("error").alias("window_error")), "transaction_id")
+    out = sequences.step_drivers(errors, _SOME, 1)
     return rounded(out.select("transaction_id", "offset", "error", "share", F.col("top_features")[0]["name"].alias("driver"), "window_error"))
 
 
 @query()
 def sequence_anomaly(spark, sf_dir):
     """How badly few directions, learned on accounts with little fraud, rebuild a window; those with too little history abstain."""
-    rows = steps(spark, sf_dir)
+    rows = cut(steps(spark, sf_dir), "steps")
     fitted = {r["column"]: (r["mean"], r["std"]) for r in encoders.scaler(rows, FEATURES).collect()}  # a row a column
     windows = sequences.step_matrices(encoders.scaled(rows, fitted), FEATURES, 8)
-    quiet = sequences.eligible(tables.events(spark, sf_dir).withColumn("is_fraud", F.col("is_fraud") & (F.pmod("account_id", F.lit(3)) == 0))).select("transaction_id")
-    model = sequences.fit_low_rank(windows.join(quiet, "transaction_id", "left_semi"), 8, len(FEATURES), 12)
+    # by account, as the windows already lie: they are wide, and no join moves them
+    marked = tables.events(spark, sf_dir).filter(F.col("is_fraud") & (F.pmod("account_id", F.lit(3)) == 0)).select("account_id").distinct()
+    model = sequences.fit_low_rank(windows.join(marked, "account_id", "left_anti"), 8, len(FEATURES), 12)
     errors = sequences.masked_errors(sequences.with_reconstruction(windows, model))
     share = F.array_max("step_errors") / F.aggregate("step_errors", F.lit(0.0), lambda s, x: s + x)
     seen = lambda c: F.when(F.col("length") >= 3, c)
