@@ -50,13 +50,17 @@ def keyed_history(stream: DataFrame, delay_us: int = DAY_US, carry: tuple[str, .
     comes after younger ones counts what came before it in time; one later than ``delay_us`` may miss
     forgotten events (see ``late_rows``), and with none left it has no gap. Columns named in ``carry`` come along.
     """
-    kinds = dict(stream.dtypes)
+    kinds, read = dict(stream.dtypes), list(dict.fromkeys(["transaction_id", "us", *carry]))
     out = ", ".join(["transaction_id long, account_id long, prior_count long, seconds_since_prior double, count_24h long", *[f"`{c}` {kinds[c]}" for c in carry]])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, times, numbers = state.get if state.exists else (0, [], [])
-        rows = pd.concat(batches).sort_values(["us", "transaction_id"])
-        us, known = rows["us"].to_numpy(np.int64), np.array(times, np.int64)
+        held = list(batches)
+        rows = held[0] if len(held) == 1 else pd.concat(held)
+        rows = {c: rows[c].to_numpy() for c in read}
+        order = np.lexsort((rows["transaction_id"], rows["us"]))
+        rows = {c: x[order] for c, x in rows.items()}
+        us, known = rows["us"].astype(np.int64), np.array(times, np.int64)
         every, place = np.unique(np.concatenate([known, us]), return_inverse=True)
         held = np.zeros(len(every), np.int64)
         np.add.at(held, place, np.concatenate([np.array(numbers, np.int64), np.ones(len(us), np.int64)]))
@@ -65,12 +69,13 @@ def keyed_history(stream: DataFrame, delay_us: int = DAY_US, carry: tuple[str, .
         never = np.iinfo(np.int64).min
         before = np.concatenate([[never], known])[np.searchsorted(known, us, "right")]
         last = np.maximum(before, np.concatenate([[never], us[:-1]]))
-        gap = np.where(last == never, np.nan, (us - np.where(last == never, us, last)) / 1e6)
+        gap = np.where(last == never, np.nan, (us - np.where(last == never, us, last)) / 1e6)  # Arrow takes it as null
         kept = every > every[-1] - DAY_US - delay_us
         state.update((n + len(us), every[kept].tolist(), held[kept].tolist()))
-        yield pd.DataFrame({"transaction_id": rows["transaction_id"].to_numpy(), "account_id": key[0], "prior_count": n + np.arange(len(us)), "seconds_since_prior": pd.Series(gap).astype(object).where(last != never, None), "count_24h": count, **{c: rows[c].to_numpy() for c in carry}})
+        yield pd.DataFrame({"transaction_id": rows["transaction_id"], "account_id": key[0], "prior_count": n + np.arange(len(us)), "seconds_since_prior": gap, "count_24h": count, **{c: rows[c] for c in carry}}, copy=False)
 
-    return stream.groupBy("account_id").applyInPandasWithState(update, out, "n long, times array<long>, numbers array<long>", "append", GroupStateTimeout.NoTimeout)
+    # every column is made into pandas once an account, read or not
+    return stream.select(*dict.fromkeys(["account_id", *read])).groupBy("account_id").applyInPandasWithState(update, out, "n long, times array<long>, numbers array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def scored(history: DataFrame, scorer: Scorer, review: float, block: float, costs: CostModel = CostModel()) -> DataFrame:

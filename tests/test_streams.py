@@ -220,3 +220,14 @@ def test_context_in_the_stream_is_that_of_the_table(spark, tmp_path):
     want = {tuple(r) for r in table.select(*columns).fillna(-1.0).collect()}
     assert got == want
     assert {r[3] for r in want} >= {"unusual amount", "unusual rate", "in line with history"}
+
+
+def test_keyed_history_makes_no_column_into_pandas_unread(spark):
+    from riskloom.plans import streams
+
+    stream = streams._events(spark, "/root/testdata/sf0.001")
+    assert {"event_time", "transaction_type"} <= set(stream.columns)
+    plan = jobs.keyed_history(stream, carry=("amount", "us"))._jdf.queryExecution().analyzed().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "FlatMapGroupsInPandasWithState" in line)
+    read = " ".join(plan[at + 1 : at + 3])
+    assert "amount" in read and "event_time" not in read.split("Project")[1] and "transaction_type" not in read.split("Project")[1]
