@@ -7,6 +7,7 @@ import hmac
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,3 +427,24 @@ def test_a_ring_that_repeats_only_dropped_ones_is_kept(spark, monkeypatch):
     got = rings.first_occurrences(spark.createDataFrame(rows, "snapshot_end long, node string, ring string"))
     assert {(r.snapshot_end, r.ring) for r in got.collect()} == {(1, "a"), (1, "x"), (3, "c")}
     assert len(written) < 20  # not a table a snapshot
+
+
+def test_many_nodes_move_in_a_late_round(spark):
+    """One move a community and round took a round a leaf here, and 1,000 of them were an error on six copies of the orders."""
+    from riskloom.operators.portions import moved
+
+    hub, leaves = np.zeros(1500, int), np.arange(1, 1501)
+    h = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 1501)
+    assert len(set(moved(hub, leaves, np.ones(1500), h, 3000.0, 100, 0).tolist())) == 1
+    rng = random.Random(11)
+    names = [f"n{i:02}" for i in range(70)]
+    pairs = sorted({tuple(sorted(rng.sample(names, 2))) for _ in range(170)} | {("n00", n) for n in names[30:]})
+    e = spark.createDataFrame([(1, a, b, float(rng.choice((1, 2, 5)))) for a, b in pairs], "snapshot_end long, u string, v string, weight double")
+    hashed = {r.node: r.h for r in spark.createDataFrame([(n,) for n in names], "node string").select("node", F.xxhash64("node").alias("h")).collect()}
+    rows = e.collect()
+    a, b = (np.array([names.index(x[c]) for x in rows]) for c in "uv")
+    weight = np.array([x.weight for x in rows])
+    found = moved(a, b, weight, np.array([hashed[n] for n in names]), 2 * weight.sum(), None, 0)
+    assert {r.node: r.community for r in rings.communities(e, free=0).collect()} == {n: names[c] for n, c in zip(names, found, strict=True)}
+    parts = [[names[i] for i in np.flatnonzero(found == c)] for c in set(found)]
+    assert modularity_of(pairs, weight, parts) > modularity_of(pairs, weight, [[n] for n in names]) + 0.1
