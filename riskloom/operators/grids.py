@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from riskloom.functions.shared import cut
 
-from . import metrics, rings
+from . import metrics, rings, tiles
 from .chains import window_ends
 from .edges import chain_edges, merged_edges
 from .ordering import global_rank
@@ -63,7 +63,18 @@ def configured_rings(edges: DataFrame, marked: DataFrame, grid: tuple[Configurat
     hit = _dealt(marked, grid, F.col("us"), F.col("us"), cadence, last).select(BY, F.col("account_id").alias("node"), F.lit(True).alias("_hit")).distinct()
     label = members.join(hit, [BY, "node"], "left").groupBy(BY, "ring").agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("label"))
     identity = rings.fingerprints(members).select(BY, "ring", "identity")
-    every = rings.component_features(members, e).join(label, [BY, "ring"]).join(identity, [BY, "ring"])
+    return _first_seen(rings.component_features(members, e).join(label, [BY, "ring"]).join(identity, [BY, "ring"]))
+
+
+def searched_rings(transfers: DataFrame, cash_outs: DataFrame, flows: DataFrame, marked: DataFrame, grid: tuple[Configuration, ...], cadence: int, last: int) -> DataFrame:
+    """``configured_rings`` of the edges of ``configured_graph``, which are counted in tiles and never made."""
+    held = lambda df, early="us", late="us": _dealt(df, grid, F.col(early), F.col(late), cadence, last)
+    reach = {c.name: (c.steps, c.tolerance) for c in grid}
+    found = tiles.members(held(flows, "early_us", "late_us"), held(transfers), held(cash_outs), lambda graph: reach[graph["configuration"]], held(marked))
+    return _first_seen(cut(tiles.features(found, more=(rings.identity().alias("identity"),)).withColumnRenamed("hit", "label"), "configured"))
+
+
+def _first_seen(every: DataFrame) -> DataFrame:
     first = every.groupBy(f"{BY}.configuration", "identity").agg(F.min(f"{BY}.end").alias("end"))
     flat = every.select(f"{BY}.configuration", f"{BY}.end", *[c for c in every.columns if c != BY])
     return flat.join(first, ["configuration", "identity", "end"])
