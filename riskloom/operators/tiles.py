@@ -63,54 +63,66 @@ def _numbered(node: pa.ChunkedArray, other: pa.ChunkedArray) -> tuple[pa.Array,
     return found.dictionary.take(order), at[: len(node)], at[len(node) :]
 
 
-def _sorted(step: np.ndarray, rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key := step * width + rank, kind="stable")
-    return key[order], order
+def _sorted(x: dict, amounts: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of step and amount in order, and the rows that have them."""
+    key = (x["step"] - first) * (len(amounts) + 1) + np.searchsorted(amounts, x["amount"])
+    return key[order := np.argsort(key, kind="stable")], order
 
 
-def _pairs(t: dict, c: dict, steps: int, tolerance: float, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Accounts ``own`` in ascending order, ``other`` and the transfer's ``n`` for every pair of the tile, at most ``PAIRS`` and one more range at a time.
+def _ranges(x: dict, keys: np.ndarray, amounts: np.ndarray, low: np.ndarray, high: np.ndarray, first: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where rows of ``x`` find their equals in ``keys``, by step: start and size for each step and amount that they have, and which of them a row has.
+
+    ``low`` and ``high``: the places of a row's reach among the other side's ``amounts``.
+    """
+    width = len(amounts) + 1
+    own, rank = np.unique(x["amount"], return_inverse=True)
+    _, some, of = np.unique((x["step"] - first) * len(own) + rank, return_index=True, return_inverse=True)
+    start, size = np.zeros((2, len(some), len(reach)), np.int32)
+    for i, shift in enumerate(reach):
+        base = (x["step"][some] - first + shift) * width
+        start[:, i] = np.searchsorted(keys, base + low[some])
+        size[:, i] = np.maximum(np.searchsorted(keys, base + high[some]) - start[:, i], 0)
+    return start, size, of
+
+
+def _pairs(t: dict, c: dict, steps: int, tolerance: float, one: bool, weighted: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Accounts ``own`` in ascending order, ``other`` and, if ``weighted``, the transfer's ``n`` for every pair of the tile, at most ``PAIRS`` and one more range at a time.
 
     ``t``, ``c``: ``at, far, step, amount`` of transfers and cash-outs, and ``n`` of transfers. An own row looks at its ranges of amounts in the steps it
     reaches, transfers forward and cash-outs back. In a tile of ``one`` block every pair is met from both ends and kept from the lesser.
     """
     near, far = (lambda x: {k: v[~x["far"]] for k, v in x.items()}), (lambda x: x if one else {k: v[x["far"]] for k, v in x.items()})
     t0, c0, t1, c1 = near(t), near(c), far(t), far(c)
-    (t_amounts, t_rank), (c_amounts, c_rank) = (np.unique(x["amount"], return_inverse=True) for x in (t1, c1))
-    first, width = min((int(x["step"].min()) for x in (t1, c1) if len(x["at"])), default=0), max(len(t_amounts), len(c_amounts)) + 1
-    t_keys, t_order = _sorted(t1["step"] - first, t_rank, width)
-    c_keys, c_order = _sorted(c1["step"] - first, c_rank, width)
-    targets = np.concatenate([c1["at"][c_order], t1["at"][t_order]])
+    t_amounts, c_amounts = np.unique(t1["amount"]), np.unique(c1["amount"])
+    first = min((int(x["step"].min()) for x in (t1, c1) if len(x["at"])), default=0)
+    (t_keys, t_order), (c_keys, c_order) = _sorted(t1, t_amounts, first), _sorted(c1, c_amounts, first)
+    targets = np.concatenate([c1["at"][c_order], t1["at"][t_order]]).astype(np.int32)
     numbers = np.concatenate([np.zeros(len(c_keys), np.int64), t1["n"][t_order]])
-    low = np.concatenate([np.searchsorted(c_amounts, t0["amount"] * (1 - tolerance)), np.searchsorted(t_amounts * (1 + tolerance), c0["amount"])])
-    high = np.concatenate([np.searchsorted(c_amounts, t0["amount"] * (1 + tolerance), "right"), np.searchsorted(t_amounts * (1 - tolerance), c0["amount"], "right")])
-    at, step, n = (np.concatenate([t0[k], c0[k] if k in c0 else np.zeros(len(c0["at"]), np.int64)]) for k in ("at", "step", "n"))
-    back = np.arange(len(at)) >= len(t0["at"])
+    ahead, reach = t0["amount"], np.arange(steps + 1)
+    forward = _ranges(t0, c_keys, c_amounts, np.searchsorted(c_amounts, ahead * (1 - tolerance)), np.searchsorted(c_amounts, ahead * (1 + tolerance), "right"), first, reach)
+    behind = c0["amount"]
+    back = _ranges(c0, t_keys, t_amounts, np.searchsorted(t_amounts * (1 + tolerance), behind), np.searchsorted(t_amounts * (1 - tolerance), behind, "right"), first, reach - steps)
+    start, size_of = np.concatenate([forward[0], back[0] + np.int32(len(c_keys))]), np.concatenate([forward[1], back[1]])
+    of = np.concatenate([forward[2], back[2] + len(forward[0])])
+    at, n = np.concatenate([t0["at"], c0["at"]]).astype(np.int32), np.concatenate([t0["n"], np.zeros(len(c0["at"]), np.int64)])
     order = np.argsort(at, kind="stable")
-    reach = np.arange(steps + 1)
     for i in range(0, len(order), _TOGETHER):
         rows = order[i : i + _TOGETHER]
-        lo, size = np.zeros((2, len(rows), steps + 1), np.int64)
-        for side, keys, shift in ((False, c_keys, 0), (True, t_keys, len(c_keys))):
-            mine = np.flatnonzero(back[rows] == side)
-            base = ((step[rows[mine]] - first)[:, None] + (reach - steps if side else reach)) * width
-            start, stop = (np.searchsorted(keys, base + x[rows[mine]][:, None]) for x in (low, high))
-            lo[mine], size[mine] = start + shift, np.maximum(stop - start, 0)
+        size = size_of[of[rows]].ravel()
         some = np.flatnonzero(size)
-        whose, lo, size = rows[some // (steps + 1)], lo.ravel()[some], size.ravel()[some]
+        whose, lo, size = rows[some // (steps + 1)], start[of[rows]].ravel()[some], size[some].astype(np.int64)
         ends, s = np.cumsum(size), 0
         while s < len(size):
             done = ends[s] - size[s]
             e = max(s + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
             part, total = slice(s, e), ends[e - 1] - done
             where = np.arange(total) + np.repeat(lo[part] - (ends[part] - size[part] - done), size[part])
-            row = np.repeat(whose[part], size[part])
-            own, other, number = at[row], targets[where], np.maximum(n[row], numbers[where])
-            if one:
-                keep = own < other
-                own, other, number = own[keep], other[keep], number[keep]
+            own, other = np.repeat(at[whose[part]], size[part]), targets[where]
+            keep = own < other if one else slice(None)
+            number = np.maximum(np.repeat(n[whose[part]], size[part]), numbers[where])[keep] if weighted else None
+            own, other = own[keep], other[keep]
             if len(own):
-                yield own, other, number
+                yield own.astype(np.int64), other, number
             s = e
 
 
@@ -139,7 +151,7 @@ def _distinct(pairs: Iterator, bits: int, weighted: bool) -> Iterator[tuple]:
 class _Tile:
     """The rows of one tile: its accounts in order, its flows as edges with their counts, and its pairs."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], key: tuple, reach: Reach):
+    def __init__(self, batches: Iterator[pa.RecordBatch], key: tuple, reach: Reach, weighted: bool):
         rows = pa.Table.from_batches(list(batches))
         self.names, node, other = _numbered(rows["node"], rows["other"])
         self.whole, marks = key[3].as_py() == 1, rows["kind"].combine_chunks().to_numpy() == _MARK
@@ -152,7 +164,7 @@ class _Tile:
         a, b, far = (x[kind == _FLOW] for x in (node, other, far))
         turned = a > b if self.one else far
         self.flows, self.flow_count = np.unique(np.where(turned, b, a) << self.bits | np.where(turned, a, b), return_counts=True)
-        self.pairs = _pairs(t, c, *reach(key[0].as_py()), self.one)
+        self.pairs = _pairs(t, c, *reach(key[0].as_py()), self.one, weighted)
 
     def ends(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return edges >> self.bits, edges & ((1 << self.bits) - 1)
@@ -179,7 +191,7 @@ def edges(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach: R
     """
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = _Tile(batches, key, reach)
+        tile = _Tile(batches, key, reach, True)
         alone = np.ones(len(tile.flows), bool)
 
         def rows_of(found, chain, count, weight, least):
@@ -214,7 +226,7 @@ def members(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach:
     weighted = "candidate_count" in transfers.columns
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = _Tile(batches, key, reach)
+        tile = _Tile(batches, key, reach, weighted)
         size, alone = len(tile.names), np.ones(len(tile.flows), bool)
         up, (degree, flow_sum, both) = np.arange(size), np.zeros((3, size), np.int64)
         none = np.iinfo(np.int64).max
