@@ -21,8 +21,8 @@ from .components import tied
 from .portions import _stretches
 from .rings import BY, shaped, snapshot_components
 
-#: Rows of a block: some 10 MB.
-ROWS = 1 << 18
+#: Rows of a block: some 20 MB.
+ROWS = 1 << 19
 #: Pairs that a task holds at a time: some 150 MB while they are sorted.
 PAIRS = 1 << 21
 #: Rows whose reach is looked up together, and rows of a batch of edges.
@@ -30,10 +30,14 @@ _TOGETHER, _BATCH = 1 << 13, 1 << 16
 _TRANSFER, _CASH_OUT, _FLOW, _MARK = range(4)
 #: Steps and tolerance of a graph, by its ``snapshot_end``.
 Reach = Callable[[object], tuple[int, float]]
+_TILE = ("_graph", "_i", "_j")
 
 
-def _dealt(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, rows: int, marked: DataFrame | None = None) -> tuple[GroupedData, T.StructType, bool]:
-    """All rows by graph, tile ``_i <= _j`` and the number of blocks, with ``far``: their account is in block ``_j`` of two; whether any graph has two."""
+def _dealt(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach: Reach, rows: int, marked: DataFrame | None = None) -> tuple[GroupedData, T.StructType, DataFrame, dict, bool]:
+    """All rows by number of their graph and tile ``_i <= _j``, with ``far``: their account is in block ``_j`` of two.
+
+    The schema of the rows, the graphs by number, whether each has one block and its reach, and whether any graph has more.
+    """
     kind, none = lambda k: F.lit(k).cast("byte").alias("kind"), lambda t: F.lit(None).cast(t)
     number = F.col("candidate_count").cast("long") if "candidate_count" in transfers.columns else none("long")
     row = lambda df, k, n: df.select(BY, kind(k), F.col("account_id").alias("node"), none(dict(df.dtypes)["account_id"]).alias("other"), F.col("step").cast("long").alias("step"), F.col("amount").cast("double").alias("amount"), n.alias("n")).filter("node IS NOT NULL AND step IS NOT NULL AND amount IS NOT NULL")
@@ -42,15 +46,19 @@ def _dealt(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, rows: i
     if marked is not None:
         every = every.unionByName(marked.select(BY, kind(_MARK), F.col("account_id").alias("node")).filter("node IS NOT NULL").distinct(), allowMissingColumns=True)
     every = cut(every, "dealt")
-    # a row a graph
-    sizes = cut(every.groupBy(BY).agg(F.ceil(F.count("*") / rows).cast("int").alias("_blocks")), "blocks")
-    tiles, most = sizes.agg(F.sum(F.expr("_blocks * (_blocks + 1) div 2")), F.max("_blocks")).first()
+    # flows go to one tile of all, marks to one of a block's
+    of = lambda *kinds: F.count_if(F.col("kind").isin(*kinds)) / rows
+    sizes = every.groupBy(BY).agg(F.ceil(F.greatest(of(_TRANSFER, _CASH_OUT), of(_MARK), F.sqrt(of(_FLOW)))).cast("int").alias("_blocks"))
+    found = sizes.collect()  # a row a graph
+    graphs = every.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(found)], T.StructType([T.StructField("_graph", T.IntegerType()), *sizes.schema.fields]))
+    tiles, most = sum(r["_blocks"] * (r["_blocks"] + 1) // 2 for r in found), max((r["_blocks"] for r in found), default=1)
     block = lambda c: F.pmod(F.xxhash64(c), F.col("_blocks")).cast("int")
     met = F.explode(F.when(F.col("kind") >= _FLOW, F.array(block(F.coalesce("other", "node")))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    out = every.join(F.broadcast(sizes), BY).withColumn("_own", block("node")).withColumn("_met", met)
-    out = out.select(*every.columns, "_blocks", F.least("_own", "_met").alias("_i"), F.greatest("_own", "_met").alias("_j"), (F.col("_own") > F.col("_met")).alias("far"))
+    out = every.join(F.broadcast(graphs), BY).withColumn("_own", block("node")).withColumn("_met", met)
+    out = out.select("_graph", *every.columns[1:], F.least("_own", "_met").alias("_i"), F.greatest("_own", "_met").alias("_j"), (F.col("_own") > F.col("_met")).alias("far"))
     # dealt by number, as a tile is work whatever its bytes
-    return out.repartition(min(2 * (tiles or 1), 4096), BY, "_i", "_j").groupBy(BY, "_i", "_j", "_blocks"), out.schema, (most or 1) > 1
+    dealt = out.repartition(min(2 * max(tiles, 1), 4096), *_TILE).groupBy(*_TILE)
+    return dealt, every.schema, graphs, {i: (r["_blocks"] == 1, reach(r[BY])) for i, r in enumerate(found)}, most > 1
 
 
 def _numbered(node: pa.ChunkedArray, other: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -151,10 +159,10 @@ def _distinct(pairs: Iterator, bits: int, weighted: bool) -> Iterator[tuple]:
 class _Tile:
     """The rows of one tile: its accounts in order, its flows as edges with their counts, and its pairs."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], key: tuple, reach: Reach, weighted: bool):
+    def __init__(self, batches: Iterator[pa.RecordBatch], key: tuple, whole: bool, reach: tuple[int, float], weighted: bool):
         rows = pa.Table.from_batches(list(batches))
         self.names, node, other = _numbered(rows["node"], rows["other"])
-        self.whole, marks = key[3].as_py() == 1, rows["kind"].combine_chunks().to_numpy() == _MARK
+        self.whole, marks = whole, rows["kind"].combine_chunks().to_numpy() == _MARK
         self.marked = np.bincount(node[marks], minlength=len(self.names)) > 0
         self.bits, self.one = max(1, int(len(self.names)).bit_length()), key[1].as_py() == key[2].as_py()
         flat = lambda c: rows[c].combine_chunks()
@@ -164,7 +172,7 @@ class _Tile:
         a, b, far = (x[kind == _FLOW] for x in (node, other, far))
         turned = a > b if self.one else far
         self.flows, self.flow_count = np.unique(np.where(turned, b, a) << self.bits | np.where(turned, a, b), return_counts=True)
-        self.pairs = _pairs(t, c, *reach(key[0].as_py()), self.one, weighted)
+        self.pairs = _pairs(t, c, *reach, self.one, weighted)
 
     def ends(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return edges >> self.bits, edges & ((1 << self.bits) - 1)
@@ -181,7 +189,12 @@ def _batches(graph: pa.Scalar, columns: dict[str, pa.Array]) -> Iterator[pa.Reco
     size = len(next(iter(columns.values())))
     for i in range(0, size, _BATCH):
         part = {k: v.slice(i, _BATCH) for k, v in columns.items()}
-        yield pa.RecordBatch.from_arrays([pa.repeat(graph, min(_BATCH, size - i)), *part.values()], names=[BY, *part])
+        yield pa.RecordBatch.from_arrays([pa.repeat(graph, min(_BATCH, size - i)), *part.values()], names=["_graph", *part])
+
+
+def _by_graph(found: DataFrame, graphs: DataFrame) -> DataFrame:
+    """A graph's ``snapshot_end`` in place of its number."""
+    return found.join(F.broadcast(graphs.select("_graph", BY)), "_graph").select(BY, *found.columns[1:])
 
 
 def edges(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach: Reach, rows: int = ROWS) -> DataFrame:
@@ -191,7 +204,7 @@ def edges(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach: R
     """
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = _Tile(batches, key, reach, True)
+        tile = _Tile(batches, key, *known[key[0].as_py()], True)
         alone = np.ones(len(tile.flows), bool)
 
         def rows_of(found, chain, count, weight, least):
@@ -208,11 +221,11 @@ def edges(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach: R
         count = tile.flow_count[alone]
         yield from rows_of(tile.flows[alone], np.bool_(False), count.astype(np.int64), np.zeros(len(count)), pa.nulls(len(count), pa.int64()))
 
-    dealt, of, _ = _dealt(flows, transfers, cash_outs, rows)
-    out = T.StructType([of[BY], *[T.StructField(c, of["node"].dataType) for c in "uv"]])
+    dealt, of, graphs, known, _ = _dealt(flows, transfers, cash_outs, reach, rows)
+    out = T.StructType([T.StructField("_graph", T.IntegerType()), *[T.StructField(c, of["node"].dataType) for c in "uv"]])
     for c, kind in (("has_flow", "boolean"), ("has_chain", "boolean"), ("flow_count", "long"), ("chain_weight", "double"), ("least_candidates", "long"), ("corroborated", "boolean")):
         out = out.add(c, kind)
-    return dealt.applyInArrow(run, out)
+    return _by_graph(dealt.applyInArrow(run, out), graphs)
 
 
 def members(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach: Reach, marked: DataFrame | None = None, rows: int = ROWS) -> DataFrame:
@@ -226,7 +239,7 @@ def members(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach:
     weighted = "candidate_count" in transfers.columns
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = _Tile(batches, key, reach, weighted)
+        tile = _Tile(batches, key, *known[key[0].as_py()], weighted)
         size, alone = len(tile.names), np.ones(len(tile.flows), bool)
         up, (degree, flow_sum, both) = np.arange(size), np.zeros((3, size), np.int64)
         none = np.iinfo(np.int64).max
@@ -257,11 +270,11 @@ def members(flows: DataFrame, transfers: DataFrame, cash_outs: DataFrame, reach:
         name = lambda x: tile.names.take(pa.array(x))
         yield from _batches(key[0], {"node": name(kept), "root": name(up[kept]), **{c: pa.array(x[kept]) for c, x in zip(facts, (degree, chains, flow_sum, both), strict=True)}, "least_candidates": pa.array(least[kept], mask=least[kept] == none), "hit": pa.array(tile.marked[kept]), "whole": pa.array(np.full(len(kept), tile.whole))})
 
-    dealt, of, many = _dealt(flows, transfers, cash_outs, rows, marked)
-    out = T.StructType([of[BY], *[T.StructField(c, of["node"].dataType) for c in ("node", "root")]])
+    dealt, of, graphs, known, many = _dealt(flows, transfers, cash_outs, reach, rows, marked)
+    out = T.StructType([T.StructField("_graph", T.IntegerType()), *[T.StructField(c, of["node"].dataType) for c in ("node", "root")]])
     for c in (*facts, "least_candidates"):
         out = out.add(c, "long")
-    every = cut(dealt.applyInArrow(run, out.add("hit", "boolean").add("whole", "boolean")), "tiles")
+    every = _by_graph(cut(dealt.applyInArrow(run, out.add("hit", "boolean").add("whole", "boolean")), "tiles"), graphs)
     whole = every.filter("whole").select(BY, "node", F.col("root").alias("ring"), *facts, "least_candidates", "hit")
     if not many:
         return whole
